@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stepgrid.functions.hashing import hash_below, hash_unit
+
 
 def real(x: Column) -> Column:
     """True for a value that is neither null nor NaN."""
@@ -52,16 +54,6 @@ def overlapping_patches(arr: Column, size: int, stride: int) -> Column:
     return F.transform(starts, lambda i: F.slice(full, i, F.lit(size)))
 
 
-def hash_below(bound: Column, *seeds: Column) -> Column:
-    """Seeded integer in [0, bound)."""
-    return F.pmod(F.xxhash64(*seeds), bound).cast("int")
-
-
-def hash_unit(*seeds: Column) -> Column:
-    """Seeded number in [0, 1) with 53 bits."""
-    return F.shiftrightunsigned(F.xxhash64(*seeds), 11) / float(1 << 53)
-
-
 def patch_crop(arr: Column, patch: int, min_patches: int, max_patches: int, *seeds: Column) -> Column:
     """A random run of whole patches: a random offset below one patch, a
     random patch count within the bounds, a random first patch."""

@@ -72,7 +72,7 @@ def clean_readings(df: DataFrame, spec: SeriesSpec, order: list[str] | None = No
     rank = F.struct(*[F.col(c) for c in (order or [spec.value])])
     others = [c for c in kept.columns if c not in (*spec.keys, spec.ts)]
     picked = kept.groupBy(*spec.keys, spec.ts).agg(F.min_by(F.struct(*others), rank).alias("_row"))
-    return picked.select(*spec.keys, spec.ts, "_row.*").drop(*(order or []))
+    return picked.select(*spec.keys, spec.ts, "_row.*").drop(*[c for c in order or [] if c != spec.value])
 
 
 def bucket_readings(df: DataFrame, spec: SeriesSpec, how: str = "mean") -> DataFrame:

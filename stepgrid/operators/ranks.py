@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepgrid.functions.hashing import BITS, seeded_hash
+
 BUCKETS = 4096
 
 
@@ -16,7 +18,7 @@ def prefix_by_hash(df: DataFrame, keys: list[str], amount: Column, out: str, see
     the sum per group.
     """
     within = within or []
-    rows = df.withColumn("_a", amount).withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)))
+    rows = df.withColumn("_a", amount).withColumn("_h", seeded_hash(*[F.col(k) for k in keys], F.lit(seed)))
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
     w = Window.partitionBy(*within, "_b").orderBy("_h", *keys).rowsBetween(Window.unboundedPreceding, 0)
     totals = rows.groupBy(*within, "_b").agg(F.sum("_a").alias("_t"))
@@ -113,12 +115,12 @@ def _kth(rows: DataFrame, k: int, low: float, high: float, keep: int) -> float:
 
 
 def smallest(df: DataFrame, order: Column, n: int, ties: list[str], bits: int = 16) -> DataFrame:
-    """Exactly the n rows of smallest 64-bit ``order``, never sorted whole.
+    """Exactly the n rows of smallest seeded-hash ``order``, never sorted whole.
 
     Rows are counted by the top bits; the buckets below the cut are kept as
     they are and only the bucket on the cut is ranked.
     """
-    rows = df.withColumn("_h", order).withColumn("_b", F.shiftright("_h", 64 - bits))
+    rows = df.withColumn("_h", order).withColumn("_b", F.shiftright("_h", BITS - bits))
     counts = rows.groupBy("_b").agg(F.count("*").alias("_n"))
     # 2^bits rows at most
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

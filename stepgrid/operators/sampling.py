@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepgrid.functions.arrays import hash_below, hash_unit
+from stepgrid.functions.hashing import hash_below, hash_unit, seeded_hash
 from stepgrid.operators.ranks import dense_index, index_in_order, prefix_by_hash, smallest
 from stepgrid.series import SeriesSpec
 
 
 def sample_windows(windows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     """At most n windows, uniform, the same for the same seed."""
-    order = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    order = seeded_hash(*[F.col(k) for k in keys], F.lit(seed))
     return smallest(windows, order, n, keys)
 
 
@@ -33,8 +33,8 @@ def subject_balanced_sample(spark: SparkSession, windows: DataFrame, spec: Serie
     subjects = dense_index(windows.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "_s")
     total = subjects.agg(F.count("*").alias("k")).scalar()
     draws = spark.range(n).withColumnRenamed("id", "draw")
-    draws = draws.withColumn("_s", F.pmod(F.xxhash64("draw", F.lit(seed)), total))
-    picked = draws.join(subjects, "_s").withColumn("_w", F.pmod(F.xxhash64("draw", F.lit(seed + 1)), F.col("_n")))
+    draws = draws.withColumn("_s", F.pmod(seeded_hash(F.col("draw"), F.lit(seed)), total))
+    picked = draws.join(subjects, "_s").withColumn("_w", F.pmod(seeded_hash(F.col("draw"), F.lit(seed + 1)), F.col("_n")))
     return picked.drop("_s", "_n").join(numbered, [*keys, "_w"]).drop("_w")
 
 
@@ -82,7 +82,7 @@ def beta_binomial_count(n: str, seed_column: str, seed: int, a: float = 1.0, b:
             out.append(1 + rng.binomial(size - 1, rng.beta(a, b)))
         return pd.Series(out, dtype="int32")
 
-    return draw(F.col(n), F.xxhash64(F.col(seed_column)))
+    return draw(F.col(n), seeded_hash(F.col(seed_column)))
 
 
 def stack_others(series: DataFrame, group: list[str], key: str, values: str, max_series: int, seed: int) -> DataFrame:
@@ -97,7 +97,7 @@ def stack_others(series: DataFrame, group: list[str], key: str, values: str, max
     take = random_count("uniform", F.least(F.col("_n").cast("int"), F.lit(max_series)), F.col(key), F.lit(seed))
     # slot 0 is the series itself, further slots step on by distinct strides
     picks = own.select(*group, key, "_n", F.col("_i").alias("_me"), F.explode(F.sequence(F.lit(0), take - 1)).alias("_slot"))
-    turn = F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.greatest(F.col("_n") - 1, F.lit(1)))
+    turn = F.pmod(seeded_hash(F.col(key), F.lit(seed + 1)), F.greatest(F.col("_n") - 1, F.lit(1)))
     step = F.pmod(turn + F.col("_slot") - 1, F.greatest(F.col("_n") - 1, F.lit(1))) + 1
     picks = picks.withColumn("_i", F.when(F.col("_slot") == 0, F.col("_me")).otherwise(F.pmod(F.col("_me") + step, F.col("_n"))))
     met = picks.join(numbered.select(*group, "_i", F.col(key).alias("_k"), F.col(values).alias("_v")), [*group, "_i"])
@@ -119,7 +119,7 @@ def mixture_sample(
         run += p / total
         choice = F.when(u < run, name) if choice is None else choice.when(u < run, name)
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn(dataset, choice.otherwise(list(probabilities)[-1]))
-    picked = draws.join(sizes, dataset).withColumn("_i", F.pmod(F.xxhash64("draw", F.lit(seed + 1)), F.col("_n")))
+    picked = draws.join(sizes, dataset).withColumn("_i", F.pmod(seeded_hash(F.col("draw"), F.lit(seed + 1)), F.col("_n")))
     rows = picked.join(numbered, [dataset, "_i"])
     room = F.size(values) - horizon - min_past + 1
     cut = min_past + hash_below(room, F.col("draw"), F.lit(seed + 2))
@@ -136,14 +136,14 @@ def mixture_sample(
 
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """A seeded random order: a range-partitioned sort by hash."""
-    return df.orderBy(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), *keys)
+    return df.orderBy(seeded_hash(*[F.col(k) for k in keys], F.lit(seed)), *keys)
 
 
 def sample_variates(df: DataFrame, keys: list[str], variate: str, most: int, seed: int) -> DataFrame:
     """At most ``most`` variates per series; pruned before the shuffle."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(*[F.col(k) for k in keys], F.col(variate), F.lit(seed)), variate)
+    w = Window.partitionBy(*keys).orderBy(seeded_hash(*[F.col(k) for k in keys], F.col(variate), F.lit(seed)), variate)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 
 
@@ -170,7 +170,7 @@ def patch_size(freq: str, length: str, sizes: list[int], min_patches: int, *seed
         options = F.array(*allowed) if allowed else F.array().cast("array<int>")
         out = F.when(F.col(freq) == letter, options) if out is None else out.when(F.col(freq) == letter, options)
     fit = F.filter(out, lambda s: s <= F.floor(F.col(length) / min_patches))
-    return F.when(F.size(fit) > 0, F.get(fit, F.pmod(F.xxhash64(*seeds), F.size(fit)).cast("int")))
+    return F.when(F.size(fit) > 0, F.get(fit, F.pmod(seeded_hash(*seeds), F.size(fit)).cast("int")))
 
 
 def random_mask(p: float, *seeds: Column) -> Column:

@@ -12,6 +12,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepgrid.functions.hashing import hash_below
 from stepgrid.operators.gaps import run_rows, split_rows
 from stepgrid.series import (
     CHUNK,
@@ -284,7 +285,7 @@ def cut_point_window(df: DataFrame, target: str, key: str, seed: int, limit: int
     """A seeded cut in the last ``limit`` positions, padded left and right."""
     n = F.size(target)
     low = F.greatest(F.lit(1), n - limit)
-    out = df.withColumn("cut", low + F.pmod(F.xxhash64(F.col(key), F.lit(seed)), n - low).cast("int"))
+    out = df.withColumn("cut", low + hash_below(n - low, F.col(key), F.lit(seed)))
     have = F.least(F.col("cut"), F.lit(insample))
     ahead = F.least(n - F.col("cut"), F.lit(outsample))
     zero, one = F.lit(0.0), F.lit(1.0)

@@ -200,10 +200,14 @@ def read_tsf(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]
     return rows.select(*[typed(i, n) for i, n in enumerate(ordered)], values.alias("series_value")), facts
 
 
-def read_participants(spark: SparkSession, path: str) -> DataFrame:
+def read_participants(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """``{dataset: [patient, ...]}`` as (dataset, patient) rows, unique by
-    patient; a patient in two datasets fails the job."""
-    raw = spark.read.text(path, wholetext=True)
+    patient; a patient in two datasets fails the job.
+
+    One document per file, or with ``multiline=False`` one per line, which
+    splits a large file over tasks.
+    """
+    raw = spark.read.text(path, wholetext=multiline)
     pairs = raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("dataset", "patients"))
     return unique_patients(pairs.select("dataset", F.explode("patients").alias("patient")))
 

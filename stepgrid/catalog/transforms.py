@@ -300,8 +300,9 @@ def _(spark, sf):
 
 @query(
     "interpolate_quantiles",
-    """SELECT o_orderkey, o_totalprice * 0.5 AS q05, round(o_totalprice * (0.5 + 0.5 * 0.15 / 0.4), 4) AS q25, o_totalprice AS q50,
-      round(o_totalprice * (1 + 0.1 / 0.4), 4) AS q60, o_totalprice * 2 AS q95 FROM orders""",
+    f"""SELECT o_orderkey, o_totalprice * 0.5 AS q05,
+      o_totalprice * 0.5 + {(0.25 - 0.1) / (0.5 - 0.1)!r}::DOUBLE * (o_totalprice - o_totalprice * 0.5) AS q25, o_totalprice AS q50,
+      o_totalprice + {(0.6 - 0.5) / (0.9 - 0.5)!r}::DOUBLE * (o_totalprice * 2 - o_totalprice) AS q60, o_totalprice * 2 AS q95 FROM orders""",
 )
 def _(spark, sf):
     v = F.col("o_totalprice")
@@ -311,7 +312,7 @@ def _(spark, sf):
         return arrays.quantile_at(q, levels, values)
 
     return table(spark, sf, "orders").select(
-        "o_orderkey", at(0.05).alias("q05"), F.round(at(0.25), 4).alias("q25"), at(0.5).alias("q50"), F.round(at(0.6), 4).alias("q60"), at(0.95).alias("q95")
+        "o_orderkey", at(0.05).alias("q05"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.6).alias("q60"), at(0.95).alias("q95")
     )
 
 

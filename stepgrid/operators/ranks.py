@@ -53,13 +53,17 @@ def value_bucket(v: Column, per_octave: int = 64) -> Column:
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
 
 
-def average_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+def average_ranks(
+    df: DataFrame, groups: list[str], value: str, ties: Column | None = None, extra: list[Column] | None = None
+) -> DataFrame:
     """Distinct values per group with count and average rank.
 
     Ties are counted before the shuffle; ranks come from counts per value
-    bucket, so a large group is ranked by many tasks.
+    bucket, so a large group is ranked by many tasks. ``ties`` may leave rows
+    out of the ranking; ``extra`` aggregates ride along.
     """
-    counts = df.groupBy(*groups, value).agg(F.count("*").alias("ties")).withColumn("_b", value_bucket(F.col(value)))
+    count = F.count("*") if ties is None else ties
+    counts = df.groupBy(*groups, value).agg(count.alias("ties"), *(extra or [])).withColumn("_b", value_bucket(F.col(value)))
     per_bucket = counts.groupBy(*groups, "_b").agg(F.sum("ties").alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepgrid.operators.ranks import average_ranks
@@ -21,13 +21,22 @@ def collapse_duplicates(df: DataFrame, keys: list[str], value: str) -> DataFrame
 def pair_methods(scores: DataFrame, by: list[str], participant: list[str], method: str, value: str) -> DataFrame:
     """Every pair of methods per participant, first name before second.
 
-    Scores are unique per (method, participant), so a participant meets only
-    its own few methods: an equi-join on the participant key.
+    Scores are unique per (method, participant), so a participant gathers one
+    entry per method and its pairs come from one shuffle, without a self-join.
     """
     keys = [*by, *participant]
-    a = scores.select(*keys, F.col(method).alias("method_a"), F.col(value).alias("value_a"))
-    b = scores.select(*keys, F.col(method).alias("method_b"), F.col(value).alias("value_b"))
-    return a.join(b, keys).filter("method_a < method_b")
+    entry = F.struct(F.col(method).alias("m"), F.col(value).alias("v"))
+    held = scores.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_s"))
+    first = held.select(*keys, "_s", F.posexplode("_s").alias("_i", "_a"))
+    later = F.explode(F.slice("_s", F.col("_i") + 2, F.size("_s"))).alias("_b")
+    pairs = first.select(*keys, "_a", later)
+    return pairs.select(
+        *keys,
+        F.col("_a.m").alias("method_a"),
+        F.col("_b.m").alias("method_b"),
+        F.col("_a.v").alias("value_a"),
+        F.col("_b.v").alias("value_b"),
+    )
 
 
 def wilcoxon_counts(spark: SparkSession, limit: int = EXACT_LIMIT) -> DataFrame:
@@ -48,9 +57,14 @@ def wilcoxon_counts(spark: SparkSession, limit: int = EXACT_LIMIT) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=["n", "w", "cdf"]), "n bigint, w bigint, cdf double")
 
 
-@F.pandas_udf("double")
-def _two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore")
+def two_sided_p(z: Column) -> Column:
+    """Two-sided normal tail. Spark has no erfc; this sees one row per test."""
+
+    @F.pandas_udf("double")
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), na_action="ignore")
+
+    return tail(z)
 
 
 def paired_wilcoxon(pairs: DataFrame, by: list[str], tol: float = 1e-8) -> DataFrame:
@@ -61,29 +75,28 @@ def paired_wilcoxon(pairs: DataFrame, by: list[str], tol: float = 1e-8) -> DataF
     non-zero differences, else the normal approximation with tie correction.
     """
     keys = [*by, "method_a", "method_b"]
-    diffs = pairs.withColumn("d", F.col("value_a") - F.col("value_b"))
-    base = diffs.groupBy(*keys).agg(
-        F.count("*").alias("n_pairs"),
-        F.avg("d").alias("mean_diff"),
-        F.max(F.abs("d")).alias("_top"),
-        F.count_if(F.col("d") == 0).alias("_zeros"),
+    diffs = pairs.withColumn("d", F.col("value_a") - F.col("value_b")).withColumn("_abs", F.abs("d"))
+    # one row per distinct size carries all the sums, ranked or not
+    ranked = average_ranks(
+        diffs,
+        keys,
+        "_abs",
+        F.count_if(F.col("d") != 0),
+        [F.count("*").alias("_n"), F.sum("d").alias("_sum"), F.count_if(F.col("d") > 0).alias("_pos")],
     )
-    signed = diffs.filter("d <> 0").withColumn("_abs", F.abs("d"))
-    ranks = average_ranks(signed, keys, "_abs")
-    # signs per distinct size, then one small join with the ranks
-    signs = signed.groupBy(*keys, "_abs").agg(F.count_if(F.col("d") > 0).alias("_pos"))
-    sums = (
-        ranks.join(signs, [*keys, "_abs"])
-        .groupBy(*keys)
-        .agg(
-            F.sum("ties").alias("n_used"),
-            F.sum(F.col("avg_rank") * F.col("_pos")).alias("w_plus"),
-            F.sum(F.col("ties") * F.col("ties") * F.col("ties") - F.col("ties")).alias("_tie"),
-        )
+    t = F.col("ties")
+    out = ranked.groupBy(*keys).agg(
+        F.sum("_n").alias("n_pairs"),
+        (F.sum("_sum") / F.sum("_n")).alias("mean_diff"),
+        F.max("_abs").alias("_top"),
+        F.sum(F.col("_n") - t).alias("_zeros"),
+        F.sum(t).alias("n_used"),
+        F.sum(F.when(t > 0, F.col("avg_rank") * F.col("_pos"))).alias("w_plus"),
+        F.sum(t * t * t - t).alias("_tie"),
     )
     n = F.col("n_used").cast("double")
     se = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("_tie") / 2) / 24)
-    out = base.join(sums, keys, "left").withColumn("z", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, se))
+    out = out.withColumn("z", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, se))
     table = wilcoxon_counts(pairs.sparkSession)
     low = F.least(F.col("w_plus"), n * (n + 1) / 2 - F.col("w_plus"))
     exact = (F.col("n_used") <= EXACT_LIMIT) & (F.col("_tie") == 0) & (F.col("_zeros") == 0)
@@ -93,7 +106,7 @@ def paired_wilcoxon(pairs: DataFrame, by: list[str], tol: float = 1e-8) -> DataF
         F.when(F.col("n_pairs") < 2, F.lit(None).cast("double"))
         .when(F.col("_top") <= tol, 1.0)
         .when(F.col("cdf").isNotNull(), F.least(F.lit(1.0), 2 * F.col("cdf")))
-        .otherwise(_two_sided("z"))
+        .otherwise(two_sided_p(F.col("z")))
     )
     mean_diff = F.when(F.col("n_pairs") >= 2, F.col("mean_diff"))
     return out.withColumn("p_value", p).withColumn("mean_diff", mean_diff).drop("_top", "_zeros", "_tie", "n", "w", "cdf")

@@ -5,11 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Pin the settings the operators rely on; leave sizing to the cluster."""
+    import stepgrid
+
+    # Python functions travel with the job, so workers need no installed copy
+    cloudpickle.register_pickle_by_value(stepgrid)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")

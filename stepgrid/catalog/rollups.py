@@ -249,7 +249,7 @@ ERFC_SQL = f"{_T} * exp(-x * x - {ERFC[0]} + " + " + ".join(f"({c}) * pow({_T},
     w AS (SELECT method_a, method_b, count(*) AS n, avg(d) AS mean_diff, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus FROM rk GROUP BY 1, 2),
     z AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0) AS z FROM w), e AS (SELECT *, abs(z) / sqrt(2) AS x FROM z), p AS (SELECT *, {ERFC_SQL} AS p FROM e),
     k AS (SELECT *, row_number() OVER (ORDER BY p) AS k FROM p), q AS (SELECT *, least(1, min(p * 3 / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)
-    SELECT 'zeroshot' AS protocol, method_a, method_b, n AS n_pairs, n AS n_used, round(mean_diff, 6) AS mean_diff, round(w_plus, 6) AS w_plus, round(z, 6) AS z, round(p, 5) AS p_value, round(q, 5) AS p_adj_bh, q < 0.05 AS significant FROM q""",
+    SELECT 'zeroshot' AS protocol, method_a, method_b, n AS n_pairs, n AS n_used, round(mean_diff, 6) AS mean_diff, CAST(w_plus AS DOUBLE) AS w_plus, round(z, 6) AS z, round(p, 5) AS p_value, round(q, 5) AS p_adj_bh, q < 0.05 AS significant FROM q""",
 )
 def _(spark, sf):
     rows = scores(spark, sf).withColumn("protocol", F.lit("zeroshot"))

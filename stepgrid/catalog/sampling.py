@@ -136,12 +136,13 @@ def _(spark, sf):
 
 @query(
     "latest_stream",
-    f"""WITH {POS}, l AS (SELECT *, lag(slot, 3) OVER w AS s3, lag(value) OVER w AS x2, lag(value, 2) OVER w AS x1, lag(value, 3) OVER w AS x0, row_number() OVER (PARTITION BY dataset, subject_id ORDER BY slot DESC) AS r
-      FROM pos WINDOW w AS (PARTITION BY dataset, subject_id ORDER BY slot))
-    SELECT dataset, subject_id, slot AS last_slot, x0, x1, x2, value AS x3 FROM l WHERE r = 1 AND s3 = slot - 3""",
+    f"""WITH {POS}, l AS (SELECT *, lag(slot, 3) OVER w AS s3, lag(value) OVER w AS x2, lag(value, 2) OVER w AS x1, lag(value, 3) OVER w AS x0
+      FROM pos WINDOW w AS (PARTITION BY dataset, subject_id ORDER BY slot)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dataset, subject_id ORDER BY slot DESC) AS r FROM l WHERE s3 = slot - 3)
+    SELECT dataset, subject_id, slot AS last_slot, x0, x1, x2, value AS x3 FROM r WHERE r = 1""",
 )
 def _(spark, sf):
-    """The stream over the finished readings ends at each subject's state."""
+    """The stream over finished readings ends at the batch answer."""
     source, sink = fresh_path(spark, "stream-in"), fresh_path(spark, "stream-out")
     readings(spark, sf).write.parquet(source)
     stream = spark.readStream.schema("subject_id string, value double, ts timestamp, dataset string").parquet(source)

@@ -216,7 +216,7 @@ def validate_forecast_frame(
     freq = infer_freq(df, spec)
     short = freq.filter(F.col("n") < minimum).select(*keys, F.lit("too few points").alias("problem"))
     mixed = freq.filter(F.col("freq").isNull() & (F.col("n") >= minimum)).select(*keys, F.lit("irregular").alias("problem"))
-    kinds = freq.filter(F.col("freq").isNotNull())
+    kinds = freq.filter(F.col("freq").isNotNull() & (F.col("n") >= minimum))
     common = kinds.agg(F.count_distinct("freq").alias("k"), F.min("freq").alias("f"))
     differs = (
         kinds.withColumn("_k", common.select("k").scalar())

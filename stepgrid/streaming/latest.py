@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,12 +13,24 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from stepgrid.series import SeriesSpec
 
 
+def newest_run(us: np.ndarray, values: np.ndarray, step: int, length: int) -> int | None:
+    """Index of the last row that ends an unbroken run of ``length`` rows."""
+    broken = np.flatnonzero(np.diff(us) != step) + 1
+    starts = np.zeros(len(us), dtype=np.int64)
+    starts[broken] = broken
+    run = np.arange(len(us)) - np.maximum.accumulate(starts)
+    ends = np.flatnonzero(run >= length - 1)
+    return int(ends[-1]) if len(ends) else None
+
+
 def latest_stream(readings: DataFrame, spec: SeriesSpec, context: int, watermark: str) -> DataFrame:
-    """Emit a subject's context each time a batch leaves it complete.
+    """Emit a subject's newest unbroken context whenever it changes.
 
-    State is the last ``context`` values and the last timestamp; a gap other
-    than one step starts it anew. Repeated timestamps are dropped within the
-    watermark, readings later than it are dropped.
+    State per subject is its last ``context`` readings, which new and late
+    ones are merged into, and the end of the window emitted last. Repeated
+    timestamps are dropped within the watermark, later readings are dropped.
+    A trigger holds what arrived since the one before; limit a backlog with
+    the source's rate options.
     """
     step = spec.step_us
     rows = readings.withWatermark(spec.ts, watermark).dropDuplicatesWithinWatermark([*spec.keys, spec.ts])
@@ -25,25 +38,24 @@ def latest_stream(readings: DataFrame, spec: SeriesSpec, context: int, watermark
     key_fields = ", ".join(f"{k} string" for k in spec.keys)
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, values = state.get if state.exists else (None, [])
-        values = list(values)
-        for part in parts:
-            for us, v in zip(*(part.sort_values("us")[c] for c in ("us", "v"))):
-                if last is not None and us <= last:
-                    continue
-                values = [*values, v][-context:] if last is not None and us - last == step else [v]
-                last = us
-        if last is None:
-            return
-        state.update((int(last), values))
-        if len(values) == context:
-            row = dict(zip(spec.keys, key)) | {"last_us": int(last), "context": values}
-            yield pd.DataFrame([row])
+        kept_us, kept_v, emitted = state.get if state.exists else ([], [], None)
+        frames = [pd.DataFrame({"us": list(kept_us), "v": list(kept_v)})] if len(kept_us) else []
+        frames += [p[["us", "v"]] for p in parts]
+        merged = pd.concat(frames).drop_duplicates("us").sort_values("us")
+        us, values = merged["us"].to_numpy(dtype="int64"), merged["v"].to_numpy(dtype=float)
+        end = newest_run(us, values, step, context)
+        changed = end is not None and (emitted is None or us[end] > emitted)
+        if changed:
+            emitted = int(us[end])
+        state.update((us[-context:].tolist(), values[-context:].tolist(), emitted))
+        if changed:
+            window = values[end - context + 1 : end + 1].tolist()
+            yield pd.DataFrame([dict(zip(spec.keys, key)) | {"last_us": emitted, "context": window}])
 
     return rows.groupBy(*spec.keys).applyInPandasWithState(
         update,
         f"{key_fields}, last_us bigint, context array<double>",
-        "last_us bigint, vals array<double>",
+        "us array<bigint>, v array<double>, emitted bigint",
         "append",
         GroupStateTimeout.NoTimeout,
     )

@@ -12,7 +12,6 @@ from stepgrid.plans.evaluation import clinical_report
 from stepgrid.session import fresh_path
 from stepgrid.sources.readings import read_seg_table, seg_table_report
 
-P, T = F.col("prediction"), F.col("ground_truth")
 
 # values moved into a glucose-like range by the same formula in both engines
 GLU = f"""{PAIRS}, glu AS (SELECT dataset, subject_id, slot, prediction + 40 AS p, ground_truth + 40 AS t FROM pairs)"""
@@ -29,13 +28,21 @@ zoned AS (SELECT *, {ZONE} AS zone, CAST({RISK} AS DOUBLE) AS risk FROM idx)"""
 SUMMARY = """count(*) AS n, round(avg(CASE WHEN zone = 'A' THEN 100.0 ELSE 0 END), 6) AS ceg_a, round(avg(CASE WHEN risk = 0 THEN 100.0 ELSE 0 END), 6) AS seg_a, round(avg(risk), 6) AS seg_risk"""
 
 
+def P():
+    return F.col("prediction")
+
+
+def T():
+    return F.col("ground_truth")
+
+
 def glucose(spark, sf):
-    return persistence_pairs(readings(spark, sf), SPEC, 1).withColumns({"prediction": P + 40, "ground_truth": T + 40})
+    return persistence_pairs(readings(spark, sf), SPEC, 1).withColumns({"prediction": P() + 40, "ground_truth": T() + 40})
 
 
 @query("clarke_zone", f"WITH {ZONED} SELECT dataset, subject_id, slot, zone FROM zoned")
 def _(spark, sf):
-    return glucose(spark, sf).select(*KEYS, slot().alias("slot"), clinical.clarke_zone(T, P).alias("zone"))
+    return glucose(spark, sf).select(*KEYS, slot().alias("slot"), clinical.clarke_zone(T(), P()).alias("zone"))
 
 
 LETTERS = ["A", "B", "C", "D", "E"]
@@ -46,12 +53,12 @@ LETTERS = ["A", "B", "C", "D", "E"]
     f"WITH {ZONED} SELECT dataset, " + ", ".join(f"round(avg(CASE WHEN zone = '{z}' THEN 100.0 ELSE 0 END), 6) AS {z}" for z in LETTERS) + " FROM zoned GROUP BY 1",
 )
 def _(spark, sf):
-    return rounded(rollup.zone_shares(glucose(spark, sf), ["dataset"], clinical.clarke_zone(T, P), LETTERS))
+    return rounded(rollup.zone_shares(glucose(spark, sf), ["dataset"], clinical.clarke_zone(T(), P()), LETTERS))
 
 
 @query("seg_rule_risk", f"WITH {ZONED} SELECT dataset, subject_id, slot, risk FROM zoned")
 def _(spark, sf):
-    return glucose(spark, sf).select(*KEYS, slot().alias("slot"), clinical.seg_rule_risk(T, P).alias("risk"))
+    return glucose(spark, sf).select(*KEYS, slot().alias("slot"), clinical.seg_rule_risk(T(), P()).alias("risk"))
 
 
 def seg_table(spark):
@@ -115,7 +122,7 @@ def _(spark, sf):
 def _(spark, sf):
     # a square text grid counted from the pairs, signed, read back as risks
     cell = lambda c: F.floor(c / 50).cast("int")
-    counts = glucose(spark, sf).groupBy(cell(T).alias("i"), cell(P).alias("j")).agg(F.count("*").alias("n"))
+    counts = glucose(spark, sf).groupBy(cell(T()).alias("i"), cell(P()).alias("j")).agg(F.count("*").alias("n"))
     top = counts.agg(F.max(F.greatest("i", "j"))).first()[0]
     size = range(top + 1)
     cells = [
@@ -183,4 +190,4 @@ def _(spark, sf):
     SELECT dataset, """ + ", ".join(f"round(avg({z}), 6) AS {z}" for z in LETTERS) + " FROM e GROUP BY 1",
 )
 def _(spark, sf):
-    return rounded(rollup.participant_zone_means(glucose(spark, sf), ["dataset"], "subject_id", clinical.clarke_zone(T, P), LETTERS))
+    return rounded(rollup.participant_zone_means(glucose(spark, sf), ["dataset"], "subject_id", clinical.clarke_zone(T(), P()), LETTERS))

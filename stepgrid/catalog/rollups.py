@@ -10,18 +10,23 @@ from stepgrid.operators import ranks, rollup, stats
 from stepgrid.operators.windows import persistence_pairs
 from stepgrid.plans import evaluation
 
-P, T = F.col("prediction"), F.col("ground_truth")
+
+
+def P():
+    return F.col("prediction")
+
+
+def T():
+    return F.col("ground_truth")
 
 
 def scores(spark, sf):
     """RMSE per dataset and subject of three methods: 1, 2 and 3 days back."""
-    out = None
-    for h in (1, 2, 3):
-        pairs = persistence_pairs(readings(spark, sf), SPEC, h)
-        part = pairs.groupBy(*KEYS).agg(metrics.rmse(P, T).alias("rmse"), F.count("*").alias("n_windows"), metrics.mae(P, T).alias("mae"))
-        part = part.withColumn("method", F.lit(f"back{h}"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    pairs = persistence_pairs(readings(spark, sf), SPEC, [1, 2, 3])
+    method = F.concat(F.lit("back"), F.col("horizon_steps").cast("string")).alias("method")
+    return pairs.groupBy(*KEYS, method).agg(
+        metrics.rmse(P(), T()).alias("rmse"), F.count("*").alias("n_windows"), metrics.mae(P(), T()).alias("mae")
+    )
 
 
 SCORES = f"""{READINGS}, runs AS (SELECT *, slot - row_number() OVER (PARTITION BY dataset, subject_id ORDER BY slot) AS run FROM readings),

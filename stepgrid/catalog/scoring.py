@@ -13,10 +13,17 @@ from stepgrid.operators.forecast import last_observed, long_predictions, seasona
 from stepgrid.operators.windows import persistence_pairs, windows_contiguous
 from stepgrid.series import with_position
 
-P, T = F.col("prediction"), F.col("ground_truth")
 LEVELS = {0.1: "q10", 0.5: "q50", 0.9: "q90"}
 
 
+def P():
+    return F.col("prediction")
+
+
+def T():
+    return F.col("ground_truth")
+
+
 def pairs(spark, sf):
     return persistence_pairs(readings(spark, sf), SPEC, 1)
 
@@ -24,7 +31,7 @@ def pairs(spark, sf):
 def quantile_pairs(spark, sf):
     """One-step forecasts with made quantiles around the last value."""
     return pairs(spark, sf).withColumns(
-        {"q10": P * 0.4, "q25": P * 0.7, "q50": P * 1.0, "q75": P * 1.4, "q90": P * 2.5}
+        {"q10": P() * 0.4, "q25": P() * 0.7, "q50": P() * 1.0, "q75": P() * 1.4, "q90": P() * 2.5}
     )
 
 
@@ -77,13 +84,13 @@ by_dataset(
     round(sum(abs(prediction - ground_truth)) / sum(abs(ground_truth)), 6) AS nd,
     round(sqrt(sum(pow(prediction - ground_truth, 2))) / sqrt(var_pop(ground_truth) * count(*)), 6) AS rse, round(corr(prediction, ground_truth), 6) AS corr""",
     lambda: [
-        metrics.mse(P, T).alias("mse"),
-        metrics.mape_eps(P, T).alias("mape"),
-        metrics.mspe_eps(P, T).alias("mspe"),
-        metrics.smape_eps(P, T).alias("smape"),
-        metrics.nd(P, T).alias("nd"),
-        metrics.rse(P, T).alias("rse"),
-        metrics.corr(P, T).alias("corr"),
+        metrics.mse(P(), T()).alias("mse"),
+        metrics.mape_eps(P(), T()).alias("mape"),
+        metrics.mspe_eps(P(), T()).alias("mspe"),
+        metrics.smape_eps(P(), T()).alias("smape"),
+        metrics.nd(P(), T()).alias("nd"),
+        metrics.rse(P(), T()).alias("rse"),
+        metrics.corr(P(), T()).alias("corr"),
     ],
 )
 
@@ -106,25 +113,25 @@ by_dataset(
     round(avg(200 * abs(prediction - ground_truth) / (prediction + ground_truth)), 6) AS smape_m4, round(avg(100 * abs(prediction - ground_truth) / ground_truth), 6) AS mape_m4,
     round(avg(abs((prediction - ground_truth) * (1 / ground_truth))), 6) AS mape_masked""",
     lambda: [
-        metrics.mape_percent(P, T).alias("mape_percent"),
-        metrics.smape_half(P, T).alias("smape_half"),
-        metrics.wape(P, T).alias("wape"),
-        metrics.nrmse(P, T).alias("nrmse"),
-        metrics.smape_m4(P, T).alias("smape_m4"),
-        metrics.mape_m4(P, T).alias("mape_m4"),
-        metrics.mape_masked(P, T).alias("mape_masked"),
+        metrics.mape_percent(P(), T()).alias("mape_percent"),
+        metrics.smape_half(P(), T()).alias("smape_half"),
+        metrics.wape(P(), T()).alias("wape"),
+        metrics.nrmse(P(), T()).alias("nrmse"),
+        metrics.smape_m4(P(), T()).alias("smape_m4"),
+        metrics.mape_m4(P(), T()).alias("mape_m4"),
+        metrics.mape_masked(P(), T()).alias("mape_masked"),
     ],
 )
 by_dataset(
     "bias_abs_score",
     "round((sum(abs(prediction - ground_truth)) + abs(sum(prediction - ground_truth))) / sum(ground_truth), 6) AS score",
-    lambda: [metrics.bias_abs_score(P, T).alias("score")],
+    lambda: [metrics.bias_abs_score(P(), T()).alias("score")],
 )
 by_dataset(
     "gaussian_nll",
     f"""round(avg(-ln(1e-7 + exp(-0.5 * pow((ground_truth - prediction) / (5 + prediction / 10), 2)) / ((5 + prediction / 10) * {math.sqrt(2 * math.pi)!r}))), 6) AS nll,
     round(avg(5 + prediction / 10), 6) AS mean_std""",
-    lambda: [metrics.gaussian_nll(P, 5 + P / 10, T).alias("nll"), F.avg(5 + P / 10).alias("mean_std")],
+    lambda: [metrics.gaussian_nll(P(), 5 + P() / 10, T()).alias("nll"), F.avg(5 + P() / 10).alias("mean_std")],
 )
 
 LN4 = math.log(4)
@@ -142,7 +149,7 @@ by_dataset(
     "glucose_weighted_mse",
     f"""round(avg(pow(prediction - ground_truth, 2) * (1 + 1.5 * ({_fall("ground_truth", 85, "90.0")}) * ({_rise("prediction", "ground_truth", "30.0")})
       + 1.0 * ({_rise("ground_truth", 155, "300.0")}) * ({_fall("prediction", "ground_truth", "60.0")}))), 6) AS gmse""",
-    lambda: [metrics.gmse(P, T).alias("gmse")],
+    lambda: [metrics.gmse(P(), T()).alias("gmse")],
 )
 by_dataset(
     "pinball_losses",
@@ -152,7 +159,7 @@ by_dataset(
         for q, c in LEVELS.items()
     ),
     lambda: [
-        F.avg(metrics.pinball(q, F.col(c), T, form)).alias(f"{c}_{name}")
+        F.avg(metrics.pinball(q, F.col(c), T(), form)).alias(f"{c}_{name}")
         for q, c in LEVELS.items()
         for form, name in (("standard", "loss"), ("reversed", "reversed"))
     ],
@@ -186,7 +193,7 @@ def _(spark, sf):
     SELECT dataset, round(avg(CASE WHEN c >= 0.5 THEN 1 ELSE 0 END), 6) AS pi_coverage, round(avg(wd), 6) AS pi_width FROM w2 GROUP BY 1""",
 )
 def _(spark, sf):
-    rows = steps(spark, sf).withColumns({"lo": P * 0.5, "hi": P * 1.5})
+    rows = steps(spark, sf).withColumns({"lo": P() * 0.5, "hi": P() * 1.5})
     return rounded(panels.interval_quality(rows, ["dataset"], [("pi", "lo", "hi")], "window", ["subject_id", "window_start"]))
 
 
@@ -230,9 +237,9 @@ for _name, _axis in (("panel_overall", []), ("panel_by_item", KEYS), ("panel_by_
     f"""WITH {PAIRS} SELECT dataset, count(*) AS n, round(avg(abs(prediction - ground_truth)), 6) AS mae FROM pairs WHERE slot % 4 <> 0 GROUP BY 1""",
 )
 def _(spark, sf):
-    truth = F.when(slot() % 4 == 0, float("nan")).otherwise(T)
+    truth = F.when(slot() % 4 == 0, float("nan")).otherwise(T())
     rows = pairs(spark, sf).withColumn("ground_truth", truth).filter(panels.metrics_label())
-    return rounded(rows.groupBy("dataset").agg(F.count("*").alias("n"), metrics.mae(P, T).alias("mae")))
+    return rounded(rows.groupBy("dataset").agg(F.count("*").alias("n"), metrics.mae(P(), T()).alias("mae")))
 
 
 DENOMINATORS = {
@@ -274,7 +281,7 @@ GROUP_SQL = "(['Yearly', 'Quarterly', 'Monthly', 'Weekly', 'Daily', 'Hourly'])[C
 def _(spark, sf):
     names = F.array(*[F.lit(g) for g in GROUPS])
     rows = pairs(spark, sf).withColumn("grp", F.get(names, (F.col("subject_id").cast("bigint") % 6).cast("int")))
-    return rounded(panels.competition_summary(rows.withColumn("naive", T * 0.7), _errors(spark, sf), KEYS, "grp"))
+    return rounded(panels.competition_summary(rows.withColumn("naive", T() * 0.7), _errors(spark, sf), KEYS, "grp"))
 
 
 @query(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.functions.safe import over_or
+from stepgrid.series import spread_join
 
 
 def finite_pairs(df: DataFrame, pred: str = "prediction", truth: str = "ground_truth") -> DataFrame:
@@ -104,7 +105,7 @@ def corr_products(df: DataFrame, by: list[str], pred: str, truth: str) -> DataFr
     squared products. Needs the group means first, so two aggregations."""
     means = df.groupBy(*by).agg(F.avg(pred).alias("_mp"), F.avg(truth).alias("_mt"))
     both = (F.col(pred) - F.col("_mp")) * (F.col(truth) - F.col("_mt"))
-    return df.join(means, by).groupBy(*by).agg(
+    return spread_join(df, means, by).groupBy(*by).agg(
         F.try_divide(F.sum(both), F.sqrt(F.sum(both * both))).alias("corr_ref")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.operators.ranks import exact_quantile
-from stepgrid.series import CHUNK, HOME, T, SeriesSpec, before, carry, chunked, in_chunk, running
+from stepgrid.series import CHUNK, HOME, T, SeriesSpec, before, carry, chunked, in_chunk, running, spread_join
 
 
 def anomaly_threshold(train: DataFrame, test: DataFrame, energy: str, ratio: float) -> float:
@@ -37,13 +37,9 @@ def point_adjust(df: DataFrame, spec: SeriesSpec, label: str, pred: str) -> Data
         ],
     )
     rows = rows.withColumn("_run", F.col("_zeros") + F.col("c_z")).withColumn("_first", F.col("_k") + F.col("c_n") == 1)
-    hits = (
-        rows.filter(F.col(label) == 1)
-        .groupBy(*spec.keys, "_run")
-        .agg(F.max(pred).alias("_hit"))
-        .withColumn(label, F.lit(1))
-    )
-    joined = rows.join(hits, [*spec.keys, "_run", label], "left")
+    hits = rows.groupBy(*spec.keys, "_run", label).agg(F.max(pred).alias("_hit"))
+    # a run may be very long: its rows meet the run's result chunk by chunk
+    joined = spread_join(rows, hits, [*spec.keys, "_run", label], F.col(CHUNK))
     adjusted = F.when((F.col(label) == 1) & ~F.col("_first"), F.col("_hit")).otherwise(F.col(pred))
     return joined.withColumn("adjusted", adjusted).drop(
         T, CHUNK, HOME, "_zeros", "_k", "c_z", "c_n", "_run", "_first", "_hit"

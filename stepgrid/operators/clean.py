@@ -8,7 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepgrid.series import SeriesSpec, floor_div, micros, with_position
+from stepgrid.series import (
+    CHUNK,
+    SeriesSpec,
+    chunk_salt,
+    chunked,
+    floor_div,
+    in_chunk,
+    micros,
+    spread_join,
+    with_position,
+)
+from stepgrid.series import T as T_US
 
 # Largest epoch magnitude -> unit. The second set reads the top
 # class as microseconds and puts its limits lower.
@@ -88,42 +99,55 @@ def bucket_readings(df: DataFrame, spec: SeriesSpec, how: str = "mean") -> DataF
     )
 
 
-def keep_long_series(df: DataFrame, keys: list[str], minimum: int) -> DataFrame:
-    """Series with at least ``minimum`` rows."""
-    long = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") >= minimum).drop("_n")
-    return df.join(long, keys, "left_semi")
+def keep_series(df: DataFrame, keys: list[str], test: Column) -> DataFrame:
+    """Series whose aggregate ``test`` holds, e.g. a length or a share."""
+    kept = df.groupBy(*keys).agg(test.alias("_ok")).filter("_ok").drop("_ok")
+    return spread_join(df, kept, keys)
 
 
-def keep_dense_series(df: DataFrame, keys: list[str], value: str, most: float, test: str = "missing") -> DataFrame:
-    """Series whose share of missing (or zero) values is at most ``most``."""
-    bad = F.col(value).isNull() if test == "missing" else (F.col(value) == 0)
-    share = F.avg(F.coalesce(bad, F.lit(False)).cast("int"))
-    dense = df.groupBy(*keys).agg(share.alias("_share")).filter(F.col("_share") <= most).drop("_share")
-    return df.join(dense, keys, "left_semi")
-
+def long_enough(minimum: int) -> Column:
+    return F.count("*") >= minimum
 
-def grid_slots(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Every slot between the first and last reading of each series.
 
-    Expanded in two levels so that one very long series becomes many small
-    tasks: first its chunks, which are spread, then the slots of each chunk.
-    """
-    step, width = spec.step_us, spec.chunk_steps * spec.step_us
-    ends = df.groupBy(*spec.keys).agg(F.min(micros(spec.ts)).alias("_lo"), F.max(micros(spec.ts)).alias("_hi"))
-    blocks = ends.withColumn("_b", F.explode(F.sequence(F.col("_lo"), F.col("_hi"), F.lit(width))))
-    # without a number, so adaptive execution may coalesce small ones
-    blocks = blocks.repartition(*[F.col(k) for k in spec.keys], F.col("_b"))
-    last = F.least(F.col("_hi"), F.col("_b") + (width - step))
-    slots = blocks.select(*spec.keys, F.explode(F.sequence(F.col("_b"), last, F.lit(step))).alias("_slot"))
-    return slots
+def dense_enough(value: str, most: float, test: str = "missing") -> Column:
+    """At most this share of missing (or zero) values."""
+    bad = F.col(value).isNull() if test == "missing" else (F.col(value) == 0)
+    return F.avg(F.coalesce(bad, F.lit(False)).cast("int")) <= most
 
 
 def regularize(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Reindex each series to its full grid; absent slots are null and
-    readings off the grid are dropped."""
-    slots = grid_slots(df, spec)
-    readings = df.withColumn("_slot", micros(spec.ts)).drop(spec.ts)
-    return slots.join(readings, [*spec.keys, "_slot"], "left").withColumn(spec.ts, F.timestamp_micros("_slot")).drop("_slot")
+    readings off the grid are dropped.
+
+    No join of slots with readings: every reading emits the slots from itself
+    up to the next one, so only the readings are shuffled, once. The start of
+    the series and of the next chunk come from one small row per chunk. Long
+    gaps are expanded block by block, never as one array.
+    """
+    step, width = spec.step_us, spec.chunk_us()
+    ends = df.groupBy(*spec.keys, floor_div(micros(spec.ts), width).alias(CHUNK)).agg(F.min(micros(spec.ts)).alias("_lo"))
+    walk = Window.partitionBy(*spec.keys).orderBy(CHUNK)
+    ends = ends.withColumn("c_lo", F.first("_lo").over(walk)).withColumn("c_next", F.lead(CHUNK).over(walk) * width).drop("_lo")
+    w = in_chunk(spec)
+    rows = (
+        chunked(df, spec)
+        .withColumn("_prev", F.lag(T_US).over(w))
+        .withColumn("_next", F.lead(T_US).over(w))
+        .join(ends, [*spec.keys, CHUNK])
+    )
+    lo, t = F.col("c_lo"), F.col(T_US)
+    begin = F.when(F.col("_prev").isNull(), F.greatest(lo, F.col(CHUNK) * width)).otherwise(t)
+    end = F.coalesce("_next", "c_next", t + 1)
+    first = lo + floor_div(begin - lo + (step - 1), step) * step
+    last = lo + floor_div(end - 1 - lo, step) * step
+    rows = rows.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
+    rows = rows.withColumn("_block", F.explode(F.sequence("_first", "_last", F.lit(width))))
+    top = F.least(F.col("_last"), F.col("_block") + (width - step))
+    rows = rows.withColumn("_slot", F.explode(F.sequence("_block", top, F.lit(step))))
+    others = [c for c in df.columns if c not in (*spec.keys, spec.ts)]
+    return rows.select(
+        *spec.keys, *[F.when(F.col("_slot") == t, F.col(c)).alias(c) for c in others], F.timestamp_micros("_slot").alias(spec.ts)
+    )
 
 
 def resample_mean(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -140,11 +164,11 @@ def block_sum(df: DataFrame, spec: SeriesSpec, size: int) -> DataFrame:
 def keep_preferred(df: DataFrame, by: list[str], column: str, preferred: int) -> DataFrame:
     """Per group only rows with the preferred value, if there are any.
 
-    An aggregate and a join rather than a window, so that a large group is
-    never gathered.
+    An aggregate and a salted join rather than a window, so that a large group
+    is never gathered.
     """
     has = df.groupBy(*by).agg(F.max((F.col(column) == preferred).cast("int")).alias("_has"))
-    return df.join(has, by).filter((F.col("_has") == 0) | (F.col(column) == preferred)).drop("_has")
+    return spread_join(df, has, by).filter((F.col("_has") == 0) | (F.col(column) == preferred)).drop("_has")
 
 
 def split_position(df: DataFrame, spec: SeriesSpec, first: float, second: float, rounding: str = "ceil") -> DataFrame:
@@ -159,7 +183,7 @@ def split_position(df: DataFrame, spec: SeriesSpec, first: float, second: float,
     a = fix(F.col("_n") * first)
     b = a + fix(F.col("_n") * second)
     part = F.when(F.col("pos") < a, "train").when(F.col("pos") < b, "validation").otherwise("test")
-    return rows.join(sizes, list(spec.keys)).withColumn("part", part).drop("_n")
+    return spread_join(rows, sizes, list(spec.keys), chunk_salt(spec)).withColumn("part", part).drop("_n")
 
 
 def split_fixed(df: DataFrame, spec: SeriesSpec, train: int, validation: int, test: int, seq_len: int, percent: int = 100) -> DataFrame:
@@ -179,7 +203,7 @@ def split_fixed(df: DataFrame, spec: SeriesSpec, train: int, validation: int, te
 def thin_long_series(df: DataFrame, spec: SeriesSpec, limit: int, factor: int) -> DataFrame:
     """Every ``factor``-th row of series longer than ``limit``."""
     sizes = df.groupBy(*spec.keys).agg(F.count("*").alias("_n"))
-    rows = with_position(df, spec).join(sizes, list(spec.keys))
+    rows = spread_join(with_position(df, spec), sizes, list(spec.keys), chunk_salt(spec))
     return rows.filter((F.col("_n") <= limit) | (F.pmod(F.col("pos"), F.lit(factor)) == 0)).drop("_n")
 
 

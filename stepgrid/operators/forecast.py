@@ -13,7 +13,7 @@ from stepgrid.operators.windows import lag_rows
 from stepgrid.series import SeriesSpec, with_position
 
 
-def last_observed(windows: DataFrame, horizon: int) -> DataFrame:
+def last_observed(windows: DataFrame, horizon: int | Column) -> DataFrame:
     """The last context value as the forecast of every horizon step."""
     return windows.withColumn("forecast", F.array_repeat(F.element_at("context", -1), horizon))
 

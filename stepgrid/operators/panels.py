@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.functions import metrics
 from stepgrid.operators.windows import lag_rows
-from stepgrid.series import SeriesSpec, with_position
+from stepgrid.series import SeriesSpec, spread_join, with_position
 
 
 def seasonal_error(insample: DataFrame, spec: SeriesSpec, season: int) -> DataFrame:
@@ -31,7 +31,7 @@ def standard_panel(
     ``axis`` are the grouping columns: none for one row, the item columns for
     a row per item, the step for a row per time. Missing labels are masked.
     """
-    rows = predictions.filter(metrics_label()).join(errors, keys)
+    rows = spread_join(predictions.filter(metrics_label()), errors, keys)
     p, t, med = F.col("prediction"), F.col("ground_truth"), F.col(quantiles.get(0.5, "prediction"))
     err = F.col("seasonal_error")
     aggs = [

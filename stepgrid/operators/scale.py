@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepgrid.series import spread_join
+
 
 def scale_standard(df: DataFrame, value: str, floor: float = 1e-12) -> DataFrame:
     """One mean and population deviation for the whole table."""
@@ -19,7 +21,7 @@ def scale_on_part(df: DataFrame, keys: list[str], value: str, in_train: Column,
     v = F.when(in_train, F.col(value))
     std = F.stddev_pop(v)
     stats = df.groupBy(*keys).agg(F.avg(v).alias("loc"), F.when(std <= tol, 1.0).otherwise(std).alias("scale"))
-    return df.join(stats, keys).withColumn("scaled", (F.col(value) - F.col("loc")) / F.col("scale"))
+    return spread_join(df, stats, keys).withColumn("scaled", (F.col(value) - F.col("loc")) / F.col("scale"))
 
 
 def normalize_per_series(df: DataFrame, keys: list[str], value: str, tol: float = 1e-9) -> DataFrame:
@@ -43,7 +45,7 @@ def normalizer(df: DataFrame, value: str, kind: str, keys: list[str] | None = No
     spread = F.stddev_samp(value) if std else F.max(value) - F.min(value)
     if per_sample:
         stats = df.groupBy(*keys).agg(centre.alias("_c"), spread.alias("_s"))
-        out = df.join(stats, keys)
+        out = spread_join(df, stats, keys)
         return out.withColumn("scaled", (F.col(value) - F.col("_c")) / (F.col("_s") + eps)).drop("_c", "_s")
     stats = df.agg(centre.alias("c"), spread.alias("s"))
     return df.withColumn(
@@ -88,7 +90,7 @@ def category_index(df: DataFrame, column: str, out: str) -> DataFrame:
 
     names = df.select(column).distinct()
     coded = names.withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(coded, column)
+    return spread_join(df, coded, [column])
 
 
 def target_encode(df: DataFrame, keys: list[str], column: str, target: str, smooth: float = 1.0) -> DataFrame:
@@ -98,4 +100,4 @@ def target_encode(df: DataFrame, keys: list[str], column: str, target: str, smoo
     coded = cats.join(means, keys).withColumn(
         "encoded", (F.col("_s") + smooth * F.col("_m")) / (F.col("_n") + smooth)
     )
-    return df.join(coded.select(*keys, column, "encoded"), [*keys, column])
+    return spread_join(df, coded.select(*keys, column, "encoded"), [*keys, column])

@@ -44,6 +44,18 @@ def patch_multiple(context: int, patch: int) -> int:
     return context // patch * patch
 
 
+def _accepts(x, length, stride: int, contiguous: bool):
+    """Does a valid window of ``length`` end at this reading?
+
+    ``x`` gives the columns _home, pos, seg_pos and _clean. Runs count the
+    stride from the series start, segments from their own.
+    """
+    first = x("pos" if contiguous else "seg_pos") - (length - 1)
+    return (
+        x("_home") & (x("seg_pos") >= length - 1) & (x("_clean") >= length) & (F.pmod(first, F.lit(stride)) == 0)
+    )
+
+
 def window_ends(
     df: DataFrame,
     spec: SeriesSpec,
@@ -53,66 +65,73 @@ def window_ends(
 ) -> DataFrame:
     """Chunked rows with ``_ok`` true where a valid window of ``length`` ends.
 
-    ``limit=None``: the window must be an unbroken run and the stride counts
-    from the series start. Otherwise the window must lie in one gap-split
-    segment and the stride restarts with each segment.
+    ``limit=None``: the window must be an unbroken run. Otherwise it must lie
+    in one gap-split segment.
     """
-    stride = stride or length
-    first = F.col("pos" if limit is None else "seg_pos") - (length - 1)
-    ok = (
-        F.col(HOME)
-        & (F.col("seg_pos") >= length - 1)
-        & (F.col("_clean") >= length)
-        & (F.pmod(first, F.lit(stride)) == 0)
-    )
     rows = run_rows(df, spec, length) if limit is None else split_rows(df, spec, limit, length)
-    return rows.withColumn("_ok", ok)
+    return rows.withColumn("_ok", _accepts(F.col, length, stride, limit is None))
+
+
+def windows_grid(
+    df: DataFrame,
+    spec: SeriesSpec,
+    grid: list[tuple[int, int]],
+    stride: int = 1,
+    limit: timedelta | None = None,
+    covariates: list[str] | None = None,
+) -> DataFrame:
+    """Windows of every (context, horizon) of a grid from one scan.
+
+    Adds ``context_steps`` and ``horizon_steps``. The halo is that of the
+    longest window; shorter ones find their readings in the same chunk.
+    Stride 0 means the context.
+    """
+    longest = max(c + h for c, h in grid)
+    rows = run_rows(df, spec, longest) if limit is None else split_rows(df, spec, limit, longest)
+    return _cut(rows, spec, grid, lambda x, c, h: _accepts(x, c + h, stride or c, limit is None), covariates)
 
 
-def cut(rows: DataFrame, spec: SeriesSpec, context: int, horizon: int, values: list[str] | None = None) -> DataFrame:
-    """Arrays for every row marked ``_ok``: one group per bounded chunk."""
-    values = values or [spec.value]
-    length = context + horizon
+def _cut(rows: DataFrame, spec: SeriesSpec, grid: list[tuple[int, int]], accepts, covariates: list[str] | None = None) -> DataFrame:
+    """Arrays for accepted ends; the readings of a bounded chunk are gathered
+    once and sliced for every configuration."""
+    values = [spec.value, *(covariates or [])]
     segment = F.col("segment_id") if "segment_id" in rows.columns else F.lit(None).cast("bigint")
-    one = F.struct(
-        F.col(T).alias("t"),
-        F.col("_ok").alias("ok"),
-        (F.col("pos") - (length - 1)).alias("pos"),
-        segment.alias("seg"),
-        *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)],
-    )
+    marks = [c for c in ("_home", "pos", "seg_pos", "_clean", "_ok") if c in rows.columns]
+    one = F.struct(F.col(T).alias("t"), *marks, segment.alias("seg"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
     packed = rows.groupBy(*spec.keys, CHUNK).agg(F.array_sort(F.collect_list(one)).alias("_rows"))
-    packed = packed.filter(F.exists("_rows", lambda x: x["ok"]))
     for i in range(len(values)):
         packed = packed.withColumn(f"_v{i}", F.col(f"_rows.v{i}"))
     packed = packed.withColumn("_ts", F.col("_rows.t"))
 
-    def window_at(x: Column, i: Column) -> Column:
-        at = i - (length - 2)
-        fields = [
-            x["pos"].alias("window_start"),
-            x["seg"].alias("segment_id"),
-            F.element_at("_ts", at.cast("int")).alias("start_us"),
-        ]
-        for k, name in enumerate(values):
-            part = "" if name == spec.value else f"_{name}"
-            fields.append(F.slice(f"_v{k}", at, F.lit(context)).alias(f"context{part}"))
-            if horizon and name == spec.value:
-                fields.append(F.slice(f"_v{k}", at + context, F.lit(horizon)).alias("target"))
-        return F.when(x["ok"], F.struct(*fields))
-
-    found = packed.select(*spec.keys, F.explode(F.array_compact(F.transform("_rows", window_at))).alias("w"))
-    return (
-        found.select(*spec.keys, "w.*")
-        .withColumn("start_ts", F.timestamp_micros("start_us"))
-        .drop("start_us")
-    )
+    def windows_of(context: int, horizon: int) -> Column:
+        length = context + horizon
+
+        def window_at(x: Column, i: Column) -> Column:
+            at = i - (length - 2)
+            fields = [
+                (x["pos"] - (length - 1)).alias("window_start"),
+                x["seg"].alias("segment_id"),
+                F.get("_ts", at - 1).alias("start_us"),
+                F.lit(context).alias("context_steps"),
+                F.lit(horizon).alias("horizon_steps"),
+                F.slice("_v0", at, F.lit(context)).alias("context"),
+                F.slice("_v0", at + context, F.lit(horizon)).alias("target"),
+            ]
+            for k, name in enumerate(values[1:], 1):
+                fields.append(F.slice(f"_v{k}", at, F.lit(context)).alias(f"context_{name}"))
+            return F.when(accepts(lambda c: x[c], context, horizon), F.struct(*fields))
+
+        return F.array_compact(F.transform("_rows", window_at))
+
+    found = F.explode(F.concat(*[windows_of(c, h) for c, h in grid]) if len(grid) > 1 else windows_of(*grid[0]))
+    out = packed.select(*spec.keys, found.alias("w")).select(*spec.keys, "w.*")
+    return out.withColumn("start_ts", F.timestamp_micros("start_us")).drop("start_us")
 
 
 def windows_contiguous(df: DataFrame, spec: SeriesSpec, context: int, horizon: int, stride: int = 1) -> DataFrame:
     """Windows over unbroken runs; stride (0 = context) from the series start."""
-    rows = window_ends(df, spec, context + horizon, stride or context)
-    return cut(rows, spec, context, horizon).drop("segment_id")
+    out = windows_grid(df, spec, [(context, horizon)], stride)
+    return out.drop("segment_id", "context_steps", "horizon_steps")
 
 
 def windows_segmented(
@@ -128,8 +147,8 @@ def windows_segmented(
 
     ``covariates`` are cut for the context only (past-only features).
     """
-    rows = window_ends(df, spec, context + horizon, stride or context, limit)
-    return cut(rows, spec, context, horizon, [spec.value, *(covariates or [])])
+    out = windows_grid(df, spec, [(context, horizon)], stride, limit, covariates)
+    return out.drop("context_steps", "horizon_steps")
 
 
 def supervised_pairs(df: DataFrame, spec: SeriesSpec, past: int, future: int, stride: int, limit: timedelta) -> DataFrame:
@@ -178,29 +197,39 @@ def latest_window(df: DataFrame, spec: SeriesSpec, context: int, horizon: int =
         [{"c_later": F.coalesce(F.sum("ends").over(after(spec)), F.lit(0))}],
     )
     rows = rows.withColumn("_ok", F.col("_ok") & (F.col(T) == F.col("_last")) & (F.col("c_later") == 0))
-    return cut(rows, spec, context, horizon).drop("segment_id")
+    out = _cut(rows, spec, [(context, horizon)], lambda x, c, h: x("_ok"))
+    return out.drop("segment_id", "context_steps", "horizon_steps")
 
 
-def persistence_pairs(df: DataFrame, spec: SeriesSpec, horizon: int) -> DataFrame:
+def persistence_pairs(df: DataFrame, spec: SeriesSpec, horizon: int | list[int]) -> DataFrame:
     """The value at t as the forecast of t + horizon, over unbroken runs.
 
-    One shuffle: a run of ``horizon`` steps never reaches past the halo.
+    One shuffle for any number of horizons: a run of that many steps never
+    reaches past the halo. A list of horizons adds ``horizon_steps``.
     """
-    rows = chunked(df, spec, behind_us=horizon * spec.step_us)
+    horizons = [horizon] if isinstance(horizon, int) else horizon
+    rows = chunked(df, spec, behind_us=max(horizons) * spec.step_us)
     w = in_chunk(spec)
     gap = F.col(T) - F.lag(T).over(w)
     rows = (
         rows.withColumn("_new", gap.isNull() | (gap != spec.step_us))
         .withColumn("_since", F.last(F.when(F.col("_new"), F.col(T)), ignorenulls=True).over(running(w)))
-        .withColumn("prediction", F.lag(spec.value, horizon).over(w))
-    )
-    return (
-        rows.filter(F.col(HOME) & (F.col(T) - F.col("_since") >= horizon * spec.step_us))
-        .withColumn("ground_truth", F.col(spec.value))
-        .filter(F.col("prediction").isNotNull() & F.col("ground_truth").isNotNull())
-        .select(*spec.keys, spec.ts, "prediction", "ground_truth")
+        .withColumns({f"_p{h}": F.lag(spec.value, h).over(w) for h in horizons})
+        .filter(F.col(HOME) & F.col(spec.value).isNotNull())
     )
 
+    def pair(h: int) -> Column:
+        whole = (F.col(T) - F.col("_since") >= h * spec.step_us) & F.col(f"_p{h}").isNotNull()
+        return F.when(whole, F.struct(F.lit(h).alias("horizon_steps"), F.col(f"_p{h}").alias("prediction")))
+
+    keep = [F.col(spec.ts), "prediction", F.col(spec.value).alias("ground_truth")]
+    if isinstance(horizon, int):
+        found = rows.withColumn("_f", pair(horizon)).filter("_f is not null")
+        return found.withColumn("prediction", F.col("_f.prediction")).select(*spec.keys, *keep)
+    found = rows.withColumn("_f", F.explode(F.array_compact(F.array(*[pair(h) for h in horizons]))))
+    found = found.withColumn("prediction", F.col("_f.prediction")).withColumn("horizon_steps", F.col("_f.horizon_steps"))
+    return found.select(*spec.keys, "horizon_steps", *keep)
+
 
 def lag_rows(df: DataFrame, spec: SeriesSpec, lags: dict[str, int], value: str | None = None) -> DataFrame:
     """Columns holding the value some readings back; ``df`` carries ``pos``."""

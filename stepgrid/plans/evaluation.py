@@ -11,7 +11,7 @@ from stepgrid.functions import metrics
 from stepgrid.operators.forecast import last_observed, long_predictions
 from stepgrid.operators.rollup import overall_rows, weighted_dataset_summary, zone_summary
 from stepgrid.operators.stats import benjamini_hochberg, collapse_duplicates, pair_methods, paired_wilcoxon
-from stepgrid.operators.windows import context_steps, horizon_steps, persistence_pairs, windows_contiguous
+from stepgrid.operators.windows import context_steps, horizon_steps, persistence_pairs, windows_grid
 from stepgrid.series import SeriesSpec
 from stepgrid.sources.results import skip_completed
 
@@ -44,35 +44,30 @@ def work_units(readings: DataFrame, spec: SeriesSpec, grid: list[tuple[int, int]
 
 
 def rolling_evaluation(
-    readings: DataFrame, spec: SeriesSpec, grid: list[tuple[int, int]], stride: int, forecast=None
+    readings: DataFrame, spec: SeriesSpec, grid: list[tuple[int, int]], stride: int, forecast=last_observed
 ) -> DataFrame:
     """Errors per (series, context, horizon) of a windowed forecaster.
 
-    ``forecast(windows, horizon)`` adds the ``forecast`` array; by default the
-    last observed value. One branch per grid entry, united in one plan.
+    ``forecast(windows, horizon)`` adds the ``forecast`` array, the horizon
+    being a column; by default the last observed value. The whole grid comes
+    from one scan and one shuffle of the readings.
     """
-    forecast = forecast or last_observed
-    out = None
-    for context, horizon in grid:
-        windows = forecast(windows_contiguous(readings, spec, context, horizon, stride), horizon)
-        rows = long_predictions(windows, [*spec.keys, "window_start"])
-        p, t = F.col("prediction"), F.col("ground_truth")
-        final = F.col("horizon_step") == horizon - 1
-        scored = (
-            metrics.finite_pairs(rows)
-            .groupBy(*spec.keys)
-            .agg(
-                metrics.rmse(p, t).alias("rmse_all"),
-                metrics.mae(p, t).alias("mae_all"),
-                F.sqrt(F.avg(F.when(final, (p - t) * (p - t)))).alias("rmse_final"),
-                F.avg(F.when(final, F.abs(p - t))).alias("mae_final"),
-                F.count_if(final).alias("n_windows"),
-            )
-            .withColumn("context_steps", F.lit(context))
-            .withColumn("horizon_steps", F.lit(horizon))
+    windows = forecast(windows_grid(readings, spec, grid, stride), F.col("horizon_steps"))
+    config = ["context_steps", "horizon_steps"]
+    rows = long_predictions(windows, [*spec.keys, *config, "window_start"])
+    p, t = F.col("prediction"), F.col("ground_truth")
+    final = F.col("horizon_step") == F.col("horizon_steps") - 1
+    return (
+        metrics.finite_pairs(rows)
+        .groupBy(*spec.keys, *config)
+        .agg(
+            metrics.rmse(p, t).alias("rmse_all"),
+            metrics.mae(p, t).alias("mae_all"),
+            F.sqrt(F.avg(F.when(final, (p - t) * (p - t)))).alias("rmse_final"),
+            F.avg(F.when(final, F.abs(p - t))).alias("mae_final"),
+            F.count_if(final).alias("n_windows"),
         )
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    )
 
 
 def clinical_report(pairs: DataFrame, method: str, dataset: str, participant: str, excluded: list[str]) -> DataFrame:

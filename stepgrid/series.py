@@ -159,6 +159,24 @@ def in_row_chunk(spec: SeriesSpec):
     return Window.partitionBy(*spec.keys, CHUNK).orderBy("pos")
 
 
-def scalar(df: DataFrame) -> Column:
-    """A one-row, one-column aggregate as a scalar subquery."""
-    return df.scalar()
+SALTS = 64
+
+
+def spread_join(df: DataFrame, stats: DataFrame, keys: list[str], salt: Column | None = None) -> DataFrame:
+    """Inner join of rows with one statistics row per key, safe for hot keys.
+
+    The join key is (keys, salt). Statistics are repeated only for the salts a
+    key really has: the distinct (keys, salt) pairs, which combine before
+    their shuffle. A small series has few pairs, a hot one is split over all.
+    """
+    if salt is None:
+        rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+        salt = F.pmod(F.xxhash64(*rest), F.lit(SALTS)) if rest else F.lit(0)
+    rows = df.withColumn("_salt", salt)
+    pairs = rows.select(*keys, "_salt").distinct().join(stats, keys)
+    return rows.join(pairs, [*keys, "_salt"]).drop("_salt")
+
+
+def chunk_salt(spec: SeriesSpec) -> Column:
+    """The time chunk of a reading: the salt that suits series scans."""
+    return floor_div(micros(spec.ts), spec.chunk_us())

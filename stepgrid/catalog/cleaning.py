@@ -379,7 +379,7 @@ def _(spark, sf):
     f"WITH {READINGS} SELECT dataset, subject_id, slot, value FROM readings QUALIFY count(*) OVER (PARTITION BY dataset, subject_id) >= 27",
 )
 def _(spark, sf):
-    return clean.keep_series(readings(spark, sf), KEYS, clean.long_enough(27)).select(*KEYS, slot().alias("slot"), "value")
+    return clean.keep_series(readings(spark, sf), KEYS, 27).select(*KEYS, slot().alias("slot"), "value")
 
 
 @query(
@@ -388,7 +388,7 @@ def _(spark, sf):
     QUALIFY avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY dataset, subject_id) <= 0.1""",
 )
 def _(spark, sf):
-    return clean.keep_series(grid(spark, sf), KEYS, clean.dense_enough("value", 0.1)).select(*KEYS, slot().alias("slot"), "value")
+    return clean.keep_series(grid(spark, sf), KEYS, value="value", most=0.1).select(*KEYS, slot().alias("slot"), "value")
 
 
 @query(
@@ -398,7 +398,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy("l_suppkey", slot("l_shipdate").alias("slot")).agg(F.max("l_discount").alias("value"))
-    return clean.keep_series(rows, ["l_suppkey"], clean.dense_enough("value", 0.08, "zero")).groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return clean.keep_series(rows, ["l_suppkey"], value="value", most=0.08, bad="zero").groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
 @query("regularize", f"WITH {GRID} SELECT item, slot, value FROM grid")

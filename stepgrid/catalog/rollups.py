@@ -59,7 +59,7 @@ def _(spark, sf):
 
 @query(
     "map_patient_to_dataset",
-    """SELECT n_name AS dataset, count(*) AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
+    """SELECT n_name AS dataset, count(*) AS n, round(avg(o_totalprice), 6) AS mean_price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""",
 )
 def _(spark, sf):
     from stepgrid.sources.readings import unique_patients
@@ -68,7 +68,7 @@ def _(spark, sf):
     dim = unique_patients(pairs.select(F.col("n_name").alias("dataset"), F.col("c_custkey").alias("patient")))
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("patient"), "o_totalprice")
     joined = rollup.attach_dimension(rows, dim, ["patient"], "inner")
-    return joined.groupBy("dataset").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+    return joined.groupBy("dataset").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 6).alias("mean_price"))
 
 
 @query(
@@ -187,12 +187,12 @@ def _(spark, sf):
 
 @query(
     "mean_columns",
-    "SELECT l_returnflag, l_linestatus, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " FROM lineitem GROUP BY 1, 2",
+    "SELECT l_returnflag, l_linestatus, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")) + " FROM lineitem GROUP BY 1, 2",
 )
 def _(spark, sf):
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     out = rollup.mean_columns(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], cols)
-    return out.withColumns({c: F.round(c, 4) for c in cols})
+    return out.withColumns({c: F.round(c, 6) for c in cols})
 
 
 @query(
@@ -249,10 +249,13 @@ ERFC_SQL = f"{_T} * exp(-x * x - {ERFC[0]} + " + " + ".join(f"({c}) * pow({_T},
 
 @query(
     "cohort_tests",
-    f"""WITH {SCORES}, pr AS (SELECT a.method AS method_a, b.method AS method_b, a.rmse - b.rmse AS d FROM scores a JOIN scores b ON a.dataset = b.dataset AND a.subject_id = b.subject_id AND a.method < b.method),
+    f"""WITH RECURSIVE ways AS (SELECT 0 AS n, 0 AS w, 1.0::DOUBLE AS c
+      UNION ALL SELECT n + 1, w + d.d * (n + 1), sum(c) / 2 FROM ways, (SELECT unnest([0, 1]) AS d) d WHERE n < 50 GROUP BY n + 1, w + d.d * (n + 1)),
+    {SCORES}, pr AS (SELECT a.method AS method_a, b.method AS method_b, a.rmse - b.rmse AS d FROM scores a JOIN scores b ON a.dataset = b.dataset AND a.subject_id = b.subject_id AND a.method < b.method),
     rk AS (SELECT *, rank() OVER (PARTITION BY method_a, method_b ORDER BY abs(d)) AS r FROM pr),
-    w AS (SELECT method_a, method_b, count(*) AS n, avg(d) AS mean_diff, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus FROM rk GROUP BY 1, 2),
-    z AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0) AS z FROM w), e AS (SELECT *, abs(z) / sqrt(2) AS x FROM z), p AS (SELECT *, {ERFC_SQL} AS p FROM e),
+    w AS (SELECT method_a, method_b, count(*) AS n, count(DISTINCT abs(d)) AS sizes, avg(d) AS mean_diff, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus FROM rk GROUP BY 1, 2),
+    z AS (SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0) AS z FROM w), e AS (SELECT *, abs(z) / sqrt(2) AS x FROM z),
+    p AS (SELECT *, CASE WHEN n <= 50 AND sizes = n THEN least(1, 2 * (SELECT sum(c) FROM ways WHERE ways.n = e.n AND ways.w <= least(w_plus, e.n * (e.n + 1) / 2 - w_plus))) ELSE {ERFC_SQL} END AS p FROM e),
     k AS (SELECT *, row_number() OVER (ORDER BY p) AS k FROM p), q AS (SELECT *, least(1, min(p * 3 / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)
     SELECT 'zeroshot' AS protocol, method_a, method_b, n AS n_pairs, n AS n_used, round(mean_diff, 6) AS mean_diff, CAST(w_plus AS DOUBLE) AS w_plus, round(z, 6) AS z, round(p, 5) AS p_value, round(q, 5) AS p_adj_bh, q < 0.05 AS significant FROM q""",
 )

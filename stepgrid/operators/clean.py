@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from stepgrid.series import (
     CHUNK,
     SeriesSpec,
-    chunk_salt,
     chunked,
     floor_div,
     in_chunk,
     micros,
+    row_salt,
     spread_join,
     with_position,
 )
@@ -40,20 +40,20 @@ def parse_timestamps(df: DataFrame, raw: str, by: list[str], out: str = "ts", th
     """Timestamps from datetimes, ISO text or epoch numbers.
 
     The epoch unit is inferred per source (``by``), as one source may mix with
-    others of a different unit in the same table. Sources are few next to
-    their rows, so the join leaves its strategy to the optimizer.
+    others of a different unit in the same table. A source may hold most rows,
+    so units are joined back spread.
     """
     kind = df.schema[raw].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return df.withColumn(out, F.col(raw).cast("timestamp"))
     if not isinstance(kind, T.StringType):
         units = epoch_units(df, raw, by, thresholds)
-        return df.join(units, by).withColumn(out, from_ticks(F.col(raw), F.col("ticks_per_second"))).drop("ticks_per_second")
+        return spread_join(df, units, by).withColumn(out, from_ticks(F.col(raw), F.col("ticks_per_second"))).drop("ticks_per_second")
     number = F.col(raw).try_cast("double")
     units = epoch_units(df, raw, by, thresholds)
     text = F.coalesce(F.try_to_timestamp(F.col(raw)), F.try_to_timestamp(F.col(raw), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     value = F.when(number.isNull(), text).otherwise(from_ticks(number, F.col("ticks_per_second")))
-    return df.join(units, by).withColumn(out, value).drop("ticks_per_second")
+    return spread_join(df, units, by).withColumn(out, value).drop("ticks_per_second")
 
 
 def from_ticks(raw: Column, per_second: Column) -> Column:
@@ -99,20 +99,20 @@ def bucket_readings(df: DataFrame, spec: SeriesSpec, how: str = "mean") -> DataF
     )
 
 
-def keep_series(df: DataFrame, keys: list[str], test: Column) -> DataFrame:
-    """Series whose aggregate ``test`` holds, e.g. a length or a share."""
-    kept = df.groupBy(*keys).agg(test.alias("_ok")).filter("_ok").drop("_ok")
-    return spread_join(df, kept, keys)
+def keep_series(df: DataFrame, keys: list[str], minimum: int = 0, value: str | None = None, most: float = 1.0, bad: str = "missing") -> DataFrame:
+    """Series with at least ``minimum`` rows and at most the share ``most`` of
+    missing (or zero) values.
 
-
-def long_enough(minimum: int) -> Column:
-    return F.count("*") >= minimum
-
-
-def dense_enough(value: str, most: float, test: str = "missing") -> Column:
-    """At most this share of missing (or zero) values."""
-    bad = F.col(value).isNull() if test == "missing" else (F.col(value) == 0)
-    return F.avg(F.coalesce(bad, F.lit(False)).cast("int")) <= most
+    Counts are taken per (series, salt) and summed per series, so the rows are
+    read once to judge and once to keep.
+    """
+    flag = F.lit(False) if value is None else F.col(value).isNull() if bad == "missing" else F.col(value) == 0
+    salt = row_salt(df, keys)
+    parts = df.groupBy(*keys, salt.alias("_salt")).agg(F.count("*").alias("_n"), F.count_if(flag).alias("_bad"))
+    whole = parts.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad"))
+    kept = whole.filter((F.col("_n") >= minimum) & (F.col("_bad") / F.col("_n") <= most)).select(*keys)
+    pairs = parts.select(*keys, "_salt").join(kept, keys)
+    return df.withColumn("_salt", salt).join(pairs, [*keys, "_salt"]).drop("_salt")
 
 
 def regularize(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -177,13 +177,12 @@ def split_position(df: DataFrame, spec: SeriesSpec, first: float, second: float,
     ``first`` and ``second`` are the shares of train and validation; counts
     are rounded up ('ceil') or down ('floor').
     """
-    rows = with_position(df, spec)
-    sizes = df.groupBy(*spec.keys).agg(F.count("*").alias("_n"))
+    rows = with_position(df, spec, total="_n")
     fix = F.ceil if rounding == "ceil" else F.floor
     a = fix(F.col("_n") * first)
     b = a + fix(F.col("_n") * second)
     part = F.when(F.col("pos") < a, "train").when(F.col("pos") < b, "validation").otherwise("test")
-    return spread_join(rows, sizes, list(spec.keys), chunk_salt(spec)).withColumn("part", part).drop("_n")
+    return rows.withColumn("part", part).drop("_n")
 
 
 def split_fixed(df: DataFrame, spec: SeriesSpec, train: int, validation: int, test: int, seq_len: int, percent: int = 100) -> DataFrame:
@@ -202,8 +201,7 @@ def split_fixed(df: DataFrame, spec: SeriesSpec, train: int, validation: int, te
 
 def thin_long_series(df: DataFrame, spec: SeriesSpec, limit: int, factor: int) -> DataFrame:
     """Every ``factor``-th row of series longer than ``limit``."""
-    sizes = df.groupBy(*spec.keys).agg(F.count("*").alias("_n"))
-    rows = spread_join(with_position(df, spec), sizes, list(spec.keys), chunk_salt(spec))
+    rows = with_position(df, spec, total="_n")
     return rows.filter((F.col("_n") <= limit) | (F.pmod(F.col("pos"), F.lit(factor)) == 0)).drop("_n")
 
 

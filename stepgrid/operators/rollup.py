@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.functions import clinical, metrics
 from stepgrid.functions.text import mean_std_text
+from stepgrid.series import spread_join
 
 ALL_PATIENTS = "ALL_PATIENTS"
 
@@ -219,10 +220,14 @@ def display_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
 
 
 def attach_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", dim_rows: int | None = None, limit: int = 1_000_000) -> DataFrame:
-    """Join a dimension; broadcast only when its row count is known (given by
-    the caller from its source) and under the limit."""
-    side = F.broadcast(dim) if dim_rows is not None and dim_rows <= limit else dim
-    return df.join(side, on, how)
+    """Join a dimension with one row per key.
+
+    Broadcast only when its row count is known (given by the caller from its
+    source) and under the limit; otherwise a join spread over hot keys.
+    """
+    if dim_rows is not None and dim_rows <= limit:
+        return df.join(F.broadcast(dim), on, how)
+    return spread_join(df, dim, on, how=how)
 
 
 def unmapped_keys(df: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.functions.hashing import hash_below, hash_unit, seeded_hash
 from stepgrid.operators.ranks import dense_index, index_in_order, prefix_by_hash, smallest
-from stepgrid.series import SeriesSpec
+from stepgrid.series import SeriesSpec, spread_join
 
 
 def sample_windows(windows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
@@ -93,7 +93,7 @@ def stack_others(series: DataFrame, group: list[str], key: str, values: str, max
     """
     numbered = dense_index(series.select(*group, key, values), [key], "_i", seed, within=group)
     sizes = numbered.groupBy(*group).agg(F.count("*").alias("_n"))
-    own = numbered.join(sizes, group)
+    own = spread_join(numbered.drop(values), sizes, group)
     take = random_count("uniform", F.least(F.col("_n").cast("int"), F.lit(max_series)), F.col(key), F.lit(seed))
     # slot 0 is the series itself, further slots step on by distinct strides
     picks = own.select(*group, key, "_n", F.col("_i").alias("_me"), F.explode(F.sequence(F.lit(0), take - 1)).alias("_slot"))
@@ -119,7 +119,7 @@ def mixture_sample(
         run += p / total
         choice = F.when(u < run, name) if choice is None else choice.when(u < run, name)
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn(dataset, choice.otherwise(list(probabilities)[-1]))
-    picked = draws.join(sizes, dataset).withColumn("_i", F.pmod(seeded_hash(F.col("draw"), F.lit(seed + 1)), F.col("_n")))
+    picked = spread_join(draws, sizes, [dataset]).withColumn("_i", F.pmod(seeded_hash(F.col("draw"), F.lit(seed + 1)), F.col("_n")))
     rows = picked.join(numbered, [dataset, "_i"])
     room = F.size(values) - horizon - min_past + 1
     cut = min_past + hash_below(room, F.col("draw"), F.lit(seed + 2))

@@ -115,18 +115,16 @@ def paired_wilcoxon(pairs: DataFrame, by: list[str], tol: float = 1e-8) -> DataF
 def benjamini_hochberg(tests: DataFrame, by: list[str], p: str = "p_value", alpha: float = 0.05) -> DataFrame:
     """Adjusted p within a group; a null p stays null.
 
-    A group holds the tests of one protocol, one per pair of methods.
+    A group holds the tests of one protocol, one per pair of methods, so its
+    windows are small and the tests are computed once.
     """
-    valid = tests.filter(F.col(p).isNotNull())
-    size = valid.groupBy(*by).agg(F.count("*").alias("_m"))
-    up = Window.partitionBy(*by).orderBy(p)
+    up = Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last())
     down = Window.partitionBy(*by).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = valid.withColumn("_rank", F.row_number().over(up)).join(size, by)
-    ranked = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
-    ranked = ranked.withColumn("p_adj_bh", F.least(F.lit(1.0), F.min("_raw").over(down)))
-    ranked = ranked.withColumn("significant", F.col("p_adj_bh") < alpha).drop("_m", "_rank", "_raw")
-    nulls = tests.filter(F.col(p).isNull()).withColumn("p_adj_bh", F.lit(None).cast("double"))
-    return ranked.unionByName(nulls.withColumn("significant", F.lit(False)))
+    ranked = tests.withColumn("_rank", F.row_number().over(up)).withColumn("_m", F.count(p).over(Window.partitionBy(*by)))
+    best = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down)
+    adjusted = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), best))
+    out = ranked.withColumn("p_adj_bh", adjusted).drop("_rank", "_m")
+    return out.withColumn("significant", F.coalesce(F.col("p_adj_bh") < alpha, F.lit(False)))
 
 
 def method_matrix(tests: DataFrame, by: list[str], methods: list[str], value: str, diagonal: float) -> DataFrame:

@@ -119,15 +119,18 @@ def after(spec: SeriesSpec):
     )
 
 
-def with_position(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """0-based position of each reading in its series, as column ``pos``."""
+def with_position(df: DataFrame, spec: SeriesSpec, total: str | None = None) -> DataFrame:
+    """0-based position of each reading in its series, as column ``pos``;
+    ``total`` names a column for the length of the series."""
     w = in_chunk(spec)
     rows = chunked(df, spec).withColumn("_k", F.row_number().over(w) - 1)
     counts = df.groupBy(*spec.keys, floor_div(micros(spec.ts), spec.chunk_us()).alias(CHUNK)).agg(
         F.count("*").alias("n")
     )
-    offsets = counts.withColumn("c_off", F.coalesce(F.sum("n").over(before(spec)), F.lit(0))).drop("n")
-    rows = rows.join(offsets, [*spec.keys, CHUNK])
+    offsets = counts.withColumn("c_off", F.coalesce(F.sum("n").over(before(spec)), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("n").over(Window.partitionBy(*spec.keys)))
+    rows = rows.join(offsets.drop("n"), [*spec.keys, CHUNK])
     return rows.withColumn("pos", F.col("c_off") + F.col("_k")).drop("_k", "c_off", T, CHUNK, HOME)
 
 
@@ -162,21 +165,19 @@ def in_row_chunk(spec: SeriesSpec):
 SALTS = 64
 
 
-def spread_join(df: DataFrame, stats: DataFrame, keys: list[str], salt: Column | None = None) -> DataFrame:
-    """Inner join of rows with one statistics row per key, safe for hot keys.
+def row_salt(df: DataFrame, keys: list[str]) -> Column:
+    """A salt from the other columns of a row."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
+    return F.pmod(F.xxhash64(*rest), F.lit(SALTS)) if rest else F.lit(0)
 
-    The join key is (keys, salt). Statistics are repeated only for the salts a
-    key really has: the distinct (keys, salt) pairs, which combine before
-    their shuffle. A small series has few pairs, a hot one is split over all.
-    """
-    if salt is None:
-        rest = [F.col(f"`{c}`") for c in df.columns if c not in keys]
-        salt = F.pmod(F.xxhash64(*rest), F.lit(SALTS)) if rest else F.lit(0)
-    rows = df.withColumn("_salt", salt)
-    pairs = rows.select(*keys, "_salt").distinct().join(stats, keys)
-    return rows.join(pairs, [*keys, "_salt"]).drop("_salt")
 
+def spread_join(df: DataFrame, stats: DataFrame, keys: list[str], salt: Column | None = None, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with one row per key, safe for hot keys.
 
-def chunk_salt(spec: SeriesSpec) -> Column:
-    """The time chunk of a reading: the salt that suits series scans."""
-    return floor_div(micros(spec.ts), spec.chunk_us())
+    The join key is (keys, salt). The small side is repeated only for the
+    salts a key really has: the distinct (keys, salt) pairs, which combine
+    before their shuffle. A key of few rows has few pairs, a hot one is split.
+    """
+    rows = df.withColumn("_salt", row_salt(df, keys) if salt is None else salt)
+    pairs = rows.select(*keys, "_salt").distinct().join(stats, keys)
+    return rows.join(pairs, [*keys, "_salt"], how).drop("_salt")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepgrid.operators.clean import dense_enough, keep_series, long_enough, regularize
-from stepgrid.series import SeriesSpec, chunk_salt, floor_div, spread_join, with_position
+from stepgrid.operators.clean import keep_series, regularize
+from stepgrid.series import SeriesSpec, floor_div, with_position
 
 SHARD_ROWS = 65_536
 
@@ -53,8 +53,7 @@ def cut_rows(df: DataFrame, spec: SeriesSpec, offset: int | None = None, date_of
         return df
     if offset >= 0:
         return with_position(df, spec).filter(F.col("pos") < offset).drop("pos")
-    sizes = df.groupBy(*spec.keys).agg(F.count("*").alias("_n"))
-    rows = spread_join(with_position(df, spec), sizes, list(spec.keys), chunk_salt(spec))
+    rows = with_position(df, spec, total="_n")
     return rows.filter(F.col("pos") < F.col("_n") + offset).drop("pos", "_n")
 
 
@@ -70,7 +69,7 @@ def corpus_series(
     """Regular grid, then drop short or sparse series, then series rows."""
     keys = list(spec.keys)
     grid = regularize(df, spec)
-    kept = keep_series(grid, keys, long_enough(minimum) & dense_enough(spec.value, most_missing))
+    kept = keep_series(grid, keys, minimum, spec.value, most_missing)
     return build_series(kept, spec, freq, [spec.value], shard_rows=shard_rows)
 
 

@@ -10,7 +10,7 @@ from stepgrid.catalog.base import DAY, KEYS, POS, READINGS, SPEC, query, r6, raw
 from stepgrid.functions import text
 from stepgrid.operators import clean, impute, scale
 from stepgrid.series import SeriesSpec, with_position
-from stepgrid.session import fresh_path
+from stepgrid.session import fresh_path, settle
 from stepgrid.sources import readings as src
 from stepgrid.sources import results, series
 
@@ -543,7 +543,7 @@ filled AS (SELECT *, coalesce(last_value(value IGNORE NULLS) OVER (PARTITION BY
 
 
 def holes(spark, sf):
-    return grid(spark, sf).withColumn("value", F.when(F.col("value") < 100, F.col("value")))
+    return settle(grid(spark, sf), "grid").withColumn("value", F.when(F.col("value") < 100, F.col("value")))
 
 
 @query("impute_last", f"WITH {HOLES} SELECT dataset, subject_id, slot, fill AS imputed FROM filled")
@@ -758,3 +758,19 @@ def _(spark, sf):
     lists = pairs.groupBy("n_name").agg(F.collect_list(F.col("c_custkey").cast("string")).alias("ids"))
     lists.select(F.to_json(F.create_map("n_name", "ids")).alias("value")).write.text(path)
     return src.read_participants(spark, path, multiline=False)
+
+
+@query(
+    "join_phase_tables",
+    """WITH a AS (SELECT l_suppkey AS s, l_partkey AS p, l_returnflag AS f, sum(l_quantity) AS phase_0 FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01' GROUP BY 1, 2, 3),
+    b AS (SELECT l_suppkey AS s, l_partkey AS p, l_returnflag AS f, sum(l_quantity) AS phase_1 FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' GROUP BY 1, 2, 3)
+    SELECT s, p, f, phase_0, phase_1 FROM a JOIN b USING (s, p, f)""",
+)
+def _(spark, sf):
+    line = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"), F.col("l_returnflag").alias("f"), "l_quantity", F.col("l_shipdate").cast("timestamp").alias("at")
+    )
+    early = F.col("at") < F.lit("1998-06-01").cast("timestamp")
+    first = line.filter(early).groupBy("s", "p", "f").agg(F.sum("l_quantity").alias("phase_0"))
+    second = line.filter(~early).groupBy("s", "p", "f").agg(F.sum("l_quantity").alias("phase_1"))
+    return series.align_measures([first, second], ["s", "p", "f"])

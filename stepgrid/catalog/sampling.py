@@ -85,10 +85,18 @@ def _(spark, sf):
     )
 
 
-@query("beta_binomial_counts")
+BETA = ", ".join(HASH.format(f"k, 3, 'beta', {i}") + " / 1152921504606846976.0" for i in range(4))
+
+
+@query(
+    "beta_binomial_counts",
+    f"""WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT k, n, list_sort([{BETA}])[2] AS p FROM c)
+    SELECT k, n, CAST(1 + (SELECT count(*) FROM (SELECT unnest(range(1, n)) AS i) t WHERE {HASH.format('k, 3, i')} / 1152921504606846976.0 < p) AS INTEGER) AS picked FROM p""",
+)
 def _(spark, sf):
     rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    return rows.select("k", "n", sampling.beta_binomial_count("n", "k", 3).alias("picked"))
+    pick = sampling.random_count("beta_binomial", F.col("n").cast("int"), F.col("k"), F.lit(3), a=2, b=3)
+    return rows.select("k", "n", pick.alias("picked"))
 
 
 @query(

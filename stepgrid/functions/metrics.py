@@ -167,8 +167,8 @@ def gmse(p: Column, t: Column) -> Column:
 
 
 def gaussian_nll(mean: Column, std: Column, t: Column, eps: float = 1e-7) -> Column:
-    z = (t - mean) / std
-    density = F.exp(-0.5 * z * z) / (std * math.sqrt(2 * math.pi))
+    z = F.try_divide(t - mean, std)
+    density = F.try_divide(F.exp(-0.5 * z * z), std * math.sqrt(2 * math.pi))
     return F.avg(-F.log(eps + density))
 
 

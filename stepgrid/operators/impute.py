@@ -74,7 +74,7 @@ def impute_causal_mean(df: DataFrame, spec: SeriesSpec, default: float = 0.0) ->
 
 def impute_linear(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Drop leading missing rows, interpolate by position, hold the end."""
-    rows = chunked(with_position(df, spec), spec).withColumn("_v", _seen(spec.value))
+    rows = with_position(df, spec, keep_chunks=True).withColumn("_v", _seen(spec.value))
     point = F.when(F.col("_v").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("_v").alias("v")))
     rows = rows.withColumn("_pt", point)
     rows = rows.withColumn("_prev", F.last("_pt", ignorenulls=True).over(running(in_chunk(spec))))

@@ -128,7 +128,7 @@ def normalized_loss(
     # the denominator is constant in a group, so it divides the group's sum
     total = F.sum(row)
     safe = F.when(denominator == 0, 1.0).otherwise(denominator)
-    agg = F.sqrt(total / safe + eps) / F.sqrt(n) if error == "nrmse" else total / safe / n
+    agg = F.try_divide(F.sqrt(total / safe + eps), F.sqrt(n)) if error == "nrmse" else F.try_divide(total / safe, n)
     return df.groupBy(*keys).agg(agg.alias(error))
 
 

@@ -38,8 +38,8 @@ def weighted_dataset_summary(metrics_rows: DataFrame, dataset: str, patient: str
     ).agg(
         F.grouping(patient).alias("_all"),
         n.alias("n_windows"),
-        F.sqrt(F.sum(F.col("n_windows") * F.col("rmse") * F.col("rmse")) / n).alias("rmse"),
-        (F.sum(F.col("n_windows") * F.col("mae")) / n).alias("mae"),
+        F.sqrt(F.try_divide(F.sum(F.col("n_windows") * F.col("rmse") * F.col("rmse")), n)).alias("rmse"),
+        F.try_divide(F.sum(F.col("n_windows") * F.col("mae")), n).alias("mae"),
     )
     name = F.when(F.col("_all") == 1, ALL_PATIENTS).otherwise(F.col(patient))
     return both.withColumn(patient, name).drop("_all")
@@ -143,7 +143,7 @@ def relative_score(model: DataFrame, baseline: DataFrame, on: str, values: list[
     """Geometric mean over datasets of model / baseline, per metric."""
     named = baseline.select(on, *[F.col(v).alias(f"_b_{v}") for v in values])
     joined = model.join(named, on)
-    return joined.agg(*[F.exp(F.avg(F.log(F.col(v) / F.col(f"_b_{v}")))).alias(v) for v in values])
+    return joined.agg(*[F.exp(F.avg(F.log(F.try_divide(F.col(v), F.col(f"_b_{v}"))))).alias(v) for v in values])
 
 
 def dataset_weights(lengths: DataFrame, name: str, group: Column, cap: float = 0.001) -> DataFrame:

@@ -3,8 +3,8 @@ in an equi-join, so a draw never scans a group."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,29 +60,24 @@ def sample_series(spark: SparkSession, series: DataFrame, key: str, length: str,
 
 def epoch_size(n_series: int, weight: float) -> int:
     """Draws per epoch of a dataset with a multiplier."""
-    return int(np.ceil(n_series * weight))
+    return math.ceil(n_series * weight)
+
 
+def random_count(kind: str, n: Column, *seeds: Column, p: float = 0.5, a: int = 1, b: int = 1) -> Column:
+    """1..n: 'uniform', 'binomial' (one plus binomial(n - 1, p), by hashed
+    trials) or 'beta_binomial' with p from a Beta(a, b).
 
-def random_count(kind: str, n: Column, *seeds: Column, p: float = 0.5) -> Column:
-    """1..n: 'uniform', or one plus a binomial(n - 1, p) by hashed trials."""
+    For whole a and b the beta draw is the a-th smallest of a + b - 1 uniforms,
+    so all three stay built-in expressions.
+    """
     if kind == "uniform":
         return 1 + hash_below(n, *seeds)
+    chance = F.lit(p)
+    if kind == "beta_binomial":
+        draws = F.array(*[hash_unit(*seeds, F.lit("beta"), F.lit(i)) for i in range(a + b - 1)])
+        chance = F.element_at(F.array_sort(draws), a)
     trials = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return 1 + F.size(F.filter(trials, lambda i: hash_unit(*seeds, i) < p))
-
-
-def beta_binomial_count(n: str, seed_column: str, seed: int, a: float = 1.0, b: float = 1.0) -> Column:
-    """1..n by a beta-binomial draw, seeded per row."""
-
-    @F.pandas_udf("int")
-    def draw(sizes: pd.Series, ids: pd.Series) -> pd.Series:
-        out = []
-        for size, i in zip(sizes, ids):
-            rng = np.random.default_rng((seed, int(i) & 0xFFFFFFFF))
-            out.append(1 + rng.binomial(size - 1, rng.beta(a, b)))
-        return pd.Series(out, dtype="int32")
-
-    return draw(F.col(n), seeded_hash(F.col(seed_column)))
+    return 1 + F.size(F.filter(trials, lambda i: hash_unit(*seeds, i) < chance))
 
 
 def stack_others(series: DataFrame, group: list[str], key: str, values: str, max_series: int, seed: int) -> DataFrame:

@@ -27,7 +27,12 @@ HOME = "_home"
 
 @dataclass(frozen=True)
 class SeriesSpec:
-    """Names and step of a long series table (one row per reading)."""
+    """Names and step of a long series table (one row per reading).
+
+    ``chunk_steps`` sets the width of the time chunks all scans work in. A
+    chunk holds about that many rows when readings come once per step; make it
+    smaller for readings denser than the step.
+    """
 
     keys: tuple[str, ...] = ("dataset", "subject_id")
     ts: str = "ts"
@@ -119,9 +124,13 @@ def after(spec: SeriesSpec):
     )
 
 
-def with_position(df: DataFrame, spec: SeriesSpec, total: str | None = None) -> DataFrame:
-    """0-based position of each reading in its series, as column ``pos``;
-    ``total`` names a column for the length of the series."""
+def with_position(df: DataFrame, spec: SeriesSpec, total: str | None = None, keep_chunks: bool = False) -> DataFrame:
+    """0-based position of each reading in its series, as column ``pos``.
+
+    ``total`` names a column for the length of the series. ``keep_chunks``
+    leaves the rows chunked, so that a scan over the same chunks which follows
+    needs no further shuffle.
+    """
     w = in_chunk(spec)
     rows = chunked(df, spec).withColumn("_k", F.row_number().over(w) - 1)
     counts = df.groupBy(*spec.keys, floor_div(micros(spec.ts), spec.chunk_us()).alias(CHUNK)).agg(
@@ -131,7 +140,8 @@ def with_position(df: DataFrame, spec: SeriesSpec, total: str | None = None) ->
     if total:
         offsets = offsets.withColumn(total, F.sum("n").over(Window.partitionBy(*spec.keys)))
     rows = rows.join(offsets.drop("n"), [*spec.keys, CHUNK])
-    return rows.withColumn("pos", F.col("c_off") + F.col("_k")).drop("_k", "c_off", T, CHUNK, HOME)
+    rows = rows.withColumn("pos", F.col("c_off") + F.col("_k")).drop("_k", "c_off")
+    return rows if keep_chunks else rows.drop(T, CHUNK, HOME)
 
 
 def row_chunks(df: DataFrame, spec: SeriesSpec, behind: int) -> DataFrame:

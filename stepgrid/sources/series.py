@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.operators.clean import keep_series, regularize
 from stepgrid.series import SeriesSpec, floor_div, with_position
+from stepgrid.session import settle
 
 SHARD_ROWS = 65_536
 
@@ -66,9 +67,12 @@ def wide_to_long(df: DataFrame, ts: str, columns: list[str] | None = None, item:
 def corpus_series(
     df: DataFrame, spec: SeriesSpec, freq: str, minimum: int, most_missing: float, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
-    """Regular grid, then drop short or sparse series, then series rows."""
+    """Regular grid, then drop short or sparse series, then series rows.
+
+    The grid is settled, as judging, keeping and packing each read it.
+    """
     keys = list(spec.keys)
-    grid = regularize(df, spec)
+    grid = settle(regularize(df, spec), "grid")
     kept = keep_series(grid, keys, minimum, spec.value, most_missing)
     return build_series(kept, spec, freq, [spec.value], shard_rows=shard_rows)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stepgrid.operators.clean import bucket_readings
-from stepgrid.series import SeriesSpec
+from stepgrid.series import SeriesSpec, floor_div, with_position
 from stepgrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,7 @@ ORACLES: dict[str, str] = {}
 DAY = timedelta(days=1)
 SPEC = SeriesSpec(step=DAY)
 KEYS = ["dataset", "subject_id"]
+SHARD = 4096  # values per array in the array queries
 
 
 def query(name: str, sql: str | None = None):
@@ -98,7 +99,25 @@ PAIRS = f"""{READINGS}, pairs AS (
   FROM readings a JOIN readings b
     ON a.dataset = b.dataset AND a.subject_id = b.subject_id AND b.slot = a.slot + 1)"""
 
-SERIES = f"""{READINGS}, ser AS (
+# a series longer than a shard continues under its name with "#1", "#2", ...
+SHARDED = f"""{READINGS}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset, subject_id ORDER BY slot) - 1 AS nth FROM readings),
+sharded AS (
+  SELECT dataset, slot, value, nth % 4096 AS i,
+    subject_id || CASE WHEN nth >= 4096 THEN '#' || CAST(nth // 4096 AS VARCHAR) ELSE '' END AS subject_id FROM numbered)"""
+
+SERIES = f"""{SHARDED}, ser AS (
   SELECT dataset || '__' || subject_id AS item_id, count(*) AS n, min(slot) AS s0,
          list(CAST(CAST(value AS FLOAT) AS DOUBLE) ORDER BY slot) AS target
-  FROM readings GROUP BY dataset, subject_id)"""
+  FROM sharded GROUP BY dataset, subject_id)"""
+
+
+def shard_name(name: Column, shard: Column) -> Column:
+    return F.concat(name, F.when(shard > 0, F.concat(F.lit("#"), shard.cast("string"))).otherwise(""))
+
+
+def series_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings as one bounded array per shard: dataset, subject_id, values."""
+    rows = with_position(readings(spark, sf_dir), SPEC).withColumn("_shard", floor_div(F.col("pos"), SHARD))
+    packed = rows.groupBy(*KEYS, "_shard").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("r"))
+    return packed.select("dataset", shard_name(F.col("subject_id"), F.col("_shard")).alias("subject_id"), F.col("r.value").alias("values"))

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import DAY, KEYS, POS, READINGS, SPEC, query, r6, raw_events, readings, rounded, slot, table
+from stepgrid.catalog.base import DAY, KEYS, POS, READINGS, SHARD, SHARDED, SPEC, query, r6, raw_events, readings, rounded, shard_name, slot, table
 from stepgrid.functions import text
 from stepgrid.operators import clean, impute, scale
 from stepgrid.series import SeriesSpec, with_position
@@ -49,7 +49,7 @@ def grid(spark, sf):
 def nested(spark, sf):
     return (
         raw_events(spark, sf)
-        .groupBy(*KEYS)
+        .groupBy(*KEYS, F.floor(F.col("event_id") / 10_000).alias("part"))  # bounded rows
         .agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("value").alias("v")))).alias("r"))
         .select(*KEYS, F.transform("r.t", lambda t: (t / 1_000_000).cast("bigint")).alias("timestamp"), F.col("r.v").alias("BGvalue"))
     )
@@ -125,7 +125,7 @@ def _(spark, sf):
     path = fresh_path(spark, "event-xml")
     at = F.date_format(F.col("ts").cast("timestamp"), "dd-MM-yyyy HH:mm:ss")
     events = table(spark, sf, "events").select(
-        "user_id", (F.col("event_id") % 50).alias("part"), F.struct(at.alias("_ts"), F.col("value").alias("_value")).alias("e")
+        "user_id", F.floor(F.col("event_id") / 10_000).alias("part"), F.struct(at.alias("_ts"), F.col("value").alias("_value")).alias("e")
     )
     doc = events.groupBy("user_id", "part").agg(F.struct(F.collect_list("e").alias("event")).alias("glucose_level"))
     doc.select("glucose_level").write.format("xml").option("rootTag", "patients").option("rowTag", "patient").save(path)
@@ -135,17 +135,18 @@ def _(spark, sf):
 
 @query(
     "read_tsf",
-    f"""WITH {EGRID} SELECT dataset || '__' || subject_id AS series_name, min(slot) AS first_slot, count(*) AS n,
+    f"""WITH {EGRID} SELECT dataset || '__' || subject_id || '__' || CAST(slot // 4096 AS VARCHAR) AS series_name, min(slot) AS first_slot, count(*) AS n,
       count(value) AS observed, round(sum(value), 6) AS total FROM grid GROUP BY 1""",
 )
 def _(spark, sf):
     path = fresh_path(spark, "tsf")
-    rows = grid(spark, sf).groupBy(*KEYS).agg(
+    block = F.floor(slot() / 4096).cast("string").alias("block")
+    rows = grid(spark, sf).groupBy(*KEYS, block).agg(
         F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("r")
     )
     values = F.array_join(F.transform("r.value", lambda v: F.coalesce(v.cast("string"), F.lit("?"))), ",")
     start = F.date_format(F.element_at("r", 1)["ts"], "yyyy-MM-dd HH-mm-ss")
-    body = rows.select(F.concat_ws(":", F.concat_ws("__", *KEYS), start, values).alias("value"))
+    body = rows.select(F.concat_ws(":", F.concat_ws("__", *KEYS, "block"), start, values).alias("value"))
     head = "@relation readings\n@attribute series_name string\n@attribute start_timestamp date\n@frequency daily\n@horizon 2\n@missing true\n@equallength false\n@data"
     spark.createDataFrame([(head,)], "value string").coalesce(1).write.text(path)
     body.write.mode("append").text(path)
@@ -163,19 +164,19 @@ def _(spark, sf):
 
 @query(
     "build_series",
-    f"""WITH {READINGS} SELECT dataset || '__' || subject_id AS item_id, 'D' AS freq, min(slot) AS start_slot, count(*) AS n,
+    f"""WITH {SHARDED} SELECT dataset || '__' || subject_id AS item_id, 'D' AS freq, min(slot) AS start_slot, count(*) AS n,
       round(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)), 6) AS total, round(CAST(CAST(arg_max(value, slot) AS FLOAT) AS DOUBLE), 6) AS last_value
-    FROM readings GROUP BY dataset, subject_id""",
+    FROM sharded GROUP BY dataset, subject_id""",
 )
 def _(spark, sf):
-    return _series_facts(series.build_series(readings(spark, sf), SPEC, "D", ["value"]))
+    return _series_facts(series.build_series(readings(spark, sf), SPEC, "D", ["value"], shard_rows=SHARD))
 
 
 def _series_facts(df):
     x = F.col("target").cast("array<double>")
     return rounded(
         df.select(
-            "item_id",
+            shard_name(F.col("item_id"), F.col("shard")).alias("item_id"),
             "freq",
             slot("start").alias("start_slot"),
             F.size("target").cast("bigint").alias("n"),
@@ -755,7 +756,8 @@ def _(spark, sf):
 def _(spark, sf):
     path = fresh_path(spark, "participants")
     pairs = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    lists = pairs.groupBy("n_name").agg(F.collect_list(F.col("c_custkey").cast("string")).alias("ids"))
+    part = F.floor(F.col("c_custkey") / 10_000).alias("part")
+    lists = pairs.groupBy("n_name", part).agg(F.collect_list(F.col("c_custkey").cast("string")).alias("ids"))
     lists.select(F.to_json(F.create_map("n_name", "ids")).alias("value")).write.text(path)
     return src.read_participants(spark, path, multiline=False)
 

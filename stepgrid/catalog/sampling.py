@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import DAY, KEYS, POS, READINGS, SPEC, query, readings, rounded, slot, table
+from stepgrid.catalog.base import KEYS, POS, SHARDED, SPEC, query, readings, rounded, series_arrays, table
 from stepgrid.catalog.transforms import ARR, items
 from stepgrid.functions.hashing import hash_unit
 from stepgrid.operators import sampling
@@ -101,22 +101,21 @@ def _(spark, sf):
 
 @query(
     "stack_other_series",
-    f"""WITH {READINGS}, s AS (SELECT dataset, subject_id, {HASH.format('subject_id, 13')} AS h FROM readings GROUP BY 1, 2),
+    f"""WITH {SHARDED}, s AS (SELECT dataset, subject_id, {HASH.format('subject_id, 13')} AS h FROM sharded GROUP BY 1, 2),
     i AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY h % 4096, h, subject_id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM s),
     t AS (SELECT *, 1 + {HASH.format('subject_id, 13')} % least(n, 4) AS take, {HASH.format('subject_id, 14')} % greatest(n - 1, 1) AS turn FROM i),
     p AS (SELECT *, unnest(range(take)) AS slot FROM t), q AS (SELECT *, CASE WHEN slot = 0 THEN i ELSE (i + (turn + slot - 1) % greatest(n - 1, 1) + 1) % n END AS j FROM p)
     SELECT q.dataset, q.subject_id, string_agg(o.subject_id, ',' ORDER BY slot) AS members FROM q JOIN i o ON q.dataset = o.dataset AND q.j = o.i GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    rows = readings(spark, sf).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("r"))
-    rows = rows.select(*KEYS, F.col("r.value").alias("values"))
+    rows = series_arrays(spark, sf)
     out = sampling.stack_others(rows, ["dataset"], "subject_id", "values", 4, 13)
     return out.select(*KEYS, F.array_join("members", ",").alias("members"))
 
 
 @query(
     "mixture_sample",
-    f"""WITH {READINGS}, s AS (SELECT dataset, subject_id, list(value ORDER BY slot) AS v, count(*) AS len, {HASH.format('subject_id, 31')} AS h FROM readings GROUP BY 1, 2 HAVING count(*) >= 5),
+    f"""WITH {SHARDED}, s AS (SELECT dataset, subject_id, list(value ORDER BY slot) AS v, count(*) AS len, {HASH.format('subject_id, 31')} AS h FROM sharded GROUP BY 1, 2 HAVING count(*) >= 5),
     i AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY h % 4096, h, subject_id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM s),
     d AS (SELECT draw, {HASH.format('draw, 31')} / 1152921504606846976.0 AS u, {HASH.format('draw, 32')} AS r, {HASH.format('draw, 33')} AS c FROM (SELECT unnest(range(1500)) AS draw)),
     e AS (SELECT *, CASE WHEN u < 0.5 THEN 'g0' WHEN u < 0.5 + 0.3 THEN 'g1' ELSE 'g2' END AS dataset FROM d),
@@ -124,8 +123,7 @@ def _(spark, sf):
     SELECT draw, dataset, subject_id, CAST(cut AS INTEGER) AS cut, round(list_sum(v[greatest(cut - 7, 1):cut]), 6) AS sum_past, round(list_sum(v[cut + 1:cut + 2]), 6) AS sum_future FROM f""",
 )
 def _(spark, sf):
-    rows = readings(spark, sf).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("r"))
-    rows = rows.select(*KEYS, F.col("r.value").alias("values"))
+    rows = series_arrays(spark, sf)
     out = sampling.mixture_sample(spark, rows, "dataset", "subject_id", "values", {"g0": 0.5, "g1": 0.3, "g2": 0.2}, 1500, 31, 3, 8, 2)
 
     def total(c):

@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import KEYS, POS, READINGS, SPEC, query, r6, readings, rounded, slot, table
+from stepgrid.catalog.base import KEYS, POS, SHARDED, SPEC, query, r6, readings, rounded, series_arrays, slot, table
 from stepgrid.functions import arrays
 from stepgrid.operators import packing, sampling, spectral
 from stepgrid.operators.windows import lag_rows, windows_contiguous
@@ -14,26 +14,24 @@ from stepgrid.series import with_position
 
 HASH = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 15) AS BIGINT)"
 
-# one array per subject, values over 100 missing
-ARR = f"""{READINGS}, arr AS (
+# one array per series shard, values over 100 missing
+ARR = f"""{SHARDED}, arr AS (
   SELECT dataset || '__' || subject_id AS item_id, list(value ORDER BY slot) AS full_target, count(*) AS n,
     list(CASE WHEN value < 100 THEN value END ORDER BY slot) AS target
-  FROM readings GROUP BY dataset, subject_id)"""
+  FROM sharded GROUP BY dataset, subject_id)"""
 
 # the same as rows
-LONG = f"""{READINGS}, long AS (
-  SELECT dataset || '__' || subject_id AS item_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY dataset, subject_id) AS n,
-    value AS full_value, CASE WHEN value < 100 THEN value END AS value
-  FROM readings WINDOW w AS (PARTITION BY dataset, subject_id ORDER BY slot))"""
+LONG = f"""{SHARDED}, long AS (
+  SELECT dataset || '__' || subject_id AS item_id, i, count(*) OVER (PARTITION BY dataset, subject_id) AS n,
+    value AS full_value, CASE WHEN value < 100 THEN value END AS value FROM sharded)"""
 
 
 def items(spark, sf):
-    """One row per subject with the whole and the gappy array."""
-    rows = with_position(readings(spark, sf), SPEC)
-    one = F.struct("pos", F.col("value").alias("full"), F.when(F.col("value") < 100, F.col("value")).alias("v"))
-    packed = rows.groupBy(*KEYS, F.floor(F.col("pos") / 65536).alias("shard")).agg(F.array_sort(F.collect_list(one)).alias("r"))
-    return packed.select(
-        F.concat_ws("__", *KEYS).alias("item_id"), F.col("r.full").alias("full_target"), F.col("r.v").alias("target")
+    """One row per series shard with the whole and the gappy array."""
+    return series_arrays(spark, sf).select(
+        F.concat_ws("__", *KEYS).alias("item_id"),
+        F.col("values").alias("full_target"),
+        F.transform("values", lambda v: F.when(v < 100, v)).alias("target"),
     )
 
 
@@ -292,9 +290,9 @@ def _(spark, sf):
     return out.select("item_id", F.col("rank").cast("bigint").alias("rank"), "r.lag")
 
 
-@query("top_lags_fft", f"WITH {LAGS} SELECT item_id, rank, CAST(lag AS INTEGER) AS lag FROM lags WHERE rank < 1")
+@query("top_lags_fft", f"WITH {LAGS} SELECT item_id, rank, CAST(lag AS INTEGER) AS lag FROM lags WHERE rank < 5")
 def _(spark, sf):
-    out = spectral.top_lags_fft(items(spark, sf), "full_target", 1)
+    out = spectral.top_lags_fft(items(spark, sf), "full_target", 5)
     return out.select("item_id", F.posexplode("lags").alias("rank", "lag")).withColumn("rank", F.col("rank").cast("bigint"))
 
 

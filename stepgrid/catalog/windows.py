@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import DAY, KEYS, PAIRS, POS, READINGS, SERIES, SPEC, query, r6, raw_events, readings, rounded, slot, table
+from stepgrid.catalog.base import DAY, KEYS, PAIRS, POS, READINGS, SERIES, SHARD, SPEC, query, r6, raw_events, readings, rounded, shard_name, slot, table
 from stepgrid.operators import gaps, windows
 from stepgrid.plans import evaluation
 from stepgrid.series import SeriesSpec
@@ -17,7 +17,9 @@ CTX, HOR, LEN = 4, 2, 6
 
 
 def _series(spark, sf):
-    return build_series(readings(spark, sf), SPEC, "D", ["value"]).withColumn("target", F.col("target").cast("array<double>"))
+    rows = build_series(readings(spark, sf), SPEC, "D", ["value"], shard_rows=SHARD)
+    rows = rows.withColumn("item_id", shard_name(F.col("item_id"), F.col("shard")))
+    return rows.withColumn("target", F.col("target").cast("array<double>"))
 
 
 @query(

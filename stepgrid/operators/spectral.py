@@ -20,7 +20,7 @@ def top_lags_fft(df: DataFrame, window: str, k: int) -> DataFrame:
             for x in windows:
                 spectrum = np.fft.rfft(np.asarray(x, dtype=float))
                 power = np.fft.irfft(spectrum * np.conj(spectrum), n=len(x))
-                out.append(np.argsort(-np.round(power, 6), kind="stable")[:k].astype("int32"))
+                out.append(np.argsort(-np.round(power, 4), kind="stable")[:k].astype("int32"))
             yield pd.Series(out)
 
     return df.withColumn("lags", lags(F.col(window)))

@@ -74,11 +74,11 @@ def r6(col: Column | str) -> Column:
     return F.round(F.col(col) if isinstance(col, str) else col, 6)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places: sums differ in their last bits between engines."""
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to some places: sums differ in their last bits between engines."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), 6).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
+            F.round(F.col(f"`{f.name}`"), places).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
             for f in df.schema
         ]
     )

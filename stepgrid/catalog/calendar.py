@@ -48,11 +48,13 @@ def _(spark, sf):
 
 @query(
     "cyclical_time",
-    f"""SELECT event_id, round(sin((hour(ts) * 60 + minute(ts)) * {2 * math.pi!r} / 1439.0), 6) AS time_sin,
-      round(cos((hour(ts) * 60 + minute(ts)) * {2 * math.pi!r} / 1439.0), 6) AS time_cos FROM events""",
+    f"""SELECT event_id, round(sin((hour(ts) * 60 + minute(ts)) * {2 * math.pi!r} / 1439.0), 6) + 0.0::DOUBLE AS time_sin,
+      round(cos((hour(ts) * 60 + minute(ts)) * {2 * math.pi!r} / 1439.0), 6) + 0.0::DOUBLE AS time_cos FROM events""",
 )
 def _(spark, sf):
-    return rounded(ev(spark, sf).select("event_id", *[c.alias(n) for n, c in calendar.cyclical_time(F.col("ts")).items()]))
+    waves = calendar.cyclical_time(F.col("ts"))
+    # adding zero turns a rounded -0.0 into 0.0
+    return ev(spark, sf).select("event_id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in waves.items()])
 
 
 @query(

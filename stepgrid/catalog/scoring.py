@@ -60,11 +60,11 @@ def by_dataset(name, sql, make):
 
 @query(
     "score_all_steps",
-    f"""WITH {STEPS} SELECT dataset, subject_id, round(sqrt(avg((prediction - ground_truth) * (prediction - ground_truth))), 6) AS rmse,
-      round(avg(abs(prediction - ground_truth)), 6) AS mae, count(*) AS n_points FROM steps GROUP BY 1, 2""",
+    f"""WITH {STEPS} SELECT dataset, subject_id, round(sqrt(avg((prediction - ground_truth) * (prediction - ground_truth))), 8) AS rmse,
+      round(avg(abs(prediction - ground_truth)), 8) AS mae, count(*) AS n_points FROM steps GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    return rounded(rollup.score(steps(spark, sf), KEYS))
+    return rounded(rollup.score(steps(spark, sf), KEYS), 8)
 
 
 @query(
@@ -216,20 +216,20 @@ def _(spark, sf):
     return rounded(panels.mase(pairs(spark, sf), _errors(spark, sf), KEYS).select(*KEYS, "mase"))
 
 
-PANEL = """round(avg(pow(prediction - ground_truth, 2)), 6) AS mse_mean, round(avg(pow(q50 - ground_truth, 2)), 6) AS mse_median, round(avg(abs(q50 - ground_truth)), 6) AS mae,
-  round(avg(abs(q50 - ground_truth) / seasonal_error), 6) AS mase, round(avg(abs(q50 - ground_truth) / abs(ground_truth)), 6) AS mape,
-  round(avg(2 * abs(q50 - ground_truth) / (abs(q50) + abs(ground_truth))), 6) AS smape, round(sqrt(avg(pow(prediction - ground_truth, 2))), 6) AS rmse,
-  round(sqrt(avg(pow(prediction - ground_truth, 2))) / avg(abs(ground_truth)), 6) AS nrmse, round(sum(abs(q50 - ground_truth)) / sum(abs(ground_truth)), 6) AS nd,
-  round(avg((q90 - q10 + CASE WHEN ground_truth < q10 THEN 40 * (q10 - ground_truth) WHEN ground_truth > q90 THEN 40 * (ground_truth - q90) ELSE 0 END) / seasonal_error), 6) AS msis,
+PANEL = """round(avg(pow(prediction - ground_truth, 2)), 8) AS mse_mean, round(avg(pow(q50 - ground_truth, 2)), 8) AS mse_median, round(avg(abs(q50 - ground_truth)), 8) AS mae,
+  round(avg(abs(q50 - ground_truth) / seasonal_error), 8) AS mase, round(avg(abs(q50 - ground_truth) / abs(ground_truth)), 8) AS mape,
+  round(avg(2 * abs(q50 - ground_truth) / (abs(q50) + abs(ground_truth))), 8) AS smape, round(sqrt(avg(pow(prediction - ground_truth, 2))), 8) AS rmse,
+  round(sqrt(avg(pow(prediction - ground_truth, 2))) / avg(abs(ground_truth)), 8) AS nrmse, round(sum(abs(q50 - ground_truth)) / sum(abs(ground_truth)), 8) AS nd,
+  round(avg((q90 - q10 + CASE WHEN ground_truth < q10 THEN 40 * (q10 - ground_truth) WHEN ground_truth > q90 THEN 40 * (ground_truth - q90) ELSE 0 END) / seasonal_error), 8) AS msis,
   round((2 * sum(greatest(0.1 * (ground_truth - q10), -0.9 * (ground_truth - q10))) / sum(abs(ground_truth)) + 2 * sum(greatest(0.5 * (ground_truth - q50), -0.5 * (ground_truth - q50))) / sum(abs(ground_truth))
-    + 2 * sum(greatest(0.9 * (ground_truth - q90), -0.1 * (ground_truth - q90))) / sum(abs(ground_truth))) / 3, 6) AS mean_weighted_quantile_loss"""
+    + 2 * sum(greatest(0.9 * (ground_truth - q90), -0.1 * (ground_truth - q90))) / sum(abs(ground_truth))) / 3, 8) AS mean_weighted_quantile_loss"""
 
 for _name, _axis in (("panel_overall", []), ("panel_by_item", KEYS), ("panel_by_time", ["slot"])):
 
     @query(_name, f"WITH {ERRORS} SELECT {''.join(c + ', ' for c in _axis)}{PANEL} FROM qp {'GROUP BY ' + ', '.join(_axis) if _axis else ''}")
     def _(spark, sf, axis=_axis):
         rows = quantile_pairs(spark, sf).withColumn("slot", slot())
-        return rounded(panels.standard_panel(rows, _errors(spark, sf), KEYS, axis, LEVELS, ("q10", "q90")))
+        return rounded(panels.standard_panel(rows, _errors(spark, sf), KEYS, axis, LEVELS, ("q10", "q90")), 8)
 
 
 @query(

@@ -319,11 +319,11 @@ def _(spark, sf):
     f"""WITH {LONG}, w AS (SELECT item_id, full_value AS v, (i % 3 + 1.0) AS w FROM long), t AS (SELECT item_id, sum(w) AS tw FROM w GROUP BY 1),
     c AS (SELECT w.item_id, v, w / tw AS w, sum(w / tw) OVER (PARTITION BY w.item_id ORDER BY v, w / tw ROWS UNBOUNDED PRECEDING) AS cum,
       lag(v) OVER (PARTITION BY w.item_id ORDER BY v, w / tw) AS pv FROM w JOIN t USING (item_id))
-    SELECT item_id, round(arg_min(CASE WHEN pv IS NULL THEN v ELSE pv + (0.5001 - (cum - w)) / w * (v - pv) END, cum), 6) AS q FROM c WHERE cum > 0.5001 GROUP BY 1""",
+    SELECT item_id, round(arg_min(CASE WHEN pv IS NULL THEN v ELSE pv + (0.5001 - (cum - w)) / w * (v - pv) END, cum), 8) AS q FROM c WHERE cum > 0.5001 GROUP BY 1""",
 )
 def _(spark, sf):
     weights = F.transform("full_target", lambda _, i: (i % 3 + 1).cast("double"))
-    return rounded(items(spark, sf).select("item_id", arrays.weighted_quantile(F.col("full_target"), weights, 0.5001).alias("q")))
+    return rounded(items(spark, sf).select("item_id", arrays.weighted_quantile(F.col("full_target"), weights, 0.5001).alias("q")), 8)
 
 
 @query(

@@ -78,7 +78,7 @@ def exact_quantile(df: DataFrame, value: str, level: float, keep: int = 100_000)
 
     Narrows the value range by counting 1024 equal buckets per pass until few
     distinct values remain; each pass is one map-side aggregate, and the
-    driver sees bucket counts only.
+    driver sees bucket counts only. Settle an expensive input first.
     """
     col = F.col(value).cast("double")
     rows = df.select(col.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))

@@ -68,12 +68,20 @@ def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         heads = []
         for path in batch["path"]:
-            files, name = fs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:") else path)
+            if path.startswith("file:"):
+                files, name = fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
+            else:
+                files, name = fs.FileSystem.from_uri(path)
             with files.open_input_stream(name) as stream:
                 heads.append(stream.read(65536).decode("utf-8-sig", "replace").split("\n", 1)[0].strip("\r"))
         yield batch.assign(header=heads)
 
 
+def source_path() -> Column:
+    """Path of the file a row came from, without URL escapes."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def csv_headers(spark: SparkSession, root: str) -> dict[str, list[str]]:
     """Header line -> files that have it.
 
@@ -113,7 +121,7 @@ def read_subject_csvs(
             continue
         schema = ", ".join(f"`{n}` string" for n in names)
         raw = spark.read.schema(schema).option("header", True).csv(sorted(paths))
-        path = F.col("_metadata.file_path")
+        path = source_path()
         scans.append(
             raw.select(
                 F.regexp_extract(path, path_pattern, 1).alias("dataset"),
@@ -151,9 +159,8 @@ def read_event_xml(spark: SparkSession, root: str, variate: str = "glucose_level
     """Event attributes under one element; seconds are set to zero."""
     schema = f"{variate} struct<event: array<struct<_ts: string, _{attr}: string>>>"
     raw = spark.read.format("xml").option("rowTag", "patient").schema(schema).load(root)
-    path = F.col("_metadata.file_path")
     rows = raw.select(
-        F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1).alias("subject_id"), F.explode(f"{variate}.event").alias("e")
+        F.regexp_extract(source_path(), r"([^/]+?)(\.[^./]*)?$", 1).alias("subject_id"), F.explode(f"{variate}.event").alias("e")
     )
     ts = F.date_trunc("minute", F.try_to_timestamp(F.col("e._ts"), F.lit("dd-MM-yyyy HH:mm:ss")))
     return rows.select("subject_id", ts.alias("ts"), F.col(f"e._{attr}").try_cast("double").alias("value"))

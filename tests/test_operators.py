@@ -177,6 +177,7 @@ def test_smallest_and_dense_index(spark):
 def test_subject_csvs(spark, tmp_path):
     for name, body in {
         "d1/001.csv": "Timestamp,BGvalue\n1700000000,100\n1700000300,110\n1700000300,111\n,5\n1700000600,bad\n",
+        "d1/Subject 7+a.csv": "time,value\n1700000000,70\n",
         "d1/002.csv": "glucose,time\n90,1700000000000\n95,1700000300000\n",
         "d2/003.csv": "date,reading\n2023-11-14 22:13:20,80\n2023-11-14T22:18:20,81\n",
         "d2/004.csv": "nothing,here\n1,2\n",
@@ -188,6 +189,7 @@ def test_subject_csvs(spark, tmp_path):
     got = [(r.dataset, r.subject_id, int(r.ts.timestamp()) - 1700000000, r.value) for r in out]
     assert got == [
         ("d1", "001", 0, 100.0), ("d1", "001", 300, 110.0), ("d1", "002", 0, 90.0), ("d1", "002", 300, 95.0),
+        ("d1", "Subject 7+a", 0, 70.0),
         ("d2", "003", 0, 80.0), ("d2", "003", 300, 81.0),
     ]
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from stepgrid.llm.textbytes import flat, pretoken_pieces, worker_state
+from stepgrid.llm.textbytes import flat, latin_lower, pretoken_pieces, worker_state
 
 CACHE = 250_000  # pieces in a generation of the worker's memory; results do not depend on it
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.llm.bpe_trie import encode_and_decode
 from stepgrid.llm.exact_dedup import DigestIndex, deduplicate
+from stepgrid.llm.near_dedup import near_duplicates
 from stepgrid.llm.token_counts import token_counts
 from stepgrid.llm.token_files import token_file_round_trip
 from stepgrid.session import configure
@@ -66,3 +67,29 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     coded = encode_and_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+NEAR_SQL = r"""
+    WITH RECURSIVE lowered AS (
+      SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    split AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM lowered),
+    shingles AS (
+      SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+          ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s FROM split)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+    pairs AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (
+      SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT a AS doc_id, a AS other FROM edges UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a),
+    least AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY 1)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.component, d.doc_id) AS component_id,
+      coalesce(l.component, d.doc_id) = d.doc_id AS kept
+    FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l USING (doc_id)"""
+
+
+@query("op3_near_dedup", NEAR_SQL)
+def _(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir), size=4, percent=80)

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepgrid.llm.bpe_trie import encode_and_decode
+from stepgrid.llm.decontaminate import contamination
 from stepgrid.llm.exact_dedup import DigestIndex, deduplicate
 from stepgrid.llm.near_dedup import near_duplicates
+from stepgrid.llm.secrets import find_secrets
 from stepgrid.llm.token_counts import token_counts
 from stepgrid.llm.token_files import token_file_round_trip
 from stepgrid.session import configure
@@ -93,3 +95,15 @@ NEAR_SQL = r"""
 @query("op3_near_dedup", NEAR_SQL)
 def _(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
+@query("op10_decontamination")
+def _(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(documents(spark, sf_dir).select("doc_id", "text"), benchmark).select("doc_id", "contaminated", "coverage", "item_id", "n_items")
+
+
+@query("op2_secret_scan")
+def _(spark, sf_dir):
+    # a source is an owner, its documents of one language a repository
+    return find_secrets(documents(spark, sf_dir), F.concat_ws("/", "source", "lang"), F.col("source"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from stepgrid.llm.bpe_trie import encode_and_decode
 from stepgrid.llm.decontaminate import contamination
 from stepgrid.llm.exact_dedup import DigestIndex, deduplicate
+from stepgrid.llm.language import identify
 from stepgrid.llm.near_dedup import near_duplicates
+from stepgrid.llm.quality import quality
 from stepgrid.llm.secrets import find_secrets
 from stepgrid.llm.token_counts import token_counts
 from stepgrid.llm.token_files import token_file_round_trip
@@ -107,3 +109,14 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     # a source is an owner, its documents of one language a repository
     return find_secrets(documents(spark, sf_dir), F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
+@query("op6_quality_perplexity")
+def _(spark, sf_dir):
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op7_language_id")
+def _(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return identify(documents(spark, sf_dir), held_out)

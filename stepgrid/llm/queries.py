@@ -14,6 +14,7 @@ from stepgrid.llm.language import identify
 from stepgrid.llm.near_dedup import near_duplicates
 from stepgrid.llm.quality import quality
 from stepgrid.llm.secrets import find_secrets
+from stepgrid.llm.surrogates import with_surrogates
 from stepgrid.llm.token_counts import token_counts
 from stepgrid.llm.token_files import token_file_round_trip
 from stepgrid.session import configure
@@ -120,3 +121,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     return identify(documents(spark, sf_dir), held_out)
+
+
+@query("op4_surrogates")
+def _(spark, sf_dir):
+    return with_surrogates(documents(spark, sf_dir), key="stepgrid surrogate key")

@@ -139,7 +139,7 @@ def contamination(
     come back under their names with ``_input`` added.
     """
     new = {"contaminated", "coverage", "item_id", "n_items"}
-    docs = docs.select([F.col(f"`{c}`").alias(f"{c}_input" if c in new else c) for c in docs.columns])
+    docs = docs.select([F.col(f"`{c}`").alias(f"{c}_input" if c.lower() in new else c) for c in docs.columns])
     own = docs.columns
     rows = docs.withColumns({"coverage": F.lit(0.0), "item_id": F.lit(None).cast("long"), "n_items": F.lit(0).cast("long")})
     schema = rows.schema
@@ -163,3 +163,11 @@ def contamination(
 
         rows = rows.mapInArrow(run, schema)
     return rows.withColumn("contaminated", F.col("n_items") > 0)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their own columns."""
+    own = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(own))])  # no name of a document column can clash
+    judged = contamination(plain, benchmark, text_column=f"c{own.index('text')}")
+    return judged.where("NOT contaminated").select(*plain.columns).toDF(*own)

@@ -195,3 +195,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, whole. Only the dropped ids meet the documents."""
+    marked = near_duplicates(docs, size, percent)
+    dropped = settle(marked.where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    other = F.broadcast(dropped) if few else dropped.hint("merge")
+    return docs.join(other, docs["doc_id"].cast("long") == other["dropped"], "left_anti")

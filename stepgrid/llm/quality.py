@@ -11,6 +11,7 @@ words says little.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepgrid.llm.near_dedup import with_ids
+from stepgrid.llm.near_dedup import BROADCAST_IDS, with_ids
 from stepgrid.llm.ngrams import Model, Units, bytes_of, estimate, gram_counts, log_probabilities, store
 from stepgrid.llm.textbytes import slices
 from stepgrid.session import settle
@@ -33,7 +34,7 @@ MIN_TRUSTED = 50  # trusted documents a language needs for a model of its own
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, group, role, n_units, perplexity`` of rows ``doc_id, group, role, text``."""
+    """``doc_id, row, group, n_units, perplexity`` of rows ``doc_id, row, group, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -48,11 +49,11 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
                 total[mine] = running[at[1:]] - running[at[:-1]]
                 n_units[mine] = np.diff(at)
             value = pa.array(np.exp(-total / np.maximum(n_units, 1)), mask=n_units == 0)
-            columns = [batch.column("doc_id"), batch.column("group"), batch.column("role"), pa.array(n_units), value]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "group", "role", "n_units", "perplexity"])
+            columns = [batch.column("doc_id"), batch.column("row"), batch.column("group"), pa.array(n_units), value]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "group", "n_units", "perplexity"])
 
-    rows = docs.select("doc_id", "group", "role", "text")
-    return rows.mapInArrow(run, "doc_id long, group string, role string, n_units long, perplexity double")
+    rows = docs.select("doc_id", "row", "group", "text")
+    return rows.mapInArrow(run, "doc_id long, row long, group string, n_units long, perplexity double")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -62,19 +63,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.agg(F.max(bad).alias("bad")).where("NOT bad").select("doc_id")
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """Columns ``doc_id, lang_model, n_bytes, perplexity, threshold, kept``, one row per input row.
-
-    ``labels`` (``doc_id, quality, toxic``) names the trusted documents; an id
-    labelled both ways is not trusted, a null toxic label counts as not toxic.
-    Documents whose language is null or has fewer than 50 trusted documents
-    use the model of all languages (``*``). Null and empty texts have no
-    perplexity and are kept, as are all documents when nothing is trusted.
-    Repeated rows are judged each; rows without an id are never trusted. Only
-    id, text and language are read from ``docs``.
-    """
+def _judged(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, lang_column: str) -> DataFrame:
+    """The columns of :func:`quality` and ``row``, a hash of the text that tells rows of one id apart."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(lang_column).cast("string").alias("lang"), text.alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("text"))
     ids = settle(trusted_ids(labels), "trusted")
     trusted = with_ids(rows, ids)
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(HELD_OUT))
@@ -85,14 +78,14 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     counts = settle(gram_counts(trusted.where(fold != 0).select(F.coalesce("lang", F.lit("")).alias("group"), "text"), UNITS), "gram-counts")
     if counts.isEmpty():
         none = [F.lit(ANY).alias("lang_model"), F.octet_length("text").cast("long").alias("n_bytes")]
-        return rows.select("doc_id", *none, *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold")), F.lit(True).alias("kept"))
+        return rows.select("doc_id", "row", *none, *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "threshold")), F.lit(True).alias("kept"))
     everything = counts.groupBy(F.lit(ANY).alias("group"), "gram").agg(F.sum("n").alias("n"))
     counts = settle(counts.where(F.col("group").isin(langs)).union(everything) if langs else everything, "gram-counts")
     model = store(estimate(counts, UNITS, modified=True), [ANY, *langs], UNITS)
 
-    scored = settle(perplexities(rows.select("doc_id", own.alias("group"), F.lit("own").alias("role"), "text"), model), "perplexities")
+    scored = settle(perplexities(rows.select("doc_id", "row", own.alias("group"), "text"), model), "perplexities")
     held = with_ids(scored.where(fold == 0), ids)
-    pooled = perplexities(trusted.where(fold == 0).select("doc_id", F.lit(ANY).alias("group"), F.lit("held").alias("role"), "text"), model)
+    pooled = perplexities(trusted.where(fold == 0).select("doc_id", "row", F.lit(ANY).alias("group"), "text"), model)
     held = held.where(F.col("group") != ANY).union(pooled).where("perplexity IS NOT NULL")
     entropy = F.log("perplexity") * F.col("n_units")
     average = settle(held.groupBy("group").agg((F.sum(entropy) / F.sum("n_units")).alias("average")), "averages")
@@ -102,4 +95,28 @@ def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_
     limits = settle(held.groupBy("group").agg(limit.alias("threshold")), "thresholds")
     out = scored.join(average, "group", "left").join(limits, "group", "left")
     kept = F.coalesce(steady <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", F.col("group").alias("lang_model"), F.col("n_units").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
+    return out.select("doc_id", "row", F.col("group").alias("lang_model"), F.col("n_units").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """Columns ``doc_id, lang_model, n_bytes, perplexity, threshold, kept``, one row per input row.
+
+    ``labels`` (``doc_id, quality, toxic``) names the trusted documents; an id
+    labelled both ways is not trusted, a null toxic label counts as not toxic.
+    Documents whose language is null or has fewer than 50 trusted documents
+    use the model of all languages (``*``). Null and empty texts have no
+    perplexity and are kept, as are all documents when nothing is trusted.
+    Repeated rows are judged each; rows without an id are never trusted. Only
+    id, text and language are read from ``docs``.
+    """
+    return _judged(docs, labels, id_column, text_column, lang_column).drop("row")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`quality` keeps, whole. Only the rejected ids meet the documents."""
+    rejected = settle(_judged(docs, labels, "doc_id", "text", "lang").where("NOT kept").select("doc_id", "row").distinct(), "rejected")
+    few = rejected.count() <= BROADCAST_IDS
+    row = f"_row_{uuid.uuid4().hex[:8]}"
+    d, r = docs.withColumn(row, F.xxhash64(F.coalesce("text", F.lit("")))).alias("d"), rejected.alias("r")
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col(f"d.{row}") == F.col("r.row"))
+    return d.join(F.broadcast(r) if few else r.hint("merge"), same, "left_anti").drop(row)

@@ -63,7 +63,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, [*own, "lang_pred", "score", "entropy"])
 
     schema = docs.select(*[F.col(f.name) for f in fields]).withColumns(
-        {"lang_pred": F.lit("").cast("string"), "score": F.lit(0.0), "entropy": F.lit(0.0)}
+        {"lang_pred": F.lit(""), "score": F.lit(0.0), "entropy": F.lit(None).cast("double")}
     ).schema
     return docs.select(*own, "text").mapInArrow(run, schema)
 

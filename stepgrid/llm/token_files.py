@@ -39,6 +39,7 @@ MAGIC = b"SGPFOR01"
 BLOCK = 512
 PERCENTILE = 0.9
 FILE_IDS = 8 << 20  # ids after which a task begins its next file
+READERS = 10_000  # tasks that read files back; each reads one file after another
 FOOTER = "<8sqqqqqqq"
 FOOTER_SIZE = struct.calcsize(FOOTER)
 
@@ -227,7 +228,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = with_starts(spark.read.parquet(f"{folder}/files.parquet")).select("path", "start")
-    spread = files.repartition("path")
+    # a row stands for a whole file, which its size does not tell adaptive execution
+    spread = files.repartition(max(1, min(files.count(), READERS)), "path")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

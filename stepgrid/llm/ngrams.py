@@ -30,6 +30,7 @@ from stepgrid.session import fresh_path, settle
 
 SHARD_ROWS = 2_000_000  # 12 bytes each
 SHARD_CACHE = 128 << 20  # bytes of shards a worker keeps
+SCORE_BYTES = 3 << 20  # text scored at once: each unit takes some 60 bytes meanwhile
 FLUSH = 3_000_000  # distinct n-grams a task holds before it sends them
 
 
@@ -46,7 +47,7 @@ class Units:
         """The n-gram that ends at each unit (zeros before a text begins), and document offsets."""
         units, at = self.split(texts)
         units = units.astype(np.uint64)
-        place = np.arange(len(units)) - np.repeat(at[:-1], np.diff(at))
+        place = np.arange(len(units), dtype=np.int32) - np.repeat(at[:-1].astype(np.int32), np.diff(at))
         keys = units.copy()
         for back in range(1, self.order):
             before = np.zeros(len(units), np.uint64)
@@ -121,7 +122,7 @@ def gram_counts(docs: DataFrame, units: Units) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["group", "gram", "n"])
             held.clear()
 
-        for batch in slices(batches):
+        for batch in slices(batches, size=SCORE_BYTES):
             groups = batch.column("group").dictionary_encode()
             codes = groups.indices.to_numpy()
             for code, group in enumerate(groups.dictionary.to_pylist()):

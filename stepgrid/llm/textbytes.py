@@ -39,7 +39,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut by bytes of text and by rows, so that long texts bound memory; a row is never cut."""
     for batch in batches:
         if not batch.num_rows:
@@ -47,7 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         _, at = flat(batch.column(text))
         first = 0
         while first < batch.num_rows:
-            last = int(np.searchsorted(at, at[first] + SLICE_BYTES, "right")) - 1
+            last = int(np.searchsorted(at, at[first] + size, "right")) - 1
             last = min(max(last, first + 1), first + SLICE_ROWS, batch.num_rows)
             yield batch.slice(first, last - first)
             first = last

@@ -66,28 +66,31 @@ def _(spark, sf):
     return ev(spark, sf).select("event_id", *[c.alias(n) for n, c in calendar.raw_calendar(F.col("ts"), 15).items()])
 
 
-HOLIDAY = """days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), years AS (SELECT unnest(range(1993, 2004)) AS y),
-hol AS (
-  SELECT 'new_years_day' AS holiday, make_date(y, 1, 1) AS d FROM years
-  UNION ALL SELECT 'independence_day', make_date(y, 7, 4) FROM years
-  UNION ALL SELECT 'christmas_eve', make_date(y, 12, 24) FROM years
-  UNION ALL SELECT 'christmas_day', make_date(y, 12, 25) FROM years
-  UNION ALL SELECT 'new_years_eve', make_date(y, 12, 31) FROM years
-  UNION ALL SELECT 'thanksgiving', CAST(make_date(y, 11, 1) + CAST((11 - isodow(make_date(y, 11, 1))) % 7 + 21 AS INTEGER) AS DATE) FROM years
-  UNION ALL SELECT 'labor_day', CAST(make_date(y, 9, 1) + CAST((8 - isodow(make_date(y, 9, 1))) % 7 AS INTEGER) AS DATE) FROM years
-  UNION ALL SELECT 'mothers_day', CAST(make_date(y, 5, 1) + CAST((14 - isodow(make_date(y, 5, 1))) % 7 + 7 AS INTEGER) AS DATE) FROM years),
+# n-th weekday of a month: the first such day, and weeks after it (isodow of the weekday plus 7, so that % never meets a negative)
+NTH = "CAST(make_date(y, {m}, 1) + CAST(({w} + 7 - isodow(make_date(y, {m}, 1))) % 7 + {d} AS INTEGER) AS DATE)"
+YEARLY = {
+    "easter_monday": "CAST(e + 1 AS DATE)", "good_friday": "CAST(e - 2 AS DATE)", "easter_sunday": "e",
+    "columbus_day": NTH.format(m=10, w=1, d=7), "labor_day": NTH.format(m=9, w=1, d=0), "martin_luther_king_day": NTH.format(m=1, w=1, d=14),
+    "memorial_day": "CAST(make_date(y, 5, 31) - CAST((isodow(make_date(y, 5, 31)) + 6) % 7 AS INTEGER) AS DATE)",
+    "presidents_day": NTH.format(m=2, w=1, d=14), "thanksgiving": NTH.format(m=11, w=4, d=21), "black_friday": NTH.format(m=11, w=4, d=22),
+    "cyber_monday": NTH.format(m=11, w=4, d=25), "superbowl": NTH.format(m=2, w=7, d=0), "mothers_day": NTH.format(m=5, w=7, d=7),
+    "new_years_day": "make_date(y, 1, 1)", "independence_day": "make_date(y, 7, 4)", "christmas_eve": "make_date(y, 12, 24)",
+    "christmas_day": "make_date(y, 12, 25)", "new_years_eve": "make_date(y, 12, 31)",
+}
+# Easter by Gauss's rule for 1900 to 2099
+HOLIDAY = f"""days AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
+years AS (SELECT y, (19 * (y % 19) + 24) % 30 AS gd FROM (SELECT unnest(range(1990, 2006)) AS y)),
+gauss AS (SELECT *, (2 * (y % 4) + 4 * (y % 7) + 6 * gd + 5) % 7 AS ge FROM years),
+easter AS (SELECT y, CAST(make_date(y, 3, 22) + CAST(gd + ge - CASE WHEN gd + ge = 35 OR (gd = 28 AND ge = 6 AND y % 19 > 10) THEN 7 ELSE 0 END AS INTEGER) AS DATE) AS e FROM gauss),
+hol AS ({" UNION ALL ".join(f"SELECT '{n}' AS holiday, {d} AS d FROM easter" for n, d in YEARLY.items())}),
 dist AS (SELECT day, holiday, date_diff('day', min(d), day) AS distance FROM days JOIN hol ON abs(date_diff('day', d, day)) <= 200 GROUP BY 1, 2)"""
-CHECKED = ["new_years_day", "independence_day", "christmas_eve", "christmas_day", "new_years_eve", "thanksgiving", "labor_day", "mothers_day"]
-
-
 def distances(spark, sf):
-    dates = calendar.holiday_dates(spark, 1994, 2002)
-    return calendar.holiday_distance(table(spark, sf, "orders"), "o_orderdate", dates, 1994, 2002)
+    return calendar.holiday_distance(table(spark, sf, "orders"), "o_orderdate")
 
 
 @query("holiday_distance", f"WITH {HOLIDAY} SELECT day, holiday, CAST(distance AS INTEGER) AS distance FROM dist")
 def _(spark, sf):
-    return distances(spark, sf).filter(F.col("holiday").isin(CHECKED))
+    return distances(spark, sf)
 
 
 @query(
@@ -96,7 +99,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = calendar.standardized_holiday_distance(distances(spark, sf))
-    return rounded(out.filter(F.col("holiday").isin(CHECKED)).select("day", "holiday", "scaled"))
+    return rounded(out.select("day", "holiday", "scaled"))
 
 
 @query(
@@ -181,14 +184,14 @@ def _(spark, sf):
 @query(
     "week_end_date",
     """SELECT DISTINCT CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT) AS slot, strftime(o_orderdate, '%Y') || strftime(o_orderdate, '%W') AS year_week,
-      CAST(o_orderdate + to_days(CAST((7 - isodow(o_orderdate)) AS INTEGER)) AS DATE) AS week_end FROM orders WHERE strftime(o_orderdate, '%W') <> '00'""",
+      CAST(o_orderdate + to_days(CAST((7 - isodow(o_orderdate)) AS INTEGER)) AS DATE) AS week_end FROM orders""",
 )
 def _(spark, sf):
     days = table(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     # Monday-based week of the year, week 1 holding the first Monday
     week = F.floor((F.dayofyear("day") + 6 - F.weekday("day")) / 7)
     year_week = F.concat(F.year("day").cast("string"), F.lpad(week.cast("string"), 2, "0"))
-    rows = days.withColumn("year_week", year_week).filter(week > 0)
+    rows = days.withColumn("year_week", year_week)
     return rows.select(slot(F.col("day").cast("timestamp")).alias("slot"), "year_week", calendar.week_end_date(F.col("year_week")).alias("week_end"))
 
 

@@ -78,15 +78,19 @@ def raw_calendar(ts: Column, minute_bin: int | None = None) -> dict[str, Column]
     return out
 
 
+# Class of a frequency by its last code, and by its first where
+# an anchor follows.
+LAST_CODE = {"H": 0, "T": 0, "MIN": 0, "D": 0, "B": 0, "U": 0, "S": 0, "MS": 1, "W": 1, "M": 1, "Y": 2, "Q": 2, "A": 2}
+FIRST_CODE = {"W": 1, "ME": 1, "Y": 2, "Q": 2, "A": 2}
+
+
 def freq_class(freq: Column) -> Column:
     """0 sub-weekly, 1 weekly or monthly, 2 slower; null when unknown."""
-    f = F.upper(freq)
-    return (
-        F.when(f.endswith("MS"), 1)
-        .when(f.rlike("(H|T|MIN|D|B|U|S)$"), 0)
-        .when(f.rlike("(W|M)$") | f.startswith("W-") | (f.startswith("M") & (F.length(f) == 2)), 1)
-        .when(f.rlike("(Y|Q|A)$") | f.rlike("^[YQA]-"), 2)
-    )
+    code = F.upper(freq)
+    table = lambda t: F.create_map(*[F.lit(x) for pair in t.items() for x in pair])
+    last = F.regexp_extract(code, "(MIN|MS|[A-Z])$", 1)
+    first = F.regexp_extract(code, "^(ME$|[A-Z](?=-))", 1)
+    return F.coalesce(F.try_element_at(table(LAST_CODE), last), F.try_element_at(table(FIRST_CODE), first))
 
 
 def week_end_date(year_week: Column) -> Column:
@@ -146,28 +150,35 @@ HOLIDAYS = {
 HOLIDAY_REACH = 200
 
 
+MOST_YEARS = 5_000
+
+
 def holiday_dates(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """Holiday dimension: 18 rows per year."""
-    rows = [(n, f(y)) for n, f in HOLIDAYS.items() for y in range(first_year - 1, last_year + 2)]
+    """Holiday dimension: 18 rows per year, and one year more at both ends."""
+    rows = [(n, f(y)) for n, f in HOLIDAYS.items() for y in range(max(first_year - 1, 1), min(last_year + 1, 9998) + 1)]
     return spark.createDataFrame(rows, "holiday string, holiday_date date")
 
 
-def holiday_distance(df: DataFrame, day: str, holidays: DataFrame, first_year: int, last_year: int) -> DataFrame:
+def holiday_distance(df: DataFrame, day: str) -> DataFrame:
     """Days to each holiday, counted to the earliest date within 200 days.
 
     Dates repeat across all rows of a table, so distances are found once per
-    distinct date. A yearly holiday has at most three candidate years for a
+    distinct date; the holidays span the years the dates do, so every date
+    gets all of them. A yearly holiday has at most three candidate years for a
     date, so each date is matched on ``(year of candidate)`` by an equi-join.
     """
-    days = df.select(F.col(day).cast("date").alias("day")).distinct()
+    days = df.select(F.col(day).cast("date").alias("day")).where("day IS NOT NULL").distinct()
+    first, last = days.agg(F.year(F.min("day")), F.year(F.max("day"))).first()
+    if first is None:
+        first, last = 2000, 2000
+    holidays = holiday_dates(df.sparkSession, first, last)
     near = days.withColumn("y", F.explode(F.sequence(F.year("day") - 1, F.year("day") + 1)))
     dated = holidays.withColumn("y", F.year("holiday_date"))
-    # bounded by 18 rows per calendar year between the two given years
-    if (last_year - first_year + 3) * len(HOLIDAYS) <= 100_000:
+    if last - first <= MOST_YEARS:  # 18 small rows a year
         dated = F.broadcast(dated)
     diff = F.datediff("day", "holiday_date")
     return (
-        near.join(dated, "y")
+        near.join(dated, "y", "left")
         .filter(F.abs(diff) <= HOLIDAY_REACH)
         .groupBy("day", "holiday")
         .agg(F.datediff("day", F.min("holiday_date")).alias("distance"))

@@ -127,18 +127,10 @@ def msis(lo: Column, hi: Column, t: Column, scale: Column, alpha: float = 0.05)
     return F.avg(F.try_divide(hi - lo + miss, scale))
 
 
-def _logistic(x: Column, left: float, right: float, rising: bool) -> Column:
-    """S-curve through 20 % and 80 % at the two ends (80/20 when falling)."""
-    low, high = (0.2, 0.8) if rising else (0.8, 0.2)
-    odds_low, odds_high = math.log(1 / low - 1), math.log(1 / high - 1)
-    alpha = (odds_low - odds_high) / (right - left)
-    return 1 / (1 + F.exp(-(x - (odds_low / alpha + left)) * alpha))
-
-
-def _logistic_at(x: Column, start: Column, span: float, rising: bool) -> Column:
-    """Same curve anchored at a column instead of a constant."""
-    shifted = x - start
-    return _logistic(shifted, 0.0, span, True) if rising else _logistic(shifted, -span, 0.0, False)
+def _rise(x: Column, start: float, end: float) -> Column:
+    """S-curve from 20 % at ``start`` to 80 % at ``end``; one minus it falls."""
+    steepness = 2 * math.log(4) / (end - start)
+    return 1 / (1 + F.exp((0.5 * (start + end) - x) * steepness))
 
 
 # Weights and ranges (mg/dL) of the glucose error penalty.
@@ -157,8 +149,10 @@ PENALTY = {
 def glucose_penalty(p: Column, t: Column) -> Column:
     """>= 1: over-prediction of lows and under-prediction of highs cost more."""
     c = PENALTY
-    low = _logistic(t, c["low_edge"] - c["low_span"], c["low_edge"], False) * _logistic_at(p, t, c["over_span"], True)
-    high = _logistic(t, c["high_edge"], c["high_edge"] + c["high_span"], True) * _logistic_at(p, t, c["under_span"], False)
+    truth_low = 1 - _rise(t, c["low_edge"] - c["low_span"], c["low_edge"])
+    truth_high = _rise(t, c["high_edge"], c["high_edge"] + c["high_span"])
+    low = truth_low * _rise(p - t, 0.0, c["over_span"])
+    high = truth_high * (1 - _rise(p - t, -c["under_span"], 0.0))
     return 1 + c["low_weight"] * low + c["high_weight"] * high
 
 

@@ -50,27 +50,38 @@ def forecast_apply(
     """Batch inference over windows by any forecaster.
 
     ``make_model`` runs once per Python worker; the model takes a list of
-    contexts and returns one (windows, horizon) array per output name. A
-    batch that fails yields rows with ``error`` set and null outputs, so no
-    window is lost. Rows stream through in Arrow batches.
+    contexts and returns one (windows, horizon) array per output name. A batch
+    that fails is halved until single windows are left: only those that fail
+    alone yield a row with ``error`` set and null outputs, whatever the batch
+    size. Rows stream through in Arrow batches.
     """
     kept = [c for c in windows.columns if c in keys or c == "target"]
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in windows.schema if f.name in kept]
     schema = ", ".join([*fields, *[f"{o} array<double>" for o in outputs], "error string"])
 
+    def forecast(model, contexts: list[np.ndarray]) -> list[tuple]:
+        """Outputs and error of each window."""
+        try:
+            made = model(contexts)
+            arrays = [np.asarray(made[name], dtype=float) for name in outputs]
+            if any(len(x) != len(contexts) for x in arrays):
+                raise ValueError("the model returned another number of windows")
+            return [(*(x[k].tolist() for x in arrays), None) for k in range(len(contexts))]
+        except Exception as problem:  # one bad window must not end the job
+            if len(contexts) == 1:
+                return [(*(None for _ in outputs), f"{type(problem).__name__}: {problem}")]
+            half = len(contexts) // 2
+            return forecast(model, contexts[:half]) + forecast(model, contexts[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_model()
         for batch in batches:
+            if not len(batch):
+                continue
             out = batch[kept].copy()
-            try:
-                made = model([np.asarray(c, dtype=float) for c in batch[context]])
-                for name in outputs:
-                    out[name] = [row.tolist() for row in np.asarray(made[name], dtype=float)]
-                out["error"] = None
-            except Exception as problem:  # one bad batch must not end the job
-                for name in outputs:
-                    out[name] = None
-                out["error"] = f"{type(problem).__name__}: {problem}"
+            made = forecast(model, [np.asarray(c, dtype=float) for c in batch[context]])
+            for k, name in enumerate([*outputs, "error"]):
+                out[name] = [row[k] for row in made]
             yield out
 
     needed = windows.select(*dict.fromkeys([*kept, context]))

@@ -40,8 +40,8 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests on one machine) is a temporary
-    folder made and set as the checkpoint directory.
+    On one machine (tests) a temporary folder is made where none is named; on
+    a cluster that is an error, as executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -49,6 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
     made = tempfile.mkdtemp(prefix="stepgrid-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

@@ -41,12 +41,13 @@ def build_mixed(df: DataFrame) -> DataFrame:
 
 
 def newest_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the one with the greatest order.
+    """One row per key, the one with the greatest order; no order is least.
 
     ``max_by`` over the other columns combines before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_row"))
+    rank = F.struct(F.col(order).isNotNull(), F.col(order))
+    picked = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row"))
     return picked.select(*keys, "_row.*")
 
 
@@ -57,26 +58,45 @@ def merge_results(
     order: str,
     desired: list[str] | None = None,
 ) -> DataFrame:
-    """Union of columns, latest row per key, preferred columns first."""
+    """Union of columns, latest row per key, preferred columns first.
+
+    Stored rows without the order column are older than any new row. Stored
+    rows that lack a key column can't be told apart by it and are all kept.
+    """
     missing = [k for k in keys if k not in new_rows.columns]
     if missing:
         raise ValueError(f"new rows lack key columns {missing}")
-    merged = new_rows if current is None else current.unionByName(new_rows, allowMissingColumns=True)
-    merged = newest_by_key(merged, keys, order)
+    if current is None:
+        merged = newest_by_key(new_rows, keys, order)
+    elif any(k not in current.columns for k in keys):
+        merged = current.unionByName(newest_by_key(new_rows, keys, order), allowMissingColumns=True)
+    else:
+        merged = newest_by_key(current.unionByName(new_rows, allowMissingColumns=True), keys, order)
     first = [c for c in (desired or []) if c in merged.columns]
     return merged.select(*first, *[c for c in merged.columns if c not in first])
 
 
 def upsert_results(
-    spark: SparkSession, base: str, version: int, new_rows: DataFrame, keys: list[str], order: str, desired: list[str] | None = None
+    spark: SparkSession,
+    base: str,
+    version: int,
+    new_rows: DataFrame,
+    keys: list[str],
+    order: str,
+    desired: list[str] | None = None,
+    sort_by: list[str] | None = None,
 ) -> DataFrame:
     """Merge into the next version folder and read it back.
 
     A version is a whole table in its own folder: readers of the old one are
-    not disturbed, and a failed write leaves it in place.
+    not disturbed, and a failed write leaves it in place. ``sort_by`` orders
+    the rows of its files, by those of the columns it has.
     """
     current = spark.read.parquet(f"{base}/version={version}") if version > 0 else None
-    merge_results(current, new_rows, keys, order, desired).write.mode("errorifexists").parquet(f"{base}/version={version + 1}")
+    merged = merge_results(current, new_rows, keys, order, desired)
+    ordered = [c for c in (sort_by or []) if c in merged.columns]
+    merged = merged.orderBy(*ordered) if ordered else merged
+    merged.write.mode("errorifexists").parquet(f"{base}/version={version + 1}")
     return spark.read.parquet(f"{base}/version={version + 1}")
 
 

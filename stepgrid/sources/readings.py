@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+import csv
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.operators.clean import clean_readings, from_ticks, parse_timestamps
 from stepgrid.series import SeriesSpec
+from stepgrid.session import settle
 
 # Accepted column names, in order of preference.
 TIME_NAMES = ("timestamp", "time", "datetime", "date_time", "date")
@@ -23,6 +24,7 @@ VALUE_NAMES = (
     "value",
     "glucose_value_mmol_l",
 )
+BROADCAST_FILES = 10_000  # layouts, a few hundred bytes each, up to which they go to all tasks
 FILE_STEM = r"([^/]+)/([^/]+)\.csv$"
 
 
@@ -62,43 +64,88 @@ def read_nested_subjects(
     return clean_readings(rows, SeriesSpec())
 
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def opened(path: str):
+    """A file of any store Arrow knows, as a stream."""
     from pyarrow import fs
 
-    for batch in batches:
-        heads = []
-        for path in batch["path"]:
-            if path.startswith("file:"):
-                files, name = fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
-            else:
-                files, name = fs.FileSystem.from_uri(path)
-            with files.open_input_stream(name) as stream:
-                heads.append(stream.read(65536).decode("utf-8-sig", "replace").split("\n", 1)[0].strip("\r"))
-        yield batch.assign(header=heads)
+    if path.startswith("file:"):
+        files, name = fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
+    else:
+        files, name = fs.FileSystem.from_uri(path)
+    return files.open_input_stream(name)
+
+
+def read_until(path: str, done: Callable[[bytes], bool], block: int = 65536) -> str:
+    """The beginning of a file, block by block until ``done`` says it is enough."""
+    with opened(path) as stream:
+        data = b""
+        while not done(data):
+            more = stream.read(block)
+            if not more:
+                break
+            data += more
+    return data.decode("utf-8-sig", "replace")
+
+
+def header_line(path: str) -> str:
+    """First line of a file, whatever its length; line ends inside quotes belong to it."""
+    text = read_until(path, lambda data: any(part.count(b'"') % 2 == 0 for part in _prefixes(data)))
+    quoted = False
+    for at, c in enumerate(text):
+        quoted ^= c == '"'
+        if c in "\r\n" and not quoted:
+            return text[:at]
+    return text
+
+
+def _prefixes(data: bytes) -> Iterator[bytes]:
+    at = data.find(b"\n")
+    while at >= 0:
+        yield data[:at]
+        at = data.find(b"\n", at + 1)
 
 
 def source_path() -> Column:
     """Path of the file a row came from, without URL escapes."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return source_path_of("_metadata.file_path")
+
+
+def source_path_of(column: str) -> Column:
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
 
 
-def csv_headers(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """Header line -> files that have it.
+LAYOUT = "path string, header string, time_at int, value_at int, problem string"
 
-    Only the first block of each file is read, on the executors. The driver
-    gets one line per file, as does the file index of any Spark scan.
+
+def csv_layouts(spark: SparkSession, root: str, columns: tuple[str, str] | None = None) -> DataFrame:
+    """One row per CSV file: its header and the places of time and value, or the problem with it.
+
+    Only the first line of each file is read, on the executors.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .load(root)
-        .select("path")
-    )
-    groups: dict[str, list[str]] = defaultdict(list)
-    for row in files.mapInPandas(_first_lines, "path string, header string").toLocalIterator():
-        groups[row.header].append(row.path)
-    return groups
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, at in zip(batch["path"], batch["at"], strict=True):
+                header = header_line(at)
+                names = [c.strip() for c in next(csv.reader([header]), [])]
+                row = {"path": path, "header": header, "time_at": None, "value_at": None, "problem": None}
+                try:
+                    time, value = columns if columns else resolve_columns(names)
+                    row |= {"time_at": names.index(time), "value_at": names.index(value)}
+                except ValueError as problem:
+                    row["problem"] = str(problem)
+                out.append(row)
+            yield pd.DataFrame(out).astype({"time_at": "Int32", "value_at": "Int32"})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
+    files = files.select(F.col("_metadata.file_path").alias("path"), source_path().alias("at"))
+    return files.mapInPandas(resolve, LAYOUT)
+
+
+def unresolved_csvs(spark: SparkSession, root: str, columns: tuple[str, str] | None = None) -> DataFrame:
+    """``path, problem`` of the files :func:`read_subject_csvs` leaves out."""
+    return csv_layouts(spark, root, columns).where("problem IS NOT NULL").select(source_path_of("path").alias("path"), "problem")
 
 
 def read_subject_csvs(
@@ -106,36 +153,31 @@ def read_subject_csvs(
 ) -> DataFrame:
     """A tree of subject CSVs with free headers to clean readings.
 
-    Dataset and subject come from the path by ``path_pattern``. One scan per
-    distinct header; files whose columns cannot be resolved are left out.
+    Dataset and subject come from the path by ``path_pattern``. All files are
+    one scan; each line meets the layout of its file. Files whose columns
+    cannot be resolved are left out and listed by :func:`unresolved_csvs`.
     ``columns`` names time and value for vendor layouts.
     """
-    scans = []
-    for header, paths in csv_headers(spark, root).items():
-        names = [c.strip().strip('"') for c in header.split(",")]
-        try:
-            time, value = columns if columns else resolve_columns(names)
-        except ValueError:
-            continue
-        if time not in names or value not in names:
-            continue
-        schema = ", ".join(f"`{n}` string" for n in names)
-        raw = spark.read.schema(schema).option("header", True).csv(sorted(paths))
-        path = source_path()
-        scans.append(
-            raw.select(
-                F.regexp_extract(path, path_pattern, 1).alias("dataset"),
-                F.regexp_extract(path, path_pattern, 2).alias("subject_id"),
-                path.alias("source"),
-                F.col(f"`{time}`").alias("raw_ts"),
-                F.col(f"`{value}`").alias("value"),
-            )
-        )
-    if not scans:
+    layouts = settle(csv_layouts(spark, root, columns).where("problem IS NULL"), "layouts")
+    files, last = layouts.agg(F.count("*"), F.max(F.greatest("time_at", "value_at"))).first()
+    if not files:
         raise ValueError(f"no usable CSV under {root}")
-    rows = scans[0]
-    for more in scans[1:]:
-        rows = rows.unionByName(more)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+    line = F.regexp_replace("value", "^\ufeff", "")
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), line.alias("line")).where("line <> ''")
+    own = layouts.select("path", "header", "time_at", "value_at")
+    rows = lines.join(F.broadcast(own) if files <= BROADCAST_FILES else own, "path").where("line <> header")
+    # cells behind the last one that any file needs are not parsed
+    rows = rows.withColumn("cells", F.from_csv("line", F.lit(", ".join(f"c{k} string" for k in range(last + 1))), {"columnPruning": "false"}))
+    rows = rows.withColumn("cells", F.array(*[F.col(f"cells.c{k}") for k in range(last + 1)]))
+    path = source_path_of("path")
+    rows = rows.select(
+        F.regexp_extract(path, path_pattern, 1).alias("dataset"),
+        F.regexp_extract(path, path_pattern, 2).alias("subject_id"),
+        path.alias("source"),
+        F.get("cells", F.col("time_at")).alias("raw_ts"),
+        F.get("cells", F.col("value_at")).alias("value"),
+    )
     return clean_readings(parse_timestamps(rows, "raw_ts", ["source"]).drop("raw_ts"), SeriesSpec(), ["source", "value"])
 
 
@@ -166,25 +208,30 @@ def read_event_xml(spark: SparkSession, root: str, variate: str = "glucose_level
     return rows.select("subject_id", ts.alias("ts"), F.col(f"e._{attr}").try_cast("double").alias("value"))
 
 
+def _tsf_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        heads = []
+        for path in batch["path"]:
+            text = read_until(path, lambda data: b"@data" in data and b"\n" in data[data.index(b"@data") :])
+            lines = [line.strip() for line in text.splitlines()]
+            heads.append("\n".join(line for line in lines[: lines.index("@data") + 1 if "@data" in lines else 0] if line.startswith("@")))
+        yield pd.DataFrame({"head": heads})
+
+
 def read_tsf(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
     """Series rows and the header facts of a ``.tsf`` file or folder of
-    files with the same header."""
-    lines = spark.read.text(path, lineSep="\n").select(F.trim("value").alias("line")).filter("line <> ''")
-    # header lines start with '@': a handful per file
-    head = [r.line for r in lines.filter(F.col("line").startswith("@")).distinct().collect()]
+    files with the same header. Only the heads of the files are read for it."""
+    files = spark.read.format("binaryFile").load(path).select(source_path().alias("path"))
+    heads = [r.head for r in files.mapInPandas(_tsf_heads, "head string").distinct().limit(2).collect()]
+    if len(heads) != 1:
+        raise ValueError("files with different headers")
+    head = heads[0].split("\n")
+    ordered = [h.split(" ")[1] for h in head if h.startswith("@attribute")]
     names = {h.split(" ")[1]: h.split(" ")[2] for h in head if h.startswith("@attribute")}
     facts = {h.split(" ")[0][1:]: h.split(" ")[1] for h in head if h.count(" ") == 1}
     if not names or "@data" not in head:
         raise ValueError("missing attribute or data section")
-    ordered = [
-        r.line.split(" ")[1]
-        for r in lines.withColumn("at", F.monotonically_increasing_id())
-        .filter(F.col("line").startswith("@attribute"))
-        .groupBy("line")
-        .agg(F.min("at").alias("at"))
-        .orderBy("at")
-        .collect()
-    ]
+    lines = spark.read.text(path, lineSep="\n").select(F.trim("value").alias("line")).filter("line <> ''")
     parts = F.split("line", ":")
     rows = lines.filter(~F.col("line").startswith("@") & ~F.col("line").startswith("#"))
     rows = rows.withColumn("_p", parts)

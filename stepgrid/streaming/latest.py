@@ -26,18 +26,24 @@ def newest_run(us: np.ndarray, values: np.ndarray, step: int, length: int) -> in
 def latest_stream(readings: DataFrame, spec: SeriesSpec, context: int, watermark: str) -> DataFrame:
     """Emit a subject's newest unbroken context whenever it changes.
 
-    State per subject is its last ``context`` readings, which new and late
-    ones are merged into, and the end of the window emitted last. Repeated
-    timestamps are dropped within the watermark, later readings are dropped.
-    A trigger holds what arrived since the one before; limit a backlog with
-    the source's rate options.
+    State per subject is its readings from the watermark less one context on,
+    which new and late ones are merged into, and the end of the window emitted
+    last: whatever may still arrive finds all readings its window can need, so
+    the stream ends with what the batch operator gives. A subject that the
+    watermark has left behind by a context is forgotten. Repeated timestamps
+    are dropped within the watermark, later readings are dropped; the
+    watermark bounds the state and should be of the order of the lateness.
     """
     step = spec.step_us
+    reach = (context - 1) * step
     rows = readings.withWatermark(spec.ts, watermark).dropDuplicatesWithinWatermark([*spec.keys, spec.ts])
-    rows = rows.select(*spec.keys, F.unix_micros(F.col(spec.ts)).alias("us"), F.col(spec.value).cast("double").alias("v"))
+    rows = rows.select(*spec.keys, spec.ts, F.unix_micros(F.col(spec.ts)).alias("us"), F.col(spec.value).cast("double").alias("v"))
     key_fields = ", ".join(f"{k} string" for k in spec.keys)
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept_us, kept_v, emitted = state.get if state.exists else ([], [], None)
         frames = [pd.DataFrame({"us": list(kept_us), "v": list(kept_v)})] if len(kept_us) else []
         frames += [p[["us", "v"]] for p in parts]
@@ -47,7 +53,10 @@ def latest_stream(readings: DataFrame, spec: SeriesSpec, context: int, watermark
         changed = end is not None and (emitted is None or us[end] > emitted)
         if changed:
             emitted = int(us[end])
-        state.update((us[-context:].tolist(), values[-context:].tolist(), emitted))
+        passed_ms = state.getCurrentWatermarkMs()
+        recent = us >= passed_ms * 1000 - reach
+        state.update((us[recent].tolist(), values[recent].tolist(), emitted))
+        state.setTimeoutTimestamp(max(int(us[-1] + reach) // 1000, passed_ms) + 1)
         if changed:
             window = values[end - context + 1 : end + 1].tolist()
             yield pd.DataFrame([dict(zip(spec.keys, key)) | {"last_us": emitted, "context": window}])
@@ -57,5 +66,5 @@ def latest_stream(readings: DataFrame, spec: SeriesSpec, context: int, watermark
         f"{key_fields}, last_us bigint, context array<double>",
         "us array<bigint>, v array<double>, emitted bigint",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )

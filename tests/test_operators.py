@@ -457,3 +457,96 @@ def test_latest_stream_over_triggers(spark, tmp_path):
     want = one(latest_window(all_rows, spec, 4))
     assert newest.context == want.context == [25.0, 30.0, 35.0, 40.0]
     assert sorted(r.context[0] for r in out.collect()) == [0.0, 25.0]
+
+
+def test_csv_headers_with_quotes_and_length(spark, tmp_path):
+    from stepgrid.sources import readings as src
+
+    folder = tmp_path / "data" / "set"
+    folder.mkdir(parents=True)
+    wide = ",".join(f"column {k} {'x' * 40}" for k in range(3000))  # over 64 KiB
+    (folder / "a.csv").write_text('timestamp,"BG, value"\n2024-01-01 00:00:00,101\n2024-01-01 00:05:00,102\n')
+    (folder / "b.csv").write_text(f"time,glucose,{wide}\n2024-01-01 00:00:00,103{',' * 3000}\n")
+    (folder / "c.csv").write_text("﻿Time , Value \n2024-01-01 00:00:00,104\n", encoding="utf-8")
+    (folder / "d.csv").write_text("one,two\n1,2\n")
+    got = src.read_subject_csvs(spark, str(tmp_path / "data")).collect()
+    assert sorted((r.subject_id, r.value) for r in got) == [("a", 101.0), ("a", 102.0), ("b", 103.0), ("c", 104.0)]
+    left_out = src.unresolved_csvs(spark, str(tmp_path / "data")).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in left_out] == ["d.csv"]
+    assert "no time or value column" in left_out[0].problem
+
+
+def test_upsert_keeps_rows_without_order(spark):
+    from stepgrid.sources.results import merge_results
+
+    stored = spark.createDataFrame([("1", 0.5), ("2", 0.7)], "participant_id string, rmse double")
+    new = spark.createDataFrame([("1", 0.4, 9)], "participant_id string, rmse double, run int")
+    rows = merge_results(stored, new, ["participant_id"], "run").collect()
+    assert sorted((r.participant_id, r.rmse, r.run) for r in rows) == [("1", 0.4, 9), ("2", 0.7, None)]
+
+
+def test_upsert_keeps_rows_that_predate_the_key(spark):
+    from stepgrid.sources.results import merge_results
+
+    stored = spark.createDataFrame([("1", 0.5), ("1", 0.6)], "participant_id string, rmse double")
+    new = spark.createDataFrame([("1", 2, 0.4, 1), ("1", 2, 0.3, 2)], "participant_id string, stride int, rmse double, run int")
+    rows = merge_results(stored, new, ["participant_id", "stride"], "run").collect()
+    assert sorted(r.rmse for r in rows) == [0.3, 0.5, 0.6]
+
+
+def test_only_the_bad_window_fails(spark):
+    from stepgrid.operators.forecast import forecast_apply
+
+    def make_model():
+        def model(contexts):
+            import numpy as np
+
+            if any((c < 0).any() for c in contexts):
+                raise ValueError("negative reading")
+            return {"point": np.array([[c[-1], c[-1]] for c in contexts])}
+
+        return model
+
+    windows = spark.range(300).select("id", F.array(F.col("id").cast("double"), F.when(F.col("id") == 77, -1.0).otherwise(1.0)).alias("context"))
+    out = forecast_apply(windows, ["id"], make_model, ["point"]).collect()
+    assert [r.id for r in out if r.error] == [77]
+    assert sum(r.point == [1.0, 1.0] for r in out) == 299
+
+
+def test_holidays_of_any_year(spark):
+    from stepgrid.functions.calendar import HOLIDAYS, holiday_distance
+
+    days = spark.sql("SELECT explode(array(DATE'1931-05-01', DATE'2010-03-03', NULL)) AS day")
+    rows = holiday_distance(days, "day").collect()
+    assert {r.day.year for r in rows} == {1931, 2010}
+    assert {r.holiday for r in rows if r.day.year == 2010} == set(HOLIDAYS)
+
+
+def test_freq_class(spark):
+    from stepgrid.functions.calendar import freq_class
+
+    want = {"H": 0, "5min": 0, "D": 0, "W": 1, "MS": 1, "M": 1, "ME": 1, "Q": 2, "A": 2, "W-SUN": 1, "Q-DEC": 2, "QS": 0, "x!": None}
+    rows = spark.createDataFrame([(k,) for k in want], "f string").select("f", freq_class(F.col("f")).alias("c")).collect()
+    assert {r.f: r.c for r in rows} == want
+
+
+def test_latest_stream_with_a_late_reading(spark, tmp_path):
+    from stepgrid.operators.windows import latest_window
+    from stepgrid.streaming.latest import latest_stream
+
+    spec = SeriesSpec(step=timedelta(minutes=5))
+    minutes = [0, 5, 10, 20, 30, 40, 15]
+    schema = "dataset string, subject_id string, ts timestamp, value double"
+    rows = spark.createDataFrame([("d", "a", m, float(m)) for m in minutes], "dataset string, subject_id string, m int, value double")
+    rows = rows.select("dataset", "subject_id", F.timestamp_seconds(1_700_000_000 + F.col("m") * 60).alias("ts"), "value")
+    source = str(tmp_path / "in")
+    for part in (minutes[:6], minutes[6:]):
+        rows.filter(F.col("value").isin([float(m) for m in part])).coalesce(1).write.mode("append").parquet(source)
+        job = (
+            latest_stream(spark.readStream.schema(schema).parquet(source), spec, 5, "30 minutes")
+            .writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [r.context for r in out] == [one(latest_window(rows, spec, 5)).context] == [[0.0, 5.0, 10.0, 15.0, 20.0]]

@@ -11,9 +11,11 @@ concentration of that many independent draws.
 Equal sets are one class from then on, however many copies it has. Bands of
 coordinates are buckets. In every bucket the members are first compared with
 one centre only, which joins a group of near copies with as many comparisons
-as members; members that are still in different components are then compared
-with each other, so no candidate pair is left out. All comparisons are made on
-full sets.
+as members. Members of one bucket that are still in different components are
+then compared with each other: pair by pair in small buckets, and in large
+ones block by block, where a task multiplies the incidence matrices of two
+blocks of bounded size and returns one link for every two components that
+have one. No candidate pair is left out. All comparisons are made on full sets.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.llm.components import components
@@ -31,6 +34,9 @@ from stepgrid.session import settle
 
 BANDS, BAND_ROWS = 50, 7  # a pair at 0.8 is missed with probability (1 - 0.8 ** 7) ** 50 = 8e-6
 BROADCAST_IDS = 1_000_000  # ids, 8 bytes each, up to which a set of ids is sent to all tasks
+SMALL = 16  # members up to which a bucket's pairs are rows
+BLOCK = 256  # members of a block of a larger bucket, about
+COLUMNS = 4096  # shingles multiplied at once
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 LOW = np.uint64((1 << 40) - 1)
 
@@ -132,11 +138,15 @@ def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Full sets of the documents ``doc_id``, written to the shared folder."""
+    return settle(set_table(with_ids(docs, settle(ids.distinct(), "ids")), size), "sets")
+
+
+def linked_pairs(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full sets reach the similarity, written to the shared folder."""
     pairs = settle(pairs, "pairs")
-    ids = settle(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "pair-ids")
-    sets = settle(set_table(with_ids(docs, ids), size), "sets")
+    sets = sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), docs, size)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
@@ -145,6 +155,53 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return settle(joined.select("a", "b").distinct(), "links")
 
 
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of incidence matrices over columns of shingles."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column = owner[shared], np.cumsum(often > 1)[column[shared]] - 1
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int((often > 1).sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        present = np.zeros((len(sets), COLUMNS), np.float32)
+        present[owner[lo:hi], column[lo:hi] - first] = 1
+        out += present @ present.T
+    return out
+
+
+def block_links(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """A link ``a, b`` for every two components with one in a bucket of ``bucket, members, rep, component``.
+
+    Members fall into blocks by hash. A member goes to every pair of blocks
+    that holds its own, so each two members meet in one task, which holds two
+    blocks.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep", "bucket"), blocks).cast("int")
+    rows = members.select("bucket", "rep", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    rows = rows.select("bucket", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    sets = sets_of(members.select(F.col("rep").alias("doc_id")), docs, size).withColumnRenamed("doc_id", "rep")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.reset_index(drop=True)
+        n = part["shingles"].map(len).to_numpy()
+        both = common([np.asarray(x, np.int64) for x in part["shingles"]])
+        a, b = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
+        rep, component = part["rep"].to_numpy(), part["component"].to_numpy()
+        found = pd.DataFrame({"a": rep[a], "b": rep[b], "x": np.minimum(component[a], component[b]), "y": np.maximum(component[a], component[b])})
+        return found[found["x"] != found["y"]].drop_duplicates(["x", "y"])[["a", "b"]]
+
+    met = rows.join(sets.hint("merge"), "rep").groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long")
+    return settle(met.select(*ordered_pair("a", "b")).distinct(), "links")
+
+
+def ordered_pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns ``doc_id, n_shingles, component_id, kept``, one row per input row.
 
@@ -168,26 +225,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
 
     # the centre of a bucket is the member that shares buckets with most others
     weight = crowded.groupBy("rep").agg(F.sum("members").alias("weight"))
-    weighted = crowded.join(weight.hint("merge"), "rep")
-    centre = weighted.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("less"), "n_shingles")).alias("c"))
-    centre = centre.select("bucket", (-F.col("c.less")).alias("centre"), F.col("c.n_shingles").alias("centre_n"))
+    weighted = crowded.join(weight.hint("merge"), "rep").select("bucket", "rep", "n_shingles", "weight")
+    first = F.max(F.struct("weight", (-F.col("rep")).alias("less"), "n_shingles")).alias("c")
+    centre = weighted.groupBy("bucket").agg(first).select("bucket", (-F.col("c.less")).alias("centre"), F.col("c.n_shingles").alias("centre_n"))
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    star = crowded.join(centre.hint("merge"), "bucket").where(F.col("rep") != F.col("centre")).where(near("n_shingles", "centre_n"))
-    star = settle(star.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "pairs")
-    links = verified(star, rows, size, percent)
+    star = weighted.join(centre.hint("merge"), "bucket").where(F.col("rep") != F.col("centre")).where(near("n_shingles", "centre_n"))
+    star = settle(star.select(*ordered_pair("rep", "centre")).distinct(), "pairs")
+    links = linked_pairs(star, rows, size, percent)
 
     # members of one bucket that are not yet in one component
     known = components(links).withColumnRenamed("node", "rep")
-    labelled = settle(
-        crowded.join(known.hint("merge"), "rep", "left").select("bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "labelled"
-    )
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = labelled.join(mixed.hint("merge"), "bucket", "left_semi")
-    x, y = open_.alias("x"), open_.alias("y")
+    component = F.coalesce("component", "rep").alias("component")
+    labelled = settle(weighted.join(known.hint("merge"), "rep", "left").select("bucket", "rep", "n_shingles", component), "labelled")
+    counted = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"))
+    mixed = counted.where("lo < hi").select("bucket", "members")
+    open_ = settle(labelled.join(mixed.hint("merge"), "bucket"), "open")
+    few = open_.where(F.col("members") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component"))
-    rest = x.join(y.hint("merge"), apart & near("x.n_shingles", "y.n_shingles"))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star.hint("merge"), ["a", "b"], "left_anti")
-    links = links.union(verified(rest, rows, size, percent))
+    rest = x.join(y.hint("merge"), apart & near("x.n_shingles", "y.n_shingles")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    rest = rest.distinct().join(star.hint("merge"), ["a", "b"], "left_anti")
+    many = open_.where(F.col("members") > SMALL).select("bucket", "members", "rep", "component")
+    links = links.union(linked_pairs(rest, rows, size, percent)).union(block_links(many, rows, size, percent))
 
     final = components(links).withColumnRenamed("node", "rep")
     of_class = settle(classes.join(final.hint("merge"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id")), "classes")

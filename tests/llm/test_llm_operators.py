@@ -16,7 +16,8 @@ from stepgrid.llm.bpe_trie import Vocabulary, encode_and_decode, encode_pieces,
 from stepgrid.llm.decontaminate import contamination, keep_clean, tiled
 from stepgrid.llm.exact_dedup import DigestIndex, deduplicate, keep_distinct
 from stepgrid.llm.language import UNKNOWN, identify
-from stepgrid.llm.near_dedup import keep_one, near_duplicates, shingle_sets, sketches
+from stepgrid.llm import near_dedup as near_module
+from stepgrid.llm.near_dedup import common, keep_one, near_duplicates, shingle_sets, sketches
 from stepgrid.llm.ngrams import Units, bytes_of, estimate, gram_counts, letters_of, log_probabilities, store
 from stepgrid.llm.pieces import distinct_pieces, library, library_encoder, placed
 from stepgrid.llm.quality import keep_good, quality
@@ -250,6 +251,29 @@ def test_near_duplicates_are_all_found(spark, size):
     assert sorted(kept) == sorted(d for d, x in got.items() if x[2])
 
 
+def test_large_buckets_go_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(near_module, "SMALL", 2)
+    monkeypatch.setattr(near_module, "BLOCK", 4)
+    random = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for doc in range(90):  # one family: most pairs are just below the threshold
+        text = list(base)
+        for at in random.choice(60, int(random.integers(1, 4)), replace=False):
+            text[at] = f"z{random.integers(0, 40)}"
+        rows.append((doc, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(table(spark, rows), 4).collect()}
+    assert got == brute_near(rows, 4, 80)
+
+
+def test_common_counts_intersections():
+    random = np.random.default_rng(1)
+    sets = [np.unique(random.integers(0, 9000, n)) for n in (1, 50, 3000, 6000)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = common(sets)
+    assert all(got[i, j] == want[i][j] for i in range(4) for j in range(4) if i != j)
+
+
 def test_sketches_are_full_and_estimate():
     a = " ".join(f"x{k}" for k in range(400))
     b = " ".join(f"x{k}" for k in range(100, 500))

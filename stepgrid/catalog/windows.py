@@ -6,20 +6,22 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import DAY, KEYS, PAIRS, POS, READINGS, SERIES, SHARD, SPEC, query, r6, raw_events, readings, rounded, shard_name, slot, table
+from stepgrid.catalog.base import DAY, KEYS, PAIRS, POS, READINGS, SERIES, SPEC, query, r6, raw_events, readings, rounded, slot, table
 from stepgrid.operators import gaps, windows
 from stepgrid.plans import evaluation
-from stepgrid.series import SeriesSpec
-from stepgrid.sources.series import build_series
+from stepgrid.series import SeriesSpec, with_position
 
 LIMIT = timedelta(days=2)
 CTX, HOR, LEN = 4, 2, 6
 
 
 def _series(spark, sf):
-    rows = build_series(readings(spark, sf), SPEC, "D", ["value"], shard_rows=SHARD)
-    rows = rows.withColumn("item_id", shard_name(F.col("item_id"), F.col("shard")))
-    return rows.withColumn("target", F.col("target").cast("array<double>"))
+    """Readings in single precision, as series are stored."""
+    return readings(spark, sf).withColumn("value", F.col("value").cast("float").cast("double"))
+
+
+def _item():
+    return F.concat_ws("__", *KEYS).alias("item_id")
 
 
 @query(
@@ -258,8 +260,8 @@ for _name, _hor in (("latest_window", 0), ("latest_window_with_truth", HOR)):
       round(list_sum(target[greatest(fs - 5, 1):fs]), 6) AS sum_context, round(list_sum(target[fs + 1:fs + 2]), 6) AS sum_label FROM w""",
 )
 def _(spark, sf):
-    out = windows.rolling_slices(_series(spark, sf), "target", -8, 2, 4, 6, 2)
-    return rounded(out.select("item_id", "window", "forecast_start", _sum("context").alias("sum_context"), _sum("label").alias("sum_label")))
+    out = windows.rolling_slices(_series(spark, sf), SPEC, -8, 2, 4, 6, 2)
+    return rounded(out.select(_item(), "window", F.col("forecast_start").cast("int").alias("forecast_start"), _sum("context").alias("sum_context"), _sum("label").alias("sum_label")))
 
 
 def _sum(name):
@@ -273,8 +275,10 @@ def _sum(name):
       round(list_sum(target[c + 1:c + 2]), 6) AS sum_label FROM f WHERE c >= 1""",
 )
 def _(spark, sf):
-    out = windows.rolling_origin(_series(spark, sf), "target", 2, 3)
-    return rounded(out.select("item_id", "fold", "cut_at", _sum("history").alias("sum_history"), _sum("label").alias("sum_label")))
+    out = windows.rolling_origin(_series(spark, sf), SPEC, 2, 3)
+    of = lambda part: F.sum(F.when(F.col("part") == part, F.col("value")))
+    out = out.groupBy(*KEYS, "fold", "cut_at").agg(of("history").alias("sum_history"), of("label").alias("sum_label"))
+    return rounded(out.select(_item(), "fold", F.col("cut_at").cast("int").alias("cut_at"), "sum_history", "sum_label"))
 
 
 @query(
@@ -284,8 +288,8 @@ def _(spark, sf):
       round(list_sum(target[b + 3:b + 6]), 6) AS sum_y FROM s""",
 )
 def _(spark, sf):
-    out = windows.encoder_decoder(_series(spark, sf), "target", 4, 2, 2)
-    return rounded(out.select("item_id", "s_begin", _sum("seq_x").alias("sum_x"), _sum("seq_y").alias("sum_y")))
+    out = windows.encoder_decoder(_series(spark, sf), SPEC, 4, 2, 2)
+    return rounded(out.select(_item(), F.col("s_begin").cast("int").alias("s_begin"), _sum("seq_x").alias("sum_x"), _sum("seq_y").alias("sum_y")))
 
 
 @query(
@@ -294,8 +298,8 @@ def _(spark, sf):
     SELECT item_id, CAST(b AS INTEGER) AS "at", round(list_sum(target[b + 1:b + 5]), 6) AS sum_window FROM s""",
 )
 def _(spark, sf):
-    out = windows.stepped_windows(_series(spark, sf), "target", 5, 5)
-    return rounded(out.select("item_id", "at", _sum("window").alias("sum_window")))
+    out = windows.stepped_windows(_series(spark, sf), SPEC, 5, 5)
+    return rounded(out.select(_item(), F.col("at").cast("int").alias("at"), _sum("window").alias("sum_window")))
 
 
 @query(
@@ -304,10 +308,10 @@ def _(spark, sf):
       CAST(least(n, 20) AS DOUBLE) AS observed, round(list_sum(target[greatest(n - 19, 1):n]), 6) AS total FROM ser""",
 )
 def _(spark, sf):
-    out = windows.padded_tail(_series(spark, sf), "target", 20)
+    out = windows.padded_tail(_series(spark, sf), SPEC, 20)
     return rounded(
         out.select(
-            "item_id",
+            _item(),
             F.element_at("insample", 1).alias("first_value"),
             F.element_at("insample", 20).alias("last_value"),
             _sum("insample_mask").alias("observed"),
@@ -328,12 +332,11 @@ HASH = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 15) AS BIGINT)"
       CAST(least(n - cut, 4) AS DOUBLE) AS n_out FROM d""",
 )
 def _(spark, sf):
-    rows = _series(spark, sf).filter(F.size("target") > 1)
-    out = windows.cut_point_window(rows, "target", "item_id", 7, 10, 8, 4)
+    out = windows.cut_point_window(_series(spark, sf), SPEC, _item(), 7, 10, 8, 4)
     return rounded(
         out.select(
-            "item_id",
-            "cut",
+            _item(),
+            F.col("cut").cast("int").alias("cut"),
             _sum("insample").alias("sum_in"),
             _sum("outsample").alias("sum_out"),
             _sum("insample_mask").alias("n_in"),
@@ -403,10 +406,10 @@ def _(spark, sf):
       round(list_sum(feat[a + 1:a + have]) + (6 - have) * feat[len(feat)], 6) AS sum_features FROM g""",
 )
 def _(spark, sf):
-    rows = _series(spark, sf)
-    n = F.size("target")
-    rows = rows.withColumn("feat", F.transform(F.slice("target", F.lit(1), F.greatest(n - 3, F.lit(1))), lambda x: x * 2))
-    out = windows.shared_axis_windows(rows, "target", "feat", 1, 4, 2, 3, 5).filter(F.size("feat") > F.col("at"))
+    rows = with_position(_series(spark, sf), SPEC, total="_n")
+    # a covariate that is known for all readings but the last three
+    rows = rows.withColumn("feat", F.when(F.col("pos") < F.greatest(F.col("_n") - 3, F.lit(1)), F.col("value") * 2)).drop("pos", "_n")
+    out = windows.shared_axis_windows(rows, SPEC, "feat", 1, 4, 2, 3, 5)
     return rounded(
-        out.select("item_id", "window", "at", _sum("past").alias("sum_past"), _sum("future").alias("sum_future"), _sum("features").alias("sum_features"))
+        out.select(_item(), "window", F.col("at").cast("int").alias("at"), _sum("past").alias("sum_past"), _sum("future").alias("sum_future"), _sum("features").alias("sum_features"))
     )

@@ -254,93 +254,146 @@ def first_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
-# Windows over series rows (one array per row, see sources.series.build_series)
+# Windows at places counted in readings. Series of any length are cut into row
+# chunks with a halo of one window, so a window is a slice of one bounded array.
 
 
-def rolling_slices(
-    df: DataFrame, target: str, offset: int, distance: int, windows: int, context: int, horizon: int
-) -> DataFrame:
+def chunk_arrays(df: DataFrame, spec: SeriesSpec, length: int) -> DataFrame:
+    """Bounded arrays that hold every run of ``length`` readings of a series.
+
+    One row per chunk: keys, ``n`` (readings of the series), ``base`` (place of
+    the first value), ``values``, and ``lo`` to ``hi``, the places at which
+    windows of this chunk end.
+    """
+    rows = row_chunks(with_position(df, spec, total="_total"), spec, max(length - 1, 1))
+    packed = rows.groupBy(*spec.keys, CHUNK).agg(
+        F.max("_total").alias("n"),
+        F.array_sort(F.collect_list(F.struct("pos", spec.value))).alias("_r"),
+        F.min(F.when(F.col(HOME), F.col("pos"))).alias("lo"),
+        F.max(F.when(F.col(HOME), F.col("pos"))).alias("hi"),
+    )
+    arrays = F.element_at("_r", 1)["pos"].alias("base"), F.col(f"_r.{spec.value}").alias("values")
+    return packed.where("lo IS NOT NULL").select(*spec.keys, "n", *arrays, "lo", "hi")
+
+
+def _between(start: Column, length: Column) -> Column:
+    """Values from a place on, of a chunk whose array holds them."""
+    return F.slice("values", (start - F.col("base") + 1).cast("int"), length.cast("int"))
+
+
+def _ends_here(end: Column) -> Column:
+    return (end >= F.col("lo")) & (end <= F.col("hi"))
+
+
+def _strided(chunks: DataFrame, length: int, stride: int) -> DataFrame:
+    """``at``: starts of all windows of ``length`` that end in the chunk, at multiples of ``stride``."""
+    first = F.ceil(F.greatest(F.col("lo") - length + 1, F.lit(0)) / stride) * stride
+    last = F.col("hi") - length + 1
+    return chunks.where(first <= last).withColumn("at", F.explode(F.sequence(first, last, F.lit(stride).cast("bigint"))))
+
+
+def rolling_slices(df: DataFrame, spec: SeriesSpec, offset: int, distance: int, windows: int, context: int, horizon: int) -> DataFrame:
     """Evaluation windows at ``offset + w * distance``; negative offset counts
     from the end. Contexts are cut to what exists before the forecast start."""
-    n = F.size(target)
-    start = F.when(F.lit(offset) < 0, n + offset).otherwise(F.lit(offset))
-    out = df.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    out = chunk_arrays(df, spec, context + horizon)
+    start = F.col("n") + offset if offset < 0 else F.lit(offset)
+    out = out.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
     out = out.withColumn("forecast_start", start + F.col("window") * distance)
-    out = out.filter((F.col("forecast_start") >= 1) & (F.col("forecast_start") + horizon <= n))
+    out = out.filter((F.col("forecast_start") >= 1) & _ends_here(F.col("forecast_start") + horizon - 1))
     have = F.least(F.col("forecast_start"), F.lit(context))
-    return out.withColumn("context", F.slice(target, F.col("forecast_start") - have + 1, have)).withColumn(
-        "label", F.slice(target, F.col("forecast_start") + 1, F.lit(horizon))
+    return out.select(
+        *spec.keys,
+        "window",
+        "forecast_start",
+        _between(F.col("forecast_start") - have, have).alias("context"),
+        _between(F.col("forecast_start"), F.lit(horizon)).alias("label"),
     )
 
 
-def rolling_origin(df: DataFrame, target: str, prediction_length: int, folds: int) -> DataFrame:
+def rolling_origin(df: DataFrame, spec: SeriesSpec, prediction_length: int, folds: int) -> DataFrame:
     """Backtest: fold k holds out prediction_length values, the last fold the
-    final ones; everything earlier is history."""
-    n = F.size(target)
-    out = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    out = out.withColumn("cut_at", n - (folds - F.col("fold")) * prediction_length).filter("cut_at >= 1")
-    return out.withColumn("history", F.slice(target, F.lit(1), F.col("cut_at"))).withColumn(
-        "label", F.slice(target, F.col("cut_at") + 1, F.lit(prediction_length))
-    )
+    final ones; everything earlier is history. One row per reading and fold
+    (``fold, cut_at, part``), as a history has no bound."""
+    rows = with_position(df, spec, total="_total").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    rows = rows.withColumn("cut_at", F.col("_total") - (folds - F.col("fold")) * prediction_length)
+    rows = rows.filter((F.col("cut_at") >= 1) & (F.col("pos") < F.col("cut_at") + prediction_length))
+    return rows.withColumn("part", F.when(F.col("pos") < F.col("cut_at"), "history").otherwise("label")).drop("_total")
 
 
-def encoder_decoder(df: DataFrame, target: str, seq_len: int, label_len: int, pred_len: int, stride: int = 1) -> DataFrame:
+def encoder_decoder(df: DataFrame, spec: SeriesSpec, seq_len: int, label_len: int, pred_len: int, stride: int = 1) -> DataFrame:
     """Encoder input and decoder target that overlap by ``label_len``."""
-    last = F.size(target) - seq_len - pred_len
-    out = df.filter(last >= 0).withColumn("s_begin", F.explode(F.sequence(F.lit(0), last, F.lit(stride))))
-    return out.withColumn("seq_x", F.slice(target, F.col("s_begin") + 1, F.lit(seq_len))).withColumn(
-        "seq_y", F.slice(target, F.col("s_begin") + seq_len - label_len + 1, F.lit(label_len + pred_len))
+    length = seq_len + pred_len
+    out = _strided(chunk_arrays(df, spec, length), length, stride)
+    return out.select(
+        *spec.keys,
+        F.col("at").alias("s_begin"),
+        _between(F.col("at"), F.lit(seq_len)).alias("seq_x"),
+        _between(F.col("at") + seq_len - label_len, F.lit(label_len + pred_len)).alias("seq_y"),
     )
 
 
-def stepped_windows(df: DataFrame, target: str, size: int, step: int) -> DataFrame:
+def stepped_windows(df: DataFrame, spec: SeriesSpec, size: int, step: int) -> DataFrame:
     """Fixed windows with a step; ``step=size`` gives non-overlapping ones."""
-    last = F.size(target) - size
-    out = df.filter(last >= 0).withColumn("at", F.explode(F.sequence(F.lit(0), last, F.lit(step))))
-    return out.withColumn("window", F.slice(target, F.col("at") + 1, F.lit(size)))
+    out = _strided(chunk_arrays(df, spec, size), size, step)
+    return out.select(*spec.keys, "at", _between(F.col("at"), F.lit(size)).alias("window"))
 
 
-def padded_tail(df: DataFrame, target: str, n: int) -> DataFrame:
-    """Last n values left-padded with zeros, and the 0/1 mask."""
-    have = F.least(F.size(target), F.lit(n))
-    tail = F.slice(target, F.size(target) - have + 1, have)
-    zero = F.lit(0.0)
-    return df.withColumn("insample", F.concat(F.array_repeat(zero, F.lit(n) - have), tail)).withColumn(
-        "insample_mask", F.concat(F.array_repeat(zero, F.lit(n) - have), F.array_repeat(F.lit(1.0), have))
-    )
+def _padded(values: Column, width: int, left: bool) -> tuple[Column, Column]:
+    """Values filled up with zeros to ``width``, and the 0/1 mask."""
+    lack = F.lit(width) - F.size(values)
+    zeros, ones = F.array_repeat(F.lit(0.0), lack), F.array_repeat(F.lit(1.0), F.size(values))
+    return (F.concat(zeros, values), F.concat(zeros, ones)) if left else (F.concat(values, zeros), F.concat(ones, zeros))
 
 
-def cut_point_window(df: DataFrame, target: str, key: str, seed: int, limit: int, insample: int, outsample: int) -> DataFrame:
-    """A seeded cut in the last ``limit`` positions, padded left and right."""
-    n = F.size(target)
-    low = F.greatest(F.lit(1), n - limit)
-    out = df.withColumn("cut", low + hash_below(n - low, F.col(key), F.lit(seed)))
+def padded_tail(df: DataFrame, spec: SeriesSpec, n: int) -> DataFrame:
+    """Last n values left-padded with zeros, and the 0/1 mask."""
+    out = chunk_arrays(df, spec, n).filter(_ends_here(F.col("n") - 1))
+    have = F.least(F.col("n"), F.lit(n))
+    values, mask = _padded(_between(F.col("n") - have, have), n, left=True)
+    return out.select(*spec.keys, values.alias("insample"), mask.alias("insample_mask"))
+
+
+def cut_point_window(df: DataFrame, spec: SeriesSpec, key: Column, seed: int, limit: int, insample: int, outsample: int) -> DataFrame:
+    """A seeded cut in the last ``limit`` positions, padded left and right;
+    ``key`` names the series in the draw. A single reading has no cut."""
+    out = chunk_arrays(df, spec, insample + outsample).filter("n > 1")
+    low = F.greatest(F.lit(1), F.col("n") - limit)
+    out = out.withColumn("cut", low + hash_below(F.col("n") - low, key, F.lit(seed)))
+    ahead = F.least(F.col("n") - F.col("cut"), F.lit(outsample))
+    out = out.withColumn("ahead", ahead).filter(_ends_here(F.col("cut") + F.col("ahead") - 1))
     have = F.least(F.col("cut"), F.lit(insample))
-    ahead = F.least(n - F.col("cut"), F.lit(outsample))
-    zero, one = F.lit(0.0), F.lit(1.0)
-    return out.withColumns(
-        {
-            "insample": F.concat(F.array_repeat(zero, F.lit(insample) - have), F.slice(target, F.col("cut") - have + 1, have)),
-            "insample_mask": F.concat(F.array_repeat(zero, F.lit(insample) - have), F.array_repeat(one, have)),
-            "outsample": F.concat(F.slice(target, F.col("cut") + 1, ahead), F.array_repeat(zero, F.lit(outsample) - ahead)),
-            "outsample_mask": F.concat(F.array_repeat(one, ahead), F.array_repeat(zero, F.lit(outsample) - ahead)),
-        }
-    )
+    before, before_mask = _padded(_between(F.col("cut") - have, have), insample, left=True)
+    after, after_mask = _padded(_between(F.col("cut"), F.col("ahead")), outsample, left=False)
+    named = {"insample": before, "insample_mask": before_mask, "outsample": after, "outsample_mask": after_mask}
+    return out.select(*spec.keys, "cut", *[c.alias(k) for k, c in named.items()])
 
 
 def shared_axis_windows(
-    series: DataFrame, target: str, covariate: str, offset: int, history: int, horizon: int, shift: int, windows: int
+    df: DataFrame, spec: SeriesSpec, covariate: str, offset: int, history: int, horizon: int, shift: int, windows: int
 ) -> DataFrame:
-    """Rolling windows over a shared axis with the covariate cut alongside;
-    a covariate that ends early repeats its last value."""
-    out = series.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
-    out = out.withColumn("at", F.lit(offset) + F.col("window") * shift).filter(F.col("at") + history <= F.size(target))
-    have = F.least(F.lit(history + horizon), F.size(covariate) - F.col("at"))
-    fill = F.array_repeat(F.element_at(covariate, -1), F.lit(history + horizon) - have)
-    return (
-        out.withColumn("past", F.slice(target, F.col("at") + 1, F.lit(history)))
-        .withColumn("future", F.slice(target, F.col("at") + history + 1, F.lit(horizon)))
-        .withColumn("features", F.concat(F.slice(covariate, F.col("at") + 1, have), fill))
+    """Rolling windows over a shared axis with the covariate cut alongside.
+
+    The covariate is known for the first readings of a series and null after
+    them; windows beyond its end are left out, and one it ends in repeats its
+    last value."""
+    pair = F.struct(F.col(spec.value).alias("v"), F.col(covariate).alias("c")).alias(spec.value)
+    length = history + horizon
+    out = chunk_arrays(df.select(*spec.keys, spec.ts, pair), spec, length)
+    out = out.withColumn("window", F.explode(F.sequence(F.lit(0), F.lit(windows - 1))))
+    out = out.withColumn("at", (F.lit(offset) + F.col("window") * shift).cast("bigint"))
+    end = F.least(F.col("at") + length, F.col("n")) - 1
+    out = out.filter((F.col("at") + history <= F.col("n")) & _ends_here(end))
+    out = out.withColumn("_w", _between(F.col("at"), F.least(F.lit(length), F.col("n") - F.col("at"))))
+    features = F.filter("_w.c", lambda c: c.isNotNull())
+    out = out.withColumn("_f", features).filter(F.size("_f") > 0)
+    fill = F.array_repeat(F.element_at("_f", -1), F.lit(length) - F.size("_f"))
+    return out.select(
+        *spec.keys,
+        "window",
+        "at",
+        F.slice("_w.v", 1, history).alias("past"),
+        F.slice("_w.v", history + 1, horizon).alias("future"),
+        F.concat("_f", fill).alias("features"),
     )
 
 

@@ -214,3 +214,37 @@ def test_long_subject_is_spread(spark):
     biggest = sizes.agg(F.max("count")).first()[0]
     assert biggest <= 512 + 10 and sizes.count() >= 39
     assert windows.count_windows(df, spec(512), 150, [1], ["dataset"]).first().windows == 20_000 - 149
+
+
+@pytest.mark.parametrize("chunk", [4, 4096])
+def test_windows_by_place_do_not_depend_on_chunks(spark, chunk):
+    from datetime import timedelta
+
+    from stepgrid.operators import windows as w
+
+    n = 20
+    spec = SeriesSpec(keys=("k",), step=timedelta(minutes=5), chunk_steps=chunk)
+    df = spark.range(n).select(F.lit("s").alias("k"), F.timestamp_seconds(F.col("id") * 300 + F.col("id") % 3).alias("ts"), F.col("id").cast("double").alias("value"))
+    values = [float(v) for v in range(n)]
+    got = {r.s_begin: (r.seq_x, r.seq_y) for r in w.encoder_decoder(df, spec, 4, 2, 2).collect()}
+    assert got == {b: (values[b : b + 4], values[b + 2 : b + 6]) for b in range(15)}
+    got = {r["at"]: r.window for r in w.stepped_windows(df, spec, 5, 5).collect()}
+    assert got == {b: values[b : b + 5] for b in (0, 5, 10, 15)}
+    tails = w.padded_tail(df, spec, 24).collect()
+    assert [(r.insample, r.insample_mask) for r in tails] == [([0.0] * 4 + values, [0.0] * 4 + [1.0] * 20)]
+    rows = w.rolling_origin(df, spec, 2, 2).collect()
+    parts = {(r.fold, r.cut_at, r.part, r.value) for r in rows}
+    assert {(f, c) for f, c, *_ in parts} == {(0, 16), (1, 18)}
+    assert sorted(v for f, _, part, v in parts if f == 1 and part == "label") == [18.0, 19.0]
+    assert sum(part == "history" for f, _, part, _ in parts if f == 0) == 16
+    got = {r.window: (r.forecast_start, r.context, r.label) for r in w.rolling_slices(df, spec, -8, 2, 4, 6, 2).collect()}
+    assert got == {k: (12 + 2 * k, values[6 + 2 * k : 12 + 2 * k], values[12 + 2 * k : 14 + 2 * k]) for k in range(4)}
+    early = {r.window: r.context for r in w.rolling_slices(df, spec, 2, 3, 2, 6, 2).collect()}
+    assert early == {0: values[:2], 1: values[:5]}
+    (cut,) = w.cut_point_window(df, spec, F.col("k"), 7, 10, 8, 4).collect()
+    assert 10 <= cut.cut < 20
+    assert cut.insample == values[cut.cut - 8 : cut.cut] and cut.outsample == (values[cut.cut : cut.cut + 4] + [0.0] * 4)[:4]
+    shared = df.withColumn("feat", F.when(F.col("value") < 14, F.col("value") * 2))
+    got = {r["at"]: (r.past, r.future, r.features) for r in w.shared_axis_windows(shared, spec, "feat", 1, 4, 2, 3, 6).collect()}
+    feats = lambda a: ([2.0 * v for v in range(a, min(a + 6, 14))] + [26.0] * 6)[:6]
+    assert got == {a: (values[a : a + 4], values[a + 4 : a + 6], feats(a)) for a in (1, 4, 7, 10, 13)}

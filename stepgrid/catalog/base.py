@@ -19,7 +19,8 @@ ORACLES: dict[str, str] = {}
 DAY = timedelta(days=1)
 SPEC = SeriesSpec(step=DAY)
 KEYS = ["dataset", "subject_id"]
-SHARD = 4096  # values per array in the array queries
+SHARD = 4096  # values per row of stored series
+WINDOW = 24  # values per window of the queries of window transforms
 
 
 def query(name: str, sql: str | None = None):
@@ -116,8 +117,16 @@ def shard_name(name: Column, shard: Column) -> Column:
     return F.concat(name, F.when(shard > 0, F.concat(F.lit("#"), shard.cast("string"))).otherwise(""))
 
 
-def series_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readings as one bounded array per shard: dataset, subject_id, values."""
-    rows = with_position(readings(spark, sf_dir), SPEC).withColumn("_shard", floor_div(F.col("pos"), SHARD))
-    packed = rows.groupBy(*KEYS, "_shard").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("r"))
-    return packed.select("dataset", shard_name(F.col("subject_id"), F.col("_shard")).alias("subject_id"), F.col("r.value").alias("values"))
+# windows of 24 readings one after another, the last one of a series shorter
+WINDOWED = f"""{READINGS}, numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset, subject_id ORDER BY slot) - 1 AS nth FROM readings),
+sharded AS (
+  SELECT dataset, slot, value, nth % {WINDOW} AS i,
+    subject_id || CASE WHEN nth >= {WINDOW} THEN '#' || CAST(nth // {WINDOW} AS VARCHAR) ELSE '' END AS subject_id FROM numbered)"""
+
+
+def reading_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ``WINDOW`` readings: dataset, subject_id (with the window's number), values."""
+    rows = with_position(readings(spark, sf_dir), SPEC).withColumn("_window", floor_div(F.col("pos"), WINDOW))
+    packed = rows.groupBy(*KEYS, "_window").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("r"))
+    return packed.select("dataset", shard_name(F.col("subject_id"), F.col("_window")).alias("subject_id"), F.col("r.value").alias("values"))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import KEYS, POS, SHARDED, SPEC, query, readings, rounded, series_arrays, table
-from stepgrid.catalog.transforms import ARR, items
+from stepgrid.catalog.base import KEYS, POS, READINGS, SPEC, query, readings, rounded, table
 from stepgrid.functions.hashing import hash_unit
-from stepgrid.operators import sampling
+from stepgrid.operators import sampling, windows
 from stepgrid.operators.windows import latest_window, windows_contiguous
 from stepgrid.session import fresh_path
 from stepgrid.streaming.latest import latest_stream
@@ -49,24 +48,29 @@ def _(spark, sf):
     return out.select("draw", *KEYS, "window_start")
 
 
-LENS = f"""{ARR}, h AS (SELECT item_id, n AS len, {HASH.format('item_id, 5')} AS h FROM arr),
+LENS = f"""{READINGS}, items AS (SELECT dataset || '__' || subject_id AS item_id, count(*) AS n FROM readings GROUP BY dataset, subject_id),
+h AS (SELECT item_id, n AS len, {HASH.format('item_id, 5')} AS h FROM items),
 line AS (SELECT *, sum(len) OVER (ORDER BY h % 4096, h, item_id ROWS UNBOUNDED PRECEDING) - len AS a, row_number() OVER (ORDER BY h % 4096, h, item_id) - 1 AS k FROM h),
 d AS (SELECT draw, {HASH.format('draw, 5')} / 1152921504606846976.0 AS u FROM (SELECT unnest(range(2000)) AS draw))"""
 
 
+def lengths(spark, sf):
+    """Readings per series; no array is built to measure it."""
+    counts = readings(spark, sf).groupBy(*KEYS).agg(F.count("*").alias("length"))
+    return counts.select(F.concat_ws("__", *KEYS).alias("item_id"), "length")
+
+
 @query(
     "length_proportional_sample",
     f"WITH {LENS} SELECT draw, item_id FROM d JOIN line ON floor(u * (SELECT sum(len) FROM h)) >= a AND floor(u * (SELECT sum(len) FROM h)) < a + len",
 )
 def _(spark, sf):
-    rows = items(spark, sf).select("item_id", F.size("full_target").alias("length"))
-    return sampling.sample_series(spark, rows, "item_id", "length", 2000, 5)
+    return sampling.sample_series(spark, lengths(spark, sf), "item_id", "length", 2000, 5)
 
 
 @query("uniform_series_sample", f"WITH {LENS} SELECT draw, item_id FROM d JOIN line ON floor(u * (SELECT count(*) FROM h)) = k")
 def _(spark, sf):
-    rows = items(spark, sf).select("item_id", F.size("full_target").alias("length"))
-    return sampling.sample_series(spark, rows, "item_id", "length", 2000, 5, "uniform")
+    return sampling.sample_series(spark, lengths(spark, sf), "item_id", "length", 2000, 5, "uniform")
 
 
 @query(
@@ -101,21 +105,21 @@ def _(spark, sf):
 
 @query(
     "stack_other_series",
-    f"""WITH {SHARDED}, s AS (SELECT dataset, subject_id, {HASH.format('subject_id, 13')} AS h FROM sharded GROUP BY 1, 2),
+    f"""WITH {READINGS}, s AS (SELECT dataset, subject_id, {HASH.format('subject_id, 13')} AS h FROM readings GROUP BY 1, 2),
     i AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY h % 4096, h, subject_id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM s),
     t AS (SELECT *, 1 + {HASH.format('subject_id, 13')} % least(n, 4) AS take, {HASH.format('subject_id, 14')} % greatest(n - 1, 1) AS turn FROM i),
     p AS (SELECT *, unnest(range(take)) AS slot FROM t), q AS (SELECT *, CASE WHEN slot = 0 THEN i ELSE (i + (turn + slot - 1) % greatest(n - 1, 1) + 1) % n END AS j FROM p)
     SELECT q.dataset, q.subject_id, string_agg(o.subject_id, ',' ORDER BY slot) AS members FROM q JOIN i o ON q.dataset = o.dataset AND q.j = o.i GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    rows = series_arrays(spark, sf)
-    out = sampling.stack_others(rows, ["dataset"], "subject_id", "values", 4, 13)
+    tails = windows.padded_tail(readings(spark, sf), SPEC, 20)  # what is stacked is a window of each series
+    out = sampling.stack_others(tails, ["dataset"], "subject_id", "insample", 4, 13)
     return out.select(*KEYS, F.array_join("members", ",").alias("members"))
 
 
 @query(
     "mixture_sample",
-    f"""WITH {SHARDED}, s AS (SELECT dataset, subject_id, list(value ORDER BY slot) AS v, count(*) AS len, {HASH.format('subject_id, 31')} AS h FROM sharded GROUP BY 1, 2 HAVING count(*) >= 5),
+    f"""WITH {READINGS}, s AS (SELECT dataset, subject_id, list(value ORDER BY slot) AS v, count(*) AS len, {HASH.format('subject_id, 31')} AS h FROM readings GROUP BY 1, 2 HAVING count(*) >= 5),
     i AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY h % 4096, h, subject_id) - 1 AS i, count(*) OVER (PARTITION BY dataset) AS n FROM s),
     d AS (SELECT draw, {HASH.format('draw, 31')} / 1152921504606846976.0 AS u, {HASH.format('draw, 32')} AS r, {HASH.format('draw, 33')} AS c FROM (SELECT unnest(range(1500)) AS draw)),
     e AS (SELECT *, CASE WHEN u < 0.5 THEN 'g0' WHEN u < 0.5 + 0.3 THEN 'g1' ELSE 'g2' END AS dataset FROM d),
@@ -123,8 +127,8 @@ def _(spark, sf):
     SELECT draw, dataset, subject_id, CAST(cut AS INTEGER) AS cut, round(list_sum(v[greatest(cut - 7, 1):cut]), 6) AS sum_past, round(list_sum(v[cut + 1:cut + 2]), 6) AS sum_future FROM f""",
 )
 def _(spark, sf):
-    rows = series_arrays(spark, sf)
-    out = sampling.mixture_sample(spark, rows, "dataset", "subject_id", "values", {"g0": 0.5, "g1": 0.3, "g2": 0.2}, 1500, 31, 3, 8, 2)
+    shares = {"g0": 0.5, "g1": 0.3, "g2": 0.2}
+    out = sampling.mixture_sample(spark, readings(spark, sf), SPEC, "dataset", "subject_id", shares, 1500, 31, 3, 8, 2)
 
     def total(c):
         return F.aggregate(c, F.lit(0.0), lambda a, v: a + v)

@@ -1,4 +1,4 @@
-"""Array transforms over windows and series shards."""
+"""Array transforms over windows of readings."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import KEYS, POS, SHARDED, SPEC, query, r6, readings, rounded, series_arrays, slot, table
+from stepgrid.catalog.base import KEYS, POS, SPEC, WINDOWED, query, r6, reading_windows, readings, rounded, slot, table
 from stepgrid.functions import arrays
 from stepgrid.operators import packing, sampling, spectral
 from stepgrid.operators.windows import lag_rows, windows_contiguous
@@ -14,21 +14,21 @@ from stepgrid.series import with_position
 
 HASH = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 15) AS BIGINT)"
 
-# one array per series shard, values over 100 missing
-ARR = f"""{SHARDED}, arr AS (
+# one array per window, values over 100 missing
+ARR = f"""{WINDOWED}, arr AS (
   SELECT dataset || '__' || subject_id AS item_id, list(value ORDER BY slot) AS full_target, count(*) AS n,
     list(CASE WHEN value < 100 THEN value END ORDER BY slot) AS target
   FROM sharded GROUP BY dataset, subject_id)"""
 
 # the same as rows
-LONG = f"""{SHARDED}, long AS (
+LONG = f"""{WINDOWED}, long AS (
   SELECT dataset || '__' || subject_id AS item_id, i, count(*) OVER (PARTITION BY dataset, subject_id) AS n,
     value AS full_value, CASE WHEN value < 100 THEN value END AS value FROM sharded)"""
 
 
 def items(spark, sf):
-    """One row per series shard with the whole and the gappy array."""
-    return series_arrays(spark, sf).select(
+    """One row per window with the whole and the gappy array."""
+    return reading_windows(spark, sf).select(
         F.concat_ws("__", *KEYS).alias("item_id"),
         F.col("values").alias("full_target"),
         F.transform("values", lambda v: F.when(v < 100, v)).alias("target"),

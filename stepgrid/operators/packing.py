@@ -62,8 +62,11 @@ def pack_sequences(df: DataFrame, key: str, sequence: str, max_length: int, batc
 
 
 def pad_sequences(df: DataFrame, sequence: str, max_length: int) -> DataFrame:
-    """Right-padded values with sample id 1 for data and 0 for padding."""
+    """Right-padded values with sample id 1 for data and 0 for padding; a
+    longer sequence fails the job."""
     n = F.size(sequence)
-    return df.withColumn("values", F.concat(F.col(sequence), F.array_repeat(F.lit(0.0), max_length - n))).withColumn(
-        "sample_id", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), max_length - n))
+    too_long = F.raise_error(F.concat(F.lit(f"sequence longer than {max_length}: "), n.cast("string")))
+    room = F.when(n <= max_length, max_length - n).otherwise(too_long.cast("int"))
+    return df.withColumn("values", F.concat(F.col(sequence), F.array_repeat(F.lit(0.0), room))).withColumn(
+        "sample_id", F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), room))
     )

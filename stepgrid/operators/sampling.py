@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.functions.hashing import hash_below, hash_unit, seeded_hash
 from stepgrid.operators.ranks import dense_index, index_in_order, prefix_by_hash, smallest
+from stepgrid.operators.windows import between, chunk_arrays, chunk_width
 from stepgrid.series import SeriesSpec, spread_join
 
 
@@ -101,12 +102,16 @@ def stack_others(series: DataFrame, group: list[str], key: str, values: str, max
 
 
 def mixture_sample(
-    spark: SparkSession, series: DataFrame, dataset: str, key: str, values: str, probabilities: dict[str, float], n: int, seed: int, min_past: int, context: int, horizon: int
+    spark: SparkSession, df: DataFrame, spec: SeriesSpec, dataset: str, key: str, probabilities: dict[str, float], n: int, seed: int, min_past: int, context: int, horizon: int
 ) -> DataFrame:
     """Draw a dataset by probability, a series of it, then a cut with at
-    least ``min_past`` values before it and a full horizon after it."""
-    usable = series.filter(F.size(values) >= min_past + horizon)
-    numbered = dense_index(usable.select(dataset, key, values), [key], "_i", seed, within=[dataset])
+    least ``min_past`` values before it and a full horizon after it.
+
+    Series are drawn by their lengths; a draw then meets the one chunk of its
+    series that holds the window around the cut.
+    """
+    lengths = df.groupBy(dataset, key).agg(F.count("*").alias("_len")).filter(F.col("_len") >= min_past + horizon)
+    numbered = dense_index(lengths, [key], "_i", seed, within=[dataset])
     sizes = numbered.groupBy(dataset).agg(F.count("*").alias("_n"))
     total, run, choice = sum(probabilities.values()), 0.0, None
     u = hash_unit(F.col("draw"), F.lit(seed))
@@ -116,19 +121,23 @@ def mixture_sample(
     draws = spark.range(n).withColumnRenamed("id", "draw").withColumn(dataset, choice.otherwise(list(probabilities)[-1]))
     picked = spread_join(draws, sizes, [dataset]).withColumn("_i", F.pmod(seeded_hash(F.col("draw"), F.lit(seed + 1)), F.col("_n")))
     rows = picked.join(numbered, [dataset, "_i"])
-    room = F.size(values) - horizon - min_past + 1
-    cut = min_past + hash_below(room, F.col("draw"), F.lit(seed + 2))
-    have = F.least(cut, F.lit(context))
+    room = F.col("_len") - horizon - min_past + 1
+    rows = rows.withColumn("cut", min_past + hash_below(room, F.col("draw"), F.lit(seed + 2)))
+    chunks, width = chunk_arrays(df, spec, context + horizon), chunk_width(spec, context + horizon)
+    rows = rows.withColumn("_c", F.floor((F.col("cut") + horizon - 1) / width))
+    rows = rows.join(chunks.withColumn("_c", F.floor(F.col("lo") / width)), [dataset, key, "_c"])
+    have = F.least(F.col("cut"), F.lit(context))
     return rows.select(
         "draw",
         dataset,
         key,
-        cut.alias("cut"),
-        F.slice(values, cut - have + 1, have).alias("past"),
-        F.slice(values, cut + 1, F.lit(horizon)).alias("future"),
+        "cut",
+        between(F.col("cut") - have, have).alias("past"),
+        between(F.col("cut"), F.lit(horizon)).alias("future"),
     )
 
 
+
 def shuffle_rows(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     """A seeded random order: a range-partitioned sort by hash."""
     return df.orderBy(seeded_hash(*[F.col(k) for k in keys], F.lit(seed)), *keys)

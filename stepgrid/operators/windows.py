@@ -258,6 +258,11 @@ def first_n(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
 # chunks with a halo of one window, so a window is a slice of one bounded array.
 
 
+def chunk_width(spec: SeriesSpec, length: int) -> int:
+    """Places that a row chunk of windows of ``length`` spans."""
+    return max(spec.chunk_steps, 4 * max(length - 1, 1))
+
+
 def chunk_arrays(df: DataFrame, spec: SeriesSpec, length: int) -> DataFrame:
     """Bounded arrays that hold every run of ``length`` readings of a series.
 
@@ -276,7 +281,7 @@ def chunk_arrays(df: DataFrame, spec: SeriesSpec, length: int) -> DataFrame:
     return packed.where("lo IS NOT NULL").select(*spec.keys, "n", *arrays, "lo", "hi")
 
 
-def _between(start: Column, length: Column) -> Column:
+def between(start: Column, length: Column) -> Column:
     """Values from a place on, of a chunk whose array holds them."""
     return F.slice("values", (start - F.col("base") + 1).cast("int"), length.cast("int"))
 
@@ -305,8 +310,8 @@ def rolling_slices(df: DataFrame, spec: SeriesSpec, offset: int, distance: int,
         *spec.keys,
         "window",
         "forecast_start",
-        _between(F.col("forecast_start") - have, have).alias("context"),
-        _between(F.col("forecast_start"), F.lit(horizon)).alias("label"),
+        between(F.col("forecast_start") - have, have).alias("context"),
+        between(F.col("forecast_start"), F.lit(horizon)).alias("label"),
     )
 
 
@@ -327,15 +332,15 @@ def encoder_decoder(df: DataFrame, spec: SeriesSpec, seq_len: int, label_len: in
     return out.select(
         *spec.keys,
         F.col("at").alias("s_begin"),
-        _between(F.col("at"), F.lit(seq_len)).alias("seq_x"),
-        _between(F.col("at") + seq_len - label_len, F.lit(label_len + pred_len)).alias("seq_y"),
+        between(F.col("at"), F.lit(seq_len)).alias("seq_x"),
+        between(F.col("at") + seq_len - label_len, F.lit(label_len + pred_len)).alias("seq_y"),
     )
 
 
 def stepped_windows(df: DataFrame, spec: SeriesSpec, size: int, step: int) -> DataFrame:
     """Fixed windows with a step; ``step=size`` gives non-overlapping ones."""
     out = _strided(chunk_arrays(df, spec, size), size, step)
-    return out.select(*spec.keys, "at", _between(F.col("at"), F.lit(size)).alias("window"))
+    return out.select(*spec.keys, "at", between(F.col("at"), F.lit(size)).alias("window"))
 
 
 def _padded(values: Column, width: int, left: bool) -> tuple[Column, Column]:
@@ -349,7 +354,7 @@ def padded_tail(df: DataFrame, spec: SeriesSpec, n: int) -> DataFrame:
     """Last n values left-padded with zeros, and the 0/1 mask."""
     out = chunk_arrays(df, spec, n).filter(_ends_here(F.col("n") - 1))
     have = F.least(F.col("n"), F.lit(n))
-    values, mask = _padded(_between(F.col("n") - have, have), n, left=True)
+    values, mask = _padded(between(F.col("n") - have, have), n, left=True)
     return out.select(*spec.keys, values.alias("insample"), mask.alias("insample_mask"))
 
 
@@ -362,8 +367,8 @@ def cut_point_window(df: DataFrame, spec: SeriesSpec, key: Column, seed: int, li
     ahead = F.least(F.col("n") - F.col("cut"), F.lit(outsample))
     out = out.withColumn("ahead", ahead).filter(_ends_here(F.col("cut") + F.col("ahead") - 1))
     have = F.least(F.col("cut"), F.lit(insample))
-    before, before_mask = _padded(_between(F.col("cut") - have, have), insample, left=True)
-    after, after_mask = _padded(_between(F.col("cut"), F.col("ahead")), outsample, left=False)
+    before, before_mask = _padded(between(F.col("cut") - have, have), insample, left=True)
+    after, after_mask = _padded(between(F.col("cut"), F.col("ahead")), outsample, left=False)
     named = {"insample": before, "insample_mask": before_mask, "outsample": after, "outsample_mask": after_mask}
     return out.select(*spec.keys, "cut", *[c.alias(k) for k, c in named.items()])
 
@@ -383,7 +388,7 @@ def shared_axis_windows(
     out = out.withColumn("at", (F.lit(offset) + F.col("window") * shift).cast("bigint"))
     end = F.least(F.col("at") + length, F.col("n")) - 1
     out = out.filter((F.col("at") + history <= F.col("n")) & _ends_here(end))
-    out = out.withColumn("_w", _between(F.col("at"), F.least(F.lit(length), F.col("n") - F.col("at"))))
+    out = out.withColumn("_w", between(F.col("at"), F.least(F.lit(length), F.col("n") - F.col("at"))))
     features = F.filter("_w.c", lambda c: c.isNotNull())
     out = out.withColumn("_f", features).filter(F.size("_f") > 0)
     fill = F.array_repeat(F.element_at("_f", -1), F.lit(length) - F.size("_f"))

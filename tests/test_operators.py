@@ -550,3 +550,27 @@ def test_latest_stream_with_a_late_reading(spark, tmp_path):
         job.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [r.context for r in out] == [one(latest_window(rows, spec, 5)).context] == [[0.0, 5.0, 10.0, 15.0, 20.0]]
+
+
+def test_padding_refuses_longer_sequences(spark):
+    from stepgrid.operators.packing import pad_sequences
+
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0, 2.0, 3.0, 4.0, 5.0],)], "v array<double>")
+    assert pad_sequences(df.limit(1), "v", 4).first()["values"] == [1.0, 2.0, 0.0, 0.0]
+    with pytest.raises(Exception, match="sequence longer than 4"):
+        pad_sequences(df, "v", 4).collect()
+
+
+@pytest.mark.parametrize("chunk", [4, 4096])
+def test_mixture_sample_cuts_whole_series(spark, chunk):
+    from stepgrid.operators.sampling import mixture_sample
+
+    spec = SeriesSpec(step=timedelta(minutes=5), chunk_steps=chunk)
+    rows = spark.range(90).select(
+        F.lit("d").alias("dataset"), (F.col("id") % 2).cast("string").alias("subject_id"), F.timestamp_seconds(F.col("id") * 300).alias("ts"), F.col("id").cast("double").alias("value")
+    )
+    out = mixture_sample(spark, rows, spec, "dataset", "subject_id", {"d": 1.0}, 300, 3, 3, 8, 2).collect()
+    assert len(out) == 300 and max(r.cut for r in out) > 35
+    for r in out:
+        series = [float(v) for v in range(int(r.subject_id), 90, 2)]
+        assert r.past == series[max(r.cut - 8, 0) : r.cut] and r.future == series[r.cut : r.cut + 2]

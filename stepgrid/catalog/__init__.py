@@ -5,7 +5,7 @@ from importlib import import_module
 from stepgrid.catalog.base import ORACLES, QUERIES
 
 MODULE_OF: dict[str, str] = {}
-TOPICS = ("windows", "cleaning", "transforms", "calendar", "scoring", "clinical", "rollups", "forecasting", "sampling")
+TOPICS = ("windows", "cleaning", "transforms", "calendar", "scoring", "clinical", "rollups", "forecasting", "sampling", "inputs")
 
 for _topic in TOPICS:
     _known = set(QUERIES)

@@ -118,3 +118,17 @@ def split_key(key: Column, names: list[str], sep: str = "-") -> dict[str, Column
 def boolish(text: Column) -> Column:
     """Tolerant boolean: 1, true, t, yes, y; anything else is false."""
     return F.coalesce(F.lower(F.trim(text.cast("string"))).isin("1", "true", "t", "yes", "y"), F.lit(False))
+
+
+def dataset_choice(dataset: Column, kind: Column, choices: dict[str, str], default: str = "identity") -> Column:
+    """What a dataset is assigned: by its name, else by its type, else the
+    entry ``default``, else ``default`` itself."""
+    table = F.create_map(*[F.lit(x) for pair in choices.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, dataset), F.try_element_at(table, kind), F.lit(choices.get("default", default)))
+
+
+def at_horizon(minutes: Column | None, steps: Column | None, wanted: int, step_minutes: int) -> Column:
+    """Whether a row is about one horizon, told in minutes or in steps."""
+    by_minutes = minutes == wanted if minutes is not None else F.lit(None).cast("boolean")
+    by_steps = steps * step_minutes == wanted if steps is not None else F.lit(None).cast("boolean")
+    return F.coalesce(by_minutes, by_steps, F.lit(False))

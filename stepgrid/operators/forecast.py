@@ -208,3 +208,26 @@ def future_mismatch(expected: DataFrame, future: DataFrame, on: list[str]) -> Da
     both = left.join(right, on, "full_outer")
     side = F.when(F.col("_e").isNull(), "unexpected").when(F.col("_f").isNull(), "missing")
     return both.withColumn("problem", side).filter("problem is not null").drop("_e", "_f")
+
+
+def future_covariates(expected: DataFrame, future: DataFrame, keys: list[str], ts: str, columns: list[str]) -> DataFrame:
+    """One row per item: each covariate as an array over the predicted steps.
+
+    ``expected`` has ``keys, horizon_step, ts`` (see ``windows.future_timestamps``),
+    so an array is as long as the horizon. A step without a row in ``future``
+    is null in the arrays; ``n_missing`` counts those and ``n_extra`` the rows
+    of ``future`` at other times, both zero for a valid input.
+    """
+    rows = future.select(*keys, ts, F.struct(*columns).alias("_c"))
+    met = expected.join(rows, [*keys, ts], "full_outer")
+    one = F.when(F.col("horizon_step").isNotNull(), F.struct("horizon_step", "_c"))
+    out = met.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(one)).alias("_r"),
+        F.count_if(F.col("_c").isNull()).alias("n_missing"),
+        F.count_if(F.col("horizon_step").isNull()).alias("n_extra"),
+    )
+    return out.select(*keys, *[_field("_r", c) for c in columns], "n_missing", "n_extra")
+
+
+def _field(rows: str, name: str) -> Column:
+    return F.transform(rows, lambda r: r["_c"][name]).alias(name)

@@ -186,3 +186,9 @@ def masked_score(df: DataFrame, masked: Column, pred: str, truth: str) -> DataFr
     """MSE and MAE over the masked cells only."""
     e = F.when(masked, F.col(pred) - F.col(truth))
     return df.agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.count(e).alias("n"))
+
+
+def limit_ids(df: DataFrame, key: str, limit: float) -> DataFrame:
+    """Rows of the first ids: ``limit`` is a number above one, or else a share of all ids."""
+    n = int(limit) if limit > 1 else int(limit * df.agg(F.count_distinct(key)).first()[0])
+    return first_ids(df, key, n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepgrid.series import spread_join
@@ -86,7 +86,7 @@ def category_index(df: DataFrame, column: str, out: str) -> DataFrame:
     The index is taken from the distinct categories (aggregated first) and
     joined back; the fact table itself is never sorted.
     """
-    from pyspark.sql import Window
+
 
     names = df.select(column).distinct()
     coded = names.withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
@@ -101,3 +101,12 @@ def target_encode(df: DataFrame, keys: list[str], column: str, target: str, smoo
         "encoded", (F.col("_s") + smooth * F.col("_m")) / (F.col("_n") + smooth)
     )
     return spread_join(df, coded.select(*keys, column, "encoded"), [*keys, column])
+
+
+def ordinal_encode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Number of each category of a series in the order of its text, as
+    ``encoded``; categories combine before they are numbered."""
+    cats = df.select(*keys, column).distinct().filter(F.col(column).isNotNull())
+    place = Window.partitionBy(*keys).orderBy(F.col(column).cast("string"))
+    coded = cats.withColumn("encoded", (F.row_number().over(place) - 1).cast("double"))
+    return spread_join(df, coded, [*keys, column], how="left")

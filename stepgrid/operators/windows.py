@@ -443,3 +443,9 @@ def infer_freq(df: DataFrame, spec: SeriesSpec) -> DataFrame:
         .when((F.col("edge") == 1) & (F.col("mlo") == F.col("mhi")), F.concat(F.col("mlo").cast("string"), F.lit("mo")))
     )
     return found.select(*spec.keys, "n", name.alias("freq"))
+
+
+def patched_context(windows: DataFrame, patch: int, context: str = "context") -> DataFrame:
+    """Contexts cut to their newest whole patches; those below one patch are left out."""
+    size = F.size(context) - F.size(context) % patch
+    return windows.filter(size > 0).withColumn(context, F.slice(context, F.size(context) - size + 1, size))

@@ -125,3 +125,13 @@ def quantile_columns(levels: list[float], kind: str = "level") -> list[Column]:
         side = "lo" if q < 0.5 else "hi"
         out.append(F.col(f"`{side}-{level}`").alias(f"q{round(q * 100)}"))
     return out
+
+
+def level_columns(levels: list[float], median: str = "median") -> list[Column]:
+    """Rename quantile columns (q10, q50, ...) back to lo/hi levels."""
+    out = []
+    for q in levels:
+        level = round(abs(1 - 2 * q) * 100)
+        name = median if level == 0 else f"{'lo' if q < 0.5 else 'hi'}-{level}"
+        out.append(F.col(f"q{round(q * 100)}").alias(name))
+    return out

@@ -86,8 +86,6 @@ def category_index(df: DataFrame, column: str, out: str) -> DataFrame:
     The index is taken from the distinct categories (aggregated first) and
     joined back; the fact table itself is never sorted.
     """
-
-
     names = df.select(column).distinct()
     coded = names.withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
     return spread_join(df, coded, [column])

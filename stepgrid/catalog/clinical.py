@@ -152,11 +152,11 @@ def _(spark, sf):
     f"""WITH {GLU}, e AS (SELECT dataset, subject_id, CASE WHEN t > 180 THEN 'Hyper (>180)' WHEN t >= 70 THEN 'In-range [70,180]' ELSE 'Hypo (<70)' END AS stratum, pow(t - p, 2) AS e FROM glu),
     r AS (SELECT dataset, subject_id, stratum, sqrt(avg(e)) AS r FROM e GROUP BY 1, 2, 3),
     c AS (SELECT stratum, dataset, printf('%.2f (%.2f)', avg(r), coalesce(stddev_samp(r), 0)) AS cell FROM r GROUP BY 1, 2)
-    SELECT stratum, coalesce(max(cell) FILTER (dataset = 'g0'), '') AS g0, coalesce(max(cell) FILTER (dataset = 'g1'), '') AS g1, coalesce(max(cell) FILTER (dataset = 'g9'), '') AS g9 FROM c GROUP BY 1""",
+    SELECT stratum, coalesce(max(cell) FILTER (dataset = 'g0'), '') AS g0, coalesce(max(cell) FILTER (dataset = 'g1'), '') AS g1, coalesce(max(cell) FILTER (dataset = 'g2'), '') AS g2, coalesce(max(cell) FILTER (dataset = 'g9'), '') AS g9 FROM c GROUP BY 1""",
 )
 def _(spark, sf):
     each = rollup.strata_rmse(glucose(spark, sf), KEYS)
-    return rollup.strata_table(each, "dataset", ["g0", "g1", "g9"])
+    return rollup.strata_table(each, "dataset", ["g0", "g1", "g2", "g9"])
 
 
 @query("zone_summary_by_dataset", f"WITH {ZONED} SELECT dataset, {SUMMARY} FROM zoned GROUP BY 1")

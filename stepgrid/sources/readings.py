@@ -222,10 +222,11 @@ def read_tsf(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]
     """Series rows and the header facts of a ``.tsf`` file or folder of
     files with the same header. Only the heads of the files are read for it."""
     files = spark.read.format("binaryFile").load(path).select(source_path().alias("path"))
-    heads = [r.head for r in files.mapInPandas(_tsf_heads, "head string").distinct().limit(2).collect()]
-    if len(heads) != 1:
+    heads = files.mapInPandas(_tsf_heads, "head string").where("head <> ''")  # a part of a file may have none
+    heads = [r.head for r in heads.distinct().limit(2).collect()]
+    if len(heads) > 1:
         raise ValueError("files with different headers")
-    head = heads[0].split("\n")
+    head = "".join(heads).split("\n")
     ordered = [h.split(" ")[1] for h in head if h.startswith("@attribute")]
     names = {h.split(" ")[1]: h.split(" ")[2] for h in head if h.startswith("@attribute")}
     facts = {h.split(" ")[0][1:]: h.split(" ")[1] for h in head if h.count(" ") == 1}

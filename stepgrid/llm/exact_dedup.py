@@ -104,11 +104,13 @@ def keep_distinct(docs: DataFrame, index: DigestIndex) -> DataFrame:
     groups = text_groups(docs)
     fresh = index.new_groups(groups)
     columns = docs.columns
-    mark, key = f"_digest_{uuid.uuid4().hex[:8]}", f"_id_{uuid.uuid4().hex[:8]}"
-    stay = fresh.select(F.col("digest").alias(mark), F.col("keep_id").alias(key))
-    rows = docs.withColumns({mark: digest("text"), key: F.col("doc_id").cast("long")}).dropDuplicates([mark, key])
-    same_id = F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}"))
-    out = rows.alias("r").join(stay.alias("s").hint("merge"), (F.col(f"r.{mark}") == F.col(f"s.{mark}")) & same_id, "left_semi")
+    tag = uuid.uuid4().hex[:8]
+    mark, key, lacks = f"_digest_{tag}", f"_id_{tag}", f"_lacks_{tag}"
+    # an id and whether it is missing: equal keys of both steps, so one exchange serves both
+    at = lambda c: {key: F.coalesce(c, F.lit(0).cast("long")), lacks: c.isNull()}
+    stay = fresh.withColumns(at(F.col("keep_id"))).select(F.col("digest").alias(mark), key, lacks)
+    rows = docs.withColumns({mark: digest("text"), **at(F.col("doc_id").cast("long"))}).dropDuplicates([mark, key, lacks])
+    out = rows.join(stay.hint("merge"), [mark, key, lacks], "left_semi")
     out = out.select(*[F.col(f"`{c}`") for c in columns])
     path = fresh_path(docs.sparkSession, "distinct")
     out.write.parquet(path)

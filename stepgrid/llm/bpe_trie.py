@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.llm.pieces import distinct_pieces, library, remembered
-from stepgrid.llm.textbytes import BASE, slices, worker_state
+from stepgrid.llm.textbytes import BASE, own_worker, slices, worker_state
 
 DEEP = 48  # bytes; longer words are walked one by one, with the same states
 STEP = np.uint64(BASE)
@@ -83,7 +83,7 @@ class Vocabulary:
         known = self.pairs.get(key)
         if known is None:
             a, b = self.bytes_of[left], self.bytes_of[right]
-            if len(self.pairs) > 2_000_000:  # a limit of memory
+            if len(self.pairs) > 500_000:  # a limit of memory
                 self.pairs.clear()
             known = self.pairs[key] = self.merged(a + b) == [a, b]
         return known
@@ -257,6 +257,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("tokens")
         for batch in slices(batches):
             pieces, codes, at = distinct_pieces(batch.column("text"))
             found = remembered(f"trie {tokenizer}", lambda new: encode_pieces(new, tokenizer), pieces)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepgrid.llm.textbytes import flat, run_hashes, slices, word_hashes, words
+from stepgrid.llm.textbytes import flat, own_worker, run_hashes, slices, word_hashes, words
 
 SEED = 5  # words of the shortest tile
 COVERAGE = 0.5  # share of an item's words in tiles from which a document counts as contaminated
@@ -147,6 +147,7 @@ def contamination(
         sent = docs.sparkSession.sparkContext.broadcast((ids, Block(texts)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            own_worker("sets")
             ids, block = sent.value
             for batch in slices(batches, text_column):
                 best = batch.column("coverage").to_pylist()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.llm.ngrams import SCORE_BYTES, Model, Units, estimate, gram_counts, letters_of, log_probabilities, store
-from stepgrid.llm.textbytes import slices
+from stepgrid.llm.textbytes import own_worker, slices
 from stepgrid.session import settle
 
 UNITS = Units(letters_of, bits=16, order=4, alphabet=1 << 16)
@@ -44,6 +44,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     fields = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("models")
         for batch in slices(batches, size=SCORE_BYTES):
             grams, at = model.units.grams(batch.column("text"))
             letter = (grams & np.uint64(0xFFFF)) != 0x20

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepgrid.llm.textbytes import BASE, flat, mix, slices, worker_state
+from stepgrid.llm.textbytes import BASE, flat, mix, own_worker, slices, worker_state
 from stepgrid.llm.token_files import opened
 from stepgrid.session import fresh_path, settle
 
 SHARD_ROWS = 2_000_000  # 12 bytes each
-SHARD_CACHE = 128 << 20  # bytes of shards a worker keeps
+SHARD_CACHE = 96 << 20  # bytes of shards a worker keeps
 SCORE_BYTES = 3 << 20  # text scored at once: each unit takes some 60 bytes meanwhile
 FLUSH = 3_000_000  # distinct n-grams a task holds before it sends them
 
@@ -106,6 +106,7 @@ def gram_counts(docs: DataFrame, units: Units) -> DataFrame:
     """``group, gram, n`` over the whole texts of ``docs`` (columns ``group, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("models")
         held: dict[str, list] = {}
 
         def merged(parts):

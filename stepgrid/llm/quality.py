@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.llm.near_dedup import BROADCAST_IDS, with_ids
 from stepgrid.llm.ngrams import SCORE_BYTES, Model, Units, bytes_of, estimate, gram_counts, log_probabilities, store
-from stepgrid.llm.textbytes import slices
+from stepgrid.llm.textbytes import own_worker, slices
 from stepgrid.session import settle
 
 UNITS = Units(bytes_of, bits=8, order=5, alphabet=256)
@@ -37,6 +37,7 @@ def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, row, group, n_units, perplexity`` of rows ``doc_id, row, group, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("models")
         for batch in slices(batches, size=SCORE_BYTES):
             groups = batch.column("group").dictionary_encode()
             codes = groups.indices.to_numpy()

@@ -7,6 +7,7 @@ pre-tokens are positions in it.
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -22,12 +23,26 @@ BASE = 0x9E3779B97F4A7C15 | 1
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+def own_worker(owner: str) -> None:
+    """Say what this Python worker does from now on; what it kept for another purpose goes.
+
+    Workers are reused from stage to stage, and what an idle one keeps is
+    memory its executor lacks.
+    """
+    home = sys.modules.setdefault("_stepgrid_worker", types.ModuleType("_stepgrid_worker"))
+    if getattr(home, "owner", None) != owner:
+        home.owner, home.kept = owner, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def worker_state(name: str, make: Callable):
     """An object made once per Python worker and kept between its tasks."""
     home = sys.modules.setdefault("_stepgrid_worker", types.ModuleType("_stepgrid_worker"))
-    if name not in home.__dict__:
-        home.__dict__[name] = make()
-    return home.__dict__[name]
+    kept = home.__dict__.setdefault("kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +83,7 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64."""
-    known = worker_state("powers", lambda: [np.zeros(0, np.uint64)] * 2)
-    if len(known[0]) <= n:
-        size = max(n, SLICE_BYTES)
-        known[0], known[1] = _powers(size, BASE), _powers(size, pow(BASE, -1, 1 << 64))
-    return known[0], known[1]
+    return _powers(n, BASE), _powers(n, pow(BASE, -1, 1 << 64))
 
 
 def words(data: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.llm.pieces import distinct_pieces, library_counter, remembered
-from stepgrid.llm.textbytes import slices
+from stepgrid.llm.textbytes import own_worker, slices
 
 
 def frequencies(codes: np.ndarray, docs: np.ndarray, n_pieces: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,6 +40,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_column: s
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("tokens")
         for batch in slices(batches):
             pieces, codes, at = distinct_pieces(batch.column("text"))
             per_piece = np.array(remembered(f"counts {tokenizer}", library_counter(tokenizer), pieces), np.int64)

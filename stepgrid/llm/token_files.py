@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepgrid.llm.pieces import encoded_batches
-from stepgrid.llm.textbytes import slices
+from stepgrid.llm.textbytes import own_worker, slices
 from stepgrid.session import fresh_path
 
 MAGIC = b"SGPFOR01"
@@ -167,6 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("tokens")
         system, base = opened(folder)
         part, seq, held, total = TaskContext.get().partitionId(), 0, [], 0
 
@@ -216,6 +217,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Read the files back: ``doc_id, start, n_tokens, ids_crc32``, one row per document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("files")
         system, base = opened(folder)
         for batch in batches:
             for name, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):

@@ -93,6 +93,6 @@ def identify(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_
     found = settle(scored(rows, model), "languages")
     learned = found.where("NOT held_out AND lang = lang_pred")
     limits = settle(learned.groupBy("lang_pred").agg(F.percentile_approx("entropy", F.lit(REJECT), F.lit(10_000)).alias("limit")), "limits")
-    out = found.join(limits, "lang_pred", "left")
+    out = found.join(F.broadcast(limits), "lang_pred", "left")  # a row for each of few languages
     rejected = F.coalesce(F.col("entropy") > F.col("limit"), F.col("lang_pred") == UNKNOWN)
     return out.select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))

@@ -28,6 +28,7 @@ from stepgrid.llm.textbytes import BASE, flat, mix, own_worker, slices, worker_s
 from stepgrid.llm.token_files import opened
 from stepgrid.session import fresh_path, settle
 
+MOST_GROUPS = 5_000
 SHARD_ROWS = 2_000_000  # 12 bytes each
 SHARD_CACHE = 96 << 20  # bytes of shards a worker keeps
 SCORE_BYTES = 3 << 20  # text scored at once: each unit takes some 60 bytes meanwhile
@@ -175,7 +176,8 @@ def estimate(counts: DataFrame, units: Units, modified: bool) -> DataFrame:
         tables[n] = settle(tables[n + 1].groupBy("group", shorter.alias("gram")).agg(F.count("*").alias("n")), "gram-counts")
     lower, out = None, []
     for n in range(1, units.order + 1):
-        rows = tables[n].join(_discounts(tables[n], modified), "group")
+        # one row for each group, of which callers bound the number (see store)
+        rows = tables[n].join(F.broadcast(_discounts(tables[n], modified)), "group")
         rows = rows.withColumn("context", F.shiftrightunsigned("gram", units.bits) if n > 1 else F.lit(0).cast("long"))
         rows = rows.withColumn("less", F.least(F.col("n").cast("double"), _discount(F.col("n"), modified)))
         contexts = rows.groupBy("group", "context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("weight"))
@@ -213,7 +215,12 @@ class Model:
 
 
 def store(table: DataFrame, groups: list[str], units: Units) -> Model:
-    """Write an estimated model as shards of sorted hashes, each one file."""
+    """Write an estimated model as shards of sorted hashes, each one file.
+
+    Groups are languages; more than ``MOST_GROUPS`` are refused.
+    """
+    if len(groups) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
     table = settle(table, "model")
     number = {g: k for k, g in enumerate(groups)}
     shards = 1

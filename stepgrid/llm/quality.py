@@ -91,10 +91,10 @@ def _judged(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
     entropy = F.log("perplexity") * F.col("n_units")
     average = settle(held.groupBy("group").agg((F.sum(entropy) / F.sum("n_units")).alias("average")), "averages")
     steady = F.exp((entropy + PRIOR_BYTES * F.col("average")) / (F.col("n_units") + PRIOR_BYTES))
-    held = held.join(average, "group").withColumn("steady", steady)
+    held = held.join(F.broadcast(average), "group").withColumn("steady", steady)  # a row for each of few languages
     limit = F.percentile_approx("steady", F.lit(QUANTILE), F.lit(10_000)) * SLACK
     limits = settle(held.groupBy("group").agg(limit.alias("threshold")), "thresholds")
-    out = scored.join(average, "group", "left").join(limits, "group", "left")
+    out = scored.join(F.broadcast(average), "group", "left").join(F.broadcast(limits), "group", "left")
     kept = F.coalesce(steady <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", "row", F.col("group").alias("lang_model"), F.col("n_units").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
 

@@ -141,7 +141,9 @@ def find_secrets(docs: DataFrame, repo: Column, owner: Column, id_column: str =
         count("spans", lambda s: s["label"] == "example").alias("n_example"),
         _written(F.filter("spans", lambda s: s["label"] == "live")).alias("live_spans"),
     )
-    numbers = ["n_assign", "n_access", "n_hex", "n_live", "n_example"]
-    out = rows.select("doc_id", "key").join(by_doc.hint("merge"), "key", "left")
-    out = out.fillna(0, numbers).fillna("", ["base_spans", "spans", "live_spans"])
+    # most rows have no finding and no key; they take no part in the join
+    columns = ["n_assign", "n_access", "n_hex", "base_spans", "spans", "n_live", "n_example", "live_spans"]
+    none = [(F.lit(0).cast("long") if c.startswith("n_") else F.lit("")).alias(c) for c in columns]
+    plain = rows.where("key IS NULL").select("doc_id", *none)
+    out = plain.union(rows.where("key IS NOT NULL").select("doc_id", "key").join(by_doc.hint("merge"), "key").select("doc_id", *columns))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example", "live_spans")

@@ -3,7 +3,7 @@
 An interpolated modified Kneser-Ney model of bytes is counted over all trusted
 documents of each language but every fifth, and of all languages together. The
 perplexity of every document under the model of its language is compared with
-a quantile of the trusted documents that were left out, so the threshold
+the spread of the trusted documents that were left out, so the threshold
 is that of unseen text. Documents above it are rejected. For that comparison a
 text counts with 64 bytes of average text added, as the perplexity of a few
 words says little.
@@ -27,9 +27,10 @@ from stepgrid.session import settle
 UNITS = Units(bytes_of, bits=8, order=5, alphabet=256)
 ANY = "*"  # the group of all languages, for documents of a language without a model
 HELD_OUT = 5  # one trusted document in so many sets the thresholds
-QUANTILE = 0.9
+QUANTILE = 0.9  # its distance to the median of log perplexity is the spread of a language; wrong labels under a tenth hardly move it
+SPREADS = 2.5  # the threshold lies so many spreads over the median, chosen on labelled documents outside the models (README)
+LEAST_SPREAD = 1e-6  # of log perplexity, where the trusted documents left out are all alike
 PRIOR_BYTES = 64  # average text added to each document for the decision
-SLACK = 1.25  # factor on that quantile: clean text beyond it is kept, wrong labels among the trusted do not move it
 MIN_TRUSTED = 50  # trusted documents a language needs for a model of its own
 
 
@@ -90,12 +91,13 @@ def _judged(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str
     held = held.where(F.col("group") != ANY).union(pooled).where("perplexity IS NOT NULL")
     entropy = F.log("perplexity") * F.col("n_units")
     average = settle(held.groupBy("group").agg((F.sum(entropy) / F.sum("n_units")).alias("average")), "averages")
-    steady = F.exp((entropy + PRIOR_BYTES * F.col("average")) / (F.col("n_units") + PRIOR_BYTES))
+    steady = (entropy + PRIOR_BYTES * F.col("average")) / (F.col("n_units") + PRIOR_BYTES)  # log perplexity
     held = held.join(F.broadcast(average), "group").withColumn("steady", steady)  # a row for each of few languages
-    limit = F.percentile_approx("steady", F.lit(QUANTILE), F.lit(10_000)) * SLACK
+    middle, high = (F.percentile_approx("steady", F.lit(q), F.lit(10_000)) for q in (0.5, QUANTILE))
+    limit = F.exp(middle + SPREADS * F.greatest(high - middle, F.lit(LEAST_SPREAD)))
     limits = settle(held.groupBy("group").agg(limit.alias("threshold")), "thresholds")
     out = scored.join(F.broadcast(average), "group", "left").join(F.broadcast(limits), "group", "left")
-    kept = F.coalesce(steady <= F.col("threshold"), F.lit(True))
+    kept = F.coalesce(F.exp(steady) <= F.col("threshold"), F.lit(True))
     return out.select("doc_id", "row", F.col("group").alias("lang_model"), F.col("n_units").alias("n_bytes"), "perplexity", "threshold", kept.alias("kept"))
 
 

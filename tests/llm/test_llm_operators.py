@@ -403,6 +403,27 @@ def test_quality_rejects_noise(spark):
     assert kept == {k for k, r in got.items() if r.kept}
 
 
+def test_quality_tells_labelled_documents_apart(spark):
+    path = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{path}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string"))
+    fine = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    unseen = (fine & (fold % 5 == 0)) | (F.col("quality") == 0)
+    other = F.floor(fold / 5) % 2 == 1  # the half that did not choose 2.0, see README
+    found = quality(spark.read.parquet(f"{path}/documents.parquet"), labels).join(labels.where(unseen & other), "doc_id")
+    rates = {r.fine: (r.kept, r.n) for r in found.groupBy(fine.alias("fine")).agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()}
+    assert min(n for _, n in rates.values()) > 250
+    assert 1 - rates[True][0] < 0.04  # clean lost
+    assert rates[False][0] < 0.05  # junk kept
+
+
+def test_quality_of_equal_trusted_documents(spark):
+    text = "the same few words again and again in every document of this corpus"
+    docs = table(spark, [(k, text, "en", None) for k in range(300)])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    assert quality(docs, labels).where("NOT kept").isEmpty()
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = identify(docs, F.crc32(F.col("doc_id").cast("string")) % 4 == 2)

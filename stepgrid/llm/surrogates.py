@@ -2,10 +2,12 @@
 
 Entities are found by pattern and reduced to a canonical form (digits of a
 number, lower case of an address, single names of a person), so every mention
-of an entity gets the same surrogate. The distinct entities of the corpus are
+of an entity gets the same surrogate. A name is one entity wherever it stands in
+a person's names; its gender is agreed over all its titles. Names found after a
+title are then replaced in their whole document, with a title or bare. The distinct entities of the corpus are
 one table; each gets a keyed replacement of its own kind: addresses keep
 lengths and signs, numbers keep digits and separators (card numbers stay valid
-under their check digit, other long numbers are account numbers), names keep script, case and the gender their title tells.
+under their check digit, other long numbers are account numbers), names keep script, case and the gender their titles agree on.
 Replacements that two entities share, or that are themselves an entity of the
 corpus, are drawn again until none is left, so distinct stays distinct and no
 surrogate points at somebody else of the corpus.
@@ -24,9 +26,12 @@ from stepgrid.session import settle
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "г-жа", "госпожа"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин"]
 OPEN = ["Mx", "Dr", "Prof"]
-TITLE = "(?:" + "|".join(sorted([*FEMALE, *MALE, *OPEN], key=len, reverse=True)) + r")\.?"
+TITLES = sorted([*FEMALE, *MALE, *OPEN], key=len, reverse=True)
+# an upper-case title has a point or an upper-case name: "MS Word" is nobody
+TITLE = "(?:(?:" + "|".join(TITLES) + r")\.?|(?:" + "|".join(t.upper() for t in TITLES) + r")(?:\.|(?= \p{Lu}[\p{Lu}'’-]+(?!\p{L}))))"
 
-NAME = r"\p{Lu}[\p{L}'’-]+"
+NAME = r"\p{Lu}(?:\p{L}|['’-](?=\p{L})(?![sS](?!\p{L})))+"  # without the ending of a possessive
+BARE = rf"(?<![\p{{L}}\p{{N}}_@])(?<!\p{{L}}['’-]){NAME}(?![\p{{N}}_@])"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -36,10 +41,10 @@ KINDS = {
     r"|\+[0-9]{1,3}[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}"
     r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-]|\.[0-9])",
     "card": r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-]|\.[0-9])",
-    "person": rf"(?<![\p{{L}}-]){TITLE} {NAME}(?: {NAME})?",
+    "person": rf"(?<![\p{{L}}-]){TITLE} {NAME}(?: {NAME})*",
 }
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-HINT = r"[0-9@]|(?:" + "|".join([*FEMALE, *MALE, *OPEN]) + r")\b"
+HINT = r"[0-9@]|(?:" + "|".join([*TITLES, *(t.upper() for t in TITLES)]) + r")\b"
 
 # syllables of made-up names; every script has the same number
 SYLLABLES = {
@@ -52,6 +57,7 @@ ENDINGS = {
     "cyrillic": {"female": "лина", "male": "лор", "open": "лис", "surname": "нер"},
     "greek": {"female": "λινα", "male": "λορ", "open": "λις", "surname": "νερ"},
 }
+NAMES = ["female", "male", "open", "surname"]
 ENTITY = "array<struct<kind:string,canon:string,surface:string>>"
 
 
@@ -71,8 +77,8 @@ def entities(match: Column) -> Column:
     one = lambda kind, canon, surface: F.struct(F.lit(kind).alias("kind"), canon.alias("canon"), surface.alias("surface"))
     number = digits(match)
     title = F.regexp_extract(match, rf"^({TITLE}) ", 1)
-    bare = F.regexp_replace(title, r"\.", "")
-    gender = F.when(bare.isin(FEMALE), "female").when(bare.isin(MALE), "male").otherwise("open")
+    bare = F.upper(F.regexp_replace(title, r"\.", ""))
+    gender = F.when(bare.isin([t.upper() for t in FEMALE]), "female").when(bare.isin([t.upper() for t in MALE]), "male").otherwise("open")
     names = F.filter(F.split(F.substring(match, F.length(title) + 2, F.length(match)), " "), lambda n: n != "")
     last = F.size(names) - 1
     person = F.transform(
@@ -91,6 +97,23 @@ def entities(match: Column) -> Column:
     )
 
 
+def family(kind: Column) -> Column:
+    """One kind for all names: what a mention is looked up by."""
+    return F.when(kind.isin(NAMES), "name").otherwise(kind)
+
+
+def agreed(kind: Column) -> Column:
+    """The kind of all mentions of an entity: a name once given is no surname, and open where titles differ."""
+    female, male, open_ = (F.max(kind == k) for k in ("female", "male", "open"))
+    name = F.when(female & ~male, "female").when(male & ~female, "male").when(female | open_, "open").otherwise("surname")
+    return F.when(F.max(kind.isin(NAMES)), name).otherwise(F.first(kind))
+
+
+def in_case(surface: Column, replacement: Column) -> Column:
+    """A name in upper case where its mention is, else with a capital."""
+    return F.when((F.upper(surface) == surface) & (F.length(surface) > 2), F.upper(replacement)).otherwise(F.initcap(replacement))
+
+
 def _bytes(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """64 keyed numbers from 0 to 255 for an entity."""
     secret = F.lit(key)
@@ -149,8 +172,9 @@ def distinct_surrogates(known: DataFrame, key: str) -> DataFrame:
     while True:
         first = drawn.groupBy("kind", "replacement").agg(F.min("canon").alias("first"), F.count("*").alias("n"))
         shared = first.where("n > 1").select("kind", "replacement", "first")
-        real = known.select("kind", F.col("canon").alias("replacement"), F.lit(True).alias("real"))
-        marked = drawn.join(shared.hint("merge"), ["kind", "replacement"], "left").join(real.hint("merge"), ["kind", "replacement"], "left")
+        real = known.select(family(F.col("kind")).alias("family"), F.col("canon").alias("replacement"), F.lit(True).alias("real")).distinct()
+        marked = drawn.join(shared.hint("merge"), ["kind", "replacement"], "left").withColumn("family", family(F.col("kind")))
+        marked = marked.join(real.hint("merge"), ["family", "replacement"], "left")
         again = F.coalesce(F.col("real"), F.lit(False)) | F.coalesce(F.col("first") != F.col("canon"), F.lit(False))
         marked = settle(marked.select("kind", "canon", "attempt", "replacement", again.alias("again")), "surrogates")
         if marked.where("again").isEmpty():
@@ -173,7 +197,7 @@ def rendered(kind: Column, surface: Column, replacement: Column) -> Column:
         ),
         "",
     )
-    name = F.when((F.upper(surface) == surface) & (F.length(surface) > 2), F.upper(replacement)).otherwise(F.initcap(replacement))
+    name = in_case(surface, replacement)
     return F.when(kind.isin("ssn", "phone", "card", "number"), number).when(kind == "email", cased).when(kind == "ip", replacement).otherwise(name)
 
 
@@ -181,8 +205,9 @@ def with_surrogates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     """Columns ``doc_id, text, n_entities, n_changed``, one row per input row.
 
     ``key`` decides all first draws: the same key gives an entity the same
-    surrogate in every corpus, unless a collision moves it. ``n_entities``
-    counts mentions (each name of a person is one). Null texts stay null,
+    surrogate in every corpus, unless a collision moves it or titles tell
+    another gender of a name. ``n_entities`` counts mentions (each name of a
+    person is one, with a title or bare). Null texts stay null,
     empty ones empty; texts without entities come back as they are. Repeated
     rows are changed alike; rows without an id are kept. Only id and text are
     read.
@@ -196,11 +221,12 @@ def with_surrogates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     held = settle(held, "entities")
     each = held.select("key", F.posexplode("found").alias("nth", "names")).select("key", "nth", F.posexplode("names").alias("part", "e"))
     each = each.select("key", "nth", "part", "e.kind", "e.canon", "e.surface")
-    known = settle(each.select("kind", "canon").distinct(), "entities")
-    replaced = distinct_surrogates(known, key)
-    mentions = each.join(replaced.hint("merge"), ["kind", "canon"])
+    each = each.withColumn("family", family(F.col("kind")))
+    known = settle(each.groupBy("family", "canon").agg(agreed(F.col("kind")).alias("kind")).select("kind", "canon"), "entities")
+    replaced = distinct_surrogates(known, key).select(family(F.col("kind")).alias("family"), "canon", "replacement")
+    mentions = each.join(replaced.hint("merge"), ["family", "canon"])
     mentions = mentions.withColumn("new", rendered(F.col("kind"), F.col("surface"), F.col("replacement")))
-    by_doc = mentions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "part", "new", "surface"))).alias("mentions"))
+    by_doc = mentions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "part", "new", "surface", "family", "canon", "replacement"))).alias("mentions"))
 
     # texts with entities meet their replacements; the others never move
     entity_rows = hinted & F.exists(found, lambda e: F.size(e) > 0)
@@ -216,8 +242,24 @@ def with_surrogates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
         new = F.array_join(F.transform(mine, lambda m: m["new"]), " ")
         return F.when(F.size(mine) == 0, match).otherwise(F.concat(title, new))
 
-    pieces = F.arrays_zip(between.alias("gap"), F.transform(own, changed).alias("own"))
+    # names of the document that stand without a title
+    pairs = F.transform(F.filter("mentions", lambda m: m["family"] == "name"), lambda m: F.struct(m["canon"], m["replacement"]))
+    joined = joined.withColumn("names", F.map_from_entries(F.array_distinct(pairs))).withColumn("gaps", between)
+    named = F.size("names") > 0
+
+    def bare(gap: Column) -> Column:
+        return F.regexp_extract_all(gap, F.lit(BARE), F.lit(0))
+
+    def renamed(gap: Column) -> Column:
+        new = F.transform(bare(gap), lambda w: F.coalesce(in_case(w, F.col("names")[F.lower(w)]), w))
+        parts = F.arrays_zip(F.split(gap, BARE, -1).alias("gap"), new.alias("own"))
+        return F.array_join(F.transform(parts, lambda p: F.concat(p["gap"], F.coalesce(p["own"], F.lit("")))), "")
+
+    gaps = F.when(named, F.transform("gaps", renamed)).otherwise(F.col("gaps"))
+    again = F.flatten(F.transform("gaps", lambda g: F.filter(bare(g), lambda w: F.col("names")[F.lower(w)].isNotNull())))
+    again = F.when(named, F.size(again)).otherwise(0).cast("long")
+    pieces = F.arrays_zip(gaps.alias("gap"), F.transform(own, changed).alias("own"))
     text = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["own"], F.lit("")))), "")
-    count = F.size("mentions").cast("long")
-    moved = F.size(F.filter("mentions", lambda m: m["new"] != m["surface"])).cast("long")
+    count = F.size("mentions").cast("long") + again
+    moved = F.size(F.filter("mentions", lambda m: m["new"] != m["surface"])).cast("long") + again  # a surrogate is no name of the corpus
     return plain.union(joined.select("doc_id", text.alias("text"), count.alias("n_entities"), moved.alias("n_changed")))

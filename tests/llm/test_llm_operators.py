@@ -500,6 +500,33 @@ def test_surrogates_keep_form_and_identity(spark):
     assert (got[3].text, got[3].n_entities) == ("plain 12 text", 0)
 
 
+def test_surrogates_of_whole_names_and_bare_mentions(spark):
+    rows = [
+        (1, "Smith was early. Mr. John Michael van Smith, Mr. John Michael Peter Smith and MR. SMITH met. Smith said, SMITH's and Smith’s: Smithson, x_Smith."),
+        (2, "Dr. Anna Petrova saw Mrs. Anna Petrova and Mr. John. Anna left; MS Word stayed."),
+        (3, "Smith said nothing to Anna"),
+    ]
+    got = {r.doc_id: r for r in with_surrogates(table(spark, rows), "k").collect()}
+    shape = re.fullmatch(
+        r"(\w+) was early\. Mr\. (\w+) (\w+) van (\w+), Mr\. (\w+) (\w+) (\w+) (\w+) and MR\. (\w+) met\. "
+        r"(\w+) said, (\w+)'s and (\w+)’s: Smithson, x_Smith\.",
+        got[1].text,
+    )
+    assert shape, got[1].text
+    for part in ("John", "Michael", "Peter"):
+        assert part not in got[1].text
+    smith = {shape[k].lower() for k in (1, 4, 8, 9, 10, 11, 12)}
+    assert len(smith) == 1 and "smith" not in smith and shape[9].isupper() and shape[11].isupper()
+    assert (shape[2], shape[3]) == (shape[5], shape[6])
+    assert all(shape[k].endswith("lor") for k in (2, 3, 7))
+    assert (got[1].n_entities, got[1].n_changed) == (12, 12)
+    pair = re.fullmatch(r"Dr\. (\w+) (\w+) saw Mrs\. (\w+) (\w+) and Mr\. (\w+)\. (\w+) left; MS Word stayed\.", got[2].text)
+    assert pair, got[2].text
+    assert (pair[1], pair[2]) == (pair[3], pair[4]) and pair[6] == pair[1] and pair[1].endswith("lina")
+    assert pair[5] == shape[2]  # John alone is the John of the other document
+    assert got[3].text == rows[2][1]  # no title in that document
+
+
 def test_surrogates_stay_distinct(spark):
     known = spark.createDataFrame([("ssn", f"{k:04d}") for k in range(1000, 1900)], "kind string, canon string")
     rows = distinct_surrogates(known, "k").collect()  # four digits: collisions are certain

@@ -12,11 +12,14 @@ from stepgrid.llm.decontaminate import contamination
 from stepgrid.llm.exact_dedup import DigestIndex, deduplicate
 from stepgrid.llm.language import identify
 from stepgrid.llm.near_dedup import near_duplicates
+from stepgrid.llm.phrases import COLLOCATIONS_SQL, collocations
 from stepgrid.llm.quality import quality
 from stepgrid.llm.secrets import find_secrets
 from stepgrid.llm.surrogates import with_surrogates
 from stepgrid.llm.token_counts import token_counts
 from stepgrid.llm.token_files import token_file_round_trip
+from stepgrid.llm.urls import RULES, URLS_SQL, judge_pages, rule_table
+from stepgrid.llm.whitening import whiten
 from stepgrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +129,18 @@ def _(spark, sf_dir):
 @query("op4_surrogates")
 def _(spark, sf_dir):
     return with_surrogates(documents(spark, sf_dir), key="stepgrid surrogate key")
+
+
+@query("op11_embedding_whitening")
+def _(spark, sf_dir):
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_url_filter", URLS_SQL)
+def _(spark, sf_dir):
+    return judge_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), rule_table(spark, RULES))
+
+
+@query("op13_collocations", COLLOCATIONS_SQL)
+def _(spark, sf_dir):
+    return collocations(documents(spark, sf_dir))

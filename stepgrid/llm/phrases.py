@@ -6,11 +6,12 @@ fingerprint and keeps one occurrence pointer (document, word) of each. Only
 phrases that turn out frequent become text: their pointers are taken back to
 the documents they point into.
 
-A phrase can only be frequent if all its parts are, so words are counted first,
-then pairs of frequent words, then runs of frequent pairs. What is frequent is
-handed to the next pass as a bitmap of a fixed number of bits, whatever the
-size of the corpus: a bit set by another fingerprint lets a rare phrase into
-the exact count, which drops it.
+A phrase can only be frequent if all its parts are, so words are counted first;
+then pairs of frequent words by the first half of their fingerprints alone,
+which shuffles a few bytes a pair; then pairs and longer runs of what may be
+frequent pairs. What is frequent is handed to the next pass as a bitmap of a
+fixed number of bits, whatever the size of the corpus: a bit set by another
+fingerprint lets a rare phrase into the exact count, which drops it.
 
 A second fingerprint of each occurrence travels along as its least and largest
 value. Where they differ, phrases share a fingerprint; those are counted again
@@ -58,7 +59,7 @@ class Mining:
 
     ``share`` is the percentage of a phrase's occurrences that must lie in one
     longer candidate for it to be dropped; ``top`` the length of each
-    language's list. ``bits`` sizes the bitmaps (2**bits bits); ``keep`` masks
+    language's list. ``bits``, 32 at most, sizes the bitmaps (2**bits bits); ``keep`` masks
     fingerprints and is there for tests of collisions. None but the first four
     changes a result.
     """
@@ -227,6 +228,19 @@ def occurrences(keyed: DataFrame, lengths: range, parent: int, bitmap, mining: M
     return keyed.mapInArrow(run, COUNTED)
 
 
+def halves(keyed: DataFrame, n: int, bitmap, mining: Mining) -> DataFrame:
+    """Counts of n-grams of what may be frequent words by the upper 32 bits of their fingerprints."""
+    keep, bits = mining.keep, mining.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, grams in _batches(batches, keep):
+            at = np.flatnonzero(chained(grams, n, 1, bitmap.value, bits))
+            half, counts = np.unique((grams.prints(n, 0, at) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(half.view(np.int32)), pa.array(counts.astype(np.int64))], names=["half", "n"])
+
+    return keyed.mapInArrow(run, "half int, n long").groupBy("half").agg(F.sum("n").alias("n")).where(F.col("n") >= mining.least)
+
+
 def frequent(counted: DataFrame, least: int) -> DataFrame:
     sums = counted.groupBy("fp").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"), F.min("low").alias("low"), F.max("high").alias("high"))
     return settle(sums.where(F.col("n") >= least), "frequent")
@@ -330,13 +344,13 @@ def frequent_phrases(docs: DataFrame, mining: Mining = Mining()) -> DataFrame:
     keyed = _keyed(docs)
     single = frequent(occurrences(keyed, range(0, 2), 1, None, mining), mining.least)
     words_set = as_bitmap(single, _print_slot(mining.bits), mining.bits)
-    pairs = frequent(occurrences(keyed, range(2, 3), 1, words_set, mining), mining.least)
+    unsigned = F.col("half").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    pairs_set = as_bitmap(halves(keyed, 2, words_set, mining), F.shiftright(unsigned, 32 - mining.bits), mining.bits)
     words_set.unpersist()
-    pairs_set = as_bitmap(pairs, _print_slot(mining.bits), mining.bits)
-    longer = frequent(occurrences(keyed, range(3, mining.longest + 1), 2, pairs_set, mining), mining.least)
+    longer = frequent(occurrences(keyed, range(2, mining.longest + 1), 2, pairs_set, mining), mining.least)
     pairs_set.unpersist()
     # a fingerprint can be met at several lengths when few bits are kept
-    found = single.union(pairs).union(longer)
+    found = single.union(longer)
     found = found.groupBy("fp").agg(F.sum("n").alias("n"), F.min("pointer").alias("pointer"), F.min("low").alias("low"), F.max("high").alias("high"))
     found = settle(found, "frequent")
     out = pointed(keyed, found.where("low = high"), mining)

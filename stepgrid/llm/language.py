@@ -3,8 +3,8 @@
 One interpolated Kneser-Ney model of letters for each language is counted over
 all its training texts and stored in sorted hash arrays. A text gets the
 language under which its cross-entropy per letter is lowest. It is marked as
-rejected when even that lies above what nearly all training texts of the
-language stay below.
+rejected when even that lies above what nearly all texts of the language stay
+below. Those are texts of a fold that the models are not counted from.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ UNITS = Units(letters_of, bits=16, order=4, alphabet=1 << 16)
 UNKNOWN = "und"
 MOST_LANGUAGES = 4096  # names of languages go to the driver; more than this is not a language column
 SHARPNESS = 24.0  # letters' worth of evidence in the score
-REJECT = 0.999  # quantile of training texts' cross-entropy from which a text is rejected
+REJECT = 0.99  # quantile of cross-entropy from which a text is rejected, over learnable texts left out of the models
+FOLD = 5  # every fifth distinct text is left out for that
+LEAST = 99  # texts of a language without which that quantile says nothing of others
 
 
 def train(docs: DataFrame) -> Model | None:
@@ -75,8 +77,10 @@ def identify(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_
     Models are learned from text and language of the rows that ``held_out``
     leaves; only the text enters a prediction. Texts that are null or have no
     letter get ``und`` with score 0, as does everything when nothing can be
-    learned; rows without a language are predicted, not learned from; a row
-    whose ``held_out`` is null is held out. Equal entropies go to the language
+    learned; rows without a language are predicted, not learned from. Of the
+    learnable texts every ``FOLD``-th, by its hash, is left out of the models
+    and sets the limit of its language; a language with fewer than ``LEAST`` of
+    them rejects nothing. A row whose ``held_out`` is null is held out. Equal entropies go to the language
     first in order. Repeated rows get equal predictions. Other columns are not
     read.
     """
@@ -86,13 +90,17 @@ def identify(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_
         F.col(lang_column).cast("string").alias("lang"),
         F.col(text_column).alias("text"),
     )
-    model = train(rows.where("NOT held_out"))
+    left_out = F.pmod(F.xxhash64("text"), F.lit(FOLD)) == 0
+    model = train(rows.where(~F.col("held_out") & ~left_out))
+    if model is None:  # so few texts that all were left out
+        model = train(rows.where("NOT held_out"))
     if model is None:
         nothing = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(True).alias("rejected")]
         return rows.select("doc_id", "held_out", *nothing)
-    found = settle(scored(rows, model), "languages")
-    learned = found.where("NOT held_out AND lang = lang_pred")
-    limits = settle(learned.groupBy("lang_pred").agg(F.percentile_approx("entropy", F.lit(REJECT), F.lit(10_000)).alias("limit")), "limits")
+    found = settle(scored(rows.withColumn("left_out", F.coalesce(left_out, F.lit(False))), model), "languages")
+    learned = found.where("NOT held_out AND left_out AND lang = lang_pred")
+    limit = F.when(F.count("entropy") >= LEAST, F.percentile_approx("entropy", F.lit(REJECT), F.lit(10_000)))
+    limits = settle(learned.groupBy("lang_pred").agg(limit.alias("limit")), "limits")
     out = found.join(F.broadcast(limits), "lang_pred", "left")  # a row for each of few languages
     rejected = F.coalesce(F.col("entropy") > F.col("limit"), F.col("lang_pred") == UNKNOWN)
     return out.select("doc_id", "held_out", "lang_pred", "score", "entropy", rejected.alias("rejected"))

@@ -1,9 +1,9 @@
 """Secret scans with ownership frequency over the corpus, in built-in columns.
 
 Candidates are found row by row. Their hashes are counted by distinct
-repository and owner over all documents: a string that several owners hold is
-a widely copied example, one that a single owner holds and that looks random
-is a live credential. Long random strings without a known form are kept as
+repository and owner over all documents: a string that several owners hold, or one owner in many repositories, is
+a copied example or a shared default; one that a single owner holds in a few
+repositories and that looks random is a live credential. Long random strings without a known form are kept as
 findings only on that evidence.
 
 Only candidates are shuffled, never texts. Counts combine before each shuffle
@@ -37,6 +37,7 @@ OWNED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
 BASE_KINDS = ["assign", "access", "hex"]
 KINDS = [*BASE_KINDS, *FORMATS, "owned"]
 EXAMPLE_OWNERS = 3  # owners from which a string is a widely copied example
+LIVE_REPOSITORIES = 5  # of one owner, in more of them a string is no live credential
 CANDIDATE = "array<struct<start:bigint,kind:int,end:bigint,looks:boolean,hash:binary>>"
 
 
@@ -101,9 +102,12 @@ def find_secrets(docs: DataFrame, repo: Column, owner: Column, id_column: str =
     """One row per input row: base counts and digest, all spans, and what ownership says of them.
 
     Columns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live,
-    n_example, live_spans``. ``spans`` are ``kind:start:end`` by start, then
-    kind. A candidate is ``example`` when at least three owners hold its
-    secret; ``live`` when one owner does and it looks random; a random string
+    n_example, live_spans, most_owners, most_repositories``. ``spans`` are
+    ``kind:start:end`` by start, then kind; the last two are the largest
+    numbers of owners and of repositories that hold one of them (0 without
+    spans). A candidate is ``example`` when at least three owners hold its
+    secret; ``live`` when one owner does, in at most ``LIVE_REPOSITORIES``
+    repositories, and it looks random; a random string
     of no known form is a span only when live and clear of the base spans.
     Null texts count as empty and have no spans; a null owner or repository is
     one more owner or repository; repeated rows get the same result each and
@@ -121,8 +125,8 @@ def find_secrets(docs: DataFrame, repo: Column, owner: Column, id_column: str =
     each = each.select("key", "repo", "owner", "c", F.col("c.hash").alias("hash"))
     held = ownership(each)
     judged = each.select("key", "c", "hash").distinct().join(held.hint("merge"), "hash")
-    label = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when((F.col("owners") == 1) & F.col("c.looks"), "live").otherwise("unclear")
-    judged = judged.select("key", F.struct("c.start", "c.kind", "c.end", label.alias("label")).alias("s"))
+    label = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example").when((F.col("owners") == 1) & (F.col("repositories") <= LIVE_REPOSITORIES) & F.col("c.looks"), "live").otherwise("unclear")
+    judged = judged.select("key", F.struct("c.start", "c.kind", "c.end", label.alias("label"), "owners", "repositories").alias("s"))
     by_doc = judged.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("all"))
 
     n_base, owned = len(BASE_KINDS), KINDS.index("owned")
@@ -140,10 +144,11 @@ def find_secrets(docs: DataFrame, repo: Column, owner: Column, id_column: str =
         count("spans", lambda s: s["label"] == "live").alias("n_live"),
         count("spans", lambda s: s["label"] == "example").alias("n_example"),
         _written(F.filter("spans", lambda s: s["label"] == "live")).alias("live_spans"),
+        *[F.coalesce(F.array_max(F.transform("spans", lambda s: s[c])), F.lit(0)).cast("long").alias(f"most_{c}") for c in ("owners", "repositories")],  # noqa: B023
     )
     # most rows have no finding and no key; they take no part in the join
-    columns = ["n_assign", "n_access", "n_hex", "base_spans", "spans", "n_live", "n_example", "live_spans"]
-    none = [(F.lit(0).cast("long") if c.startswith("n_") else F.lit("")).alias(c) for c in columns]
+    columns = ["n_assign", "n_access", "n_hex", "base_spans", "spans", "n_live", "n_example", "live_spans", "most_owners", "most_repositories"]
+    none = [(F.lit(0).cast("long") if c.startswith(("n_", "most_")) else F.lit("")).alias(c) for c in columns]
     plain = rows.where("key IS NULL").select("doc_id", *none)
     out = plain.union(rows.where("key IS NOT NULL").select("doc_id", "key").join(by_doc.hint("merge"), "key").select("doc_id", *columns))
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example", "live_spans")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example", "live_spans", "most_owners", "most_repositories")

@@ -30,16 +30,53 @@ COVERAGE = 0.5  # share of an item's words in tiles from which a document counts
 BLOCK_BYTES = 4 << 20  # text of test items in a block
 
 
+# fixed values: code points of scripts without spaces between words, and of
+# spaces and punctuation beyond ASCII
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+SIGNS = [(0x0080, 0x00A9), (0x00AB, 0x00B4), (0x00B6, 0x00B9), (0x00BB, 0x00BF), (0x00D7, 0x00D7), (0x00F7, 0x00F7), (0x2000, 0x206F), (0x3000, 0x3003), (0x3008, 0x3020), (0x3030, 0x3030), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+ASCII_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
+
+
+def _among(points: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    found = np.zeros(len(points), bool)
+    for low, high in ranges:
+        found |= (points >= low) & (points <= high)
+    return found
+
+
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, case and punctuation aside, and each word's text."""
+    """Hashes of the words of all texts, case and punctuation aside, and each word's text.
+
+    A character of a script that puts no spaces between words is a word.
+    """
     data, at = flat(pc.utf8_lower(texts.fill_null("")))
-    is_word = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
-    starts, ends, doc = words(data, at, is_word)
-    return word_hashes(data, starts, ends), doc
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        starts, ends, doc = words(data, at, ASCII_WORD)
+        return word_hashes(data, starts, ends), doc
+    size = 1 + (data[lead] >= 0xC0) + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    byte = lambda k: (data[np.minimum(lead + k, len(data) - 1)] & 0x3F).astype(np.uint32)
+    points = np.where(
+        size == 2,
+        (data[lead] & 0x1F).astype(np.uint32) << 6 | byte(1),
+        np.where(size == 3, (data[lead] & 0x0F).astype(np.uint32) << 12 | byte(1) << 6 | byte(2), (data[lead] & 0x07).astype(np.uint32) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3)),
+    )
+    inside = ASCII_WORD[data]
+    sign, alone = _among(points, SIGNS), _among(points, UNSPACED)
+    for k in range(4):
+        inside[lead[sign & (size > k)] + k] = False
+    edge = np.empty(len(data) + 1, bool)
+    edge[0] = edge[-1] = True
+    np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
+    edge[at] = edge[lead[alone]] = edge[(lead + size)[alone]] = True
+    cuts = np.flatnonzero(edge)
+    keep = inside[cuts[:-1]]
+    starts, ends = cuts[:-1][keep], cuts[1:][keep]
+    return word_hashes(data, starts, ends), np.searchsorted(at, starts, "right") - 1
 
 
 class Block:
-    """Seeds of some test items, sorted by hash. Items of fewer words than a seed have one seed: all of them."""
+    """Seeds of some test items, sorted by hash. Items of fewer words than a seed have none."""
 
     def __init__(self, texts: list[str | None]):
         tokens, item = tokens_of(pa.array(texts, pa.string()))
@@ -136,10 +173,17 @@ def contamination(
     match nothing, and neither do items of fewer than five words: they can't be
     told from chance. Repeated rows are judged each. An empty benchmark leaves
     all documents clean. Columns of ``docs`` with the names of the new ones
-    come back under their names with ``_input`` added.
+    come back under their names with ``_input`` added, as often as it takes.
     """
-    new = {"contaminated", "coverage", "item_id", "n_items"}
-    docs = docs.select([F.col(f"`{c}`").alias(f"{c}_input" if c.lower() in new else c) for c in docs.columns])
+    new = ["coverage", "item_id", "n_items", "contaminated"]
+    names, taken = [], set(new) | {c.lower() for c in docs.columns}
+    for c in docs.columns:
+        if c.lower() in new:
+            while c.lower() in taken:
+                c += "_input"
+            taken.add(c.lower())
+        names.append(c)
+    docs = docs.toDF(*names)
     own = docs.columns
     rows = docs.withColumns({"coverage": F.lit(0.0), "item_id": F.lit(None).cast("long"), "n_items": F.lit(0).cast("long")})
     schema = rows.schema

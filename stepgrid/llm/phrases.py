@@ -35,8 +35,8 @@ from stepgrid.series import spread_join
 from stepgrid.session import settle
 
 SECOND = 0xD6E8FEB86659FD93  # odd base of the second fingerprint
-SLICE = 4 << 20  # bytes of text in the arrays of a task at once
-HASH_BYTES = 1 << 20  # bytes of words hashed at once
+SLICE = 2 << 20  # bytes of text in the arrays of a task at once
+HASH_BYTES = 1 << 18  # bytes of words hashed at once
 PLACE_BITS = 24  # of a pointer, for the word; the other 39 are for the text
 MARK_BITS = 24  # of the bitmap of texts that are pointed into
 UNKNOWN = "und"

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stepgrid.operators.clean import bucket_readings
-from stepgrid.series import SeriesSpec, floor_div, with_position
+from stepgrid.operators.windows import windows_grid
+from stepgrid.series import SeriesSpec
 from stepgrid.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,7 @@ DAY = timedelta(days=1)
 SPEC = SeriesSpec(step=DAY)
 KEYS = ["dataset", "subject_id"]
 SHARD = 4096  # values per row of stored series
-WINDOW = 24  # values per window of the queries of window transforms
+GRID, STRIDE = [(4, 2), (9, 3), (18, 2)], 4  # windows of the queries of window transforms
 
 
 def query(name: str, sql: str | None = None):
@@ -117,16 +118,19 @@ def shard_name(name: Column, shard: Column) -> Column:
     return F.concat(name, F.when(shard > 0, F.concat(F.lit("#"), shard.cast("string"))).otherwise(""))
 
 
-# windows of 24 readings one after another, the last one of a series shorter
-WINDOWED = f"""{READINGS}, numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY dataset, subject_id ORDER BY slot) - 1 AS nth FROM readings),
-sharded AS (
-  SELECT dataset, slot, value, nth % {WINDOW} AS i,
-    subject_id || CASE WHEN nth >= {WINDOW} THEN '#' || CAST(nth // {WINDOW} AS VARCHAR) ELSE '' END AS subject_id FROM numbered)"""
+# windows of several lengths over unbroken runs, every fourth start, as rows
+WINDOWED = f"""{POS}, sizes AS (SELECT unnest([{", ".join(str(c + h) for c, h in GRID)}]) AS size),
+win AS (
+  SELECT a.dataset, a.subject_id, a.pos AS window_start, size FROM pos a, sizes, pos b
+  WHERE a.dataset = b.dataset AND a.subject_id = b.subject_id AND b.pos = a.pos + size - 1 AND b.slot = a.slot + size - 1 AND a.pos % {STRIDE} = 0),
+cells AS (
+  SELECT concat_ws('__', r.dataset, r.subject_id, window_start, size) AS item_id, r.pos - window_start AS i, r.value
+  FROM win w JOIN pos r ON r.dataset = w.dataset AND r.subject_id = w.subject_id AND r.pos >= window_start AND r.pos < window_start + size)"""
 
 
 def reading_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of ``WINDOW`` readings: dataset, subject_id (with the window's number), values."""
-    rows = with_position(readings(spark, sf_dir), SPEC).withColumn("_window", floor_div(F.col("pos"), WINDOW))
-    packed = rows.groupBy(*KEYS, "_window").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("r"))
-    return packed.select("dataset", shard_name(F.col("subject_id"), F.col("_window")).alias("subject_id"), F.col("r.value").alias("values"))
+    """True windows of several lengths: item_id and values."""
+    found = windows_grid(readings(spark, sf_dir), SPEC, GRID, STRIDE)
+    size = F.col("context_steps") + F.col("horizon_steps")
+    name = F.concat_ws("__", *KEYS, F.col("window_start").cast("string"), size.cast("string"))
+    return found.select(name.alias("item_id"), F.concat("context", "target").alias("values"))

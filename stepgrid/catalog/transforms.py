@@ -1,35 +1,35 @@
-"""Array transforms over windows of readings."""
+"""Transforms of windows of readings, and of whole series in long form."""
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import KEYS, POS, SPEC, WINDOWED, query, r6, reading_windows, readings, rounded, slot, table
+from stepgrid.catalog.base import KEYS, POS, READINGS, SPEC, WINDOWED, query, r6, reading_windows, readings, rounded, slot, table
 from stepgrid.functions import arrays
-from stepgrid.operators import packing, sampling, spectral
-from stepgrid.operators.windows import lag_rows, windows_contiguous
+from stepgrid.operators import packing, sampling, spectral, whole
+from stepgrid.operators.windows import lag_rows
 from stepgrid.series import with_position
 
 HASH = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 15) AS BIGINT)"
 
 # one array per window, values over 100 missing
 ARR = f"""{WINDOWED}, arr AS (
-  SELECT dataset || '__' || subject_id AS item_id, list(value ORDER BY slot) AS full_target, count(*) AS n,
-    list(CASE WHEN value < 100 THEN value END ORDER BY slot) AS target
-  FROM sharded GROUP BY dataset, subject_id)"""
+  SELECT item_id, list(value ORDER BY i) AS full_target, count(*) AS n, list(CASE WHEN value < 100 THEN value END ORDER BY i) AS target
+  FROM cells GROUP BY item_id)"""
 
 # the same as rows
 LONG = f"""{WINDOWED}, long AS (
-  SELECT dataset || '__' || subject_id AS item_id, i, count(*) OVER (PARTITION BY dataset, subject_id) AS n,
-    value AS full_value, CASE WHEN value < 100 THEN value END AS value FROM sharded)"""
+  SELECT item_id, i, count(*) OVER (PARTITION BY item_id) AS n, value AS full_value, CASE WHEN value < 100 THEN value END AS value FROM cells)"""
+
+# whole series, whatever their length
+WHOLE = f"""{READINGS}, whole AS (
+  SELECT *, row_number() OVER (PARTITION BY dataset, subject_id ORDER BY slot) - 1 AS pos, count(*) OVER (PARTITION BY dataset, subject_id) AS n FROM readings)"""
 
 
 def items(spark, sf):
     """One row per window with the whole and the gappy array."""
     return reading_windows(spark, sf).select(
-        F.concat_ws("__", *KEYS).alias("item_id"),
+        "item_id",
         F.col("values").alias("full_target"),
         F.transform("values", lambda v: F.when(v < 100, v)).alias("target"),
     )
@@ -56,19 +56,26 @@ def _(spark, sf):
 
 @query(
     "index_arrays",
-    f"""WITH {LONG} SELECT item_id, CAST(sum(i) AS BIGINT) AS sum_time, CAST(count(*) AS BIGINT) AS sum_sample, CAST(count(*) AS BIGINT) AS sum_variate FROM long GROUP BY 1""",
+    f"""WITH {WHOLE} SELECT dataset, subject_id, slot, pos AS time_index, CAST(k AS INTEGER) AS variate_index, CAST(7 AS INTEGER) AS sample_id,
+      CASE k WHEN 0 THEN value ELSE round(value / 2, 6) END AS value FROM whole, (SELECT unnest([0, 1]) AS k)""",
 )
 def _(spark, sf):
-    def isum(c):
-        return F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    rows = readings(spark, sf).withColumn("half", F.round(F.col("value") / 2, 6))
+    out = whole.index_rows(rows, SPEC, ["value", "half"], sample=7)
+    return out.select(*KEYS, slot().alias("slot"), "time_index", "variate_index", "sample_id", "value")
 
-    both = F.array(F.col("full_target"), F.col("target"))
-    return items(spark, sf).select(
-        "item_id",
-        isum(arrays.time_index(F.col("target"))).alias("sum_time"),
-        isum(arrays.sample_index(F.col("target"))).alias("sum_sample"),
-        isum(F.flatten(arrays.variate_index(both))).alias("sum_variate"),
+
+@query(
+    "window_index_arrays",
+    f"""WITH {LONG} SELECT item_id, i, CAST(i AS INTEGER) AS time_index, CAST(1 AS INTEGER) AS sample_id, CAST(0 AS INTEGER) AS variate_0, CAST(1 AS INTEGER) AS variate_1 FROM long""",
+)
+def _(spark, sf):
+    both = arrays.variate_index(F.array(F.col("full_target"), F.col("target")))
+    made = F.arrays_zip(
+        arrays.time_index(F.col("target")).alias("time_index"), arrays.sample_index(F.col("target")).alias("sample_id"), both[0].alias("variate_0"), both[1].alias("variate_1")
     )
+    out = exploded(items(spark, sf), made, "z")
+    return out.select("item_id", "i", *[F.col(f"z.{c}").cast("int").alias(c) for c in ("time_index", "sample_id", "variate_0", "variate_1")])
 
 
 @query(
@@ -111,6 +118,19 @@ def _(spark, sf):
 
 @query(
     "patch_crop",
+    f"""WITH {WHOLE}, a AS (SELECT *, {HASH.format("dataset, subject_id, 'offset'")} % (n % 4 + 1) AS off FROM whole),
+    b AS (SELECT *, (n - off) // 4 AS tot FROM a), c AS (SELECT *, least(5, tot) AS most FROM b WHERE least(5, tot) >= 2),
+    d AS (SELECT *, 2 + {HASH.format("dataset, subject_id, 'count'")} % (most - 1) AS cnt FROM c),
+    e AS (SELECT *, off + 4 * ({HASH.format("dataset, subject_id, 'first'")} % (tot - cnt + 1)) AS low FROM d)
+    SELECT dataset, subject_id, slot, pos - low AS pos, (pos - low) // 4 AS patch FROM e WHERE pos >= low AND pos < low + cnt * 4""",
+)
+def _(spark, sf):
+    out = whole.crop_to_patches(readings(spark, sf), SPEC, 4, 2, 5, F.col("dataset"), F.col("subject_id"))
+    return out.select(*KEYS, slot().alias("slot"), "pos", "patch")
+
+
+@query(
+    "window_patch_crop",
     f"""WITH {ARR}, a AS (SELECT item_id, full_target AS t, n, {HASH.format("item_id, 'offset'")} % (n % 4 + 1) AS off FROM arr),
     b AS (SELECT *, (n - off) // 4 AS tot FROM a), c AS (SELECT *, least(5, tot) AS most FROM b WHERE least(5, tot) >= 2),
     d AS (SELECT *, 2 + {HASH.format("item_id, 'count'")} % (most - 1) AS cnt FROM c),
@@ -125,32 +145,64 @@ def _(spark, sf):
 
 @query(
     "pad_to_minimum",
-    f"""WITH {ARR}, a AS (SELECT *, greatest(29 - n, 0) AS lack FROM arr)
-    SELECT item_id, CAST(greatest(n, 29) AS INTEGER) AS n_values, CAST({HASH.format("item_id, 1")} % (lack + 1) AS INTEGER) AS front, round(list_sum(full_target), 6) AS total FROM a""",
+    f"""WITH {WHOLE}, s AS (SELECT dataset, subject_id, max(n) AS n, {HASH.format("dataset, subject_id, 1")} % (greatest(29 - max(n), 0) + 1) AS front FROM whole GROUP BY 1, 2),
+    p AS (SELECT *, unnest(range(29)) AS pos FROM s)
+    SELECT w.dataset, w.subject_id, pos + front AS pos, value, false AS padded FROM whole w JOIN s USING (dataset, subject_id)
+    UNION ALL SELECT dataset, subject_id, pos, NULL, true FROM p WHERE n < 29 AND (pos < front OR pos >= front + n)""",
 )
 def _(spark, sf):
-    out = items(spark, sf).withColumn("p", arrays.pad_to(F.col("full_target"), 29, F.col("item_id"), F.lit(1)))
+    out = whole.pad_short(readings(spark, sf), SPEC, 29, F.col("dataset"), F.col("subject_id"), F.lit(1))
+    return out.select(*KEYS, "pos", "value", "padded")
+
+
+@query(
+    "window_pad_to_minimum",
+    f"""WITH {ARR}, a AS (SELECT *, greatest(15 - n, 0) AS lack FROM arr)
+    SELECT item_id, CAST(greatest(n, 15) AS INTEGER) AS n_values, CAST({HASH.format("item_id, 1")} % (lack + 1) AS INTEGER) AS front, round(list_sum(full_target), 6) AS total FROM a""",
+)
+def _(spark, sf):
+    out = items(spark, sf).withColumn("p", arrays.pad_to(F.col("full_target"), 15, F.col("item_id"), F.lit(1)))
     lead = F.array_position(arrays.observed_mask(F.col("p")), F.lit(True)).cast("int") - 1
     return rounded(out.select("item_id", F.size("p").alias("n_values"), lead.alias("front"), total("p").alias("total")))
 
 
 @query(
     "pad_left_right",
-    f"""WITH {ARR} SELECT item_id, round(CASE WHEN n >= 40 THEN full_target[n - 39] END, 6) AS first_left, full_target[n] AS last_left,
-      CASE WHEN n >= 40 THEN full_target[n] ELSE 0 END AS last_right FROM arr""",
+    f"""WITH {ARR} SELECT item_id, CASE WHEN n >= 12 THEN full_target[1] END AS first_left, full_target[n] AS last_left,
+      CASE WHEN n >= 12 THEN full_target[n] ELSE 0 END AS last_right FROM arr""",
 )
 def _(spark, sf):
     t = F.col("full_target")
     return items(spark, sf).select(
         "item_id",
-        F.element_at(arrays.left_pad(t, 40), 1).alias("first_left"),
-        F.element_at(arrays.left_pad(t, 40), -1).alias("last_left"),
-        F.element_at(arrays.right_pad(t, 40, F.lit(0.0)), -1).alias("last_right"),
+        F.element_at(arrays.left_pad(t, 12), 1).alias("first_left"),
+        F.element_at(arrays.left_pad(t, 12), -1).alias("last_left"),
+        F.element_at(arrays.right_pad(t, 12, F.lit(0.0)), -1).alias("last_right"),
     )
 
 
 @query(
     "prediction_mask",
+    f"""WITH {WHOLE} SELECT dataset, subject_id, slot, pos >= n - n // 4 AS masked FROM whole""",
+)
+def _(spark, sf):
+    out = whole.mask_tail(readings(spark, sf), SPEC, F.floor(F.col(whole.TOTAL) / 4))
+    return out.select(*KEYS, slot().alias("slot"), "masked")
+
+
+@query(
+    "random_prediction_mask",
+    f"""WITH {WHOLE}, m AS (SELECT *, greatest(1, CAST(round((0.15 + 0.35 * ({HASH.format("dataset, subject_id, 8")} / 1152921504606846976.0)) * n) AS BIGINT)) AS m FROM whole)
+    SELECT dataset, subject_id, count(*) FILTER (pos >= n - m) AS masked, round(sum(value) FILTER (pos < n - m), 6) AS kept FROM m GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    share = whole.random_ratio(0.15, 0.5, F.col("dataset"), F.col("subject_id"), F.lit(8))
+    out = whole.mask_tail(readings(spark, sf), SPEC, share)
+    return rounded(out.groupBy(*KEYS).agg(F.count_if("masked").alias("masked"), F.sum(F.when(~F.col("masked"), F.col("value"))).alias("kept")))
+
+
+@query(
+    "window_prediction_mask",
     f"""WITH {LONG} SELECT item_id, CAST(sum(CASE WHEN i >= n - n // 4 THEN 1 ELSE 0 END) AS INTEGER) AS masked,
       round(coalesce(sum(CASE WHEN i < n - n // 4 THEN full_value END), 0), 6) AS kept, CAST(2 * max(n) AS INTEGER) AS extended FROM long GROUP BY 1""",
 )
@@ -188,37 +240,51 @@ def _(spark, sf):
     return out.select("item_id", F.col("i").cast("bigint").alias("i"), "z.a", "z.b")
 
 
+# first-fit-decreasing of each batch, one sequence per step
+PACKED = f"""{ARR.replace("readings AS", "RECURSIVE readings AS", 1)}, h AS (SELECT item_id, n, full_target, {HASH.format("item_id, 0")} AS h FROM arr),
+o AS (SELECT *, (row_number() OVER (ORDER BY h % 4096, h, item_id) - 1) // 32 AS batch FROM h),
+queue AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY n DESC, item_id) AS k FROM o),
+fit AS (
+  SELECT DISTINCT batch, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS free, CAST(0 AS BIGINT) AS spot FROM queue
+  UNION ALL
+  SELECT batch, k, CASE WHEN spot > len(free) THEN list_append(free, 64 - n) ELSE list_transform(free, lambda x, j: CASE WHEN j = spot THEN x - n ELSE x END) END, spot
+  FROM (SELECT q.batch, q.k, q.n, f.free, coalesce(nullif(list_position(list_transform(f.free, lambda x: x >= q.n), true), 0), len(f.free) + 1) AS spot
+    FROM fit f JOIN queue q ON q.batch = f.batch AND q.k = f.k + 1)),
+placed AS (SELECT q.batch, spot - 1 AS bin, row_number() OVER (PARTITION BY q.batch, spot ORDER BY q.k) AS sample_id, item_id AS id, n AS length, full_target
+  FROM fit f JOIN queue q ON q.batch = f.batch AND q.k = f.k),
+packed AS (SELECT *, sum(length) OVER (PARTITION BY batch, bin ORDER BY sample_id) - length AS start FROM placed)"""
+
+
 @query(
     "pack_sequences",
-    f"""WITH {ARR} SELECT CAST(count(*) AS BIGINT) AS sequences, CAST(sum(n) AS BIGINT) AS cells, round(sum(list_sum(full_target)), 4) AS total, true AS all_full FROM arr""",
+    f"""WITH {PACKED} SELECT CAST(batch AS BIGINT) AS batch, CAST(bin AS BIGINT) AS bin, max(sample_id) AS sequences, CAST(sum(length) AS BIGINT) AS cells,
+      CAST(sum(sample_id * (length * start + length * (length - 1) // 2)) AS BIGINT) AS layout, round(sum(list_sum(full_target)), 4) AS total FROM packed GROUP BY 1, 2""",
 )
 def _(spark, sf):
     out = packing.pack_sequences(items(spark, sf), "item_id", "full_target", 64, 32)
     used = F.filter("sample_id", lambda s: s > 0)
-    return out.agg(
-        F.sum(F.array_max("sample_id")).alias("sequences"),
-        F.sum(F.size(used)).alias("cells"),
-        F.round(F.sum(total("values")), 4).alias("total"),
-        F.min((F.size("values") == 64) & (F.size("sample_id") == 64)).alias("all_full"),
+    # where in a bin each sequence lies: places weighted by its number
+    layout = F.aggregate(F.transform("sample_id", lambda s, i: s * i), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    full = F.when((F.size("values") == 64) & (F.size("sample_id") == 64), F.size(used))
+    return out.select(
+        "batch", "bin", F.array_max("sample_id").alias("sequences"), full.cast("bigint").alias("cells"), layout.alias("layout"), F.round(total("values"), 4).alias("total")
     )
 
 
 @query(
     "pack_batches",
-    f"""WITH {ARR}, h AS (SELECT item_id, n, {HASH.format("item_id, 0")} AS h FROM arr),
-    o AS (SELECT *, row_number() OVER (ORDER BY h % 4096, h, item_id) - 1 AS i FROM h)
-    SELECT CAST(i // 32 AS BIGINT) AS batch, item_id AS id, n AS length FROM o""",
+    f"""WITH {PACKED} SELECT CAST(batch AS BIGINT) AS batch, CAST(bin AS BIGINT) AS bin, sample_id, id, length FROM packed""",
 )
 def _(spark, sf):
-    return packing.pack_plan(items(spark, sf), "item_id", "full_target", 64, 32).select("batch", "id", "length")
+    return packing.pack_plan(items(spark, sf), "item_id", "full_target", 64, 32)
 
 
 @query(
     "pad_sequences",
-    f"WITH {ARR} SELECT item_id, CAST(n AS INTEGER) AS observed, round(list_sum(full_target), 6) AS total, CAST(40 AS INTEGER) AS width FROM arr",
+    f"WITH {ARR} SELECT item_id, CAST(n AS INTEGER) AS observed, round(list_sum(full_target), 6) AS total, CAST(24 AS INTEGER) AS width FROM arr",
 )
 def _(spark, sf):
-    out = packing.pad_sequences(items(spark, sf), "full_target", 40)
+    out = packing.pad_sequences(items(spark, sf), "full_target", 24)
     ones = F.size(F.filter("sample_id", lambda s: s == 1))
     return rounded(out.select("item_id", ones.alias("observed"), total("values").alias("total"), F.size("values").alias("width")))
 
@@ -245,6 +311,27 @@ def _(spark, sf):
 
 @query(
     "moving_average",
+    f"""WITH {WHOLE}, m AS (SELECT *, sum(value) OVER (PARTITION BY dataset, subject_id ORDER BY slot ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / 3 AS smooth FROM whole)
+    SELECT dataset, subject_id, slot, round(smooth, 6) AS smooth, round(value - smooth, 6) AS residual FROM m""",
+)
+def _(spark, sf):
+    out = whole.moving_average_rows(readings(spark, sf), SPEC, 3)
+    return rounded(out.select(*KEYS, slot().alias("slot"), "smooth", "residual"))
+
+
+@query(
+    "sliding_sums",
+    f"""WITH {READINGS}, g AS (SELECT dataset, subject_id, slot, CASE WHEN value < 100 THEN value END AS v FROM readings)
+    SELECT dataset, subject_id, slot, round(coalesce(sum(v) OVER w, 0), 6) AS frame_sum, count(v) OVER w AS frame_count FROM g
+    WINDOW w AS (PARTITION BY dataset, subject_id ORDER BY slot ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+)
+def _(spark, sf):
+    rows = readings(spark, sf).withColumn("value", F.when(F.col("value") < 100, F.col("value")))
+    return rounded(whole.sliding_sums(rows, SPEC, 5).select(*KEYS, slot().alias("slot"), "frame_sum", "frame_count"))
+
+
+@query(
+    "window_moving_average",
     f"""WITH {LONG}, m AS (SELECT *, sum(full_value) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / 3 AS smooth FROM long)
     SELECT item_id, i, round(smooth, 6) AS smooth, round(full_value - smooth, 6) AS residual FROM m""",
 )
@@ -391,9 +478,9 @@ def _(spark, sf):
 
 @query(
     "covariate_maps",
-    f"WITH {ARR} SELECT item_id, n AS n_past, round(list_sum(full_target), 6) AS sum_past FROM arr",
+    f"WITH {ARR} SELECT item_id, n AS n_past, round(list_sum(full_target), 6) AS sum_past, round(coalesce(list_sum(target), 0), 6) AS sum_gappy FROM arr",
 )
 def _(spark, sf):
     rows = items(spark, sf).withColumn("past", arrays.covariate_map(["load", "gappy"], ["full_target", "target"]))
-    load = F.col("past")["load"]
-    return rounded(rows.select("item_id", F.size(load).cast("bigint").alias("n_past"), total(load).alias("sum_past")))
+    load, gappy = F.col("past")["load"], F.col("past")["gappy"]
+    return rounded(rows.select("item_id", F.size(load).cast("bigint").alias("n_past"), total(load).alias("sum_past"), total(gappy).alias("sum_gappy")))

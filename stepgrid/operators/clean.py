@@ -20,6 +20,7 @@ from stepgrid.series import (
     with_position,
 )
 from stepgrid.series import T as T_US
+from stepgrid.session import settle
 
 # Largest epoch magnitude -> unit. The second set reads the top
 # class as microseconds and puts its limits lower.
@@ -228,37 +229,55 @@ def validate_forecast_frame(
     horizon: int | None = None,
     minimum: int = 3,
 ) -> DataFrame:
-    """Violations as rows ``(keys, problem)``; an empty result is valid."""
+    """Violations as rows ``(keys, problem)``; an empty result is valid.
+
+    The readings are scanned once, into one small row per id that is written;
+    all problems of an id come from that row and its count in ``future``.
+    """
     from stepgrid.operators.windows import infer_freq
 
     for name in (*spec.keys, spec.ts, *targets):
         if name not in df.columns:
             raise ValueError(f"missing column {name}")
-    keys = list(spec.keys)
-    freq = infer_freq(df, spec)
-    short = freq.filter(F.col("n") < minimum).select(*keys, F.lit("too few points").alias("problem"))
-    mixed = freq.filter(F.col("freq").isNull() & (F.col("n") >= minimum)).select(*keys, F.lit("irregular").alias("problem"))
-    kinds = freq.filter(F.col("freq").isNotNull() & (F.col("n") >= minimum))
-    common = kinds.agg(F.count_distinct("freq").alias("k"), F.min("freq").alias("f"))
-    differs = (
-        kinds.withColumn("_k", common.select("k").scalar())
-        .filter((F.col("_k") > 1) & (F.col("freq") != common.select("f").scalar()))
-        .select(*keys, F.lit("different frequency").alias("problem"))
-    )
-    out = short.unionByName(mixed).unionByName(differs)
-    if future is None:
-        return out
-    if set(targets) & set(future.columns):
+    if future is not None and set(targets) & set(future.columns):
         raise ValueError("future holds a target column")
-    here = df.select(*keys).distinct().withColumn("_here", F.lit(1))
-    there = future.groupBy(*keys).agg(F.count("*").alias("_len"))
-    both = here.join(there, keys, "full_outer")
-    problem = (
-        F.when(F.col("_here").isNull(), "id only in future")
-        .when(F.col("_len").isNull(), "id without future")
-        .when(F.col("_len") != F.lit(horizon), "wrong future length")
-    )
-    return out.unionByName(both.withColumn("problem", problem).filter("problem is not null").select(*keys, "problem"))
+    keys = list(spec.keys)
+    ids = settle(infer_freq(df, spec), "frequencies")
+    long, named = F.col("n") >= minimum, F.col("freq").isNotNull()
+    common = ids.filter(long & named).agg(F.min("freq").alias("f")).scalar()
+    problems = [
+        F.when(F.col("n") < minimum, "too few points"),
+        F.when(long & ~named, "irregular"),
+        F.when(long & (F.col("freq") != common), "different frequency"),
+    ]
+    if future is not None:
+        there = future.groupBy(*keys).agg(F.count("*").alias("_len"))
+        ids = ids.join(there, keys, "full_outer")
+        both = F.when(F.col("n").isNull(), "id only in future").when(F.col("_len").isNull(), "id without future")
+        problems.append(both.when(F.col("_len") != F.lit(horizon), "wrong future length"))
+    return ids.select(*keys, F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+
+
+def transform_by_dataset(df: DataFrame, dataset: Column, kind: Column, branches: dict[str, dict[str, Column]]) -> DataFrame:
+    """Each dataset's own transform, in one scan.
+
+    ``branches`` gives the columns to set under a dataset's name, the name of
+    its kind, or ``default``; the first of the three that is there holds, and
+    without any a row stays as it is. All are expressions of one projection,
+    evaluated for the rows of their dataset only.
+    """
+    names = [n for n in branches if n != "default"]
+    out = {}
+    for column in dict.fromkeys(c for columns in branches.values() for c in columns):
+        own = F.col(column) if column in df.columns else F.lit(None)
+        value = None
+        for which in (dataset, kind):
+            for name in names:
+                chosen = branches[name].get(column, own)
+                value = F.when(which == name, chosen) if value is None else value.when(which == name, chosen)
+        last = branches.get("default", {}).get(column, own)
+        out[column] = last if value is None else value.otherwise(last)
+    return df.withColumns(out)
 
 
 def same_columns(a: DataFrame, b: DataFrame) -> bool:

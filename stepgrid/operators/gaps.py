@@ -18,7 +18,9 @@ from stepgrid.series import (
     chunked,
     floor_div,
     in_chunk,
+    in_row_chunk,
     micros,
+    row_chunks,
     running,
 )
 
@@ -43,34 +45,36 @@ def contiguous_runs(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return rows.withColumn("run", run.cast("bigint")).drop(T, CHUNK, HOME, "_brk", "_end", "c_end")
 
 
-def run_rows(df: DataFrame, spec: SeriesSpec, length: int) -> DataFrame:
-    """Rows chunked for windows of ``length`` steps, with ``pos`` and
-    ``seg_pos`` = exact steps since the last break (counted inside the chunk,
-    which holds at least ``length`` of them when they exist).
-
-    The readings are shuffled once; positions come from per-chunk counts that
-    are summed before their own, small, shuffle.
-    """
-    behind_us = spec.step_us * max(1, length - 1)
-    rows = chunked(df, spec, behind_us=behind_us)
+def local_runs(df: DataFrame, spec: SeriesSpec, length: int) -> DataFrame:
+    """Rows chunked for windows of ``length`` steps, with ``_k`` (place among
+    the home rows of the chunk) and ``seg_pos`` = exact steps since the last
+    break (counted inside the chunk, which holds at least ``length`` of them
+    when they exist)."""
+    rows = chunked(df, spec, behind_us=spec.step_us * max(1, length - 1))
     w = in_chunk(spec)
     gap = F.col(T) - F.lag(T).over(w)
-    rows = (
+    return (
         rows.withColumn("_i", F.row_number().over(w))
         .withColumn("_k", F.count(F.when(F.col(HOME), 1)).over(running(w)) - 1)
         .withColumn("_new", gap.isNull() | (gap != spec.step_us))
         .withColumn("_from", F.last(F.when(F.col("_new"), F.col("_i")), ignorenulls=True).over(running(w)))
         .withColumn("_clean", since_missing(spec, w))
+        .withColumn("seg_pos", F.col("_i") - F.col("_from"))
+        .drop("_i", "_new", "_from")
     )
-    width = spec.chunk_us(behind_us)
+
+
+def run_rows(df: DataFrame, spec: SeriesSpec, length: int) -> DataFrame:
+    """:func:`local_runs` with ``pos``.
+
+    The readings are shuffled once; positions come from per-chunk counts that
+    are summed before their own, small, shuffle.
+    """
+    width = spec.chunk_us(spec.step_us * max(1, length - 1))
     counts = df.groupBy(*spec.keys, floor_div(micros(spec.ts), width).alias(CHUNK)).agg(F.count("*").alias("n"))
     offsets = counts.withColumn("c_off", F.coalesce(F.sum("n").over(before(spec)), F.lit(0))).drop("n")
-    rows = rows.join(offsets, [*spec.keys, CHUNK], "left")
-    return (
-        rows.withColumn("pos", F.col("c_off") + F.col("_k"))
-        .withColumn("seg_pos", F.col("_i") - F.col("_from"))
-        .drop("_i", "_k", "_new", "_from", "c_off")
-    )
+    rows = local_runs(df, spec, length).join(offsets, [*spec.keys, CHUNK], "left")
+    return rows.withColumn("pos", F.col("c_off") + F.col("_k")).drop("_k", "c_off")
 
 
 def since_missing(spec: SeriesSpec, w):
@@ -79,20 +83,15 @@ def since_missing(spec: SeriesSpec, w):
     return F.col("_i") - F.coalesce(F.last(F.when(bad, F.col("_i")), ignorenulls=True).over(running(w)), F.lit(0))
 
 
-def split_rows(
-    df: DataFrame,
-    spec: SeriesSpec,
-    limit: timedelta | None = None,
-    length: int = 1,
-) -> DataFrame:
-    """Positions and segments, still chunked, with halo rows for ``length``.
+def split_rows(df: DataFrame, spec: SeriesSpec, limit: timedelta | None = None) -> DataFrame:
+    """Positions and segments, still chunked; home rows know their predecessor.
 
     ``limit=None`` splits wherever the gap is not exactly one step (a run);
     otherwise a segment ends where the gap exceeds ``limit``. Adds ``pos``,
     ``segment_id`` and ``seg_pos`` (valid on home rows) and ``_clean``.
     """
     reach = spec.step_us if limit is None else int(limit / timedelta(microseconds=1))
-    rows = chunked(df, spec, behind_us=reach * max(1, length - 1))
+    rows = chunked(df, spec, behind_us=reach)
     w = in_chunk(spec)
     gap = F.col(T) - F.lag(T).over(w)
     split = gap.isNull() | ((gap != spec.step_us) if limit is None else (gap > reach))
@@ -131,6 +130,19 @@ def split_rows(
     )
 
 
+def segment_rows(df: DataFrame, spec: SeriesSpec, limit: timedelta, length: int) -> DataFrame:
+    """Segments in chunks counted in rows, with the ``length - 1`` readings a window looks back to.
+
+    A window of a segment may span any time, so a halo in time has no bound in
+    readings; segment numbers are carried over time chunks first, then the rows
+    are chunked by place. Costs a second shuffle and holds arrays to a chunk.
+    """
+    rows = split_rows(df, spec, limit).filter(HOME).drop(CHUNK, HOME, "_clean")
+    rows = row_chunks(rows, spec, length - 1)
+    w = in_row_chunk(spec)
+    return rows.withColumn("_i", F.row_number().over(w)).withColumn("_clean", since_missing(spec, w)).drop("_i")
+
+
 def segment_by_gap(df: DataFrame, spec: SeriesSpec, limit: timedelta | None) -> DataFrame:
     """Add ``pos``, ``segment_id`` (0, 1, ... per series) and ``seg_pos``."""
     rows = split_rows(df, spec, limit)

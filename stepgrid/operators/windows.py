@@ -13,21 +13,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepgrid.functions.hashing import hash_below
-from stepgrid.operators.gaps import run_rows, split_rows
+from stepgrid.operators.gaps import local_runs, run_rows, segment_rows, split_rows
 from stepgrid.series import (
     CHUNK,
     HOME,
     T,
     SeriesSpec,
     after,
+    before,
     carry,
     chunked,
+    floor_div,
     in_chunk,
     in_row_chunk,
     row_chunks,
     running,
     with_position,
 )
+from stepgrid.session import settle
 
 
 def context_steps(hours: float, step: timedelta) -> int:
@@ -68,10 +71,62 @@ def window_ends(
     ``limit=None``: the window must be an unbroken run. Otherwise it must lie
     in one gap-split segment.
     """
-    rows = run_rows(df, spec, length) if limit is None else split_rows(df, spec, limit, length)
+    rows = run_rows(df, spec, length) if limit is None else segment_rows(df, spec, limit, length)
     return rows.withColumn("_ok", _accepts(F.col, length, stride, limit is None))
 
 
+def window_index(df: DataFrame, spec: SeriesSpec, length: int, stride: int = 1, limit: timedelta | None = None) -> DataFrame:
+    """Where valid windows lie, without their values: keys, ``window_start``,
+    ``start_us`` and ``end_us``, as a written table.
+
+    Samplers draw from it and fetch the drawn windows alone (see
+    :func:`gather_windows`). Windows over runs take one scan: the readings that
+    end one are written with the number of readings of each chunk, and places
+    are summed up from those numbers.
+    """
+    keys = list(spec.keys)
+    if limit is not None:
+        rows = window_ends(df, spec, length, stride, limit)
+        rows = rows.withColumn("start_us", F.lag(T, length - 1).over(in_row_chunk(spec))).filter("_ok")
+        found = rows.select(*keys, (F.col("pos") - (length - 1)).alias("window_start"), "start_us", F.col(T).alias("end_us"))
+        return settle(found, "window-index")
+    rows = local_runs(df, spec, length).withColumn("_here", F.max("_k").over(Window.partitionBy(*keys, CHUNK)) + 1)
+    ends = F.col(HOME) & (F.col("seg_pos") >= length - 1) & (F.col("_clean") >= length)
+    rows = rows.withColumn("_ok", ends).where(F.col("_ok") | (F.col(HOME) & (F.col("_k") == 0)))
+    marks = settle(rows.select(*keys, CHUNK, T, "_k", "_here", "_ok"), "window-index")
+    offsets = marks.where("_k = 0").select(*keys, CHUNK, F.coalesce(F.sum("_here").over(before(spec)), F.lit(0)).alias("c_off"))
+    start = (F.col("c_off") + F.col("_k") - (length - 1)).alias("window_start")
+    found = marks.where("_ok").join(offsets, [*keys, CHUNK]).select(*keys, start, (F.col(T) - (length - 1) * spec.step_us).alias("start_us"), F.col(T).alias("end_us"))
+    return found.where(F.pmod("window_start", F.lit(stride)) == 0)
+
+
+def gather_windows(df: DataFrame, spec: SeriesSpec, picked: DataFrame, context: int, horizon: int) -> DataFrame:
+    """``context`` and ``target`` of the windows of an index, and no others.
+
+    One scan: readings of chunks that hold no such window drop out by a semi
+    join before any array is made; a window that lies in several chunks is put
+    together from its parts.
+    """
+    keys, length = list(spec.keys), context + horizon
+    width = spec.chunk_us()
+    chunks = F.sequence(floor_div(F.col("start_us"), width), floor_div(F.col("end_us"), width))
+    pairs = picked.select(*keys, "window_start", "start_us", "end_us").distinct().withColumn(CHUNK, F.explode(chunks))
+    rows = chunked(df, spec).join(pairs.select(*keys, CHUNK).distinct(), [*keys, CHUNK], "left_semi")
+    one = F.struct(F.col(T).alias("t"), F.col(spec.value).alias("v"))
+    packed = rows.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(one)).alias("_r"))
+    first = F.greatest(F.array_position(F.col("_r.t"), F.col("start_us")), F.lit(1)).cast("int")
+    part = F.filter(F.slice("_r", first, F.lit(length)), lambda r: (r["t"] >= F.col("start_us")) & (r["t"] <= F.col("end_us")))
+    parts = packed.join(pairs, [*keys, CHUNK]).select(*keys, "window_start", "start_us", part.alias("_p"))
+    whole = parts.groupBy(*keys, "window_start", "start_us").agg(F.array_sort(F.flatten(F.collect_list("_p"))).alias("_w"))
+    return whole.select(
+        *keys,
+        "window_start",
+        F.timestamp_micros("start_us").alias("start_ts"),
+        F.slice(F.col("_w.v"), 1, context).alias("context"),
+        F.slice(F.col("_w.v"), context + 1, horizon).alias("target"),
+    )
+
+
 def windows_grid(
     df: DataFrame,
     spec: SeriesSpec,
@@ -87,7 +142,7 @@ def windows_grid(
     Stride 0 means the context.
     """
     longest = max(c + h for c, h in grid)
-    rows = run_rows(df, spec, longest) if limit is None else split_rows(df, spec, limit, longest)
+    rows = run_rows(df, spec, longest) if limit is None else segment_rows(df, spec, limit, longest)
     return _cut(rows, spec, grid, lambda x, c, h: _accepts(x, c + h, stride or c, limit is None), covariates)
 
 
@@ -421,26 +476,47 @@ def calendar_shift(months: int, ts: str) -> Column:
     return F.when(at_end, F.last_day(moved)).otherwise(moved)
 
 
+def _step_columns(now: Column, then: Column) -> dict[str, Column]:
+    """Least and greatest step of pairs of neighbours, in time and months, and whether all keep their day of the month."""
+    step = F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))
+    months = (F.year(now) - F.year(then)) * 12 + F.month(now) - F.month(then)
+    same_day = (F.dayofmonth(now) == F.dayofmonth(then)) | ((F.last_day(now) == F.to_date(now)) & (F.last_day(then) == F.to_date(then)))
+    edge = F.when(then.isNotNull(), same_day.cast("int"))
+    return {"lo": step, "hi": step, "mlo": months, "mhi": months, "edge": edge}
+
+
+def step_summary(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Per series ``n``, least and greatest step (``lo, hi``), months (``mlo, mhi``) and ``edge``.
+
+    One scan and one shuffle of the timestamps: a chunk becomes one row of
+    mergeable numbers with its first and last time, and steps across chunk
+    borders are taken between those rows.
+    """
+    keys = list(spec.keys)
+    merge = {"lo": F.min, "hi": F.max, "mlo": F.min, "mhi": F.max, "edge": F.min}
+    rows = chunked(df.select(*keys, spec.ts), spec)
+    rows = rows.withColumn("_then", F.lag(spec.ts).over(in_chunk(spec)))
+    inner = _step_columns(F.col(spec.ts), F.col("_then"))
+    each = rows.groupBy(*keys, CHUNK).agg(
+        F.count("*").alias("n"),
+        F.min(spec.ts).alias("_first"),
+        F.max(spec.ts).alias("_last"),
+        *[merge[name](column).alias(name) for name, column in inner.items()],
+    )
+    each = each.withColumn("_then", F.lag("_last").over(Window.partitionBy(*keys).orderBy(CHUNK)))
+    border = _step_columns(F.col("_first"), F.col("_then"))
+    pick = {name: F.greatest if f is F.max else F.least for name, f in merge.items()}
+    each = each.withColumns({name: pick[name](F.col(name), border[name]) for name in merge})
+    return each.groupBy(*keys).agg(F.sum("n").alias("n"), *[f(name).alias(name) for name, f in merge.items()])
+
+
 def infer_freq(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """One frequency per series: a fixed step, a month/quarter/year step, or
     ``freq`` null when the steps are mixed."""
-    rows = lag_rows(with_position(df, spec), spec, {"_prev": 1}, value=spec.ts)
-    step = F.unix_micros(F.col(spec.ts).cast("timestamp")) - F.unix_micros(F.col("_prev").cast("timestamp"))
-    months = (F.year(spec.ts) - F.year("_prev")) * 12 + F.month(spec.ts) - F.month("_prev")
-    month_edge = (F.dayofmonth(spec.ts) == F.dayofmonth("_prev")) | (
-        (F.last_day(spec.ts) == F.to_date(spec.ts)) & (F.last_day("_prev") == F.to_date("_prev"))
-    )
-    found = rows.groupBy(*spec.keys).agg(
-        F.count("*").alias("n"),
-        F.min(step).alias("lo"),
-        F.max(step).alias("hi"),
-        F.min(months).alias("mlo"),
-        F.max(months).alias("mhi"),
-        F.coalesce(F.min(F.when(F.col("_prev").isNotNull(), month_edge.cast("int"))), F.lit(0)).alias("edge"),
-    )
+    found = step_summary(df, spec).withColumn("edge", F.coalesce("edge", F.lit(0)))
     name = (
         F.when(F.col("lo") == F.col("hi"), F.concat((F.col("lo") / 1_000_000).cast("bigint").cast("string"), F.lit("s")))
-        .when((F.col("edge") == 1) & (F.col("mlo") == F.col("mhi")), F.concat(F.col("mlo").cast("string"), F.lit("mo")))
+        .when((F.col("edge") == 1) & (F.col("mlo") == F.col("mhi")) & (F.col("mlo") > 0), F.concat(F.col("mlo").cast("string"), F.lit("mo")))
     )
     return found.select(*spec.keys, "n", name.alias("freq"))
 

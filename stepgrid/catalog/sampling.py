@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stepgrid.catalog.base import KEYS, POS, READINGS, SPEC, query, readings, rounded, table
-from stepgrid.functions.hashing import hash_unit
+from stepgrid.catalog.base import KEYS, POS, READINGS, SPEC, query, readings, rounded, slot, table
 from stepgrid.operators import sampling, windows
-from stepgrid.operators.windows import latest_window, windows_contiguous
 from stepgrid.session import fresh_path
 from stepgrid.streaming.latest import latest_stream
 
 HASH = "CAST('0x' || substr(md5(concat_ws('|', {})), 1, 15) AS BIGINT)"
-OK = f"""{POS}, l AS (SELECT *, lead(slot, 5) OVER (PARTITION BY dataset, subject_id ORDER BY slot) AS last FROM pos),
-win AS (SELECT dataset, subject_id, pos AS window_start FROM l WHERE last = slot + 5)"""
+OK = f"""{POS}, l AS (SELECT *, lead(slot, 5) OVER w AS last, value + lead(value) OVER w + lead(value, 2) OVER w + lead(value, 3) OVER w AS sx, lead(value, 4) OVER w + lead(value, 5) OVER w AS sy
+  FROM pos WINDOW w AS (PARTITION BY dataset, subject_id ORDER BY slot)),
+win AS (SELECT dataset, subject_id, pos AS window_start, slot AS start_slot, round(sx, 6) AS sum_context, round(sy, 6) AS sum_target FROM l WHERE last = slot + 5)"""
 
 
-def starts(spark, sf):
-    return windows_contiguous(readings(spark, sf), SPEC, 4, 2).select(*KEYS, "window_start")
+def sums(windows):
+    """Start and sums of both parts of gathered windows."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return rounded(windows.withColumns({"start_slot": slot("start_ts"), "sum_context": total("context"), "sum_target": total("target")}).drop("start_ts", "context", "target"))
 
 
 @query(
     "sample_windows",
-    f"WITH {OK} SELECT dataset, subject_id, window_start FROM win ORDER BY {HASH.format('dataset, subject_id, window_start, 11')}, dataset, subject_id, window_start LIMIT 500",
+    f"WITH {OK} SELECT * FROM win ORDER BY {HASH.format('dataset, subject_id, window_start, 11')}, dataset, subject_id, window_start LIMIT 500",
 )
 def _(spark, sf):
-    return sampling.sample_windows(starts(spark, sf), [*KEYS, "window_start"], 500, 11)
+    return sums(sampling.sample_window_values(readings(spark, sf), SPEC, 4, 2, 500, 11))
 
 
 @query(
@@ -41,11 +42,10 @@ def _(spark, sf):
     f"""WITH {OK}, num AS (SELECT *, row_number() OVER (PARTITION BY dataset, subject_id ORDER BY window_start) - 1 AS w, count(*) OVER (PARTITION BY dataset, subject_id) AS n FROM win),
     sub AS (SELECT dataset, subject_id, max(n) AS n, {HASH.format('dataset, subject_id, 0')} AS h FROM num GROUP BY 1, 2), idx AS (SELECT *, row_number() OVER (ORDER BY h % 4096, h, dataset, subject_id) - 1 AS s FROM sub),
     d AS (SELECT draw, {HASH.format('draw, 21')} % (SELECT count(*) FROM sub) AS s, {HASH.format('draw, 22')} AS r FROM (SELECT unnest(range(3000)) AS draw))
-    SELECT draw, idx.dataset, idx.subject_id, window_start FROM d JOIN idx USING (s) JOIN num ON num.dataset = idx.dataset AND num.subject_id = idx.subject_id AND num.w = r % idx.n""",
+    SELECT draw, idx.dataset, idx.subject_id, window_start, start_slot, sum_context, sum_target FROM d JOIN idx USING (s) JOIN num ON num.dataset = idx.dataset AND num.subject_id = idx.subject_id AND num.w = r % idx.n""",
 )
 def _(spark, sf):
-    out = sampling.subject_balanced_sample(spark, starts(spark, sf), SPEC, 3000, 21)
-    return out.select("draw", *KEYS, "window_start")
+    return sums(sampling.subject_balanced_values(spark, readings(spark, sf), SPEC, 4, 2, 3000, 21))
 
 
 LENS = f"""{READINGS}, items AS (SELECT dataset || '__' || subject_id AS item_id, count(*) AS n FROM readings GROUP BY dataset, subject_id),
@@ -73,11 +73,20 @@ def _(spark, sf):
     return sampling.sample_series(spark, lengths(spark, sf), "item_id", "length", 2000, 5, "uniform")
 
 
+# a binomial count is the number of cumulative chances that a uniform reaches
+BINOMIAL = """s AS (SELECT *, least(p, 1 - p) AS q FROM drawn),
+j AS (SELECT k, n, p, q, u, unnest(range(n - 1)) AS j FROM s WHERE n > 1),
+chance AS (SELECT *, exp(lgamma(n) - lgamma(j + 1) - lgamma(n - j) + j * ln(q) + (n - 1 - j) * ln(1 - q)) AS c FROM j),
+upto AS (SELECT *, sum(c) OVER (PARTITION BY k ORDER BY j) AS f FROM chance),
+hit AS (SELECT k, count(*) FILTER (f <= u) AS x FROM upto GROUP BY 1),
+count_of AS (SELECT s.k, s.n, CASE WHEN n = 1 THEN 0 WHEN p <= 0.5 THEN x ELSE n - 1 - x END AS x FROM s LEFT JOIN hit USING (k))"""
+
+
 @query(
     "random_counts",
     f"""WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1),
-    b AS (SELECT k, n, (SELECT count(*) FROM (SELECT unnest(range(1, n)) AS i) t WHERE {HASH.format('k, 2, i')} / 1152921504606846976.0 < 0.5) AS b FROM c)
-    SELECT k, n, CAST(1 + {HASH.format('k, 1')} % n AS INTEGER) AS uniform, CAST(1 + b AS INTEGER) AS binomial FROM b""",
+    drawn AS (SELECT *, 0.5 AS p, {HASH.format("k, 2, 'count'")} / 1152921504606846976.0 AS u FROM c), {BINOMIAL}
+    SELECT k, n, CAST(1 + {HASH.format('k, 1')} % n AS INTEGER) AS uniform, 1 + x AS binomial FROM count_of""",
 )
 def _(spark, sf):
     rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
@@ -85,7 +94,7 @@ def _(spark, sf):
         "k",
         "n",
         sampling.random_count("uniform", F.col("n"), F.col("k"), F.lit(1)).alias("uniform"),
-        sampling.random_count("binomial", F.col("n").cast("int"), F.col("k"), F.lit(2)).alias("binomial"),
+        sampling.random_count("binomial", F.col("n"), F.col("k"), F.lit(2)).alias("binomial"),
     )
 
 
@@ -94,12 +103,13 @@ BETA = ", ".join(HASH.format(f"k, 3, 'beta', {i}") + " / 1152921504606846976.0"
 
 @query(
     "beta_binomial_counts",
-    f"""WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT k, n, list_sort([{BETA}])[2] AS p FROM c)
-    SELECT k, n, CAST(1 + (SELECT count(*) FROM (SELECT unnest(range(1, n)) AS i) t WHERE {HASH.format('k, 3, i')} / 1152921504606846976.0 < p) AS INTEGER) AS picked FROM p""",
+    f"""WITH c AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1),
+    drawn AS (SELECT *, list_sort([{BETA}])[2] AS p, {HASH.format("k, 3, 'count'")} / 1152921504606846976.0 AS u FROM c), {BINOMIAL}
+    SELECT k, n, 1 + x AS picked FROM count_of""",
 )
 def _(spark, sf):
     rows = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    pick = sampling.random_count("beta_binomial", F.col("n").cast("int"), F.col("k"), F.lit(3), a=2, b=3)
+    pick = sampling.random_count("beta_binomial", F.col("n"), F.col("k"), F.lit(3), a=2, b=3)
     return rows.select("k", "n", pick.alias("picked"))
 
 

@@ -123,17 +123,15 @@ def _(spark, sf):
     # a square text grid counted from the pairs, signed, read back as risks
     cell = lambda c: F.floor(c / 50).cast("int")
     counts = glucose(spark, sf).groupBy(cell(T()).alias("i"), cell(P()).alias("j")).agg(F.count("*").alias("n"))
-    top = counts.agg(F.max(F.greatest("i", "j"))).first()[0]
-    size = range(top + 1)
-    cells = [
-        F.coalesce(F.max(F.when((F.col("j") == j) & (F.col("i") != j), -F.least(F.lit(4.0), F.col("n") / 100.0))), F.lit(0.0)).cast("string") for j in size
-    ]
-    every = spark.range(top + 1).select(F.col("id").cast("int").alias("i")).join(counts, "i", "left")
-    lines = every.groupBy("i").agg(F.concat_ws(" ", *cells).alias("line"))
-    # at most a dozen lines: rows of a grid of 50 mg/dL cells
-    text = lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("value"))
+    # every line of the grid on its own: the cells that pairs fall into, zero elsewhere
+    places = F.sequence(F.lit(0), counts.agg(F.max(F.greatest("i", "j"))).scalar())
+    risk = F.when(F.col("i") != F.col("j"), -F.least(F.lit(4.0), F.col("n") / 100.0)).otherwise(0.0)
+    held = counts.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", risk))).alias("held"))
+    every = counts.select(F.explode(places).alias("i")).distinct().join(held, "i", "left").withColumn("places", places)
+    cells = F.transform("places", lambda j: F.coalesce(F.try_element_at("held", j), F.lit(0.0)).cast("string"))
     path = fresh_path(spark, "seg")
-    text.write.text(path)
+    lines = every.select("i", F.array_join(cells, " ").alias("value"))
+    lines.repartitionByRange(1, "i").sortWithinPartitions("i").select("value").write.text(path)  # one file holds a grid, line by line
     return rounded(seg_table_report(read_seg_table(spark, path)))
 
 
@@ -159,6 +157,30 @@ def _(spark, sf):
     return rollup.strata_table(each, "dataset", ["g0", "g1", "g2", "g9"])
 
 
+def overlapping(t):
+    return [("low", t < 80), ("not high", t <= 180), ("high", t > 180), ("very high", t > 250)]
+
+
+@query(
+    "strata_by_condition",
+    f"""WITH {GLU}, e AS (SELECT dataset, subject_id, t, pow(t - p, 2) AS e FROM glu)
+    SELECT dataset, subject_id, round(sqrt(avg(e) FILTER (t < 80)), 6) AS "low", round(sqrt(avg(e) FILTER (t <= 180)), 6) AS "not high",
+      round(sqrt(avg(e) FILTER (t > 180)), 6) AS "high", round(sqrt(avg(e) FILTER (t > 250)), 6) AS "very high" FROM e GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    return rounded(rollup.strata_rmse(glucose(spark, sf), KEYS, strata=overlapping(T())))
+
+
+@query(
+    "strata_rows",
+    f"""WITH {GLU}, s(stratum, lo, hi) AS (VALUES ('low', -1e9, 79.999999999), ('not high', -1e9, 180), ('high', 180.000000001, 1e9), ('very high', 250.000000001, 1e9))
+    SELECT dataset, stratum, count(*) AS n, round(avg(abs(t - p)), 6) AS mae FROM glu JOIN s ON t BETWEEN lo AND hi GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    rows = rollup.strata_rows(glucose(spark, sf), overlapping(T()))
+    return rounded(rows.groupBy("dataset", "stratum").agg(F.count("*").alias("n"), F.avg(F.abs(T() - P())).alias("mae")))
+
+
 @query("zone_summary_by_dataset", f"WITH {ZONED} SELECT dataset, {SUMMARY} FROM zoned GROUP BY 1")
 def _(spark, sf):
     return rounded(rollup.zone_summary(glucose(spark, sf), ["dataset"]))

@@ -370,9 +370,5 @@ def _(spark, sf):
     """SELECT row_number() OVER (ORDER BY CASE m WHEN 'MACHINERY' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END, m) AS place, m AS segment, n FROM (SELECT c_mktsegment AS m, count(*) AS n FROM customer GROUP BY 1)""",
 )
 def _(spark, sf):
-    from pyspark.sql import Window
-
     counts = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
-    shown = rollup.display_order(counts, "segment", ["MACHINERY", "BUILDING"])
-    # the handful of segments in their display order
-    return shown.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).cast("bigint"))
+    return rollup.with_display_place(counts, "segment", ["MACHINERY", "BUILDING"])

@@ -300,8 +300,18 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = readings(spark, sf)
-    cut = anomaly.anomaly_threshold(rows.filter("dataset = 'g0'"), rows.filter("dataset <> 'g0'"), "value", 1.0)
-    return rows.agg(F.round(F.lit(cut) + 0 * F.max("value"), 6).alias("threshold"))
+    return rounded(anomaly.anomaly_threshold(rows.filter("dataset = 'g0'"), rows.filter("dataset <> 'g0'"), "value", 1.0))
+
+
+@query(
+    "detect_anomalies",
+    f"""WITH {READINGS}, t AS (SELECT quantile_cont(value, 0.95) AS cut FROM readings)
+    SELECT dataset, count(*) AS n, CAST(sum(CASE WHEN value > cut THEN 1 ELSE 0 END) AS BIGINT) AS found FROM readings, t GROUP BY 1""",
+)
+def _(spark, sf):
+    rows = readings(spark, sf)
+    cut = anomaly.anomaly_threshold(rows.filter("dataset = 'g0'"), rows.filter("dataset <> 'g0'"), "value", 5.0)
+    return anomaly.detect(rows, "value", cut).groupBy("dataset").agg(F.count("*").alias("n"), F.sum("pred").alias("found"))
 
 
 ADJUST = f"""{POS}, lab AS (SELECT *, CASE WHEN value > 60 THEN 1 ELSE 0 END AS label, CASE WHEN value > 110 THEN 1 ELSE 0 END AS pred FROM pos),

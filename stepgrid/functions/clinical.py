@@ -85,8 +85,13 @@ def seg_zone(risk: Column) -> Column:
 STRATA = ("Hyper (>180)", "In-range [70,180]", "Hypo (<70)")
 
 
+def glycemic_strata(truth: Column) -> list[tuple[str, Column]]:
+    """Labels and conditions of the strata, in display order."""
+    return list(zip(STRATA, (truth > 180, truth.between(70, 180), truth < 70)))
+
+
 def stratum(truth: Column) -> Column:
-    return F.when(truth > 180, STRATA[0]).when(truth >= 70, STRATA[1]).when(truth < 70, STRATA[2])
+    return F.coalesce(*[F.when(condition, label) for label, condition in glycemic_strata(truth)])
 
 
 def with_seg_risk(

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepgrid.operators.ranks import exact_quantile
+from stepgrid.operators.ranks import quantile_table
 from stepgrid.series import CHUNK, HOME, T, SeriesSpec, before, carry, chunked, in_chunk, running, spread_join
 
 
-def anomaly_threshold(train: DataFrame, test: DataFrame, energy: str, ratio: float) -> float:
-    """The (100 - ratio) percentile of train and test energies together."""
+def anomaly_threshold(train: DataFrame, test: DataFrame, energy: str, ratio: float) -> DataFrame:
+    """The (100 - ratio) percentile of train and test energies together, as a
+    table of one row ``threshold``."""
     both = train.select(energy).unionByName(test.select(energy))
-    return exact_quantile(both, energy, (100 - ratio) / 100)
+    return quantile_table(both, energy, (100 - ratio) / 100).withColumnRenamed("quantile", "threshold")
+
+
+def detect(df: DataFrame, energy: str, threshold: DataFrame, out: str = "pred") -> DataFrame:
+    """0/1 detection of energies above the threshold table's number."""
+    return df.withColumn(out, (F.col(energy) > threshold.select("threshold").scalar()).cast("int"))
 
 
 def point_adjust(df: DataFrame, spec: SeriesSpec, label: str, pred: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepgrid.functions.hashing import BITS, seeded_hash
+from stepgrid.session import settle
 
 BUCKETS = 4096
 
@@ -73,49 +74,91 @@ def average_ranks(
     return rows.withColumn("avg_rank", rank).drop("_b", "_c", "_o")
 
 
-def exact_quantile(df: DataFrame, value: str, level: float, keep: int = 100_000) -> float:
-    """Exact linear-interpolation quantile of a whole column.
+PARTS = 1024  # slots that a range of values is counted in, per pass
 
-    Narrows the value range by counting 1024 equal buckets per pass until few
-    distinct values remain; each pass is one map-side aggregate, and the
-    driver sees bucket counts only. Settle an expensive input first.
+
+def quantile_table(df: DataFrame, value: str, level: float) -> DataFrame:
+    """Exact linear-interpolation quantile of a whole column, as a table of one row ``quantile``.
+
+    Selection by counting: values fall into slots of about 1 % of their size,
+    the slots of the two wanted ranks are cut into ``PARTS`` equal ones, and so
+    on until each holds a single value (six passes at most, as doubles are
+    evenly spaced in such a slot). A pass is one aggregate with map-side
+    counts; the two rows (rank, range) it leaves are written and steer the
+    next. No value comes to the driver. Infinite values are counted apart; null
+    and NaN are left out; without values the quantile is null. Settle an
+    expensive input first.
     """
-    col = F.col(value).cast("double")
-    rows = df.select(col.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    n, low, high = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
-    if not n:
+    infinite = float("inf")
+    rows = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    # adding 0.0 makes the two zeros one
+    finite = rows.filter(F.abs("v") < infinite).select((F.col("v") + 0.0).alias("v"))
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if(F.col("v") == -infinite).alias("below"), F.count_if(F.col("v") == infinite).alias("above"))
+    at = F.lit(level) * (F.col("n") - 1)
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("id"), F.floor(at).alias("k")), F.struct(F.lit(1).alias("id"), F.least(F.floor(at) + 1, F.col("n") - 1).alias("k"))))
+    wanted = sizes.where("n > 0").withColumn("r", ranks).select("r.id", "r.k", "n", "below", "above", (at - F.floor(at)).alias("share"))
+    wanted = settle(wanted, "quantile")
+    state = wanted.where("k >= below AND k < n - above").select("id", (F.col("k") - F.col("below")).alias("k"))
+
+    slots = finite.groupBy(value_bucket(F.col("v")).alias("slot")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    slots = settle(slots, "quantile")  # as many rows as there are magnitudes, at most 2100 octaves of 64
+    listed = slots.agg(F.array_sort(F.collect_list(F.struct("slot", "n", "lo", "hi")))).scalar()
+    state = settle(_chosen(state.withColumn("slots", listed)), "quantile")
+    while not state.where("lo < hi").isEmpty():
+        ranges = state.agg(F.collect_list(F.struct("id", "lo", "hi"))).scalar()
+        hit = F.explode(F.filter("ranges", lambda s: (F.col("v") >= s["lo"]) & (F.col("v") <= s["hi"])))
+        width = F.col("s.hi") / PARTS - F.col("s.lo") / PARTS
+        slot = F.when(width > 0, F.least(F.lit(PARTS - 1), F.floor((F.col("v") - F.col("s.lo")) / width))).otherwise(F.lit(0))
+        # in a range too narrow to cut, its two ends are apart
+        slot = F.when(width > 0, slot).otherwise((F.col("v") > F.col("s.lo")).cast("bigint"))
+        counts = finite.withColumn("ranges", ranges).select("v", hit.alias("s")).groupBy(F.col("s.id").alias("id"), slot.alias("slot"))
+        counts = counts.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counts = counts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("slot", "n", "lo", "hi"))).alias("slots"))  # PARTS at most
+        state = settle(_chosen(state.select("id", "k").join(counts, "id")), "quantile")
+    found = wanted.join(state.select("id", F.col("lo").alias("v")), "id", "left")
+    found = found.withColumn("v", F.when(F.col("k") < F.col("below"), -infinite).when(F.col("k") >= F.col("n") - F.col("above"), infinite).otherwise(F.col("v")))
+    low, high, share = F.max(F.when(F.col("id") == 0, F.col("v"))), F.max(F.when(F.col("id") == 1, F.col("v"))), F.max("share")
+    return found.agg(F.when((low == high) | (share == 0), low).otherwise(low + (high - low) * share).alias("quantile"))
+
+
+def _chosen(state: DataFrame) -> DataFrame:
+    """For each rank the slot that holds it, and the rank inside: ``id, k, lo, hi``."""
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(None).cast("bigint").alias("k"))
+
+    def step(acc: Column, s: Column) -> Column:
+        here = acc["k"].isNull() & (F.col("k") < acc["before"] + s["n"])
+        taken = F.struct(acc["before"].alias("before"), s["lo"].alias("lo"), s["hi"].alias("hi"), (F.col("k") - acc["before"]).alias("k"))
+        passed = F.struct((acc["before"] + s["n"]).alias("before"), acc["lo"].alias("lo"), acc["hi"].alias("hi"), acc["k"].alias("k"))
+        return F.when(here, taken).otherwise(passed)
+
+    return state.withColumn("c", F.aggregate("slots", start, step)).select("id", F.col("c.k").alias("k"), F.col("c.lo").alias("lo"), F.col("c.hi").alias("hi"))
+
+
+def exact_quantile(df: DataFrame, value: str, level: float) -> float:
+    """The number of :func:`quantile_table`, for a caller that needs it at once."""
+    found = quantile_table(df, value, level).first()["quantile"]
+    if found is None:
         raise ValueError("no values")
-    at = level * (n - 1)
-    ranks = (int(at), min(int(at) + 1, n - 1))
-    found = [_kth(rows, k, low, high, keep) for k in dict.fromkeys(ranks)]
-    return found[0] + (found[-1] - found[0]) * (at - int(at))
-
-
-def _kth(rows: DataFrame, k: int, low: float, high: float, keep: int) -> float:
-    parts = 1024
-    while low < high:
-        inside = rows.filter((F.col("v") >= low) & (F.col("v") <= high))
-        step = (high - low) / parts
-        slot = F.least(F.lit(parts - 1), F.floor((F.col("v") - low) / step)) if step > 0 else F.lit(0)
-        counts = (
-            inside.groupBy(slot.alias("b"))
-            .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("b")
-            .collect()  # at most 1024 rows
-        )
-        for row in counts:
-            if k < row.n:
-                narrowed = (row.lo, row.hi) != (low, high)
-                low, high, size = row.lo, row.hi, row.n
-                break
-            k -= row.n
-        if size <= keep or not narrowed:
-            tied = inside.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").agg(F.count("*").alias("n"))
-            for row in tied.orderBy("v").toLocalIterator():
-                if k < row.n:
-                    return row.v
-                k -= row.n
-    return low
+    return found
+
+
+def number_in_order(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number rows 0..n-1 by the given columns, rising, which must tell all rows apart.
+
+    Rows are dealt to ranges and written, so that borders stay as they are;
+    each range is numbered on its own and moved by the rows of the ranges
+    before it, of which there are as many as shuffle partitions.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    dealt = df.withColumns(dict(zip(names, order))).repartitionByRange(*[F.col(n) for n in names])
+    dealt = settle(dealt.withColumn("_p", F.spark_partition_id()), "ordered")
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    every = sizes.agg(F.collect_list(F.struct("_p", "_n"))).scalar()
+    before = F.aggregate(F.filter("_every", lambda s: s["_p"] < F.col("_p")), F.lit(0).cast("bigint"), lambda acc, s: acc + s["_n"])
+    starts = sizes.withColumn("_every", every).select("_p", before.alias("_before"))
+    rows = dealt.withColumn(out, F.row_number().over(Window.partitionBy("_p").orderBy(*names)) - 1)
+    rows = rows.join(F.broadcast(starts), "_p")
+    return rows.withColumn(out, F.col(out) + F.col("_before")).drop("_p", "_before", *names)
 
 
 def smallest(df: DataFrame, order: Column, n: int, ties: list[str], bits: int = 16) -> DataFrame:

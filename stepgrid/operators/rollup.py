@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.functions import clinical, metrics
 from stepgrid.functions.text import mean_std_text
+from stepgrid.operators.ranks import number_in_order
 from stepgrid.series import spread_join
 
 ALL_PATIENTS = "ALL_PATIENTS"
@@ -95,18 +96,30 @@ def participant_zone_means(pairs: DataFrame, by: list[str], participant: str, zo
     return each.groupBy(*by).agg(*[F.avg(z).alias(z) for z in letters])
 
 
-def strata_rmse(pairs: DataFrame, by: list[str], pred: str = "prediction", truth: str = "ground_truth") -> DataFrame:
-    """RMSE per glycemic stratum, one column each, null where empty."""
-    rows = metrics.finite_pairs(pairs, pred, truth).withColumn("_s", clinical.stratum(F.col(truth)))
+def strata_rmse(
+    pairs: DataFrame, by: list[str], pred: str = "prediction", truth: str = "ground_truth", strata: list[tuple[str, Column]] | None = None
+) -> DataFrame:
+    """RMSE per stratum, one column each, null where empty.
+
+    ``strata`` is a list of labels and conditions, by default the glycemic
+    ones; strata may overlap, and a row counts in each whose condition holds.
+    """
+    rows = metrics.finite_pairs(pairs, pred, truth)
     e = F.col(truth) - F.col(pred)
-    return rows.groupBy(*by).agg(
-        *[F.sqrt(F.avg(F.when(F.col("_s") == s, e * e))).alias(s) for s in clinical.STRATA]
-    )
+    strata = clinical.glycemic_strata(F.col(truth)) if strata is None else strata
+    return rows.groupBy(*by).agg(*[F.sqrt(F.avg(F.when(condition, e * e))).alias(label) for label, condition in strata])
 
 
-def strata_table(per_participant: DataFrame, protocol: str, order: list[str]) -> DataFrame:
+def strata_rows(df: DataFrame, strata: list[tuple[str, Column]], out: str = "stratum") -> DataFrame:
+    """One row for each stratum that a row is in; rows in none are left out."""
+    labels = F.array(*[F.when(condition, F.lit(label)) for label, condition in strata])
+    return df.withColumn(out, F.explode(F.array_compact(labels)))
+
+
+def strata_table(per_participant: DataFrame, protocol: str, order: list[str], labels: list[str] | None = None) -> DataFrame:
     """Strata x protocol cells 'mean (std)', blanks where absent."""
-    long = per_participant.unpivot([protocol], list(clinical.STRATA), "stratum", "rmse").filter("rmse is not null")
+    names = list(clinical.STRATA) if labels is None else labels
+    long = per_participant.unpivot([protocol], names, "stratum", "rmse").filter("rmse is not null")
     cells = long.groupBy("stratum", protocol).agg(mean_std_text(F.col("rmse")).alias("cell"))
     wide = cells.groupBy("stratum").pivot(protocol, order).agg(F.first("cell"))
     return wide.fillna("")
@@ -212,11 +225,20 @@ def cost_estimate(throughput: DataFrame, workload: DataFrame, config: DataFrame)
     )
 
 
+def _display_place(column: str, order: list[str]) -> Column:
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column))
+    return F.when(place == 0, len(order) + 1).otherwise(place)
+
+
 def display_order(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """Known names in the given order, unknown ones after them by name."""
-    known = F.array(*[F.lit(x) for x in order])
-    place = F.array_position(known, F.col(column))
-    return df.orderBy(F.when(place == 0, len(order) + 1).otherwise(place), column)
+    return df.orderBy(_display_place(column, order), column)
+
+
+def with_display_place(df: DataFrame, column: str, order: list[str], out: str = "place") -> DataFrame:
+    """The 1-based place of each row in display order; names must be distinct."""
+    numbered = number_in_order(df, [_display_place(column, order), F.col(column)], out)
+    return numbered.withColumn(out, F.col(out) + 1)
 
 
 def attach_dimension(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left", dim_rows: int | None = None, limit: int = 1_000_000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepgrid.operators.ranks import number_in_order
 from stepgrid.series import spread_join
 
 
@@ -81,14 +82,13 @@ def one_hot(df: DataFrame, column: str, categories: list[str], drop_first: bool
 
 
 def category_index(df: DataFrame, column: str, out: str) -> DataFrame:
-    """0-based index of each category in sorted order.
+    """0-based index of each category in sorted order; a null has none.
 
-    The index is taken from the distinct categories (aggregated first) and
-    joined back; the fact table itself is never sorted.
+    The index is taken from the distinct categories (aggregated first, numbered
+    range by range) and joined back; the fact table itself is never sorted.
     """
-    names = df.select(column).distinct()
-    coded = names.withColumn(out, F.row_number().over(Window.orderBy(column)) - 1)
-    return spread_join(df, coded, [column])
+    names = df.select(column).distinct().filter(F.col(column).isNotNull())
+    return spread_join(df, number_in_order(names, [F.col(column)], out), [column], how="left")
 
 
 def target_encode(df: DataFrame, keys: list[str], column: str, target: str, smooth: float = 1.0) -> DataFrame:

@@ -125,9 +125,20 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    flags = sorted(r[0] for r in rows.select("l_returnflag").distinct().collect())  # category names
-    fit = forecast.xreg_ridge(rows, "l_quantity", [], {"l_returnflag": flags})
-    return rows.select("l_orderkey", "l_linenumber", F.round(fit.predict(), 4).alias("fitted"))
+    fit = forecast.xreg_category_ridge(rows, "l_quantity", [], ["l_returnflag"])
+    return fit.predict(rows, "fitted").select("l_orderkey", "l_linenumber", F.round("fitted", 4).alias("fitted"))
+
+
+@query(
+    "xreg_category_ridge",
+    """WITH c AS (SELECT l_shipmode_, count(*) AS n, sum(l_quantity) AS s FROM (SELECT l_quantity, l_suppkey % 7 AS l_shipmode_ FROM lineitem) GROUP BY 1),
+    a AS (SELECT (sum(s) - sum(n * s / (n + 3.0))) / (sum(n) + 3.0 - sum(n * n / (n + 3.0))) AS a FROM c)
+    SELECT l_orderkey, l_linenumber, round(a + (s - n * a) / (n + 3.0), 4) AS fitted FROM lineitem JOIN c ON l_suppkey % 7 = l_shipmode_, a""",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_suppkey") % 7).alias("code"))
+    fit = forecast.xreg_category_ridge(rows, "l_quantity", [], ["code"], ridge=3.0)
+    return fit.predict(rows, "fitted").select("l_orderkey", "l_linenumber", F.round("fitted", 4).alias("fitted"))
 
 
 @query(

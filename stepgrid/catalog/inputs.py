@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stepgrid.catalog.base import KEYS, POS, READINGS, SPEC, query, readings, rounded, slot, table
 from stepgrid.functions import text
-from stepgrid.operators import forecast, sampling, scale, windows
+from stepgrid.operators import clean, forecast, sampling, scale, windows
 from stepgrid.sources import series
 
 DAY = timedelta(days=1)
@@ -83,6 +83,49 @@ def _(spark, sf):
     return table(spark, sf, "part").select("p_partkey", text.dataset_choice(F.col("p_brand"), kind, choices).alias("choice"))
 
 
+@query(
+    "transform_by_dataset",
+    f"""WITH {READINGS} SELECT dataset, subject_id, slot, round(CASE WHEN dataset = 'g0' THEN ln(1 + value) WHEN CAST(subject_id AS BIGINT) % 2 = 0 THEN value / 100 ELSE value - 50 END, 6) AS value,
+      CASE WHEN dataset = 'g0' THEN 'log' WHEN CAST(subject_id AS BIGINT) % 2 = 0 THEN NULL ELSE 'shift' END AS unit FROM readings""",
+)
+def _(spark, sf):
+    v = F.col("value")
+    kind = F.when(F.col("subject_id").cast("bigint") % 2 == 0, "even").otherwise("odd")
+    branches = {
+        "g0": {"value": F.log1p(v), "unit": F.lit("log")},
+        "even": {"value": v / 100},
+        "default": {"value": v - 50, "unit": F.lit("shift")},
+    }
+    out = clean.transform_by_dataset(readings(spark, sf), F.col("dataset"), kind, branches)
+    return rounded(out.select(*KEYS, slot().alias("slot"), "value", "unit"))
+
+
+@query(
+    "measure_series",
+    """WITH m AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS slot, max(value) AS hi, min(value) AS lo, CAST(count(*) AS DOUBLE) AS n,
+        max(CASE WHEN event_type = 'click' THEN value END) AS click FROM events GROUP BY 1, 2)
+    SELECT CAST(user_id AS VARCHAR) AS item_id, CAST(4 AS INTEGER) AS measures, count(*) AS n, min(slot) AS first, round(sum(hi::FLOAT::DOUBLE), 4) AS hi,
+      round(sum(lo::FLOAT::DOUBLE), 4) AS lo, round(sum(n::FLOAT::DOUBLE), 4) AS taps, round(last(click::FLOAT::DOUBLE ORDER BY slot), 4) AS last_click FROM m WHERE click IS NOT NULL GROUP BY 1""",
+)
+def _(spark, sf):
+    events = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), F.timestamp_seconds(slot() * 86400).alias("ts"), "event_type", "value")
+    spec = SPEC.with_(keys=("user_id",))
+    one = lambda agg: events.groupBy("user_id", "ts").agg(agg.alias("value"))
+    clicks = events.filter("event_type = 'click'").select("user_id", "ts", "value")
+    tables = {"hi": one(F.max("value")), "lo": one(F.min("value")), "taps": one(F.count("*").cast("double")), "click": clicks}
+    out = series.measure_series(tables, spec, "D")
+    at = lambda i: F.col("target")[i].cast("array<double>")
+    total = lambda i: F.aggregate(at(i), F.lit(0.0), lambda a, v: a + v)
+    first = slot("start").alias("first")
+    return rounded(
+        out.select(
+            "item_id", F.size("target").alias("measures"), F.size(at(0)).cast("bigint").alias("n"), first,
+            total(0).alias("hi"), total(1).alias("lo"), total(2).alias("taps"), F.element_at(at(3), -1).alias("last_click"),
+        ),
+        4,
+    )
+
+
 @query(
     "at_horizon",
     "SELECT event_id FROM events WHERE event_id % 4 * 15 = 30",

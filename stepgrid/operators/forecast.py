@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepgrid.operators.ranks import number_in_order
 from stepgrid.operators.windows import lag_rows
-from stepgrid.series import SeriesSpec, with_position
+from stepgrid.series import SeriesSpec, spread_join, with_position
+from stepgrid.session import settle
 
 
 def last_observed(windows: DataFrame, horizon: int | Column) -> DataFrame:
@@ -161,6 +163,132 @@ def xreg_ridge(
     return RidgeFit(terms, np.linalg.pinv(gram + ridge * np.eye(k), hermitian=True) @ moment)
 
 
+class CategoryFit:
+    """Coefficients of a covariate regression whose categories are a table.
+
+    ``levels`` has ``field, level, beta``; a level it lacks counts as zero.
+    """
+
+    def __init__(self, numeric: Column, fields: list[str], levels: DataFrame):
+        self.numeric, self.fields, self.levels = numeric, fields, levels
+
+    def predict(self, df: DataFrame, out: str = "xreg") -> DataFrame:
+        """Add the regression to rows; each categorical field meets the levels in a join that splits hot ones."""
+        df = df.withColumn(out, self.numeric)
+        for field in self.fields:
+            own = self.levels.where(F.col("field") == field).select(F.col("level").alias("_level"), F.col("beta").alias("_beta"))
+            df = spread_join(df.withColumn("_level", F.col(field).cast("string")), own, ["_level"], how="left")
+            df = df.withColumn(out, F.col(out) + F.coalesce("_beta", F.lit(0.0))).drop("_level", "_beta")
+        return df
+
+
+DRIVER_TERMS = 512  # so many terms at most are solved on the driver
+
+
+def xreg_category_ridge(
+    train: DataFrame, target: str, numeric: list[str], categorical: list[str], ridge: float = 0.0, tol: float = 1e-6, driver_terms: int = DRIVER_TERMS
+) -> CategoryFit:
+    """:func:`xreg_ridge` whose categories are found in the data and stay a table.
+
+    Levels are numbered per field in sorted order (the first of each field
+    dropped unless ridge > 0). The normal equations come from counts and sums
+    by combination of levels, as a table of (term, term, value): pairs of
+    levels give counts, a level and a number give a sum. Up to
+    ``driver_terms`` terms the driver solves them; with more levels conjugate
+    gradients do, as joins of that table with the vector. Rows need a target;
+    a null number or category counts as zero.
+    """
+    sorted_numeric = sorted(numeric)
+    moments = {}
+    if numeric:
+        row = train.agg(*[f(F.col(c)).alias(f"{n}_{i}") for i, c in enumerate(sorted_numeric) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+        moments = {c: (row[f"m_{i}"] or 0.0, row[f"s_{i}"] if (row[f"s_{i}"] or 0.0) > tol else 1.0) for i, c in enumerate(sorted_numeric)}
+    scaled = [F.coalesce((F.col(c) - moments[c][0]) / moments[c][1], F.lit(0.0)) for c in sorted_numeric]
+    first_level = 1 + len(numeric)
+
+    fields = sorted(categorical)
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("level")) for c in fields]) if fields else F.array().cast("array<struct<field:string,level:string>>"))
+    levels = train.select(one.alias("l")).select("l.field", "l.level").distinct().where("level IS NOT NULL")
+    if ridge <= 0:
+        lowest = levels.groupBy("field").agg(F.min("level").alias("_low"))
+        levels = levels.join(F.broadcast(lowest), "field").where("level > _low").drop("_low")
+    levels = settle(number_in_order(levels, [F.col("field"), F.col("level")], "term").withColumn("term", F.col("term") + first_level), "levels")
+
+    # one row per combination of levels: sums of products of 1, the numbers and the target
+    parts = [F.lit(1.0), *scaled, F.col(target).cast("double")]
+    y = len(parts) - 1
+    names = [f"_c{i}" for i in range(len(fields))]
+    rows = train.where(F.col(target).isNotNull()).select(*[F.col(c).cast("string").alias(n) for c, n in zip(fields, names)], *[p.alias(f"x{i}") for i, p in enumerate(parts)])
+    products = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p_{i}_{j}") for i in range(len(parts)) for j in range(i, len(parts))]
+    sums = settle(rows.groupBy(*names).agg(*products), "products")
+    for field, name in zip(fields, names):
+        own = levels.where(F.col("field") == field).select(F.col("level").alias(name), F.col("term").alias(f"{name}_t"))
+        sums = spread_join(sums, own, [name], how="left")
+    held = [F.col(f"{n}_t") for n in names]
+    value = lambda i, j: F.col(f"p_{min(i, j)}_{max(i, j)}")
+    entry = lambda i, j, v: F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), v.alias("v"))
+    end = F.lit(-1)  # the right-hand side
+    entries = [entry(F.lit(i), F.lit(j), value(i, j)) for i in range(first_level) for j in range(first_level)]
+    entries += [entry(F.lit(i), end, value(i, y)) for i in range(first_level)]
+    for t in held:
+        known = lambda *x, t=t: F.when(t.isNotNull(), entry(*x))
+        entries += [known(t, F.lit(i), value(0, i)) for i in range(first_level)] + [known(F.lit(i), t, value(0, i)) for i in range(first_level)]
+        entries.append(known(t, end, value(0, y)))
+        entries += [F.when(t.isNotNull() & u.isNotNull(), entry(t, u, value(0, 0))) for u in held]
+    system = sums.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy("e.i", "e.j").agg(F.sum("e.v").alias("v"))
+    system = settle(system, "normal-equations")
+
+    terms = first_level + levels.count()
+    solve = _solved_here if terms <= driver_terms else _solved_by_gradients
+    beta = settle(solve(system, terms, ridge), "coefficients")
+    named = levels.join(beta.withColumnRenamed("i", "term"), "term").select("field", "level", "beta")
+    head = {r["i"]: r["beta"] for r in beta.where(F.col("i") < first_level).collect()}  # intercept and numbers
+    line = F.lit(head.get(0, 0.0))
+    for i, x in enumerate(scaled, 1):
+        line = line + head.get(i, 0.0) * x
+    return CategoryFit(line, fields, named)
+
+
+def _solved_here(system: DataFrame, terms: int, ridge: float) -> DataFrame:
+    gram, moment = np.zeros((terms, terms)), np.zeros(terms)
+    for row in system.collect():  # terms x (terms + 1) numbers at most
+        if row["j"] < 0:
+            moment[row["i"]] = row["v"]
+        else:
+            gram[row["i"], row["j"]] = row["v"]
+    beta = np.linalg.pinv(gram + ridge * np.eye(terms), hermitian=True) @ moment
+    return system.sparkSession.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "i bigint, beta double")
+
+
+def _solved_by_gradients(system: DataFrame, terms: int, ridge: float, tolerance: float = 1e-12) -> DataFrame:
+    """Conjugate gradients from zero, so a singular system gets its smallest solution.
+
+    Scaled by the diagonal. A step is one join on the term and one aggregate;
+    two numbers steer it from the driver.
+    """
+    gram, right = system.where("j >= 0"), system.where("j < 0").select("i", F.col("v").alias("b"))
+    diagonal = gram.where("i = j").select("i", F.sqrt(F.col("v") + ridge).alias("d")).where("d > 0")
+    state = diagonal.join(right, "i", "left").select("i", "d", F.lit(0.0).alias("x"), (F.coalesce("b", F.lit(0.0)) / F.col("d")).alias("r"))
+    state = settle(state.withColumn("p", F.col("r")), "gradients")
+    size = start = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    for _ in range(2 * terms):
+        if size <= tolerance * tolerance * start:
+            break
+        along = state.select(F.col("i").alias("j"), (F.col("p") / F.col("d")).alias("p"))
+        image = gram.join(along, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("p")).alias("g"))
+        moved = state.join(image, "i", "left")
+        moved = moved.withColumn("g", (F.coalesce("g", F.lit(0.0)) + ridge * F.col("p") / F.col("d")) / F.col("d"))
+        moved = settle(moved, "gradients")
+        steep = moved.agg(F.sum(F.col("p") * F.col("g"))).first()[0]
+        if not steep > 0:
+            break
+        step = size / steep
+        state = moved.select("i", "d", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("g")).alias("r"), "p")
+        before, size = size, state.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+        state = settle(state.withColumn("p", F.col("r") + size / before * F.col("p")), "gradients")
+    return state.select("i", (F.col("x") / F.col("d")).alias("beta"))
+
+
 def residual_target(df: DataFrame, target: str, fit: RidgeFit) -> DataFrame:
     """Covariates first: leave the residual to the forecaster."""
     return df.withColumn("xreg", fit.predict()).withColumn("residual", F.col(target) - F.col("xreg"))

@@ -90,6 +90,28 @@ def align_measures(tables: list[DataFrame], on: list[str]) -> DataFrame:
     return out
 
 
+def measure_series(tables: dict[str, DataFrame], spec: SeriesSpec, freq: str, how: str = "inner", shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Measures that lie in tables of their own as one multivariate series per key.
+
+    Each table has the keys, the time and ``spec.value``. All meet in one
+    shuffle by key and time (a table that has several values for a time gives
+    its greatest); 'inner' keeps the times that every measure has, 'outer' all,
+    with nulls. The target holds one array per measure, in the order of
+    ``tables`` and aligned by time.
+    """
+    rows = None
+    for name, df in tables.items():
+        part = df.select(*spec.keys, spec.ts, F.lit(name).alias("_measure"), F.col(spec.value).cast("double").alias("_v"))
+        rows = part if rows is None else rows.unionByName(part)
+    mine = lambda name: F.col("_measure") == name
+    wide = rows.groupBy(*spec.keys, spec.ts).agg(
+        *[F.max(F.when(mine(name), F.col("_v"))).alias(name) for name in tables],
+        F.count_distinct("_measure").alias("_tables") if how == "inner" else F.lit(len(tables)).alias("_tables"),
+    )
+    whole = wide.filter(F.col("_tables") == len(tables)).drop("_tables")
+    return build_series(whole, spec, freq, list(tables), shard_rows=shard_rows, multivariate=True)
+
+
 def cell_series(df: DataFrame, spec: SeriesSpec, freq: str, variables: list[str], var: str, value: str) -> DataFrame:
     """Gridded long table (cell, ts, variable, value): one multivariate
     series per cell."""

@@ -147,7 +147,7 @@ def test_exact_quantile(spark):
     values = np.concatenate([rng.normal(size=3000), rng.normal(size=50) * 1e6, np.zeros(400)])
     df = spark.createDataFrame(pd.DataFrame({"v": values})).repartition(4)
     for q in (0.0, 0.25, 0.5, 0.99, 1.0):
-        assert math.isclose(ranks.exact_quantile(df, "v", q, keep=20), np.quantile(values, q), rel_tol=1e-12, abs_tol=1e-12)
+        assert math.isclose(ranks.exact_quantile(df, "v", q), np.quantile(values, q), rel_tol=1e-12, abs_tol=1e-12)
 
 
 def test_average_ranks_against_pandas(spark):

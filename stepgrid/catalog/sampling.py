@@ -73,6 +73,15 @@ def _(spark, sf):
     return sampling.sample_series(spark, lengths(spark, sf), "item_id", "length", 2000, 5, "uniform")
 
 
+@query(
+    "epoch_sizes",
+    f"""WITH {READINGS}, s AS (SELECT dataset, count(DISTINCT subject_id) AS n FROM readings GROUP BY 1)
+    SELECT dataset, n AS n_series, CAST(ceil(n * CASE dataset WHEN 'g0' THEN 2.5 WHEN 'g1' THEN 0.3 ELSE 1.0 END) AS BIGINT) AS draws FROM s""",
+)
+def _(spark, sf):
+    return sampling.epoch_sizes(readings(spark, sf).select(*KEYS).distinct(), "dataset", {"g0": 2.5, "g1": 0.3})
+
+
 # a binomial count is the number of cumulative chances that a uniform reaches
 BINOMIAL = """s AS (SELECT *, least(p, 1 - p) AS q FROM drawn),
 j AS (SELECT k, n, p, q, u, unnest(range(n - 1)) AS j FROM s WHERE n > 1),

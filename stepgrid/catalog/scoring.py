@@ -252,7 +252,7 @@ DENOMINATORS = {
     "variance": "coalesce(var_samp(ground_truth), 0)",
 }
 LOSSES = {"nmae": "abs(prediction - ground_truth)", "nmse": "pow(prediction - ground_truth, 2)", "nrmse": "pow(prediction - ground_truth, 2)", "nmlse": "ln(1 + pow(prediction - ground_truth, 2))"}
-for _loss, _den in (("nmae", "absolute_target"), ("nmae", "target"), ("nmse", "variance"), ("nmse", "absolute_target_squared"), ("nrmse", "target_squared"), ("nrmse", "none"), ("nmlse", "standard_deviation")):
+for _loss, _den in [(a, b) for a in LOSSES for b in DENOMINATORS]:
     _safe = f"CASE WHEN {DENOMINATORS[_den]} = 0 THEN 1 ELSE {DENOMINATORS[_den]} END"
     _value = f"sqrt(sum({LOSSES[_loss]}) / ({_safe}) + 1e-5) / sqrt(count(*))" if _loss == "nrmse" else f"sum({LOSSES[_loss]}) / ({_safe}) / count(*)"
 

@@ -46,10 +46,10 @@ def contiguous_runs(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 
 def local_runs(df: DataFrame, spec: SeriesSpec, length: int) -> DataFrame:
-    """Rows chunked for windows of ``length`` steps, with ``_k`` (place among
-    the home rows of the chunk) and ``seg_pos`` = exact steps since the last
-    break (counted inside the chunk, which holds at least ``length`` of them
-    when they exist)."""
+    """Rows chunked for windows of ``length`` steps, with ``_i`` (1-based place
+    in the chunk, halo counted), ``_k`` (place among its home rows) and
+    ``seg_pos`` = exact steps since the last break (counted inside the chunk,
+    which holds at least ``length`` of them when they exist)."""
     rows = chunked(df, spec, behind_us=spec.step_us * max(1, length - 1))
     w = in_chunk(spec)
     gap = F.col(T) - F.lag(T).over(w)
@@ -60,7 +60,7 @@ def local_runs(df: DataFrame, spec: SeriesSpec, length: int) -> DataFrame:
         .withColumn("_from", F.last(F.when(F.col("_new"), F.col("_i")), ignorenulls=True).over(running(w)))
         .withColumn("_clean", since_missing(spec, w))
         .withColumn("seg_pos", F.col("_i") - F.col("_from"))
-        .drop("_i", "_new", "_from")
+        .drop("_new", "_from")
     )
 
 
@@ -140,7 +140,7 @@ def segment_rows(df: DataFrame, spec: SeriesSpec, limit: timedelta, length: int)
     rows = split_rows(df, spec, limit).filter(HOME).drop(CHUNK, HOME, "_clean")
     rows = row_chunks(rows, spec, length - 1)
     w = in_row_chunk(spec)
-    return rows.withColumn("_i", F.row_number().over(w)).withColumn("_clean", since_missing(spec, w)).drop("_i")
+    return rows.withColumn("_i", F.row_number().over(w)).withColumn("_clean", since_missing(spec, w))
 
 
 def segment_by_gap(df: DataFrame, spec: SeriesSpec, limit: timedelta | None) -> DataFrame:

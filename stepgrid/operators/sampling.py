@@ -112,6 +112,15 @@ def epoch_size(n_series: int, weight: float) -> int:
     return math.ceil(n_series * weight)
 
 
+def epoch_sizes(series: DataFrame, dataset: str, weights: dict[str, float], default: float = 1.0) -> DataFrame:
+    """Series and draws per epoch of each dataset, by its multiplier."""
+    weight = F.lit(default)
+    for name, w in weights.items():
+        weight = F.when(F.col(dataset) == name, w).otherwise(weight)
+    counts = series.groupBy(dataset).agg(F.count("*").alias("n_series"))
+    return counts.withColumn("draws", F.ceil(F.col("n_series") * weight))
+
+
 def random_count(kind: str, n: Column, *seeds: Column, p: float = 0.5, a: int = 1, b: int = 1) -> Column:
     """1..n: 'uniform', 'binomial' (one plus binomial(n - 1, p)) or
     'beta_binomial' with p from a Beta(a, b) of whole a and b. No draw takes

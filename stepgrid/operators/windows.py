@@ -148,39 +148,37 @@ def windows_grid(
 
 def _cut(rows: DataFrame, spec: SeriesSpec, grid: list[tuple[int, int]], accepts, covariates: list[str] | None = None) -> DataFrame:
     """Arrays for accepted ends; the readings of a bounded chunk are gathered
-    once and sliced for every configuration."""
+    once and sliced for every configuration.
+
+    A chunk's readings are one array of time and values; the readings that end
+    a window, with the configurations they end, are another, so a chunk without
+    any is dropped and a sparse stride carries little.
+    """
     values = [spec.value, *(covariates or [])]
     segment = F.col("segment_id") if "segment_id" in rows.columns else F.lit(None).cast("bigint")
-    marks = [c for c in ("_home", "pos", "seg_pos", "_clean", "_ok") if c in rows.columns]
-    one = F.struct(F.col(T).alias("t"), *marks, segment.alias("seg"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
-    packed = rows.groupBy(*spec.keys, CHUNK).agg(F.array_sort(F.collect_list(one)).alias("_rows"))
-    for i in range(len(values)):
-        packed = packed.withColumn(f"_v{i}", F.col(f"_rows.v{i}"))
-    packed = packed.withColumn("_ts", F.col("_rows.t"))
-
-    def windows_of(context: int, horizon: int) -> Column:
-        length = context + horizon
-
-        def window_at(x: Column, i: Column) -> Column:
-            at = i - (length - 2)
-            fields = [
-                (x["pos"] - (length - 1)).alias("window_start"),
-                x["seg"].alias("segment_id"),
-                F.get("_ts", at - 1).alias("start_us"),
-                F.lit(context).alias("context_steps"),
-                F.lit(horizon).alias("horizon_steps"),
-                F.slice("_v0", at, F.lit(context)).alias("context"),
-                F.slice("_v0", at + context, F.lit(horizon)).alias("target"),
-            ]
-            for k, name in enumerate(values[1:], 1):
-                fields.append(F.slice(f"_v{k}", at, F.lit(context)).alias(f"context_{name}"))
-            return F.when(accepts(lambda c: x[c], context, horizon), F.struct(*fields))
-
-        return F.array_compact(F.transform("_rows", window_at))
-
-    found = F.explode(F.concat(*[windows_of(c, h) for c, h in grid]) if len(grid) > 1 else windows_of(*grid[0]))
-    out = packed.select(*spec.keys, found.alias("w")).select(*spec.keys, "w.*")
-    return out.withColumn("start_ts", F.timestamp_micros("start_us")).drop("start_us")
+    size = lambda c, h: F.struct(F.lit(c).alias("c"), F.lit(h).alias("h"))
+    rows = rows.withColumn("_fits", F.array_compact(F.array(*[F.when(accepts(F.col, c, h), size(c, h)) for c, h in grid])))
+    one = F.struct(F.col(T).alias("t"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    end = F.struct(F.col("_i").alias("i"), "pos", segment.alias("seg"), F.col("_fits").alias("fits"))
+    packed = rows.groupBy(*spec.keys, CHUNK).agg(F.array_sort(F.collect_list(one)).alias("_rows"), F.collect_list(F.when(F.size("_fits") > 0, end)).alias("_ends"))
+    packed = packed.where(F.size("_ends") > 0)
+    arrays = [F.col(f"_rows.v{i}").alias(f"_v{i}") for i in range(len(values))]
+    found = packed.select(*spec.keys, F.col("_rows.t").alias("_ts"), *arrays, "_ends")
+    found = found.select("*", F.explode("_ends").alias("e")).select("*", F.explode("e.fits").alias("f"))
+    context, horizon = F.col("f.c"), F.col("f.h")
+    first = F.col("e.i") - (context + horizon - 1)
+    out = found.select(
+        *spec.keys,
+        (F.col("e.pos") - (context + horizon - 1)).alias("window_start"),
+        F.col("e.seg").alias("segment_id"),
+        F.timestamp_micros(F.get("_ts", first - 1)).alias("start_ts"),
+        context.alias("context_steps"),
+        horizon.alias("horizon_steps"),
+        F.slice("_v0", first, context).alias("context"),
+        F.slice("_v0", first + context, horizon).alias("target"),
+        *[F.slice(f"_v{k}", first, context).alias(f"context_{name}") for k, name in enumerate(values[1:], 1)],
+    )
+    return out.select(*[c for c in out.columns if c != "start_ts"], "start_ts")
 
 
 def windows_contiguous(df: DataFrame, spec: SeriesSpec, context: int, horizon: int, stride: int = 1) -> DataFrame:

@@ -173,12 +173,14 @@ def projected(batch: pa.RecordBatch, model: Whitening) -> pa.RecordBatch:
     width, count = model.components.shape
     x = integers(batch.column("v"), width)
     n, sums = model.n, np.array(model.sums, object)
-    reach = n * (int(np.abs(x).max(initial=0)) + max(1, max(abs(s) for s in model.sums) // n + 1))
-    exact = reach * reach * width < 1 << 63
-    centred = x * n - sums.astype(np.int64) if exact else x.astype(object) * n - sums
-    deviation = (centred * centred).sum(axis=1) if len(x) else np.zeros(0, np.int64)
-    if not exact:
-        deviation = [v if v < 1 << 63 else None for v in deviation]
+    # 64 bits where all steps fit in them, else Python integers
+    fits = n * int(np.abs(x).max(initial=0)) + max(abs(s) for s in model.sums) < 1 << 62
+    centred = x * n - sums.astype(np.int64) if fits else x.astype(object) * n - sums
+    if fits and int(np.abs(centred).max(initial=0)) ** 2 * width < 1 << 63:
+        deviation = (centred * centred).sum(axis=1)
+    else:
+        whole = centred.astype(object)
+        deviation = [v if v < 1 << 63 else None for v in (whole * whole).sum(axis=1)] if len(x) else []
     real = model.values > 0
     scaled = np.where(real, model.components / np.sqrt(np.where(real, model.values, 1.0)), 0.0)
     whitened = (centred.astype(float) / n) @ scaled

@@ -13,6 +13,8 @@ corpus, are drawn again until none is left, so distinct stays distinct and no
 surrogate points at somebody else of the corpus.
 
 Texts are shuffled only where an entity was found, to meet their replacements.
+All are written once with their matches, so that the patterns run over a text a
+single time.
 """
 
 from __future__ import annotations
@@ -265,10 +267,11 @@ def with_surrogates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     hinted = F.coalesce(F.col("text").rlike(HINT), F.lit(False))
     matches = F.when(hinted, F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
-    found = F.transform(matches, entities)
+    # the patterns run over a text once; what they match is written beside it
+    rows = settle(rows.withColumn("own", matches).withColumn("found", F.transform("own", entities)), "matches")
+    has = F.coalesce(F.exists("found", lambda e: F.size(e) > 0), F.lit(False))
     key_of = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256)
-    held = rows.withColumn("found", found).where(F.exists("found", lambda e: F.size(e) > 0)).select(key_of.alias("key"), "found").distinct()
-    held = settle(held, "entities")
+    held = settle(rows.where(has).select(key_of.alias("key"), "found").distinct(), "entities")
     each = held.select("key", F.posexplode("found").alias("nth", "names")).select("key", "nth", F.posexplode("names").alias("part", "e"))
     each = each.select("key", "nth", "part", "e.kind", "e.canon", "e.surface").where(F.col("kind") != KEPT)
     each = each.withColumn("family", family(F.col("kind")))
@@ -279,12 +282,9 @@ def with_surrogates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     by_doc = mentions.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "part", "new", "surface", "family", "canon", "replacement"))).alias("mentions"))
 
     # texts with entities meet their replacements; the others never move
-    entity_rows = hinted & F.exists(found, lambda e: F.size(e) > 0)
-    marked = rows.withColumn("_has", F.coalesce(entity_rows, F.lit(False)))
-    plain = marked.where("NOT _has").select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_changed"))
-    joined = marked.where("_has").withColumn("key", key_of).join(by_doc.hint("merge"), "key")
+    plain = rows.where(~has).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.lit(0).cast("long").alias("n_changed"))
+    joined = rows.where(has).select("doc_id", "text", "own", key_of.alias("key")).join(by_doc.hint("merge"), "key")
     between = F.split("text", ANY, -1)
-    own = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
 
     shift = int.from_bytes(hashlib.sha256(key.encode()).digest()[:4], "big") % 25 + 1
     turned = ALPHABET[shift:] + ALPHABET[:shift]
@@ -321,7 +321,7 @@ def with_surrogates(docs: DataFrame, key: str, id_column: str = "doc_id", text_c
     gaps = F.when(named, F.transform("gaps", renamed)).otherwise(F.col("gaps"))
     again = F.flatten(F.transform("gaps", lambda g: F.filter(bare(g), lambda w: F.col("names")[F.lower(w)].isNotNull())))
     again = F.when(named, F.size(again)).otherwise(0).cast("long")
-    pieces = F.arrays_zip(gaps.alias("gap"), F.transform(own, changed).alias("own"))
+    pieces = F.arrays_zip(gaps.alias("gap"), F.transform("own", changed).alias("own"))
     text = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["own"], F.lit("")))), "")
     count = F.size("mentions").cast("long") + again
     moved = F.size(F.filter("mentions", lambda m: m["new"] != m["surface"])).cast("long") + again  # a surrogate is no name of the corpus

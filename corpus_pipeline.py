@@ -3,7 +3,8 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last
 return the columns of ``docs``, whatever they are besides ``doc_id, text,
-lang``.
+lang``; names that an operator uses itself may be among them. Empty tables give
+empty tables, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -21,31 +22,45 @@ from stepgrid.session import configure, fresh_path
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity under models of trusted text is not above their language's threshold."""
+    """Documents whose perplexity under models of trusted text is not above their language's threshold.
+
+    Repeated rows are judged each, rows without an id or a language too; null
+    and empty texts have no perplexity and are kept.
+    """
     configure(spark)
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts the row with the largest id; a null text equals an empty one.
+
+    Of rows that repeat text and id one stays; a null id is the smallest, and
+    rows that share a text but all lack an id stay.
+    """
     configure(spark)
     return keep_distinct(docs, DigestIndex(spark))
 
 
 def distinct_contents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked near-duplicates (five-word shingles, similarity 0.8) the one with the smallest id."""
+    """Of linked near-duplicates (five-word shingles, similarity 0.8) the one with the smallest id.
+
+    Documents without words are linked with nothing.
+    """
     configure(spark)
     return keep_one(docs, size=5, percent=80)
 
 
 def unseen_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item of the benchmark, in whatever order of passages."""
+    """Documents that hold no test item of the benchmark, in whatever order of passages.
+
+    Null and empty texts and items match nothing; repeated rows are judged each.
+    """
     configure(spark)
     return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text of every document."""
+    """Number of tokens and digests of ids and decoded text of every document; a null text counts as empty."""
     configure(spark)
     coded = encode_and_decode(docs, tokenizer_path("byte_bpe_50k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,33 +1,40 @@
 """Benchmark decontamination by greedy string tiling.
 
 Every run of ``SEED`` words of a test item is a seed. Documents are hashed run
-by run (a running Karp-Rabin hash over whole texts), runs that are seeds become
-matches, matches on one diagonal join to maximal ones, and the longest match
-that touches no marked word is marked, again and again, until none of
-``SEED`` words is left. The share of an item's words that tiles cover does not
-depend on the order of its passages.
-
-Test items meet the documents in blocks of bounded size: a block is collected
-and sent to all tasks, and every document passes each block, so a benchmark of
-any size works and no document is shuffled.
+by run (a running Karp-Rabin hash over whole texts), and their seeds join the
+items' on the hash. What a text and an item share meets in one group: seeds on
+one diagonal are a match, and the longest match that touches no marked word is
+marked, again and again, until none of ``SEED`` words is left. The share of an
+item's words that tiles cover does not depend on the order of its passages.
+
+A bitmap of fixed size holds the items' hashes and goes to all tasks, so only
+seeds that items probably have are shuffled, never texts. Equal texts are one
+row after the map side. A row of the join holds all places of a seed in the
+text and in the item, so repeated words make long rows, not many.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepgrid.llm.phrases import as_bitmap, holds
 from stepgrid.llm.textbytes import flat, own_worker, run_hashes, slices, word_hashes, words
+from stepgrid.session import settle
 
 SEED = 5  # words of the shortest tile
 COVERAGE = 0.5  # share of an item's words in tiles from which a document counts as contaminated
-BLOCK_BYTES = 4 << 20  # text of test items in a block
+SEED_BITS = 27  # of the bitmap of seeds, whatever their number; a wrong bit costs a row, never a result
+SALTS = 16  # parts of a seed that many texts hold
+BROADCAST_TEXTS = 250_000  # rows of 40 bytes up to which the judged texts are sent to all tasks
 
 
 # fixed values: code points of scripts without spaces between words, and of
@@ -75,39 +82,87 @@ def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), np.searchsorted(at, starts, "right") - 1
 
 
-class Block:
-    """Seeds of some test items, sorted by hash. Items of fewer words than a seed have none."""
-
-    def __init__(self, texts: list[str | None]):
-        tokens, item = tokens_of(pa.array(texts, pa.string()))
-        self.length = np.bincount(item, minlength=len(texts)).astype(np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        hashes, first = run_hashes(tokens, item, SEED)
-        order = np.argsort(hashes, kind="stable")
-        self.hash, self.item = hashes[order], item[first][order]
-        self.place = (first - self.start[item[first]])[order]
-        self.coarse = np.zeros(1 << 20, bool)
-        self.coarse[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Document, item, place in the item and place in the batch of every seed found."""
-        hashes, first = run_hashes(tokens, doc, SEED)
-        maybe = np.flatnonzero(self.coarse[(hashes >> np.uint64(44)).astype(np.int64)])
-        lo = np.searchsorted(self.hash, hashes[maybe], "left")
-        n = np.searchsorted(self.hash, hashes[maybe], "right") - lo
-        seed = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        where = np.repeat(first[maybe], n)
-        return doc[where], self.item[seed], self.place[seed], where
-
-
-def tiled(place: np.ndarray, where: np.ndarray, length: int) -> int:
-    """Words of an item covered by greedy tiles, from its seed hits in one document."""
-    order = np.lexsort((place, where - place))
-    place, where = place[order], where[order]
-    new = np.concatenate([[True], (np.diff(where - place) != 0) | (np.diff(place) != 1)])
-    heads = np.flatnonzero(new)
-    sizes = np.diff(np.append(heads, len(place))) + SEED - 1
-    heap = [(-n, p, w) for n, p, w in zip(sizes.tolist(), place[heads].tolist(), where[heads].tolist(), strict=True)]
+def seed_batch(texts: pa.Array, keep=None) -> tuple[np.ndarray, np.ndarray, pa.ListArray, np.ndarray]:
+    """Text and hash of every distinct seed of a text, its places there, and the texts' lengths in words.
+
+    ``keep`` tells which hashes matter. Texts of fewer words than a seed have none.
+    """
+    tokens, text = tokens_of(texts)
+    length = np.bincount(text, minlength=len(texts)).astype(np.int64)
+    start = np.cumsum(length) - length
+    hashes, first = run_hashes(tokens, text, SEED)
+    if keep is not None:
+        found = keep(hashes)
+        hashes, first = hashes[found], first[found]
+    order = np.lexsort((first, hashes, text[first]))
+    hashes, first = hashes[order], first[order]
+    owner = text[first]
+    heads = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])])) if len(first) else np.zeros(0, np.int64)
+    places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(first)), pa.int32()), pa.array((first - start[owner]).astype(np.int32)))
+    return owner[heads], hashes[heads], places, length
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """``item, item_id, n_rows, length, hash, places`` of the distinct items ``item, item_id, n_rows, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("sets")
+        for batch in slices(batches):
+            owner, hashes, places, length = seed_batch(batch.column("text"))
+            kept = [batch.column(c).take(pa.array(owner)) for c in ("item", "item_id", "n_rows")]
+            columns = [*kept, pa.array(length[owner]), pa.array(hashes.view(np.int64)), places]
+            yield pa.RecordBatch.from_arrays(columns, ["item", "item_id", "n_rows", "length", "hash", "places"])
+
+    return items.mapInArrow(run, "item binary, item_id long, n_rows long, length long, hash long, places array<int>")
+
+
+def text_seeds(texts: DataFrame, bitmap) -> DataFrame:
+    """``key, hash, at`` of every distinct seed of the texts ``key, text`` that the bitmap holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("sets")
+        for batch in slices(batches):
+            owner, hashes, places, _ = seed_batch(batch.column("text"), lambda h: holds(bitmap.value, h, SEED_BITS))
+            columns = [batch.column("key").take(pa.array(owner)), pa.array(hashes.view(np.int64)), places]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "hash", "at"])
+
+    return texts.mapInArrow(run, "key binary, hash long, at array<int>")
+
+
+def matches(seeds: dict[int, np.ndarray]) -> list[tuple[int, int, int]]:
+    """Maximal matches ``(-words, place in the item, place in the text)``.
+
+    ``seeds`` maps a place in the item to the sorted places of its seed in the
+    text. Only the matches that are still open are held beside those found.
+    """
+    out = []
+    none = np.zeros(0, np.int64)
+    last, run, before = none, none, -2
+
+    def close(ended: np.ndarray) -> None:
+        n = run[ended]
+        out.extend(zip((-(n + SEED - 1)).tolist(), (before - n + 1).tolist(), (last[ended] - n + 1).tolist(), strict=True))
+
+    for place in sorted(seeds):
+        where = np.asarray(seeds[place], np.int64)
+        if place != before + 1:
+            close(np.arange(len(last)))
+            last, run = none, none
+        at = np.searchsorted(last, where - 1)
+        goes = np.append(last, -2)[at] == where - 1
+        open_ = np.ones(len(last), bool)
+        open_[at[goes]] = False
+        close(np.flatnonzero(open_))
+        longer = np.ones(len(where), np.int64)
+        longer[goes] += run[at[goes]]
+        last, run, before = where, longer, place
+    close(np.arange(len(last)))
+    return out
+
+
+def tiled(seeds: dict[int, np.ndarray], length: int) -> int:
+    """Words of an item of ``length`` words covered by greedy tiles, from the seeds it shares with one text."""
+    heap = matches(seeds)
     heapq.heapify(heap)
     in_item, in_doc = bytearray(length), set()
     covered = 0
@@ -134,31 +189,40 @@ def tiled(place: np.ndarray, where: np.ndarray, length: int) -> int:
     return covered
 
 
-def coverages(texts: pa.Array, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, item and covered share of every pair that shares a seed."""
-    tokens, doc = tokens_of(texts)
-    of_doc, item, place, where = block.hits(tokens, doc)
-    order = np.lexsort((item, of_doc))
-    of_doc, item, place, where = of_doc[order], item[order], place[order], where[order]
-    if not len(of_doc):
-        return of_doc, item, np.zeros(0)
-    heads = np.flatnonzero(np.concatenate([[True], (np.diff(of_doc) != 0) | (np.diff(item) != 0)]))
-    share = np.zeros(len(heads))
-    for k, (a, b) in enumerate(zip(heads.tolist(), [*heads[1:].tolist(), len(of_doc)], strict=True)):
-        n = int(block.length[item[a]])
-        share[k] = tiled(place[a:b], where[a:b], n) / n
-    return of_doc[heads], item[heads], share
-
-
-def item_blocks(benchmark: DataFrame, id_column: str, text_column: str) -> list[tuple[list, list]]:
-    """Ids and texts of the items, in blocks whose text is bounded by their hash; read one block at a time."""
-    items = benchmark.select(F.col(id_column).cast("long").alias("item_id"), F.col(text_column).alias("text")).where("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-total // BLOCK_BYTES)
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(n_blocks, 1)))
-    for k in range(n_blocks):
-        rows = items.where(block == k).orderBy(F.col("item_id").asc_nulls_last(), "text").collect()
-        yield [r.item_id for r in rows], [r.text for r in rows]
+def _share(part: pd.DataFrame) -> pd.DataFrame:
+    """Covered share of one item in one text."""
+    seeds = {int(p): at for places, at in zip(part["places"], part["at"], strict=True) for p in places}
+    length = int(part["length"].iloc[0])
+    out = part[["key", "item_id", "n_rows"]].head(1).copy()
+    out["item_id"] = out["item_id"].astype("Int64")
+    out["share"] = tiled(seeds, length) / length
+    return out
+
+
+def text_key(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit(""))))
+
+
+def judged_texts(texts: Column, docs: DataFrame, benchmark: DataFrame, item_column: str, item_text: str, coverage: float) -> DataFrame:
+    """``key, coverage, item_id, n_items`` of every distinct text that shares a seed with an item, written to the shared folder."""
+    items = benchmark.select(F.col(item_column).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
+    items = items.groupBy(text_key(F.col("text")).alias("item")).agg(F.min("item_id").alias("item_id"), F.count("*").alias("n_rows"), F.max("text").alias("text"))
+    seeds = settle(item_seeds(items), "seeds")
+    bitmap = as_bitmap(seeds, F.shiftrightunsigned("hash", 64 - SEED_BITS), SEED_BITS)
+    found = text_seeds(docs.select(text_key(texts).alias("key"), F.coalesce(texts.cast("string"), F.lit("")).alias("text")), bitmap)
+    found = found.dropDuplicates(["key", "hash"]).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = found.join(salted.hint("merge"), ["hash", "salt"]).select("key", "item", "item_id", "n_rows", "length", "places", "at")
+    shares = met.groupBy("key", "item").applyInPandas(_share, "key binary, item_id long, n_rows long, share double")
+    best = F.max(F.struct("share", F.col("item_id").isNotNull().alias("named"), (-F.col("item_id")).alias("less"))).alias("best")
+    many = F.sum(F.when(F.col("share") >= coverage, F.col("n_rows")).otherwise(0)).alias("n_items")
+    judged = shares.groupBy("key").agg(best, many)
+    return settle(judged.select("key", F.col("best.share").alias("coverage"), (-F.col("best.less")).alias("item_id"), "n_items"), "judged")
+
+
+def _sent(judged: DataFrame) -> DataFrame:
+    """The judged texts for a join; sent to all tasks only when counted to be few."""
+    return F.broadcast(judged) if judged.count() <= BROADCAST_TEXTS else judged.hint("merge")
 
 
 def contamination(
@@ -176,43 +240,28 @@ def contamination(
     come back under their names with ``_input`` added, as often as it takes.
     """
     new = ["coverage", "item_id", "n_items", "contaminated"]
-    names, taken = [], set(new) | {c.lower() for c in docs.columns}
-    for c in docs.columns:
+    docs_columns = docs.columns
+    names, taken = [], set(new) | {c.lower() for c in docs_columns}
+    for c in docs_columns:
         if c.lower() in new:
             while c.lower() in taken:
                 c += "_input"
             taken.add(c.lower())
         names.append(c)
     docs = docs.toDF(*names)
-    own = docs.columns
-    rows = docs.withColumns({"coverage": F.lit(0.0), "item_id": F.lit(None).cast("long"), "n_items": F.lit(0).cast("long")})
-    schema = rows.schema
-    for ids, texts in item_blocks(benchmark, item_column, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast((ids, Block(texts)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own_worker("sets")
-            ids, block = sent.value
-            for batch in slices(batches, text_column):
-                best = batch.column("coverage").to_pylist()
-                best_id = batch.column("item_id").to_pylist()
-                n = batch.column("n_items").to_pylist()
-                for doc, item, share in zip(*(x.tolist() for x in coverages(batch.column(text_column), block)), strict=True):
-                    n[doc] += share >= coverage
-                    rank = lambda value, key: (value, key is not None, -(key or 0))
-                    if rank(share, ids[item]) > rank(best[doc], best_id[doc]):
-                        best[doc], best_id[doc] = share, ids[item]
-                kept = [batch.column(c) for c in own]
-                columns = [*kept, pa.array(best, pa.float64()), pa.array(best_id, pa.int64()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*own, "coverage", "item_id", "n_items"])
-
-        rows = rows.mapInArrow(run, schema)
-    return rows.withColumn("contaminated", F.col("n_items") > 0)
+    tag = f"_text_{uuid.uuid4().hex[:8]}"
+    text = F.col(f"`{names[docs_columns.index(text_column)]}`")
+    judged = judged_texts(text, docs, benchmark, item_column, item_text, coverage).withColumnRenamed("key", tag)
+    rows = docs.withColumn(tag, text_key(text)).join(_sent(judged), tag, "left")
+    own = [F.col(f"`{c}`") for c in names]
+    found = [F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "item_id", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items")]
+    return rows.select(*own, *found).withColumn("contaminated", F.col("n_items") > 0)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their own columns."""
-    own = docs.columns
-    plain = docs.toDF(*[f"c{k}" for k in range(len(own))])  # no name of a document column can clash
-    judged = contamination(plain, benchmark, text_column=f"c{own.index('text')}")
-    return judged.where("NOT contaminated").select(*plain.columns).toDF(*own)
+    tag = f"_text_{uuid.uuid4().hex[:8]}"
+    judged = judged_texts(F.col("text"), docs, benchmark, "item_id", "text", COVERAGE)
+    dirty = judged.where("n_items > 0").select(F.col("key").alias(tag))
+    rows = docs.withColumn(tag, text_key(F.col("text")))
+    return rows.join(_sent(dirty), tag, "left_anti").drop(tag)

@@ -325,8 +325,9 @@ def test_tiling_is_greedy():
     random = np.random.default_rng(5)
     for _ in range(60):
         item, doc = random.integers(0, 3, 25).tolist(), random.integers(0, 3, 40).tolist()
-        hits = [(i, d) for i in range(len(item) - 4) for d in range(len(doc) - 4) if item[i : i + 5] == doc[d : d + 5]]
-        got = tiled(np.array([i for i, _ in hits]), np.array([d for _, d in hits]), len(item)) if hits else 0
+        hits = {i: np.array([d for d in range(len(doc) - 4) if item[i : i + 5] == doc[d : d + 5]]) for i in range(len(item) - 4)}
+        hits = {i: at for i, at in hits.items() if len(at)}
+        got = tiled(hits, len(item))
         # ties between equally long tiles may be taken in another order
         assert abs(got - brute_tiles(item, doc, 5)) <= 4 and (got > 0) == bool(hits)
 

@@ -3,12 +3,14 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stepgrid.llm.decontaminate import contamination, tokens_of
+from stepgrid.llm import decontaminate
+from stepgrid.llm.decontaminate import contamination, keep_clean, matches, tiled, tokens_of
 from stepgrid.llm.language import identify
 from stepgrid.llm.secrets import find_secrets
 from stepgrid.llm.surrogates import distinct_surrogates, luhn_sum, with_surrogates
@@ -88,6 +90,60 @@ def test_scripts_without_spaces_have_words(spark):
     assert got[1] == got[3] == (True, 7) and not got[2][0]
 
 
+def greedy_cover(item, doc):
+    """Longest common run of unmarked words first, ties by place in the item, then in the text."""
+    used_i, used_d, covered = set(), set(), 0
+    while True:
+        best = (4, 0, 0)
+        for i in range(len(item)):
+            for d in range(len(doc)):
+                n = 0
+                while i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n] and i + n not in used_i and d + n not in used_d:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, d)
+        n, i, d = best
+        if n < 5:
+            return covered
+        used_i.update(range(i, i + n))
+        used_d.update(range(d, d + n))
+        covered += n
+
+
+@pytest.mark.parametrize("many", [True, False])
+def test_seeds_joined_give_the_tiles_of_brute_force(spark, many, monkeypatch):
+    if many:  # more judged texts than may be sent to all tasks
+        monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", 0)
+    random = np.random.default_rng(11)
+    pool = [" ".join(random.choice(list("abcdefghijkl"), 9)) for _ in range(12)]
+    texts = [" ".join([*random.permutation(pool)[:2], f"x{i}", random.choice(pool)]) for i in range(40)]
+    texts += texts[:10] * 5 + [None, "", "a b c"]  # equal texts, and texts without seeds
+    items = [(i, " ".join(random.permutation(pool)[:2])) for i in range(14)]
+    items += [(3, items[5][1]), (None, items[6][1]), (90, None), (91, "a b")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    cover = {(t, x): greedy_cover(x.split(), t.split()) / len(x.split()) for t in {t for t in texts if t} for _, x in items if x}
+    expected = {}
+    for i, t in enumerate(texts):
+        shares = [(cover[t, x], k) for k, x in items if t and x and cover[t, x] > 0]
+        top = max((s for s, _ in shares), default=0.0)
+        ids = [k for s, k in shares if s == top and k is not None]
+        n = sum(s >= 0.5 for s, _ in shares)
+        expected[i] = (n > 0, top, min(ids) if shares and ids else None, n)
+    got = {r.doc_id: (r.contaminated, r.coverage, r.item_id, r.n_items) for r in contamination(docs, bench).collect()}
+    assert got == expected and 0 < sum(x[0] for x in expected.values()) < len(texts)
+    assert sorted(r.doc_id for r in keep_clean(docs, bench).collect()) == sorted(i for i, x in expected.items() if not x[0])
+
+
+def test_repeated_words_make_few_matches(spark):
+    place = {p: np.arange(20_000) for p in range(2_000)}
+    assert len(matches(place)) == 21_999 and tiled(place, 2_004) == 2_004
+    docs = spark.createDataFrame([(1, "na " * 20_000), (2, "na " * 60)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, "na " * (40 + k)) for k in range(100)], "item_id long, text string")
+    got = {r.doc_id: (r.coverage, r.item_id, r.n_items) for r in contamination(docs, bench).collect()}
+    assert got == {1: (1.0, 0, 100), 2: (1.0, 0, 81)}
+
+
 def test_contamination_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h", 0.5, 0.7, "x")], "doc_id long, text string, coverage double, coverage_input double, Item_ID string")
     bench = spark.createDataFrame([(7, "a b c d e f g h")], "item_id long, text string")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from stepgrid.session import fresh_path
 
+SALTS = 64  # parts of a group of copies; those it has rows in are the bits of a long
+
 
 def digest(text: str | Column = "text") -> Column:
     """SHA-256 of a text in UTF-8 as 32 bytes; null counts as empty."""
@@ -62,9 +64,15 @@ class DigestIndex:
 
 
 def text_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per distinct text: ``digest, keep_id`` (largest id), ``group_size``."""
-    rows = docs.select(digest(text_column).alias("digest"), F.col(id_column).cast("long").alias("doc_id"))
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    """One row per distinct text: ``digest, keep_id`` (largest id), ``group_size``, and ``salts``, the parts it has rows in."""
+    rows = _rows(docs, id_column, text_column)
+    return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``doc_id, digest`` and the part of its group of copies that a row falls into, by its id."""
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), digest(text_column).alias("digest"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -82,10 +90,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_column: str = "doc_id",
     """
     groups = text_groups(docs, id_column, text_column)
     index.append(index.new_groups(groups))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), digest(text_column).alias("digest"))
-    sized = groups.select("digest", F.col("keep_id").alias("batch_id"), "group_size").join(index.table().hint("merge"), "digest")
-    # sized has one row per digest; both sides of the join below are exchanged, so a hot group is split
-    marked = rows.join(sized.hint("merge"), "digest")
+    rows = _rows(docs, id_column, text_column)
+    sized = groups.select("digest", "group_size", "salts").join(index.table().hint("merge"), "digest")
+    # a group is repeated for the parts it has rows in, so no task reads more of its copies than one part
+    parts = F.expr(f"filter(sequence(0, {SALTS - 1}), part -> (salts & shiftleft(1L, part)) != 0)")
+    sized = sized.withColumn("salt", F.explode(parts)).drop("salts")
+    marked = rows.join(sized.hint("merge"), ["digest", "salt"])
     return marked.select(
         "doc_id",
         "keep_id",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 
 from stepgrid.llm.textbytes import flat, latin_lower, pretoken_pieces, worker_state
 
-CACHE = 250_000  # pieces in a generation of the worker's memory; results do not depend on it
+CACHE, CACHE_BYTES = 250_000, 64 << 20  # pieces in a generation of the worker's memory, and their bytes; results do not depend on them
 
 
 def library(path: str):
@@ -45,21 +46,27 @@ def library_counter(path: str) -> Callable[[list[str]], list[int]]:
     return count
 
 
+def _held(x) -> int:
+    return sys.getsizeof(x) + (sum(map(sys.getsizeof, x)) if isinstance(x, tuple) else 0)
+
+
 def remembered(name: str, work: Callable[[list], list], items: list) -> list:
     """``work(items)``, keeping answers of earlier batches of this worker.
 
     Two generations are kept: when the young one is full it becomes the old
-    one, and what is used again moves back, so frequent items stay.
+    one, and what is used again moves back, so frequent items stay. A
+    generation is full by number or by bytes, as a text without spaces is one
+    item; it holds at most one batch more than that.
     """
-    memory = worker_state(name, lambda: [{}, {}])
-    young, old = memory
+    memory = worker_state(name, lambda: [{}, {}, 0])
+    young, old, held = memory
     new = [x for x in items if x not in young and x not in old]
     answers = dict(zip(new, work(new), strict=True)) if new else {}
     answers.update({x: old[x] for x in items if x in old and x not in young})
     young.update(answers)
+    held += sum(_held(x) + _held(answer) for x, answer in answers.items())
     out = [young[x] for x in items]
-    if len(young) > CACHE:
-        memory[:] = {}, young
+    memory[:] = ({}, young, 0) if len(young) > CACHE or held > CACHE_BYTES else (young, old, held)
     return out
 
 

@@ -4,16 +4,20 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stepgrid.llm import decontaminate
+from stepgrid.llm import decontaminate, exact_dedup, pieces
+from stepgrid.llm.bpe_trie import encode_and_decode
 from stepgrid.llm.decontaminate import contamination, keep_clean, matches, tiled, tokens_of
+from stepgrid.llm.exact_dedup import DigestIndex, deduplicate, text_groups
 from stepgrid.llm.language import identify
 from stepgrid.llm.secrets import find_secrets
 from stepgrid.llm.surrogates import distinct_surrogates, luhn_sum, with_surrogates
+from stepgrid.llm.token_counts import token_counts
 from stepgrid.session import configure
 
 
@@ -190,3 +194,46 @@ def test_pipeline_runs_whole(spark):
     assert len(set(ids)) == len(ids) and 0.3 * len(docs) < len(ids) < len(docs) and set(ids) <= set(docs)
     texts = [docs[i] for i in ids]
     assert len(set(texts)) == len(texts)
+
+
+def test_copies_are_spread_over_parts(spark):
+    """A group of copies with a third of all rows is not one key of the join that marks its rows."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "copy").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    docs = docs.union(spark.createDataFrame([(None, "copy"), (None, "alone"), (7, "t7")], "doc_id long, text string"))
+    groups = {r.text: (r.salts, r.group_size) for r in text_groups(docs).join(docs.select(exact_dedup.digest("text").alias("digest"), "text").distinct(), "digest").collect()}
+    assert groups["copy"][1] == 2001 and bin(groups["copy"][0] & ((1 << 64) - 1)).count("1") == exact_dedup.SALTS
+    assert bin(groups["t7"][0] & ((1 << 64) - 1)).count("1") == 1 and groups["t7"][1] == 2
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in deduplicate(docs, DigestIndex(spark)).collect()]
+    assert len(got) == 6003 and sum(x[3] for x in got) == 4003
+    assert {x[1:3] for x in got if x[0] is not None and x[0] % 3 == 0} == {(5997, 2001)} and (None, None, 1, True) in got
+
+
+def test_memory_of_pieces_is_bounded_by_bytes(monkeypatch):
+    home = {}
+    monkeypatch.setattr(pieces, "worker_state", lambda name, make: home.setdefault(name, make()))
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 1 << 20)
+    random = np.random.default_rng(3)
+    asked = []
+    held = lambda: sum(len(k) + len(v) for part in home["x"][:2] for k, v in part.items())
+    for _ in range(60):
+        # texts of a script without spaces are one piece each; the word between them is asked for again and again
+        batch = ["語" + "".join(map(chr, random.integers(0x4E00, 0x9FFF, 20_000))) for _ in range(4)] + [" the"]
+        asked.append(0)
+
+        def work(new):
+            asked[-1] = len(new)
+            return [x.encode() for x in new]
+
+        assert pieces.remembered("x", work, batch) == [x.encode() for x in batch]
+        assert held() < 3 << 20
+    assert asked[0] == 5 and set(asked[1:]) == {4}
+
+
+def test_texts_without_spaces_are_tokenized_alike_beyond_the_memory(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 1000)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["日本語の文章" * k + " the end" for k in range(1, 40)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = {i: [str(t) for t in pieces.library(path).encode(x, add_special_tokens=False).ids] for i, x in enumerate(texts)}
+    assert {r.doc_id: r.ids.split(",") for r in encode_and_decode(docs, path).collect()} == expected
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, path).collect()} == {i: len(x) for i, x in expected.items()}

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.llm.phrases import as_bitmap, holds
-from stepgrid.llm.textbytes import flat, own_worker, run_hashes, slices, word_hashes, words
+from stepgrid.llm.textbytes import HASHED_BYTES, flat, own_worker, run_hashes, slices, word_hashes, words
 from stepgrid.session import settle
 
 SEED = 5  # words of the shortest tile
@@ -102,13 +102,18 @@ def seed_batch(texts: pa.Array, keep=None) -> tuple[np.ndarray, np.ndarray, pa.L
     return owner[heads], hashes[heads], places, length
 
 
+def seeds_of(batches: Iterator[pa.RecordBatch], keep=None) -> Iterator[tuple]:
+    """Slices of batches, small enough for their words to be hashed, with what :func:`seed_batch` finds in them."""
+    for batch in slices(batches, size=HASHED_BYTES):
+        yield batch, *seed_batch(batch.column("text"), keep)
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
     """``item, item_id, n_rows, length, hash, places`` of the distinct items ``item, item_id, n_rows, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("sets")
-        for batch in slices(batches):
-            owner, hashes, places, length = seed_batch(batch.column("text"))
+        for batch, owner, hashes, places, length in seeds_of(batches):
             kept = [batch.column(c).take(pa.array(owner)) for c in ("item", "item_id", "n_rows")]
             columns = [*kept, pa.array(length[owner]), pa.array(hashes.view(np.int64)), places]
             yield pa.RecordBatch.from_arrays(columns, ["item", "item_id", "n_rows", "length", "hash", "places"])
@@ -121,8 +126,7 @@ def text_seeds(texts: DataFrame, bitmap) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("sets")
-        for batch in slices(batches):
-            owner, hashes, places, _ = seed_batch(batch.column("text"), lambda h: holds(bitmap.value, h, SEED_BITS))
+        for batch, owner, hashes, places, _ in seeds_of(batches, lambda h: holds(bitmap.value, h, SEED_BITS)):
             columns = [batch.column("key").take(pa.array(owner)), pa.array(hashes.view(np.int64)), places]
             yield pa.RecordBatch.from_arrays(columns, ["key", "hash", "at"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.llm.components import components
-from stepgrid.llm.textbytes import BASE, flat, mix, own_worker, run_hashes, slices, word_hashes, words
+from stepgrid.llm.textbytes import BASE, HASHED_BYTES, flat, mix, own_worker, run_hashes, slices, word_hashes, words
 from stepgrid.session import settle
 
 BANDS, BAND_ROWS = 50, 7  # a pair at 0.8 is missed with probability (1 - 0.8 ** 7) ** 50 = 8e-6
@@ -99,7 +99,7 @@ def sketch_table(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("sets")
-        for batch in slices(batches):
+        for batch in slices(batches, size=HASHED_BYTES):
             shingles, at = shingle_sets(batch.column("text"), size)
             n = np.diff(at)
             full = np.flatnonzero(n)
@@ -126,7 +126,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("sets")
-        for batch in slices(batches):
+        for batch in slices(batches, size=HASHED_BYTES):
             shingles, at = shingle_sets(batch.column("text"), size)
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shingles.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "shingles"])

@@ -17,6 +17,7 @@ import pyarrow as pa
 
 SLICE_BYTES = 8 << 20
 SLICE_ROWS = 4096
+HASHED_BYTES = 2 << 20  # of text whose words are hashed at once, which takes some 40 bytes of memory for each
 
 # odd multipliers of the polynomial and mixing hashes
 BASE = 0x9E3779B97F4A7C15 | 1

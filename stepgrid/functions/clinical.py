@@ -56,7 +56,8 @@ def seg_rule_risk(ref: Column, meas: Column) -> Column:
     size = F.abs(m - r)
     percent = size / F.greatest(r, F.lit(1)) * 100.0
     under = m < r
-    accepted = F.when(r < 100, size <= 15).otherwise((m >= r * 0.85) & (m <= r * 1.15))
+    # in whole numbers, as 100 * 1.15 in floating point is less than 115
+    accepted = F.when(r < 100, size <= 15).otherwise((m * 100 >= r * 85) & (m * 100 <= r * 115))
     low = F.when(under, _graded(size, LIMITS_LOW_UNDER)).otherwise(_graded(size, LIMITS_LOW_OVER))
     high = F.when(under, _graded(percent, LIMITS_HIGH_UNDER)).otherwise(_graded(percent, LIMITS_HIGH_OVER))
     return (

@@ -2,6 +2,9 @@
 
 Each takes the prediction and truth columns and returns one aggregate, so any
 set of them runs in a single hash aggregation over free grouping keys.
+
+Where ``ieee`` is an argument, a zero denominator gives by default what the
+metric's text says; with ``ieee`` the term is infinite, or NaN over zero.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepgrid.functions.safe import over_or
+from stepgrid.functions.safe import ieee_over, over_or
 from stepgrid.series import spread_join
 
 
@@ -49,8 +52,9 @@ def smape_eps(p: Column, t: Column, eps: float = 1e-8) -> Column:
     return F.avg(200 * F.abs(p - t) / (F.abs(p) + F.abs(t) + eps))
 
 
-def nd(p: Column, t: Column) -> Column:
-    return F.try_divide(F.sum(F.abs(p - t)), F.sum(F.abs(t)))
+def nd(p: Column, t: Column, ieee: bool = False) -> Column:
+    over = ieee_over if ieee else F.try_divide
+    return over(F.sum(F.abs(p - t)), F.sum(F.abs(t)))
 
 
 def rse(p: Column, t: Column) -> Column:
@@ -62,42 +66,55 @@ def corr(p: Column, t: Column) -> Column:
     return F.corr(p, t)
 
 
-def mape_percent(p: Column, t: Column) -> Column:
+def mape_percent(p: Column, t: Column, ieee: bool = False) -> Column:
     """Plain MAPE in percent; a zero truth yields no term."""
-    return F.avg(F.abs(F.try_divide(p - t, t))) * 100
+    over = ieee_over if ieee else F.try_divide
+    return F.avg(F.abs(over(p - t, t))) * 100
 
 
-def smape_half(p: Column, t: Column, eps: float = 1e-7) -> Column:
+def smape_half(p: Column, t: Column, eps: float = 1e-7, ieee: bool = False) -> Column:
+    """|p-t| over the mean of |p| and |t|; none above ``eps`` counts as no error."""
     half = (F.abs(t) + F.abs(p)) / 2
+    if ieee:
+        return F.avg(ieee_over(F.abs(p - t), half))
     return F.avg(F.when(half > eps, F.abs(p - t) / half).otherwise(0.0))
 
 
-def smape_m4(p: Column, t: Column) -> Column:
+def over_or_one(a: Column, b: Column, ieee: bool = False) -> Column:
+    """a / b, a zero denominator counted as one."""
+    return ieee_over(a, b) if ieee else a / F.when(b == 0, 1.0).otherwise(b)
+
+
+def smape_m4(p: Column, t: Column, ieee: bool = False) -> Column:
     """200|p-t| / (|p|+|t|), a zero denominator counted as one."""
-    total = F.abs(p) + F.abs(t)
-    return F.avg(200 * F.abs(p - t) / F.when(total == 0, 1.0).otherwise(total))
+    return F.avg(over_or_one(200 * F.abs(p - t), F.abs(p) + F.abs(t), ieee))
 
 
-def mape_m4(p: Column, t: Column) -> Column:
-    return F.avg(100 * F.abs(p - t) / F.when(t == 0, 1.0).otherwise(F.abs(t)))
+def mape_m4(p: Column, t: Column, ieee: bool = False) -> Column:
+    """100|p-t| / |t|, a zero truth counted as one."""
+    return F.avg(over_or_one(100 * F.abs(p - t), F.abs(t), ieee))
 
 
-def mape_masked(p: Column, t: Column) -> Column:
+def mape_masked(p: Column, t: Column, ieee: bool = False) -> Column:
     """Loss form: |(p-t)/t| with zero truth weighing nothing."""
+    if ieee:
+        return F.avg(F.abs((p - t) * ieee_over(F.lit(1.0), t)))
     return F.avg(F.abs((p - t) * over_or(F.lit(1.0), t, 0.0)))
 
 
-def wape(p: Column, t: Column) -> Column:
-    return nd(p, t)
+def wape(p: Column, t: Column, ieee: bool = False) -> Column:
+    return nd(p, t, ieee)
 
 
-def nrmse(p: Column, t: Column) -> Column:
-    return F.try_divide(rmse(p, t), F.avg(F.abs(t)))
+def nrmse(p: Column, t: Column, ieee: bool = False) -> Column:
+    over = ieee_over if ieee else F.try_divide
+    return over(rmse(p, t), F.avg(F.abs(t)))
 
 
-def bias_abs_score(p: Column, t: Column) -> Column:
+def bias_abs_score(p: Column, t: Column, ieee: bool = False) -> Column:
     """(sum|e| + |sum e|) / sum t: accuracy and bias in one number."""
-    return F.try_divide(F.sum(F.abs(p - t)) + F.abs(F.sum(p - t)), F.sum(t))
+    over = ieee_over if ieee else F.try_divide
+    return over(F.sum(F.abs(p - t)) + F.abs(F.sum(p - t)), F.sum(t))
 
 
 def corr_products(df: DataFrame, by: list[str], pred: str, truth: str) -> DataFrame:
@@ -121,10 +138,11 @@ def covered(lo: Column, hi: Column, t: Column) -> Column:
     return ((lo <= t) & (t <= hi)).cast("int")
 
 
-def msis(lo: Column, hi: Column, t: Column, scale: Column, alpha: float = 0.05) -> Column:
-    """Mean scaled interval score."""
+def msis(lo: Column, hi: Column, t: Column, scale: Column, alpha: float = 0.05, ieee: bool = False) -> Column:
+    """Mean scaled interval score; a row with a zero scale yields no term."""
+    over = ieee_over if ieee else F.try_divide
     miss = F.when(t < lo, 2 / alpha * (lo - t)).when(t > hi, 2 / alpha * (t - hi)).otherwise(0.0)
-    return F.avg(F.try_divide(hi - lo + miss, scale))
+    return F.avg(over(hi - lo + miss, scale))
 
 
 def _rise(x: Column, start: float, end: float) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.functions import metrics
+from stepgrid.functions.safe import ieee_over
 from stepgrid.operators.windows import lag_rows
 from stepgrid.series import SeriesSpec, spread_join, with_position
 
@@ -16,21 +17,35 @@ def seasonal_error(insample: DataFrame, spec: SeriesSpec, season: int) -> DataFr
     return rows.groupBy(*spec.keys).agg(F.avg(F.abs(F.col(spec.value) - F.col("_prev"))).alias("seasonal_error"))
 
 
-def mase(predictions: DataFrame, errors: DataFrame, keys: list[str], eps: float = 0.0) -> DataFrame:
-    """Mean absolute error over the in-sample seasonal error, per series."""
+def mase(predictions: DataFrame, errors: DataFrame, keys: list[str], eps: float = 0.0, ieee: bool = False) -> DataFrame:
+    """Mean absolute error over the in-sample seasonal error, per series.
+
+    Where that error is zero the result is null; with ``ieee`` it is infinite,
+    or NaN over zero.
+    """
+    over = ieee_over if ieee else F.try_divide
     scored = predictions.groupBy(*keys).agg(F.avg(F.abs(F.col("prediction") - F.col("ground_truth"))).alias("mae"))
-    return scored.join(errors, keys).withColumn("mase", F.try_divide(F.col("mae"), F.col("seasonal_error") + eps))
+    return scored.join(errors, keys).withColumn("mase", over(F.col("mae"), F.col("seasonal_error") + eps))
 
 
 def standard_panel(
-    predictions: DataFrame, errors: DataFrame, keys: list[str], axis: list[str], quantiles: dict[float, str], interval: tuple[str, str] | None = None
+    predictions: DataFrame,
+    errors: DataFrame,
+    keys: list[str],
+    axis: list[str],
+    quantiles: dict[float, str],
+    interval: tuple[str, str] | None = None,
+    ieee: bool = False,
 ) -> DataFrame:
     """MSE of the mean and of the median forecast, MAE, MASE, MAPE, SMAPE,
     MSIS, RMSE, NRMSE, ND and mean weighted quantile loss.
 
     ``axis`` are the grouping columns: none for one row, the item columns for
     a row per item, the step for a row per time. Missing labels are masked.
+    Terms with a zero denominator are left out; with ``ieee`` they are infinite,
+    or NaN over zero, and so is the metric.
     """
+    over = ieee_over if ieee else F.try_divide
     rows = spread_join(predictions.filter(metrics_label()), errors, keys)
     p, t, med = F.col("prediction"), F.col("ground_truth"), F.col(quantiles.get(0.5, "prediction"))
     err = F.col("seasonal_error")
@@ -38,17 +53,17 @@ def standard_panel(
         metrics.mse(p, t).alias("mse_mean"),
         metrics.mse(med, t).alias("mse_median"),
         metrics.mae(med, t).alias("mae"),
-        F.avg(F.try_divide(F.abs(med - t), err)).alias("mase"),
-        F.avg(F.try_divide(F.abs(med - t), F.abs(t))).alias("mape"),
-        F.avg(F.try_divide(2 * F.abs(med - t), F.abs(med) + F.abs(t))).alias("smape"),
+        F.avg(over(F.abs(med - t), err)).alias("mase"),
+        F.avg(over(F.abs(med - t), F.abs(t))).alias("mape"),
+        F.avg(over(2 * F.abs(med - t), F.abs(med) + F.abs(t))).alias("smape"),
         metrics.rmse(p, t).alias("rmse"),
-        metrics.nrmse(p, t).alias("nrmse"),
-        metrics.nd(med, t).alias("nd"),
+        metrics.nrmse(p, t, ieee).alias("nrmse"),
+        metrics.nd(med, t, ieee).alias("nd"),
     ]
     if interval:
-        aggs.append(metrics.msis(F.col(interval[0]), F.col(interval[1]), t, err).alias("msis"))
+        aggs.append(metrics.msis(F.col(interval[0]), F.col(interval[1]), t, err, ieee=ieee).alias("msis"))
     losses = [
-        F.try_divide(2 * F.sum(metrics.pinball(q, F.col(c), t)), F.sum(F.abs(t))) for q, c in sorted(quantiles.items())
+        over(2 * F.sum(metrics.pinball(q, F.col(c), t)), F.sum(F.abs(t))) for q, c in sorted(quantiles.items())
     ]
     aggs.append((sum(losses[1:], losses[0]) / len(losses)).alias("mean_weighted_quantile_loss"))
     return rows.groupBy(*axis).agg(*aggs) if axis else rows.agg(*aggs)
@@ -137,19 +152,22 @@ MAIN_GROUPS = ("Yearly", "Quarterly", "Monthly")
 OTHER_GROUPS = ("Weekly", "Daily", "Hourly")
 
 
-def competition_summary(predictions: DataFrame, errors: DataFrame, keys: list[str], group: str) -> DataFrame:
+def competition_summary(predictions: DataFrame, errors: DataFrame, keys: list[str], group: str, ieee: bool = False) -> DataFrame:
     """sMAPE, MAPE, MASE and OWA against a naive forecast, per group, with
     Others and Average weighted by series count.
 
-    ``predictions`` has prediction, naive and ground_truth per step.
+    ``predictions`` has prediction, naive and ground_truth per step. A zero
+    denominator counts as one in sMAPE and MAPE, and a series with no seasonal
+    error has no MASE; with ``ieee`` such a term is infinite, or NaN over zero.
     """
+    over = ieee_over if ieee else F.try_divide
     p, nv, t = F.col("prediction"), F.col("naive"), F.col("ground_truth")
     per_series = (
         predictions.groupBy(group, *keys)
         .agg(
             F.avg(F.abs(p - t)).alias("_mae"),
             F.avg(F.abs(nv - t)).alias("_nmae"),
-            *[F.sum(_terms(k, a, t)).alias(n) for n, k, a in (("_s", "smape", p), ("_ns", "smape", nv), ("_m", "mape", p))],
+            *[F.sum(_terms(k, a, t, ieee)).alias(n) for n, k, a in (("_s", "smape", p), ("_ns", "smape", nv), ("_m", "mape", p))],
             F.count("*").alias("_points"),
         )
         .join(errors, keys)
@@ -159,23 +177,22 @@ def competition_summary(predictions: DataFrame, errors: DataFrame, keys: list[st
         (F.sum("_s") / F.sum("_points")).alias("smape"),
         (F.sum("_ns") / F.sum("_points")).alias("naive_smape"),
         (F.sum("_m") / F.sum("_points")).alias("mape"),
-        F.avg(F.try_divide(F.col("_mae"), F.col("seasonal_error"))).alias("mase"),
-        F.avg(F.try_divide(F.col("_nmae"), F.col("seasonal_error"))).alias("naive_mase"),
+        F.avg(over(F.col("_mae"), F.col("seasonal_error"))).alias("mase"),
+        F.avg(over(F.col("_nmae"), F.col("seasonal_error"))).alias("naive_mase"),
     )
     place = F.when(F.col(group).isin(*OTHER_GROUPS), "Others").otherwise(F.col(group))
     rows = base.withColumn("_g", F.explode(F.array(place, F.lit("Average")))).drop(group).withColumnRenamed("_g", group)
     n = F.sum("n_series")
     names = ("smape", "naive_smape", "mape", "mase", "naive_mase")
     out = rows.groupBy(group).agg(n.alias("n_series"), *[(F.sum(F.col(v) * F.col("n_series")) / n).alias(v) for v in names])
-    owa = (F.col("mase") / F.col("naive_mase") + F.col("smape") / F.col("naive_smape")) / 2
+    owa = (over(F.col("mase"), F.col("naive_mase")) + over(F.col("smape"), F.col("naive_smape"))) / 2
     return out.withColumn("owa", owa)
 
 
-def _terms(kind: str, p: Column, t: Column) -> Column:
+def _terms(kind: str, p: Column, t: Column, ieee: bool) -> Column:
     if kind == "smape":
-        total = F.abs(p) + F.abs(t)
-        return 200 * F.abs(p - t) / F.when(total == 0, 1.0).otherwise(total)
-    return 100 * F.abs(p - t) / F.when(t == 0, 1.0).otherwise(F.abs(t))
+        return metrics.over_or_one(200 * F.abs(p - t), F.abs(p) + F.abs(t), ieee)
+    return metrics.over_or_one(100 * F.abs(p - t), F.abs(t), ieee)
 
 
 def per_horizon_columns(predictions: DataFrame, subject: list[str], horizons: list[int], scale: float = 1.0) -> DataFrame:

@@ -116,14 +116,14 @@ def keep_series(df: DataFrame, keys: list[str], minimum: int = 0, value: str | N
     return df.withColumn("_salt", salt).join(pairs, [*keys, "_salt"]).drop("_salt")
 
 
-def regularize(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Reindex each series to its full grid; absent slots are null and
-    readings off the grid are dropped.
-
-    No join of slots with readings: every reading emits the slots from itself
-    up to the next one, so only the readings are shuffled, once. The start of
-    the series and of the next chunk come from one small row per chunk. Long
-    gaps are expanded block by block, never as one array.
+def grid_runs(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """The readings chunked, each with the grid slots that it stands for: from ``_first`` to ``_last``.
+
+    These are the slots from itself up to the next reading, for the first of a
+    chunk also those before it. The runs of a series fill its grid, which
+    starts at ``c_lo``, without overlap; a reading without slots is left out.
+    The start of the series and of the next chunk come from one small row per
+    chunk, so only the readings are shuffled, once.
     """
     step, width = spec.step_us, spec.chunk_us()
     ends = df.groupBy(*spec.keys, floor_div(micros(spec.ts), width).alias(CHUNK)).agg(F.min(micros(spec.ts)).alias("_lo"))
@@ -141,7 +141,19 @@ def regularize(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     end = F.coalesce("_next", "c_next", t + 1)
     first = lo + floor_div(begin - lo + (step - 1), step) * step
     last = lo + floor_div(end - 1 - lo, step) * step
-    rows = rows.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last")
+    return rows.withColumn("_first", first).withColumn("_last", last).filter("_first <= _last").drop("_prev", "_next", "c_next")
+
+
+def regularize(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Reindex each series to its full grid; absent slots are null and
+    readings off the grid are dropped.
+
+    No join of slots with readings: the run of each reading is expanded where
+    it is, long gaps block by block, never as one array.
+    """
+    step, width = spec.step_us, spec.chunk_us()
+    rows = grid_runs(df, spec)
+    t = F.col(T_US)
     rows = rows.withColumn("_block", F.explode(F.sequence("_first", "_last", F.lit(width))))
     top = F.least(F.col("_last"), F.col("_block") + (width - step))
     rows = rows.withColumn("_slot", F.explode(F.sequence("_block", top, F.lit(step))))

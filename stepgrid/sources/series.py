@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepgrid.operators.clean import keep_series, regularize
-from stepgrid.series import SeriesSpec, floor_div, with_position
+from stepgrid.operators.clean import grid_runs
+from stepgrid.series import SALTS, SeriesSpec, T, floor_div, spread_join, with_position
 from stepgrid.session import settle
 
 SHARD_ROWS = 65_536
@@ -69,12 +69,36 @@ def corpus_series(
 ) -> DataFrame:
     """Regular grid, then drop short or sparse series, then series rows.
 
-    The grid is settled, as judging, keeping and packing each read it.
+    The grid is packed as runs, one per reading, and expanded to values only in
+    the rows of kept series. The packed rows are settled, as judging and
+    keeping each read them; they hold about as much as the readings.
     """
-    keys = list(spec.keys)
-    grid = settle(regularize(df, spec), "grid")
-    kept = keep_series(grid, keys, minimum, spec.value, most_missing)
-    return build_series(kept, spec, freq, [spec.value], shard_rows=shard_rows)
+    keys, step = list(spec.keys), spec.step_us
+    nth = lambda us: floor_div(F.col(us) - F.col("c_lo"), step)
+    runs = grid_runs(df, spec).withColumn("_lo", nth("_first")).withColumn("_hi", nth("_last"))
+    own = F.when(F.pmod(F.col(T) - F.col("c_lo"), F.lit(step)) == 0, nth(T))  # the slot of the reading itself, if it is on the grid
+    runs = runs.withColumn("_own", own).withColumn("shard", F.explode(F.sequence(floor_div(F.col("_lo"), shard_rows), floor_div(F.col("_hi"), shard_rows))))
+    runs = runs.withColumn("_lo", F.greatest("_lo", F.col("shard") * shard_rows)).withColumn("_hi", F.least("_hi", (F.col("shard") + 1) * shard_rows - 1))
+    here = F.col("_own").between(F.col("_lo"), F.col("_hi"))
+    run = F.struct(
+        (F.col("_lo") - F.col("shard") * shard_rows).cast("int").alias("at"),
+        F.when(here, F.col("_own") - F.col("_lo")).otherwise(0).cast("int").alias("before"),
+        F.when(here, F.col(spec.value).cast("float")).alias("v"),
+        F.when(here, F.col("_hi") - F.col("_own")).otherwise(F.col("_hi") - F.col("_lo")).cast("int").alias("behind"),
+    )
+    bad = F.col("_hi") - F.col("_lo") + 1 - (here & F.col(spec.value).isNotNull()).cast("int")
+    packed = runs.groupBy(*keys, "shard").agg(
+        F.min("c_lo").alias("_start"), F.sum(F.col("_hi") - F.col("_lo") + 1).alias("_n"), F.sum(F.coalesce(bad, F.col("_hi") - F.col("_lo") + 1)).alias("_bad"), F.array_sort(F.collect_list(run)).alias("_r")
+    )
+    packed = settle(packed, "packed")
+    whole = packed.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad"))
+    kept = whole.filter((F.col("_n") >= minimum) & (F.col("_bad") / F.col("_n") <= most_missing)).select(*keys)
+    kept = spread_join(packed, kept, keys, F.pmod("shard", F.lit(SALTS)))
+    none = F.lit(None).cast("float")
+    values = F.transform("_r", lambda r: F.concat(F.array_repeat(none, r["before"]), F.array(r["v"]), F.array_repeat(none, r["behind"])))
+    start = F.timestamp_micros(F.col("_start") + F.col("shard") * (shard_rows * step))
+    item = F.concat_ws("__", *[F.col(k).cast("string") for k in keys])
+    return kept.select(item.alias("item_id"), "shard", start.alias("start"), F.lit(freq).alias("freq"), F.flatten(values).alias("target"))
 
 
 def with_dynamic_features(df: DataFrame, features: DataFrame, on: list[str]) -> DataFrame:

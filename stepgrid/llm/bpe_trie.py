@@ -28,6 +28,7 @@ from stepgrid.llm.textbytes import BASE, own_worker, slices, worker_state
 
 DEEP = 48  # bytes; longer words are walked one by one, with the same states
 STEP = np.uint64(BASE)
+ENCODED_BYTES = 2 << 20  # of text encoded at once; ids and decoded text of all of it are held
 
 
 def byte_symbols() -> dict[str, int]:
@@ -246,6 +247,22 @@ def encode_pieces(pieces: list[str], path: str) -> list[tuple[int, str, bytes]]:
     return out
 
 
+def encoded_batches(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    """``doc_id, n_tokens, ids, decoded`` of the rows ``doc_id, text``, slice by slice."""
+    for batch in slices(batches, size=ENCODED_BYTES):
+        pieces, codes, at = distinct_pieces(batch.column("text"))
+        found = remembered(f"trie {tokenizer}", lambda new: encode_pieces(new, tokenizer), pieces)
+        counts = np.fromiter((x[0] for x in found), np.int64, len(found))
+        running = np.concatenate([[0], np.cumsum(counts[codes])])
+        ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([x[1] for x in found], pa.string()).take(pa.array(codes)))
+        # whole texts are decoded: the bytes of one character may be spread over tokens
+        joined = b"".join([found[c][2] for c in codes.tolist()])
+        ends = np.concatenate([[0], np.cumsum(np.fromiter((len(x[2]) for x in found), np.int64, len(found))[codes])])[at]
+        texts = pa.array([joined[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
+        columns = [batch.column("doc_id"), pa.array(running[at[1:]] - running[at[:-1]]), pc.binary_join(ids, ","), texts]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+
+
 def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Columns ``doc_id, n_tokens, ids, decoded``, one row per input row.
 
@@ -258,18 +275,7 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("tokens")
-        for batch in slices(batches):
-            pieces, codes, at = distinct_pieces(batch.column("text"))
-            found = remembered(f"trie {tokenizer}", lambda new: encode_pieces(new, tokenizer), pieces)
-            counts = np.fromiter((x[0] for x in found), np.int64, len(found))
-            running = np.concatenate([[0], np.cumsum(counts[codes])])
-            ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([x[1] for x in found], pa.string()).take(pa.array(codes)))
-            # whole texts are decoded: the bytes of one character may be spread over tokens
-            joined = b"".join([found[c][2] for c in codes.tolist()])
-            ends = np.concatenate([[0], np.cumsum(np.fromiter((len(x[2]) for x in found), np.int64, len(found))[codes])])[at]
-            texts = pa.array([joined[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
-            columns = [batch.column("doc_id"), pa.array(running[at[1:]] - running[at[:-1]]), pc.binary_join(ids, ","), texts]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+        yield from encoded_batches(batches, tokenizer)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

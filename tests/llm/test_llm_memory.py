@@ -5,6 +5,8 @@ import tracemalloc
 import pyarrow as pa
 
 from stepgrid.llm import decontaminate
+from stepgrid.llm.bpe_trie import encoded_batches
+from stepgrid.llm.queries import tokenizer_path
 
 
 def test_seeds_of_a_large_batch_take_bounded_memory():
@@ -16,3 +18,12 @@ def test_seeds_of_a_large_batch_take_bounded_memory():
     tracemalloc.stop()
     assert found == 640 * 1996
     assert peak < 192 << 20, peak >> 20
+
+
+def test_texts_are_encoded_a_few_megabytes_at_once():
+    text = " ".join(f"w{k % 50:05d}" for k in range(4000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([text] * 200)], ["doc_id", "text"])
+    out = list(encoded_batches(iter([batch]), tokenizer_path("byte_bpe_50k.json")))
+    assert [i for part in out for i in part.column(0).to_pylist()] == list(range(200))
+    assert all(x == text for part in out for x in part.column(3).to_pylist())
+    assert max(part.num_rows for part in out) * len(text) <= 2 << 20

@@ -41,12 +41,12 @@ def standard_panel(
     MSIS, RMSE, NRMSE, ND and mean weighted quantile loss.
 
     ``axis`` are the grouping columns: none for one row, the item columns for
-    a row per item, the step for a row per time. Missing labels are masked.
-    Terms with a zero denominator are left out; with ``ieee`` they are infinite,
-    or NaN over zero, and so is the metric.
+    a row per item, the step for a row per time. Missing labels are masked and
+    terms with a zero denominator left out; with ``ieee`` no label is
+    masked, and such terms are infinite, or NaN over zero.
     """
     over = ieee_over if ieee else F.try_divide
-    rows = spread_join(predictions.filter(metrics_label()), errors, keys)
+    rows = spread_join(predictions if ieee else predictions.filter(metrics_label()), errors, keys)
     p, t, med = F.col("prediction"), F.col("ground_truth"), F.col(quantiles.get(0.5, "prediction"))
     err = F.col("seasonal_error")
     aggs = [

@@ -254,11 +254,12 @@ def latest_window(df: DataFrame, spec: SeriesSpec, context: int, horizon: int =
     return out.drop("segment_id", "context_steps", "horizon_steps")
 
 
-def persistence_pairs(df: DataFrame, spec: SeriesSpec, horizon: int | list[int]) -> DataFrame:
+def persistence_pairs(df: DataFrame, spec: SeriesSpec, horizon: int | list[int], missing: bool = False) -> DataFrame:
     """The value at t as the forecast of t + horizon, over unbroken runs.
 
     One shuffle for any number of horizons: a run of that many steps never
-    reaches past the halo. A list of horizons adds ``horizon_steps``.
+    reaches past the halo. A list of horizons adds ``horizon_steps``. Pairs with
+    a null value are left out unless ``missing``.
     """
     horizons = [horizon] if isinstance(horizon, int) else horizon
     rows = chunked(df, spec, behind_us=max(horizons) * spec.step_us)
@@ -268,11 +269,11 @@ def persistence_pairs(df: DataFrame, spec: SeriesSpec, horizon: int | list[int])
         rows.withColumn("_new", gap.isNull() | (gap != spec.step_us))
         .withColumn("_since", F.last(F.when(F.col("_new"), F.col(T)), ignorenulls=True).over(running(w)))
         .withColumns({f"_p{h}": F.lag(spec.value, h).over(w) for h in horizons})
-        .filter(F.col(HOME) & F.col(spec.value).isNotNull())
+        .filter(F.col(HOME) & (F.lit(missing) | F.col(spec.value).isNotNull()))
     )
 
     def pair(h: int) -> Column:
-        whole = (F.col(T) - F.col("_since") >= h * spec.step_us) & F.col(f"_p{h}").isNotNull()
+        whole = (F.col(T) - F.col("_since") >= h * spec.step_us) & (F.lit(missing) | F.col(f"_p{h}").isNotNull())
         return F.when(whole, F.struct(F.lit(h).alias("horizon_steps"), F.col(f"_p{h}").alias("prediction")))
 
     keep = [F.col(spec.ts), "prediction", F.col(spec.value).alias("ground_truth")]

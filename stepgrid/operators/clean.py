@@ -37,24 +37,24 @@ def epoch_units(df: DataFrame, raw: str, by: list[str], thresholds=EPOCH_S_MS_NS
     return df.groupBy(*by).agg(ticks.cast("bigint").alias("ticks_per_second"))
 
 
-def parse_timestamps(df: DataFrame, raw: str, by: list[str], out: str = "ts", thresholds=EPOCH_S_MS_NS) -> DataFrame:
+def parse_timestamps(df: DataFrame, raw: str, by: list[str], out: str = "ts", thresholds=EPOCH_S_MS_NS, salt: Column | None = None) -> DataFrame:
     """Timestamps from datetimes, ISO text or epoch numbers.
 
     The epoch unit is inferred per source (``by``), as one source may mix with
     others of a different unit in the same table. A source may hold most rows,
-    so units are joined back spread.
+    so units are joined back spread, over ``salt`` where it is given.
     """
     kind = df.schema[raw].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return df.withColumn(out, F.col(raw).cast("timestamp"))
     if not isinstance(kind, T.StringType):
         units = epoch_units(df, raw, by, thresholds)
-        return spread_join(df, units, by).withColumn(out, from_ticks(F.col(raw), F.col("ticks_per_second"))).drop("ticks_per_second")
+        return spread_join(df, units, by, salt).withColumn(out, from_ticks(F.col(raw), F.col("ticks_per_second"))).drop("ticks_per_second")
     number = F.col(raw).try_cast("double")
     units = epoch_units(df, raw, by, thresholds)
     text = F.coalesce(F.try_to_timestamp(F.col(raw)), F.try_to_timestamp(F.col(raw), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
     value = F.when(number.isNull(), text).otherwise(from_ticks(number, F.col("ticks_per_second")))
-    return spread_join(df, units, by).withColumn(out, value).drop("ticks_per_second")
+    return spread_join(df, units, by, salt).withColumn(out, value).drop("ticks_per_second")
 
 
 def from_ticks(raw: Column, per_second: Column) -> Column:

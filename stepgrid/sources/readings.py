@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import csv
+import os
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +27,8 @@ VALUE_NAMES = (
     "value",
     "glucose_value_mmol_l",
 )
-BROADCAST_FILES = 10_000  # layouts, a few hundred bytes each, up to which they go to all tasks
+BLOCK_BYTES = 4 << 20  # of a file read by a task at once
+LINE_END = re.compile(rb"[\r\n]")
 FILE_STEM = r"([^/]+)/([^/]+)\.csv$"
 
 
@@ -64,20 +68,24 @@ def read_nested_subjects(
     return clean_readings(rows, SeriesSpec())
 
 
-def opened(path: str):
-    """A file of any store Arrow knows, as a stream."""
+def located(path: str):
+    """The Arrow file system of a path, and the path in it; without a scheme it is a local one."""
     from pyarrow import fs
 
     if path.startswith("file:"):
-        files, name = fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")
-    else:
-        files, name = fs.FileSystem.from_uri(path)
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def opened(path: str):
+    """A file of any store Arrow knows, as a stream."""
+    files, name = located(path)
     return files.open_input_stream(name)
 
 
-def read_until(path: str, done: Callable[[bytes], bool], block: int = 65536) -> str:
-    """The beginning of a file, block by block until ``done`` says it is enough."""
-    with opened(path) as stream:
+def read_until(path: str, done: Callable[[bytes], bool], block: int = 65536, files=None) -> str:
+    """The beginning of a file, block by block until ``done`` says it is enough; ``files`` is its store, if known."""
+    with files.open_input_stream(path) if files else opened(path) as stream:
         data = b""
         while not done(data):
             more = stream.read(block)
@@ -87,9 +95,9 @@ def read_until(path: str, done: Callable[[bytes], bool], block: int = 65536) ->
     return data.decode("utf-8-sig", "replace")
 
 
-def header_line(path: str) -> str:
+def header_line(path: str, files=None) -> str:
     """First line of a file, whatever its length; line ends inside quotes belong to it."""
-    text = read_until(path, lambda data: any(part.count(b'"') % 2 == 0 for part in _prefixes(data)))
+    text = read_until(path, lambda data: any(part.count(b'"') % 2 == 0 for part in _prefixes(data)), files=files)
     quoted = False
     for at, c in enumerate(text):
         quoted ^= c == '"'
@@ -114,38 +122,131 @@ def source_path_of(column: str) -> Column:
     return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B")))
 
 
-LAYOUT = "path string, header string, time_at int, value_at int, problem string"
+def spread(df: DataFrame, tasks: int = 0) -> DataFrame:
+    """Rows dealt to some tasks per core; each stands for work on a file."""
+    return df.repartition(max(tasks, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+def list_files(spark: SparkSession, root: str, ending: str) -> DataFrame:
+    """``path, size`` of the files under a folder, paths from ``root`` on; hidden names are left out.
+
+    Every level of folders is listed by tasks, as a tree of subjects has too
+    many for the driver. ``root`` may be a file as well.
+    """
+    level, found = spark.createDataFrame([("",)], "path string"), []
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        files, base = located(root.rstrip("/"))
+        for batch in batches:
+            out = []
+            for path in batch["path"]:
+                own = files.get_file_info(base) if path == "" else None
+                if own is not None and own.type == fs.FileType.File:
+                    out.append(("", own.size))
+                    continue
+                for at in files.get_file_info(fs.FileSelector(base + path)):
+                    name = at.base_name
+                    if name.startswith(".") or (name.startswith("_") and "=" not in name):
+                        continue
+                    if at.type == fs.FileType.Directory:
+                        out.append((f"{path}/{name}", None))
+                    elif name.endswith(ending):
+                        out.append((f"{path}/{name}", at.size))
+            yield pd.DataFrame(out, columns=["path", "size"]).astype({"path": "str", "size": "Int64"})
+
+    while not found or not level.isEmpty():
+        listed = settle((spread(level) if found else level).mapInPandas(entries, "path string, size long"), "listing")
+        found.append(listed.where("size IS NOT NULL"))
+        level = listed.where("size IS NULL").select("path")
+    return reduce(DataFrame.union, found)
+
+
+LAYOUT = "path string, size long, header string, time_at int, value_at int, problem string"
 
 
 def csv_layouts(spark: SparkSession, root: str, columns: tuple[str, str] | None = None) -> DataFrame:
     """One row per CSV file: its header and the places of time and value, or the problem with it.
 
-    Only the first line of each file is read, on the executors.
+    ``path`` counts from ``root`` on. Only the first line of each file is read,
+    on the executors.
     """
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = located(root.rstrip("/"))
         for batch in batches:
             out = []
-            for path, at in zip(batch["path"], batch["at"], strict=True):
-                header = header_line(at)
+            for path, size in zip(batch["path"], batch["size"], strict=True):
+                header = header_line(base + path, files)
                 names = [c.strip() for c in next(csv.reader([header]), [])]
-                row = {"path": path, "header": header, "time_at": None, "value_at": None, "problem": None}
+                row = {"path": path, "size": size, "header": header, "time_at": None, "value_at": None, "problem": None}
                 try:
                     time, value = columns if columns else resolve_columns(names)
                     row |= {"time_at": names.index(time), "value_at": names.index(value)}
                 except ValueError as problem:
                     row["problem"] = str(problem)
                 out.append(row)
-            yield pd.DataFrame(out).astype({"time_at": "Int32", "value_at": "Int32"})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in LAYOUT.split(", ")]).astype({"time_at": "Int32", "value_at": "Int32"})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
-    files = files.select(F.col("_metadata.file_path").alias("path"), source_path().alias("at"))
-    return files.mapInPandas(resolve, LAYOUT)
+    return spread(list_files(spark, root, ".csv")).mapInPandas(resolve, LAYOUT)
 
 
 def unresolved_csvs(spark: SparkSession, root: str, columns: tuple[str, str] | None = None) -> DataFrame:
     """``path, problem`` of the files :func:`read_subject_csvs` leaves out."""
-    return csv_layouts(spark, root, columns).where("problem IS NOT NULL").select(source_path_of("path").alias("path"), "problem")
+    path = F.concat(F.lit(root.rstrip("/")), "path").alias("path")
+    return csv_layouts(spark, root, columns).where("problem IS NOT NULL").select(path, "problem")
+
+
+def block_lines(stream, start: int, end: int) -> list[str]:
+    """Lines that start in a range of bytes of a file, the last one whole; empty ones may be among them."""
+    stream.seek(max(start - 1, 0))
+    data = stream.read(end - max(start - 1, 0))
+    if start:
+        first = LINE_END.search(data)
+        data = data[first.end() :] if first else b""
+    while data and data[-1:] not in b"\r\n":
+        more = stream.read(65536)
+        stop = LINE_END.search(more)
+        data += more[: stop.end()] if stop else more
+        if not more:
+            break
+    return [line.decode("utf-8", "replace") for line in LINE_END.split(data)]
+
+
+def csv_lines(layouts: DataFrame, root: str) -> DataFrame:
+    """``path, block, time_at, value_at, line`` of every line but empty ones and the header.
+
+    A task reads whole small files one after another and blocks of large ones.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = located(root.rstrip("/"))
+        names = ["path", "block", "time_at", "value_at"]
+
+        def table(held):
+            each = [len(lines) for _, lines in held]
+            columns = {c: pd.Series([row[k] for row, _ in held]).repeat(each).to_numpy() for k, c in enumerate(names)}
+            return pd.DataFrame(columns | {"line": [line for _, lines in held for line in lines]})
+
+        for batch in batches:
+            held, size = [], 0
+            for row in batch.itertuples(index=False):
+                end = min(row.size, (row.block + 1) * BLOCK_BYTES)
+                with files.open_input_file(base + row.path) as stream:
+                    lines = (line.removeprefix("\ufeff") for line in block_lines(stream, row.block * BLOCK_BYTES, end))
+                    lines = [line for line in lines if line not in ("", row.header)]
+                held.append(((row.path, row.block, row.time_at, row.value_at), lines))
+                size += sum(map(len, lines))
+                if size >= BLOCK_BYTES:
+                    yield table(held)
+                    held, size = [], 0
+            if held:
+                yield table(held)
+
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / BLOCK_BYTES))).alias("block")
+    cut = layouts.select("path", "size", "header", "time_at", "value_at", blocks)
+    return spread(cut).mapInPandas(read, "path string, block long, time_at int, value_at int, line string")
 
 
 def read_subject_csvs(
@@ -153,32 +254,32 @@ def read_subject_csvs(
 ) -> DataFrame:
     """A tree of subject CSVs with free headers to clean readings.
 
-    Dataset and subject come from the path by ``path_pattern``. All files are
-    one scan; each line meets the layout of its file. Files whose columns
-    cannot be resolved are left out and listed by :func:`unresolved_csvs`.
-    ``columns`` names time and value for vendor layouts.
+    Dataset and subject come from the path by ``path_pattern``. The files are
+    listed and read by tasks, however many there are; each line meets the
+    layout of its file. Files whose columns cannot be resolved are left out and
+    listed by :func:`unresolved_csvs`. ``columns`` names time and value for
+    vendor layouts.
     """
     layouts = settle(csv_layouts(spark, root, columns).where("problem IS NULL"), "layouts")
     files, last = layouts.agg(F.count("*"), F.max(F.greatest("time_at", "value_at"))).first()
     if not files:
         raise ValueError(f"no usable CSV under {root}")
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
-    line = F.regexp_replace("value", "^\ufeff", "")
-    lines = lines.select(F.col("_metadata.file_path").alias("path"), line.alias("line")).where("line <> ''")
-    own = layouts.select("path", "header", "time_at", "value_at")
-    rows = lines.join(F.broadcast(own) if files <= BROADCAST_FILES else own, "path").where("line <> header")
     # cells behind the last one that any file needs are not parsed
+    rows = csv_lines(layouts, root)
     rows = rows.withColumn("cells", F.from_csv("line", F.lit(", ".join(f"c{k} string" for k in range(last + 1))), {"columnPruning": "false"}))
     rows = rows.withColumn("cells", F.array(*[F.col(f"cells.c{k}") for k in range(last + 1)]))
-    path = source_path_of("path")
+    path = F.concat(F.lit(root.rstrip("/")), "path")
     rows = rows.select(
         F.regexp_extract(path, path_pattern, 1).alias("dataset"),
         F.regexp_extract(path, path_pattern, 2).alias("subject_id"),
-        path.alias("source"),
+        F.col("path").alias("source"),
+        "block",
         F.get("cells", F.col("time_at")).alias("raw_ts"),
         F.get("cells", F.col("value_at")).alias("value"),
     )
-    return clean_readings(parse_timestamps(rows, "raw_ts", ["source"]).drop("raw_ts"), SeriesSpec(), ["source", "value"])
+    # the units need a pass of their own; the files are opened once
+    parsed = parse_timestamps(settle(rows, "csv-lines"), "raw_ts", ["source"], salt=F.col("block"))
+    return clean_readings(parsed.drop("raw_ts", "block"), SeriesSpec(), ["source", "value"])
 
 
 def dataset_from_path(path: Column, container: str = "controlled_dataset") -> Column:

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepgrid.functions.text import boolish
 from stepgrid.series import CHUNK, T, SeriesSpec, chunked
+from stepgrid.sources.readings import located
+
+UNSAFE = "\"#%'*/:=?\\\x7f{[]^"  # in folder names
 
 # The key of one result row and its types.
 RESULT_KEY = ("participant_id", "context_hours", "horizon_minutes", "stride_steps", "metric_mode")
@@ -19,19 +28,58 @@ KEY_TYPES = {
 }
 
 
+def folder_name(column: str, value: str | None) -> str:
+    """``column=value`` with the characters escaped that no folder name may hold, as Spark writes it."""
+    if value is None or value == "":
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}=" + "".join(f"%{ord(c):02X}" if c < " " or c in UNSAFE else c for c in value)
+
+
 def write_subject_csvs(df: DataFrame, spec: SeriesSpec, path: str, by: list[str] | None = None) -> None:
     """Readings as CSV folders per dataset and subject, time as epoch seconds.
 
     Rows are spread by chunk as well as subject, so a long subject is written
-    by many tasks.
+    by many tasks. A task writes its files one after another, each under a
+    hidden name until it is whole; a repeated task replaces its own files.
     """
     by = by or list(spec.keys)
+    system, base = located(path.rstrip("/"))
+    if system.get_file_info(base).type.name != "NotFound":
+        raise FileExistsError(path)
+    system.create_dir(base, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = located(path.rstrip("/"))
+        name, now, stream, count = f"part-{TaskContext.get().partitionId():05d}", None, None, 0
+
+        def finish():
+            stream.close()
+            files.move(f"{base}/{now}/.{name}-{mark}", f"{base}/{now}/{name}.csv")
+
+        mark = uuid.uuid4().hex
+        for batch in batches:
+            keys = zip(*[batch.column(c).to_pylist() for c in by], strict=True)
+            lines = zip(keys, batch.column("_line").to_pylist(), strict=True)
+            for key, own in groupby(lines, key=lambda x: x[0]):
+                folder = "/".join(map(folder_name, by, key))
+                if folder != now:
+                    if stream:
+                        finish()
+                    files.create_dir(f"{base}/{folder}", recursive=True)
+                    stream = files.open_output_stream(f"{base}/{folder}/.{name}-{mark}")
+                    stream.write(b"timestamp,BGvalue\n")
+                    now, count = folder, count + 1
+                stream.write("".join([f"{line}\n" for _, line in own]).encode())
+        if stream:
+            finish()
+        yield pa.RecordBatch.from_pydict({"files": [count]})
+
     rows = chunked(df, spec)
-    seconds = F.floor(F.col(T) / 1_000_000).cast("bigint")
-    out = rows.repartition(*[F.col(k) for k in spec.keys], F.col(CHUNK)).select(
-        *by, seconds.alias("timestamp"), F.col(spec.value).alias("BGvalue")
-    )
-    out.write.partitionBy(*by).mode("errorifexists").option("header", True).csv(path)
+    seconds = F.floor(F.col(T) / 1_000_000).cast("bigint").cast("string")
+    line = F.concat_ws(",", F.coalesce(seconds, F.lit("")), F.coalesce(F.col(spec.value).cast("string"), F.lit("")))
+    parts = rows.repartition(*[F.col(k) for k in spec.keys], F.col(CHUNK)).sortWithinPartitions(*by, T)
+    out = parts.select(*[F.col(c).cast("string").alias(c) for c in by], line.alias("_line"))
+    out.mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
 def build_mixed(df: DataFrame) -> DataFrame:

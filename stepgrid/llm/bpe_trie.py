@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepgrid.llm.pieces import distinct_pieces, library, remembered
-from stepgrid.llm.textbytes import BASE, own_worker, slices, worker_state
+from stepgrid.llm.textbytes import BASE, give_back, own_worker, slices, worker_state
 
 DEEP = 48  # bytes; longer words are walked one by one, with the same states
 STEP = np.uint64(BASE)
-ENCODED_BYTES = 2 << 20  # of text encoded at once; ids and decoded text of all of it are held
+ENCODED_BYTES = 1 << 20  # of text encoded at once; ids and decoded text of all of it are held
+REMEMBERED_BYTES = 16 << 20  # of pieces in a generation of the worker's memory
 
 
 def byte_symbols() -> dict[str, int]:
@@ -251,7 +252,7 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterat
     """``doc_id, n_tokens, ids, decoded`` of the rows ``doc_id, text``, slice by slice."""
     for batch in slices(batches, size=ENCODED_BYTES):
         pieces, codes, at = distinct_pieces(batch.column("text"))
-        found = remembered(f"trie {tokenizer}", lambda new: encode_pieces(new, tokenizer), pieces)
+        found = remembered(f"trie {tokenizer}", lambda new: encode_pieces(new, tokenizer), pieces, REMEMBERED_BYTES)
         counts = np.fromiter((x[0] for x in found), np.int64, len(found))
         running = np.concatenate([[0], np.cumsum(counts[codes])])
         ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([x[1] for x in found], pa.string()).take(pa.array(codes)))
@@ -261,6 +262,8 @@ def encoded_batches(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterat
         texts = pa.array([joined[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
         columns = [batch.column("doc_id"), pa.array(running[at[1:]] - running[at[:-1]]), pc.binary_join(ids, ","), texts]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+        del batch, pieces, codes, at, found, counts, running, ids, joined, ends, texts, columns
+        give_back()
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -50,13 +50,14 @@ def _held(x) -> int:
     return sys.getsizeof(x) + (sum(map(sys.getsizeof, x)) if isinstance(x, tuple) else 0)
 
 
-def remembered(name: str, work: Callable[[list], list], items: list) -> list:
+def remembered(name: str, work: Callable[[list], list], items: list, most: int | None = None) -> list:
     """``work(items)``, keeping answers of earlier batches of this worker.
 
     Two generations are kept: when the young one is full it becomes the old
     one, and what is used again moves back, so frequent items stay. A
     generation is full by number or by bytes, as a text without spaces is one
-    item; it holds at most one batch more than that.
+    item; it holds at most one batch more than that. ``most`` bounds the bytes
+    further.
     """
     memory = worker_state(name, lambda: [{}, {}, 0])
     young, old, held = memory
@@ -66,7 +67,7 @@ def remembered(name: str, work: Callable[[list], list], items: list) -> list:
     young.update(answers)
     held += sum(_held(x) + _held(answer) for x, answer in answers.items())
     out = [young[x] for x in items]
-    memory[:] = ({}, young, 0) if len(young) > CACHE or held > CACHE_BYTES else (young, old, held)
+    memory[:] = ({}, young, 0) if len(young) > CACHE or held > min(most or CACHE_BYTES, CACHE_BYTES) else (young, old, held)
     return out
 
 

@@ -7,6 +7,7 @@ pre-tokens are positions in it.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
@@ -34,7 +35,15 @@ def own_worker(owner: str) -> None:
     if getattr(home, "owner", None) != owner:
         home.owner, home.kept = owner, {}
         gc.collect()
-        pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which Arrow's pool and the C library would keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
 
 
 def worker_state(name: str, make: Callable):

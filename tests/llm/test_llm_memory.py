@@ -27,3 +27,18 @@ def test_texts_are_encoded_a_few_megabytes_at_once():
     assert [i for part in out for i in part.column(0).to_pylist()] == list(range(200))
     assert all(x == text for part in out for x in part.column(3).to_pylist())
     assert max(part.num_rows for part in out) * len(text) <= 2 << 20
+
+
+def test_texts_reach_python_a_few_megabytes_at_once(spark):
+    from pyspark.sql import functions as F
+
+    from stepgrid.session import configure
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": [sum(map(len, batch.column("text").to_pylist()))]})
+
+    rows = configure(spark).range(0, 4000, 1, 1).select(F.repeat(F.lit("0123456789"), 1000).alias("text"))
+    found = [r["size"] for r in rows.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) == 40_000_000
+    assert max(found) <= 8 << 20, found

@@ -43,7 +43,8 @@ def standard_panel(
     ``axis`` are the grouping columns: none for one row, the item columns for
     a row per item, the step for a row per time. Missing labels are masked and
     terms with a zero denominator left out; with ``ieee`` no label is
-    masked, and such terms are infinite, or NaN over zero.
+    masked, and such terms are infinite, or NaN over zero. Sums do not depend
+    on the order of the rows.
     """
     over = ieee_over if ieee else F.try_divide
     rows = spread_join(predictions if ieee else predictions.filter(metrics_label()), errors, keys)
@@ -53,9 +54,9 @@ def standard_panel(
         metrics.mse(p, t).alias("mse_mean"),
         metrics.mse(med, t).alias("mse_median"),
         metrics.mae(med, t).alias("mae"),
-        F.avg(over(F.abs(med - t), err)).alias("mase"),
-        F.avg(over(F.abs(med - t), F.abs(t))).alias("mape"),
-        F.avg(over(2 * F.abs(med - t), F.abs(med) + F.abs(t))).alias("smape"),
+        metrics.steady_avg(over(F.abs(med - t), err)).alias("mase"),
+        metrics.steady_avg(over(F.abs(med - t), F.abs(t))).alias("mape"),
+        metrics.steady_avg(over(2 * F.abs(med - t), F.abs(med) + F.abs(t))).alias("smape"),
         metrics.rmse(p, t).alias("rmse"),
         metrics.nrmse(p, t, ieee).alias("nrmse"),
         metrics.nd(med, t, ieee).alias("nd"),
@@ -63,7 +64,7 @@ def standard_panel(
     if interval:
         aggs.append(metrics.msis(F.col(interval[0]), F.col(interval[1]), t, err, ieee=ieee).alias("msis"))
     losses = [
-        over(2 * F.sum(metrics.pinball(q, F.col(c), t)), F.sum(F.abs(t))) for q, c in sorted(quantiles.items())
+        over(2 * metrics.steady_sum(metrics.pinball(q, F.col(c), t)), metrics.steady_sum(F.abs(t))) for q, c in sorted(quantiles.items())
     ]
     aggs.append((sum(losses[1:], losses[0]) / len(losses)).alias("mean_weighted_quantile_loss"))
     return rows.groupBy(*axis).agg(*aggs) if axis else rows.agg(*aggs)

@@ -23,13 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepgrid.llm.pieces import distinct_pieces, library, remembered
+from stepgrid.llm.pieces import distinct_pieces, library, placed, remembered
 from stepgrid.llm.textbytes import BASE, give_back, own_worker, slices, worker_state
 
 DEEP = 48  # bytes; longer words are walked one by one, with the same states
 STEP = np.uint64(BASE)
 ENCODED_BYTES = 1 << 20  # of text encoded at once; ids and decoded text of all of it are held
 REMEMBERED_BYTES = 16 << 20  # of pieces in a generation of the worker's memory
+PAIR_BITS = 20  # of the number of token pairs whose answers a worker remembers
+NEVER = 1 << 60  # a rank after all others
 
 
 def byte_symbols() -> dict[str, int]:
@@ -54,46 +56,81 @@ class Vocabulary:
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.rank = {(as_bytes(a), as_bytes(b)): r for r, (a, b) in enumerate(merges)}
         self.decoded = dict(self.bytes_of) | {i: t.encode() for t, i in self.special.items()}
-        self.pairs: dict[int, bool] = {}
+        # remembered answers on pairs of tokens: one place for each hash, the newest pair has it
+        self.pairs, self.stand = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         # suffixes of tokens by hash: where no suffix fits, no longer token can
         ends = {}
         for token, i in self.id_of.items():
             for k in range(len(token)):
                 ends.setdefault(token[k:], -1)
         self.longest = max(map(len, self.id_of))
+        # the merge a token ends with, as rank and both sides; single bytes have none
+        self.last_merge: dict[int, tuple[int, int, int]] = {}
         for token, i in self.id_of.items():
-            if self.merged(token) == [token]:
+            parts, merge = self._merge(token)
+            if parts == [token]:
                 ends[token] = i
+                self.last_merge[i] = (self.rank[merge], self.id_of[merge[0]], self.id_of[merge[1]]) if merge else (-1, -1, -1)
         self.ends = ends
+        self.rank_of = {self.id_of[a] << 32 | self.id_of[b]: r for (a, b), r in self.rank.items() if a in self.id_of and b in self.id_of}
+        # learned in order: no token is merged further by an earlier merge than the one that made it
+        made = {i: m[0] for i, m in self.last_merge.items()}
+        self.in_order = all(made.get(k >> 32, -1) < r and made.get(k & 0xFFFFFFFF, -1) < r for k, r in self.rank_of.items())
         hashes = np.array([_hash(s) for s in ends], np.uint64)
         order = np.argsort(hashes)
         self.end_hash, self.end_id = hashes[order], np.fromiter(ends.values(), np.int64, len(ends))[order]
 
-    def merged(self, word: bytes) -> list[bytes]:
-        """The merges applied in order of rank, on a short byte string."""
-        parts = [word[i : i + 1] for i in range(len(word))]
+    def _merge(self, word: bytes) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+        """The merges applied in order of rank, on a short byte string, and the last of them."""
+        parts, pair = [word[i : i + 1] for i in range(len(word))], None
         while len(parts) > 1:
-            best, at = min((self.rank.get((parts[i], parts[i + 1]), 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
+            best, at = min((self.rank.get((parts[i], parts[i + 1]), NEVER), i) for i in range(len(parts) - 1))
+            if best == NEVER:
                 break
+            pair = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, pair
+
+    def merged(self, word: bytes) -> list[bytes]:
+        return self._merge(word)[0]
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay apart when their bytes are encoded together."""
-        key = left << 32 | right
-        known = self.pairs.get(key)
-        if known is None:
+        """Whether the two tokens stay apart when their bytes are encoded together.
+
+        Merges within the tokens are undone from the last on: of each two parts
+        that lay side by side at the border, none may have been merged before
+        one of them became part of something longer.
+        """
+        if not self.in_order:
             a, b = self.bytes_of[left], self.bytes_of[right]
-            if len(self.pairs) > 500_000:  # a limit of memory
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(a + b) == [a, b]
-        return known
+            return self.merged(a + b) == [a, b]
+        left_until = right_until = NEVER
+        while True:
+            rank = self.rank_of.get(left << 32 | right, NEVER)
+            # of equal ranks the leftmost is merged first
+            if rank < left_until and rank <= right_until and rank < NEVER:
+                return False
+            left_made, right_made = self.last_merge[left], self.last_merge[right]
+            if left_made[0] > right_made[0]:
+                left_until, _, left = left_made
+            elif right_made[0] >= 0:
+                right_until, right, _ = right_made
+            else:
+                return True
 
     def may_follow_all(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys, back = np.unique(left.astype(np.int64) << 32 | right.astype(np.int64), return_inverse=True)
-        answers = [self.may_follow(k >> 32, k & 0xFFFFFFFF) for k in keys.tolist()]
-        return np.array(answers, bool)[back]
+        keys = left.astype(np.int64) << 32 | right.astype(np.int64)
+        place = (keys.astype(np.uint64) * STEP >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out = self.stand[place]
+        unknown = np.flatnonzero(self.pairs[place] != keys)
+        if len(unknown):
+            new, back = np.unique(keys[unknown], return_inverse=True)
+            answers = np.array([self.may_follow(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            out[unknown] = answers[back]
+            # one after the other, so that a place holds one pair and its answer
+            at, kept = np.unique(place[unknown], return_index=True)
+            self.pairs[at], self.stand[at] = keys[unknown][kept], answers[back][kept]
+        return out
 
 
 def _hash(word: bytes) -> int:
@@ -125,8 +162,8 @@ def walk(word: bytes, vocabulary: Vocabulary) -> list[int]:
     return ids[::-1]
 
 
-def trie_encode(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
-    """Token ids of sorted distinct words of at most ``DEEP`` bytes."""
+def trie_encode(words: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
+    """Token ids of sorted distinct words of at most ``DEEP`` bytes, as little-endian 32-bit integers."""
     n = len(words)
     if not n:
         return []
@@ -182,17 +219,21 @@ def trie_encode(words: list[bytes], vocabulary: Vocabulary) -> list[list[int]]:
         rounds.append((rows, token))
         left[rows] -= widths[token]
         rows = rows[left[rows] > 0]
-    out: list[list[int]] = [[] for _ in range(n)]
-    for rows, token in reversed(rounds):
-        for r, t in zip(rows.tolist(), token.tolist(), strict=True):
-            out[r].append(t)
-    return out
-
-
-def encode_words(words: list[bytes], vocabulary: Vocabulary) -> dict[bytes, list[int]]:
+    counts = np.zeros(n, np.int64)
+    for rows, _ in rounds:
+        counts[rows] += 1
+    ends = np.cumsum(counts)
+    ids = np.empty(int(ends[-1]), "<u4")
+    for back, (rows, token) in enumerate(rounds, 1):
+        ids[ends[rows] - back] = token
+    flat, at = ids.tobytes(), (4 * ends).tolist()
+    return [flat[a:b] for a, b in zip([0, *at], at, strict=False)]
+
+
+def encode_words(words: list[bytes], vocabulary: Vocabulary) -> dict[bytes, bytes]:
     short = sorted({w for w in words if len(w) <= DEEP})
     found = dict(zip(short, trie_encode(short, vocabulary), strict=True))
-    found.update({w: walk(w, vocabulary) for w in {w for w in words if len(w) > DEEP}})
+    found.update({w: np.array(walk(w, vocabulary), "<u4").tobytes() for w in {w for w in words if len(w) > DEEP}})
     return found
 
 
@@ -236,33 +277,52 @@ def _special_cut(text: str, special: dict[str, int]) -> list[str]:
     return [*out, text]
 
 
-def encode_pieces(pieces: list[str], path: str) -> list[tuple[int, str, bytes]]:
-    """For each piece: number of ids, the ids in decimal, and what they decode to."""
+def piece_ids(pieces: list[str], path: str) -> list[bytes]:
+    """Ids of each piece as little-endian 32-bit integers."""
     vocabulary = worker_state(f"vocabulary {path}", lambda: Vocabulary(path))
     cut = pretokens(pieces, path, vocabulary)
-    ids_of = encode_words([w for parts in cut for w in parts if isinstance(w, bytes)], vocabulary)
+    ids_of: dict[bytes | int, bytes] = {i: i.to_bytes(4, "little") for i in vocabulary.special.values()}
+    ids_of.update(encode_words([w for parts in cut for w in parts if isinstance(w, bytes)], vocabulary))
+    return [ids_of[parts[0]] if len(parts) == 1 else b"".join([ids_of[p] for p in parts]) for parts in cut]
+
+
+def written(ids: np.ndarray, path: str) -> tuple[pa.Array, pa.Array]:
+    """Each id in decimal, and the bytes it stands for."""
+
+    def tables() -> tuple[pa.Array, pa.Array]:
+        decoded = worker_state(f"vocabulary {path}", lambda: Vocabulary(path)).decoded
+        every = range(max(decoded) + 1)
+        return pa.array(map(str, every), pa.string()), pa.array([decoded.get(i) for i in every], pa.large_binary())
+
+    take = pa.array(ids)
+    numbers, tokens = worker_state(f"ids as text {path}", tables)
+    return numbers.take(take), tokens.take(take)
+
+
+def encode_pieces(pieces: list[str], path: str) -> list[tuple[int, str, bytes]]:
+    """For each piece: number of ids, the ids in decimal, and what they decode to."""
     out = []
-    for parts in cut:
-        ids = [i for p in parts for i in (ids_of[p] if isinstance(p, bytes) else (p,))]
-        out.append((len(ids), ",".join(map(str, ids)), b"".join([vocabulary.decoded[i] for i in ids])))
+    for coded in piece_ids(pieces, path):
+        numbers, tokens = written(np.frombuffer(coded, "<u4"), path)
+        out.append((len(numbers), ",".join(numbers.to_pylist()), b"".join(tokens.to_pylist())))
     return out
 
 
 def encoded_batches(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
     """``doc_id, n_tokens, ids, decoded`` of the rows ``doc_id, text``, slice by slice."""
     for batch in slices(batches, size=ENCODED_BYTES):
-        pieces, codes, at = distinct_pieces(batch.column("text"))
-        found = remembered(f"trie {tokenizer}", lambda new: encode_pieces(new, tokenizer), pieces, REMEMBERED_BYTES)
-        counts = np.fromiter((x[0] for x in found), np.int64, len(found))
-        running = np.concatenate([[0], np.cumsum(counts[codes])])
-        ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([x[1] for x in found], pa.string()).take(pa.array(codes)))
+        pieces, codes, docs = distinct_pieces(batch.column("text"))
+        found = remembered(f"trie {tokenizer}", lambda new: piece_ids(new, tokenizer), pieces, REMEMBERED_BYTES)
+        ids, at = placed(found, codes, docs)
+        numbers, tokens = written(ids, tokenizer)
         # whole texts are decoded: the bytes of one character may be spread over tokens
-        joined = b"".join([found[c][2] for c in codes.tolist()])
-        ends = np.concatenate([[0], np.cumsum(np.fromiter((len(x[2]) for x in found), np.int64, len(found))[codes])])[at]
-        texts = pa.array([joined[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
-        columns = [batch.column("doc_id"), pa.array(running[at[1:]] - running[at[:-1]]), pc.binary_join(ids, ","), texts]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
-        del batch, pieces, codes, at, found, counts, running, ids, joined, ends, texts, columns
+        _, ends, joined = tokens.buffers()
+        ends = np.frombuffer(ends, np.int64)[at].tolist()
+        joined = memoryview(joined or b"")
+        texts = pa.array([str(joined[a:b], "utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+        numbers = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), numbers), ",")
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), numbers, texts], ["doc_id", "n_tokens", "ids", "decoded"])
+        del batch, pieces, codes, docs, found, ids, at, numbers, tokens, ends, joined, texts
         give_back()
 
 

@@ -46,10 +46,6 @@ def library_counter(path: str) -> Callable[[list[str]], list[int]]:
     return count
 
 
-def _held(x) -> int:
-    return sys.getsizeof(x) + (sum(map(sys.getsizeof, x)) if isinstance(x, tuple) else 0)
-
-
 def remembered(name: str, work: Callable[[list], list], items: list, most: int | None = None) -> list:
     """``work(items)``, keeping answers of earlier batches of this worker.
 
@@ -61,12 +57,15 @@ def remembered(name: str, work: Callable[[list], list], items: list, most: int |
     """
     memory = worker_state(name, lambda: [{}, {}, 0])
     young, old, held = memory
-    new = [x for x in items if x not in young and x not in old]
-    answers = dict(zip(new, work(new), strict=True)) if new else {}
-    answers.update({x: old[x] for x in items if x in old and x not in young})
-    young.update(answers)
-    held += sum(_held(x) + _held(answer) for x, answer in answers.items())
-    out = [young[x] for x in items]
+    out = list(map(young.get, items))
+    lacking = [x for x, answer in zip(items, out, strict=True) if answer is None]
+    if lacking:
+        answers = {x: old[x] for x in lacking if x in old}
+        new = [x for x in lacking if x not in answers]
+        answers.update(zip(new, work(new) if new else [], strict=True))
+        young.update(answers)
+        held += sum(map(sys.getsizeof, answers)) + sum(map(sys.getsizeof, answers.values()))
+        out = list(map(young.__getitem__, items))
     memory[:] = ({}, young, 0) if len(young) > CACHE or held > min(most or CACHE_BYTES, CACHE_BYTES) else (young, old, held)
     return out
 

@@ -2,10 +2,13 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
+import pytest
 
-from stepgrid.llm import decontaminate
-from stepgrid.llm.bpe_trie import encoded_batches
+from stepgrid.llm import bpe_trie, decontaminate
+from stepgrid.llm.bpe_trie import Vocabulary, encoded_batches, piece_ids
+from stepgrid.llm.pieces import library
 from stepgrid.llm.queries import tokenizer_path
 
 
@@ -42,3 +45,52 @@ def test_texts_reach_python_a_few_megabytes_at_once(spark):
     found = [r["size"] for r in rows.mapInArrow(sizes, "size long").collect()]
     assert sum(found) == 40_000_000
     assert max(found) <= 8 << 20, found
+
+
+BYTE = tokenizer_path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return Vocabulary(BYTE)
+
+
+def test_tokens_stand_together_as_the_merges_say(vocabulary):
+    assert vocabulary.in_order
+    random = np.random.default_rng(5)
+    whole = [i for i, token in vocabulary.bytes_of.items() if vocabulary.merged(token) == [token]]
+    pairs = set(map(tuple, random.choice(whole, (6000, 2)).tolist()))
+    # tokens cut in two anywhere, and tokens next to themselves, are where the merges decide
+    for i in random.choice(whole, 6000).tolist():
+        token = vocabulary.bytes_of[i]
+        pairs.add((i, i))
+        pairs.update((vocabulary.id_of[token[:k]], vocabulary.id_of[token[k:]]) for k in range(1, len(token)) if token[:k] in vocabulary.id_of and token[k:] in vocabulary.id_of)
+    pairs = [(a, b) for a, b in pairs if a in vocabulary.last_merge and b in vocabulary.last_merge]
+    spelled = [vocabulary.merged(vocabulary.bytes_of[a] + vocabulary.bytes_of[b]) == [vocabulary.bytes_of[a], vocabulary.bytes_of[b]] for a, b in pairs]
+    assert 1000 < sum(spelled) < len(pairs) - 1000
+    assert [vocabulary.may_follow(a, b) for a, b in pairs] == spelled
+    for _ in range(2):
+        assert vocabulary.may_follow_all(*np.array(pairs).T).tolist() == spelled
+
+
+@pytest.mark.parametrize("bits, in_order", [(3, True), (20, False)])
+def test_few_places_for_pairs_or_merges_out_of_order_change_nothing(monkeypatch, bits, in_order):
+    monkeypatch.setattr(bpe_trie, "PAIR_BITS", bits)
+    small = Vocabulary(BYTE)
+    small.in_order = in_order
+    monkeypatch.setattr(bpe_trie, "worker_state", lambda name, make: small if name.startswith("vocabulary") else make())
+    random = np.random.default_rng(6)
+    pieces = sorted({" " + "".join(random.choice(list("etaoinshrdluäß"), random.integers(1, 12))) for _ in range(500)})
+    want = [library(BYTE).encode(x, add_special_tokens=False).ids for x in pieces]
+    assert [np.frombuffer(x, "<u4").tolist() for x in piece_ids(pieces, BYTE)] == want
+
+
+def test_merges_are_not_run_for_pairs_of_tokens(monkeypatch, vocabulary):
+    def spelled(*_):
+        raise AssertionError("merges run on the bytes of a pair")
+
+    monkeypatch.setattr(bpe_trie, "worker_state", lambda name, make: vocabulary if name.startswith("vocabulary") else make())
+    monkeypatch.setattr(Vocabulary, "merged", spelled)
+    text = "an unremarkable internationalisation of tokenizers " * 3
+    part = next(encoded_batches(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])]), BYTE))
+    assert part.column(2).to_pylist() == [",".join(map(str, library(BYTE).encode(text, add_special_tokens=False).ids))]

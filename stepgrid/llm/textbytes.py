@@ -168,6 +168,39 @@ def pretoken_pieces(data: np.ndarray, at: np.ndarray) -> tuple[pa.DictionaryArra
     return pieces.dictionary_encode(), np.searchsorted(offsets, at)
 
 
+# kinds of ASCII characters; controls and bytes of other characters have none
+SPACE, DIGIT, LETTER, SIGN, QUOTE, BAR = 1, 2, 4, 8, 16, 32
+VISIBLE = DIGIT | LETTER | SIGN | QUOTE | BAR
+KIND = np.zeros(256, np.uint8)
+KIND[[*range(0x09, 0x0E), 0x20]] = SPACE
+KIND[0x30:0x3A] = DIGIT
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+KIND[PUNCTUATION] = SIGN
+KIND[[ord("'"), ord("|")]] = QUOTE, BAR
+
+
+def word_pieces(data: np.ndarray, at: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """``pretoken_pieces`` for tokenizers that drop space and take digits one by one.
+
+    ASCII space is left out, and cuts are also made behind signs before a
+    letter, and on both sides of a digit. An apostrophe stays with the letters
+    behind it, of which it may make a suffix.
+    """
+    before, after = KIND[data], KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    after[lead] = before[lead + 1] = LETTER
+    left, right = before[:-1], after[1:]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (left == SPACE) | ((left == LETTER) & (right & (SIGN | QUOTE) != 0)) | ((left == SIGN) & (right == LETTER))
+    cut[1:] |= ((left == DIGIT) & (right & VISIBLE != 0)) | ((right == DIGIT) & (left & VISIBLE != 0))
+    cut[at[at < len(data)]] = True
+    kept = after != SPACE
+    offsets = np.append(np.flatnonzero(cut[kept]), np.count_nonzero(kept))
+    pieces = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[kept]))
+    return pieces.dictionary_encode(), np.searchsorted(offsets, at - np.searchsorted(np.flatnonzero(~kept), at))
+
+
 def latin_lower(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Lower case for the texts in which letter by letter is certain to be right.
 

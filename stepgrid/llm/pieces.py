@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from stepgrid.llm.textbytes import flat, latin_lower, pretoken_pieces, word_pieces, worker_state
 
 CACHE, CACHE_BYTES = 250_000, 64 << 20  # pieces in a generation of the worker's memory, and their bytes; results do not depend on them
+KEPT = 600_000  # pieces whose ids are kept in arrays, which take less of those bytes
 JOINED = 1000  # words encoded as one text
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # pre-tokens of vocabularies of words; the rest is dropped
 WORD_END = "</w>"
@@ -118,8 +119,8 @@ def array_encoder(path: str, words: bool) -> Callable[[pa.Array], tuple[np.ndarr
 class PieceIds:
     """Ids of pieces, those of earlier batches of this worker included, without an object for each.
 
-    When more pieces or bytes are kept than a generation may hold, half as much
-    stays, what was used last first.
+    Of more than ``KEPT`` pieces or ``CACHE_BYTES``, half as much stays, what was
+    used last first.
     """
 
     def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]):
@@ -145,9 +146,9 @@ class PieceIds:
 
     def forget(self) -> None:
         held = pc.binary_length(self.pieces).to_numpy() + 4 * (self.stop - self.start) + 32
-        if len(self.pieces) <= CACHE and held.sum() <= CACHE_BYTES:
+        if len(self.pieces) <= KEPT and held.sum() <= CACHE_BYTES:
             return
-        newest = np.argsort(-self.used, kind="stable")[: CACHE // 2]
+        newest = np.argsort(-self.used, kind="stable")[: KEPT // 2]
         keep = np.sort(newest[np.cumsum(held[newest]) <= CACHE_BYTES // 2])
         self.pieces, self.used = self.pieces.take(pa.array(keep, pa.int64())), self.used[keep]
         self.ids, self.start, self.stop = taken(self.ids, self.start[keep], self.stop[keep])

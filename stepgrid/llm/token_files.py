@@ -42,10 +42,13 @@ FILE_IDS = 8 << 20  # ids after which a task begins its next file
 READERS = 10_000  # tasks that read files back; each reads one file after another
 FOOTER = "<8sqqqqqqq"
 FOOTER_SIZE = struct.calcsize(FOOTER)
+BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)  # the length of each 16-bit number
 
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
-    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    if values.size and values.max() >= len(BITS):
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    return BITS[values]
 
 
 def pack_words(values: np.ndarray, width: int) -> np.ndarray:
@@ -88,7 +91,7 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, doc_null: np.ndarray, leng
     low = grid.min(axis=1) if blocks else np.zeros(0, np.uint32)
     rest = grid - low[:, None]
     bits = bit_lengths(rest)
-    width = np.sort(bits, axis=1)[:, int(np.ceil(PERCENTILE * BLOCK)) - 1] if blocks else np.zeros(0, np.uint8)
+    width = np.sort(bits, axis=1, kind="stable")[:, int(np.ceil(PERCENTILE * BLOCK)) - 1] if blocks else np.zeros(0, np.uint8)
     wide = bits > width[:, None]
     n_wide = wide.sum(axis=1, dtype=np.uint16)
     size = width.astype(np.int64) * (BLOCK // 8) + n_wide.astype(np.int64) * 6

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from stepgrid.llm import pieces, textbytes
 from stepgrid.llm.pieces import encoded_batches, library, of_words
+from stepgrid.llm.token_files import bit_lengths
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PARTS = [
@@ -53,9 +54,9 @@ def test_mixed_texts_encode_like_whole_texts(path):
     assert encoded(texts, path) == whole(texts, path)
 
 
-@pytest.mark.parametrize("limits", [(40, 64 << 20), (250_000, 3000)])
+@pytest.mark.parametrize("limits", [(40, 64 << 20), (600_000, 3000)])
 def test_little_memory_of_pieces_changes_nothing(monkeypatch, limits):
-    monkeypatch.setattr(pieces, "CACHE", limits[0])
+    monkeypatch.setattr(pieces, "KEPT", limits[0])
     monkeypatch.setattr(pieces, "CACHE_BYTES", limits[1])
     texts = mixed_texts(1500)
     assert encoded(texts, WORD, 60) == whole(texts, WORD)
@@ -132,6 +133,12 @@ def test_a_vocabulary_of_words_may_lack_special_strings(tmp_path):
     assert encoded(texts, str(path)) == whole(texts, str(path))
 
 
+@pytest.mark.parametrize("most", [1, 2**16 - 1, 2**16, 2**32 - 1])
+def test_bit_lengths(most):
+    values = np.array([[0, 1, 2, 255, 256, most // 2, most // 2 + 1, most]], np.uint32)
+    assert bit_lengths(values).tolist() == [[int(v).bit_length() for v in values[0]]]
+
+
 def test_ids_of_a_text_do_not_depend_on_its_batch():
     texts = mixed_texts(400)
     sums = {zlib.crc32(repr(encoded(texts, WORD, rows)).encode()) for rows in (1, 7, 4096)}
